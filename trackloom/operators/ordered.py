@@ -40,10 +40,19 @@ class Blocked:
     heavy: tuple[int, ...] = ()
 
 
+def _numeric(df: DataFrame, key: str) -> Column:
+    """The key as a DOUBLE in the same order; wall-clock times without a zone."""
+    if dict(df.dtypes)[key] != "timestamp_ntz":
+        return F.col(key).cast("double")
+    seconds = F.extract(F.lit("SECOND"), key).cast("double")
+    days = F.datediff(key, F.lit("1970-01-01").cast("date"))
+    return days * F.lit(86400.0) + F.hour(key) * 3600 + F.minute(key) * 60 + seconds
+
+
 def _cuts(df: DataFrame, key: str, n: int, rows: int) -> tuple[list[float], set[float]]:
     parts = min(MAX_BLOCKS, math.ceil(n / rows))
     fraction = min(1.0, SAMPLE_PER_BLOCK * parts / n)
-    sample = df.select(F.col(key).cast("double").alias("k"))
+    sample = df.select(_numeric(df, key).alias("k"))
     if fraction < 1.0:
         sample = sample.sample(fraction, seed=7)
     probs = [i / parts for i in range(1, parts)]
@@ -56,7 +65,7 @@ def _cuts(df: DataFrame, key: str, n: int, rows: int) -> tuple[list[float], set[
 def _bucket(df: DataFrame, key: str, cuts: list[float], name: str) -> DataFrame:
     if not cuts:
         return df.withColumn(name, F.lit(0))
-    keyed = df.withColumn("_key", F.col(key).cast("double"))
+    keyed = df.withColumn("_key", _numeric(df, key))
     cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol=name,
                         handleInvalid="keep")
     return cutter.transform(keyed).withColumn(name, F.col(name).cast("int")).drop("_key")

@@ -1,4 +1,4 @@
 """All named queries."""
 
-from trackloom.plans import scoring  # noqa: F401
+from trackloom.plans import alignment, rasters, scoring, sequences  # noqa: F401
 from trackloom.plans.registry import ORACLES, QUERIES  # noqa: F401

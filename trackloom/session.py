@@ -59,6 +59,12 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute ``df`` once: as a local table when small, else in the checkpoint folder."""
+    local = bounded(df, max_rows)
+    return materialize(df) if local is None else local
+
+
 def attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left",
            max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a summary table back to its rows.
