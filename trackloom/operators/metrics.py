@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import NORMAL_QUANTILES, QUANTILES, change, d, pinball, safe_corr
 from trackloom.operators.ordered import average_rank, exact_quantiles, quantile_columns
-from trackloom.session import attach
+from trackloom.session import attach, materialize
 
 
 def error_bundle(df: DataFrame, groups: Sequence[str], y: str, p: str,
@@ -17,8 +17,10 @@ def error_bundle(df: DataFrame, groups: Sequence[str], y: str, p: str,
     """Per group: n, MAE, RMSE, median/p90/max absolute error, bias, R2, correlations.
 
     R2 is NULL for a constant target, correlations also for a constant
-    prediction or two rows. ``reduced`` keeps n, MAE, RMSE, median and bias.
+    prediction or two rows. ``reduced`` keeps n, MAE, RMSE, median and bias. The
+    input is written once, since moments, quantiles and ranks each pass over it.
     """
+    df = materialize(df.select(*groups, y, p))
     rows = df.withColumns({"_e": F.col(p) - F.col(y), "_ae": F.abs(F.col(p) - F.col(y))})
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("_ae").alias("mae"),
             F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
