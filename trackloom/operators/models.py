@@ -14,12 +14,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.functions.scalars import d
-from trackloom.operators.metrics import quantile_scores, sorted_quantiles
+from trackloom.operators.metrics import sorted_quantiles
 from trackloom.operators.ordered import quantile_columns
 from trackloom.session import attach, attach_one, materialize
 
@@ -318,13 +318,50 @@ def project(df: DataFrame, vector: str, name: str = "scores") -> DataFrame:
 # Iterative fits.
 
 
+def _with_parameters(rows: DataFrame, values: dict[str, float]) -> DataFrame:
+    """The step's parameters as columns of a broadcast one-row table.
+
+    As data instead of literals they leave the plan's generated code unchanged, so
+    it is compiled once for all steps.
+    """
+    schema = "_k int, " + ", ".join(f"{k} double" for k in values)
+    row = rows.sparkSession.createDataFrame([(0, *map(float, values.values()))], schema)
+    return rows.join(F.broadcast(row), "_k")
+
+
+def _weighted_sums(rows: DataFrame, names: Sequence[str], beta: np.ndarray, levels: np.ndarray,
+                   eps: float) -> np.ndarray:
+    """Per quantile: pinball sum, weighted Gram and weighted right-hand side.
+
+    Each task reduces its Arrow batches to one short vector; Spark adds the vectors.
+    """
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            z, t = batch[list(names)].to_numpy(), batch["y"].to_numpy()
+            parts = []
+            for b, q in zip(beta, levels):
+                r = t - z @ b
+                wz = z / (eps + np.abs(r))[:, None]
+                parts.append(np.r_[np.maximum(q * r, (q - 1) * r).sum(), (wz.T @ z).ravel(), wz.T @ t])
+            flat = np.concatenate(parts)
+            total = flat if total is None else total + flat
+        if total is not None:
+            yield pd.DataFrame({"s": [total.tolist()]})
+
+    partial = rows.mapInPandas(reduce, "s array<double>")
+    summed = partial.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    return np.array([r["v"] for r in sorted(summed.collect(), key=lambda r: r["i"])])
+
+
 def quantile_fit(df: DataFrame, features: Sequence[str], y: str, quantiles: Sequence[float], alpha: float,
                  steps: int = 150, tolerance: float = 1e-7) -> DataFrame:
     """Linear quantile regressions: mean pinball loss + alpha * L1 of the coefficients.
 
     Majorise-minimise steps (Hunter and Lange 2000): weights 1 / (eps + |r|) make
     each step a weighted least squares whose sums for all quantiles come from one
-    aggregate pass. Features are standardised first. Returns one row per quantile
+    pass. Features are standardised first. Returns one row per quantile
     with intercept, coefficients (standardised), means, scales and the loss.
     """
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("_sy"), F.avg(y).alias("_my"),
@@ -335,40 +372,28 @@ def quantile_fit(df: DataFrame, features: Sequence[str], y: str, quantiles: Sequ
     scale = [stats[f"s_{f}"] or 1.0 for f in features]
     unit = stats["_sy"] or 1.0
     z = [d(1)] + [(F.col(f) - d(m)) / d(s) for f, m, s in zip(features, mean, scale)]
-    rows = materialize(df.select(*[c.alias(f"z{i}") for i, c in enumerate(z)], F.col(y).alias("y")))
     names = [f"z{i}" for i in range(p + 1)]
-    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    sums = rows.agg(*[F.sum(c) for c in names]).first()
-    sx = np.array([float(v) for v in sums])
+    rows = materialize(df.select(*[c.alias(k) for k, c in zip(names, z)], F.col(y).cast("double").alias("y")))
+    sx = np.array([float(v) for v in rows.agg(*[F.sum(c) for c in names]).first()])
+    levels = np.asarray(quantiles, float)
     beta = {q: np.r_[stats["_my"], np.zeros(p)] for q in quantiles}
     best = {q: (math.inf, beta[q]) for q in quantiles}
+    width = 1 + (p + 1) * (p + 2)
     still = 0
     for step in range(steps + 1):
         eps = max(1e-6, 0.1 * 0.93 ** step) * unit
-        aggs, withs = [], {}
-        for k, q in enumerate(quantiles):
-            fit = sum((d(b) * F.col(c) for b, c in zip(beta[q], names)), d(0))
-            withs[f"r{k}"] = F.col("y") - fit
-        work = rows.withColumns(withs)
-        for k, q in enumerate(quantiles):
-            r = F.col(f"r{k}")
-            w = d(1) / (d(eps) + F.abs(r))
-            aggs.append(F.sum(F.greatest(d(q) * r, d(q - 1) * r)).alias(f"l{k}"))
-            aggs += [F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"g{k}_{i}_{j}") for i, j in pairs]
-            aggs += [F.sum(w * F.col(c) * F.col("y")).alias(f"t{k}_{i}") for i, c in enumerate(names)]
-        got = work.agg(*aggs).first()
+        sums = _weighted_sums(rows, names, np.stack([beta[q] for q in quantiles]), levels, eps)
+        got = sums.reshape(len(quantiles), width)
         moved = False
         for k, q in enumerate(quantiles):
-            loss = got[f"l{k}"] / n + alpha * float(np.abs(beta[q][1:]).sum())
+            loss = got[k, 0] / n + alpha * float(np.abs(beta[q][1:]).sum())
             if loss < best[q][0] - tolerance * unit:
                 moved = True
             if loss < best[q][0]:
                 best[q] = (loss, beta[q])
-            gram = np.zeros((p + 1, p + 1))
-            for i, j in pairs:
-                gram[i, j] = gram[j, i] = got[f"g{k}_{i}_{j}"]
+            gram = got[k, 1:1 + (p + 1) ** 2].reshape(p + 1, p + 1)
             shrink = np.r_[0.0, 1.0 / (np.abs(beta[q][1:]) + eps)]
-            rhs = np.array([got[f"t{k}_{i}"] for i in range(p + 1)]) + (2 * q - 1) * sx
+            rhs = got[k, 1 + (p + 1) ** 2:] + (2 * q - 1) * sx
             beta[q] = np.linalg.solve(gram / (2 * n) + alpha * np.diag(shrink), rhs / (2 * n))
         still = 0 if moved else still + 1
         if still >= 10 and eps <= 1e-3 * unit:
@@ -403,13 +428,14 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, steps: int
     mean = [stats[f"m_{f}"] for f in features]
     scale = [stats[f"s_{f}"] or 1.0 for f in features]
     z = [(F.col(f) - d(m)) / d(s) for f, m, s in zip(features, mean, scale)]
-    rows = materialize(df.select(*[c.alias(f"z{i}") for i, c in enumerate(z)], F.col(label).cast("double").alias("y")))
+    rows = materialize(df.select(*[c.alias(f"z{i}") for i, c in enumerate(z)],
+                                 F.col(label).cast("double").alias("y"), F.lit(0).alias("_k")))
     w = np.zeros(len(features) + 1)
+    score = sum((F.col(f"w{i + 1}") * F.col(f"z{i}") for i in range(len(features))), F.col("w0"))
+    gap = d(1) / (d(1) + F.exp(-F.greatest(d(-20), F.least(d(20), score)))) - F.col("y")
     for _ in range(steps):
-        score = sum((d(b) * F.col(f"z{i}") for i, b in enumerate(w[1:])), d(w[0]))
-        score = F.greatest(d(-20), F.least(d(20), score))
-        gap = d(1) / (d(1) + F.exp(-score)) - F.col("y")
-        got = rows.agg(F.avg(gap), *[F.avg(gap * F.col(f"z{i}")) for i in range(len(features))]).first()
+        work = _with_parameters(rows, {f"w{i}": v for i, v in enumerate(w)})
+        got = work.agg(F.avg(gap), *[F.avg(gap * F.col(f"z{i}")) for i in range(len(features))]).first()
         w = w - rate * (np.array([float(v) for v in got]) + penalty * np.r_[0.0, w[1:]])
     return df.sparkSession.createDataFrame(
         [(float(w[0]), w[1:].tolist(), mean, scale)],
@@ -422,6 +448,3 @@ def representation_catalogue(rows: DataFrame, parts: dict[str, tuple[Column, str
                       for k, (v, c) in parts.items()])
     return rows.withColumn("_r", F.explode(items)).select(*[c for c in rows.columns], "_r.*")
 
-
-def score_quantile_models(df: DataFrame, groups: Sequence[str], y: str, names: Sequence[str]) -> DataFrame:
-    return quantile_scores(df, groups, y, names)
