@@ -20,7 +20,7 @@ def error_bundle(df: DataFrame, groups: Sequence[str], y: str, p: str,
     prediction or two rows. ``reduced`` keeps n, MAE, RMSE, median and bias. The
     input is written once, since moments, quantiles and ranks each pass over it.
     """
-    df = materialize(df.select(*groups, y, p))
+    df = materialize(df.select(*groups, y, p), spread=True)
     rows = df.withColumns({"_e": F.col(p) - F.col(y), "_ae": F.abs(F.col(p) - F.col(y))})
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("_ae").alias("mae"),
             F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),

@@ -373,7 +373,7 @@ def quantile_fit(df: DataFrame, features: Sequence[str], y: str, quantiles: Sequ
     unit = stats["_sy"] or 1.0
     z = [d(1)] + [(F.col(f) - d(m)) / d(s) for f, m, s in zip(features, mean, scale)]
     names = [f"z{i}" for i in range(p + 1)]
-    rows = materialize(df.select(*[c.alias(k) for k, c in zip(names, z)], F.col(y).cast("double").alias("y")))
+    rows = materialize(df.select(*[c.alias(k) for k, c in zip(names, z)], F.col(y).cast("double").alias("y")), spread=True)
     sx = np.array([float(v) for v in rows.agg(*[F.sum(c) for c in names]).first()])
     levels = np.asarray(quantiles, float)
     beta = {q: np.r_[stats["_my"], np.zeros(p)] for q in quantiles}
@@ -429,7 +429,7 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, steps: int
     scale = [stats[f"s_{f}"] or 1.0 for f in features]
     z = [(F.col(f) - d(m)) / d(s) for f, m, s in zip(features, mean, scale)]
     rows = materialize(df.select(*[c.alias(f"z{i}") for i, c in enumerate(z)],
-                                 F.col(label).cast("double").alias("y"), F.lit(0).alias("_k")))
+                                 F.col(label).cast("double").alias("y"), F.lit(0).alias("_k")), spread=True)
     w = np.zeros(len(features) + 1)
     score = sum((F.col(f"w{i + 1}") * F.col(f"z{i}") for i in range(len(features))), F.col("w0"))
     gap = d(1) / (d(1) + F.exp(-F.greatest(d(-20), F.least(d(20), score)))) - F.col("y")

@@ -252,9 +252,9 @@ def average_rank(df: DataFrame, groups: Sequence[str], value: str, name: str) ->
     """1-based rank with ties sharing their mean rank."""
     blocked = assign_blocks(df, [value])
     inside = Window.partitionBy(*groups, BLOCK)
-    rank = F.rank().over(inside.orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*groups, BLOCK, value))
-    local = rank + (ties - 1) / 2
+    line = inside.orderBy(value)
+    upto = F.count(F.lit(1)).over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    local = (F.rank().over(line) + upto) / 2
     if blocked.single:
         return blocked.df.withColumn(name, local).drop(BLOCK)
     offsets = block_offsets(blocked.df, groups, F.count(F.lit(1)), "_off")

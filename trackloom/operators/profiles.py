@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.scalars import centre, d, width
 from trackloom.operators.joins import index_frame
 from trackloom.operators.ordered import halo_blocks, rolling
-from trackloom.operators.raster import gaussian_taps
+from trackloom.operators.raster import gaussian_taps, padded, weighted
 from trackloom.session import attach, attach_one
 
 # Profile regions in mm and smoothing limits.
@@ -88,25 +88,14 @@ def smooth(profiles: DataFrame, key: Sequence[str]) -> DataFrame:
     and the whole profile has at least five valid rows.
     """
     radius = int(4 * SIGMA_ROWS + 0.5)
-    weights = F.array(*[d(w) for w in gaussian_taps(SIGMA_ROWS, radius)])
+    taps = gaussian_taps(SIGMA_ROWS, radius)
     lines = profiles.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("iy", "y_mm", "z"))).alias("_p"))
-    lines = lines.withColumn("_z", F.transform("_p", lambda s: s["z"])).withColumn(
-        "_n", F.size("_z"))
-
-    def mirrored(i: Column) -> Column:
-        j = F.pmod(i, 2 * F.col("_n"))
-        return F.when(j < F.col("_n"), j).otherwise(2 * F.col("_n") - 1 - j)
-
-    taps = F.sequence(F.lit(0), F.lit(2 * radius))
-
-    def blend(i: Column, value) -> Column:
-        return F.aggregate(taps, d(0), lambda acc, k: acc + F.get(weights, k) * value(
-            F.get(F.col("_z"), mirrored(i + k - radius))))
-
+    lines = lines.withColumn("_z", F.transform("_p", lambda s: s["z"])).withColumns({
+        "_values": padded(F.transform("_z", lambda v: F.coalesce(v, d(0))), radius, True),
+        "_present": padded(F.transform("_z", lambda v: v.isNotNull().cast("double")), radius, True)})
     pair = F.transform("_p", lambda s, i: F.struct(
         s["iy"].alias("iy"), s["y_mm"].alias("y_mm"), s["z"].alias("z"),
-        blend(i, lambda v: F.coalesce(v, d(0))).alias("num"),
-        blend(i, lambda v: F.when(v.isNotNull(), d(1)).otherwise(d(0))).alias("den")))
+        weighted(F.col("_values"), taps, i).alias("num"), weighted(F.col("_present"), taps, i).alias("den")))
     valid = F.size(F.filter("_z", lambda v: v.isNotNull()))
     rows = lines.select(*key, valid.alias("_valid"), F.explode(pair).alias("_s"))
     keep = (F.col("_valid") >= MIN_FINITE) & (F.col("_s.den") > d(MIN_WEIGHT))

@@ -162,24 +162,35 @@ def gaussian_taps(sigma: float, radius: int) -> list[float]:
     return [v / sum(w) for v in w]
 
 
-def _mirror(i: Column, n: Column) -> Column:
-    """Index reflected about the edge cells (no edge repeat)."""
-    period = F.greatest(2 * (n - 1), F.lit(1))
-    j = F.pmod(i, period)
-    return F.when(j < n, j).otherwise(period - j)
+def padded(values: Column, radius: int, repeat_edge: bool) -> Column:
+    """An array with ``radius`` mirrored entries on both sides, the edge entry repeated
+    or not. Put it in a column before a generator, so it is built once per row."""
+    n = F.size(values)
+    period = F.lit(2) * n if repeat_edge else F.greatest(2 * (n - 1), F.lit(1))
+    turn = period - 1 if repeat_edge else period
+
+    def at(i: Column) -> Column:
+        j = F.pmod(i, period)
+        return F.get(values, F.when(j < n, j).otherwise(turn - j))
+
+    return F.transform(F.sequence(F.lit(-radius), n - 1 + radius), at)
+
+
+def weighted(pad: Column, taps: Sequence[float], i: Column) -> Column:
+    """Kernel sum centred on entry i of the array that ``pad`` was made from."""
+    weights = F.array(*[d(w) for w in taps])
+    return F.aggregate(F.zip_with(F.slice(pad, i + 1, len(taps)), weights, lambda v, w: v * w),
+                       d(0), lambda acc, v: acc + v)
 
 
 def _blur_lines(cells: DataFrame, key: Sequence[str], line: str, along: str, value: str,
                 taps: Sequence[float], name: str) -> DataFrame:
     """Convolve along one axis; each line of a frame becomes one array."""
-    radius = len(taps) // 2
     lines = cells.groupBy(*key, line).agg(
         F.array_sort(F.collect_list(F.struct(along, value))).alias("_line"))
-    weights = F.array(*[d(w) for w in taps])
-    at = F.transform("_line", lambda s, i: F.struct(s[along].alias(along), F.aggregate(
-        F.sequence(F.lit(0), F.lit(2 * radius)), d(0),
-        lambda acc, k: acc + F.get(weights, k) * F.get(
-            F.col("_line"), _mirror(i + k - radius, F.size("_line")))[value]).alias(name)))
+    lines = lines.withColumn("_pad", padded(F.col(f"_line.{value}"), len(taps) // 2, False))
+    at = F.transform("_line", lambda s, i: F.struct(
+        s[along].alias(along), weighted(F.col("_pad"), taps, i).alias(name)))
     return lines.select(*key, line, F.explode(at).alias("_s")).select(
         *key, line, F.col("_s")[along].alias(along), F.col("_s")[name].alias(name))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import FRAMES, d, frame_position_mm
 from trackloom.operators.ordered import longest_true_run, neighbour, quantile_columns, rolling
-from trackloom.session import attach
+from trackloom.session import attach, broadcast_if_small, materialize
 
 
 def increments(df: DataFrame, groups: Sequence[str], index: str, x: str, value: str) -> DataFrame:
@@ -79,8 +79,8 @@ def block_bootstrap(df: DataFrame, groups: Sequence[str], index: str, diff: str,
 
     A draw joins ceil(n / block) hashed block starts, the last one cut so that n
     rows are used. The sum of each possible block is built once with a rolling
-    frame, so a draw is an equi-join of starts to block sums; starts are spread
-    over tasks in pieces of ``task_blocks``.
+    frame, so a draw is an equi-join of starts to block sums, broadcast only when a
+    count shows them small; starts are spread over tasks in pieces of ``task_blocks``.
     """
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     blocks = F.ceil(F.col("_n") / block)
@@ -97,7 +97,7 @@ def block_bootstrap(df: DataFrame, groups: Sequence[str], index: str, diff: str,
     last = F.least(F.col("_k"), (F.col("_piece") + 1) * task_blocks) - 1
     starts = plan.withColumn("_j", F.explode(F.sequence(F.col("_piece") * task_blocks, last)))
     starts = starts.withColumn("_start", hashed_start(F.col("draw"), F.col("_j"), F.col("_choices")))
-    drawn = starts.join(sums, [*groups, "_start"])
+    drawn = starts.join(broadcast_if_small(materialize(sums)), [*groups, "_start"])
     part = F.when(F.col("_j") == F.col("_k") - 1, F.col("_cut")).otherwise(F.col("_full"))
     return drawn.groupBy(*groups, "draw").agg((F.sum(part) / F.first("_n")).alias("mean_difference"))
 

@@ -41,11 +41,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write ``df`` to the checkpoint folder, so later passes read it instead of
-    recomputing it and the loss of an executor loses nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    recomputing it and the loss of an executor loses nothing.
+
+    ``spread`` rewrites a table of fewer partitions than half the task slots, as
+    from one small file, over all of them: for tables that many passes will read.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    slots = spark.sparkContext.defaultParallelism
+    if spread and 2 * out.rdd.getNumPartitions() <= slots:
+        out = out.repartition(slots).checkpoint(eager=True)
+    return out
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows at most ``max_rows`` narrow rows;
+    unhinted otherwise, for a shuffle join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
