@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.scalars import centre, d, width
 from trackloom.operators.joins import index_frame
 from trackloom.operators.ordered import halo_blocks, rolling
-from trackloom.operators.raster import gaussian_taps, padded, weighted
+from trackloom.operators.raster import gaussian_taps
 from trackloom.session import attach, attach_one
 
 # Profile regions in mm and smoothing limits.
@@ -88,19 +88,28 @@ def smooth(profiles: DataFrame, key: Sequence[str]) -> DataFrame:
     and the whole profile has at least five valid rows.
     """
     radius = int(4 * SIGMA_ROWS + 0.5)
-    taps = gaussian_taps(SIGMA_ROWS, radius)
-    lines = profiles.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("iy", "y_mm", "z"))).alias("_p"))
-    lines = lines.withColumn("_z", F.transform("_p", lambda s: s["z"])).withColumns({
-        "_values": padded(F.transform("_z", lambda v: F.coalesce(v, d(0))), radius, True),
-        "_present": padded(F.transform("_z", lambda v: v.isNotNull().cast("double")), radius, True)})
-    pair = F.transform("_p", lambda s, i: F.struct(
-        s["iy"].alias("iy"), s["y_mm"].alias("y_mm"), s["z"].alias("z"),
-        weighted(F.col("_values"), taps, i).alias("num"), weighted(F.col("_present"), taps, i).alias("den")))
-    valid = F.size(F.filter("_z", lambda v: v.isNotNull()))
-    rows = lines.select(*key, valid.alias("_valid"), F.explode(pair).alias("_s"))
-    keep = (F.col("_valid") >= MIN_FINITE) & (F.col("_s.den") > d(MIN_WEIGHT))
-    return rows.select(*key, "_s.iy", "_s.y_mm", "_s.z",
-                       F.when(keep, F.col("_s.num") / F.col("_s.den")).alias("smooth"))
+    taps = gaussian_taps(SIGMA_ROWS, radius)[radius:]
+    whole = Window.partitionBy(*key)
+    rows = profiles.select(*key, "iy", "y_mm", "z").withColumns({
+        "_n": F.count(F.lit(1)).over(whole), "_valid": F.count("z").over(whole),
+        "_i": F.row_number().over(whole.orderBy("iy")) - 1})
+    # Mirror copies put every neighbour a frame can reach at its own position.
+    i, n = F.col("_i"), F.col("_n")
+    short = [p + 2 * n * m for m in range(-radius, radius + 1) for p in (i, -1 - i)]
+    spots = F.when(n >= radius, F.array(i.cast("long"), -1 - i.cast("long"), 2 * n - 1 - i)).otherwise(F.array(*short))
+    rows = rows.withColumn("_j", F.explode(F.filter(spots, lambda j: (j >= -radius) & (j < n + radius))))
+    rows = rows.withColumns({"_v": F.coalesce("z", d(0)), "_w": F.col("z").isNotNull().cast("double")})
+    line = whole.orderBy("_j")
+
+    def blend(c: str) -> Column:
+        out = d(taps[0]) * F.col(c)
+        for k in range(1, radius + 1):
+            out = out + d(taps[k]) * (F.lag(c, k).over(line) + F.lead(c, k).over(line))
+        return out
+
+    rows = rows.withColumns({"_num": blend("_v"), "_den": blend("_w")}).where(F.col("_j") == F.col("_i"))
+    keep = (F.col("_valid") >= MIN_FINITE) & (F.col("_den") > d(MIN_WEIGHT))
+    return rows.select(*key, "iy", "y_mm", "z", F.when(keep, F.col("_num") / F.col("_den")).alias("smooth"))
 
 
 def filled_gradient(rows: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -162,16 +162,15 @@ def gaussian_taps(sigma: float, radius: int) -> list[float]:
     return [v / sum(w) for v in w]
 
 
-def padded(values: Column, radius: int, repeat_edge: bool) -> Column:
-    """An array with ``radius`` mirrored entries on both sides, the edge entry repeated
-    or not. Put it in a column before a generator, so it is built once per row."""
+def padded(values: Column, radius: int) -> Column:
+    """An array with ``radius`` mirrored entries on both sides, the edge entry not
+    repeated. Put it in a column before a generator, so it is built once per row."""
     n = F.size(values)
-    period = F.lit(2) * n if repeat_edge else F.greatest(2 * (n - 1), F.lit(1))
-    turn = period - 1 if repeat_edge else period
+    period = F.greatest(2 * (n - 1), F.lit(1))
 
     def at(i: Column) -> Column:
         j = F.pmod(i, period)
-        return F.get(values, F.when(j < n, j).otherwise(turn - j))
+        return F.get(values, F.when(j < n, j).otherwise(period - j))
 
     return F.transform(F.sequence(F.lit(-radius), n - 1 + radius), at)
 
@@ -188,7 +187,7 @@ def _blur_lines(cells: DataFrame, key: Sequence[str], line: str, along: str, val
     """Convolve along one axis; each line of a frame becomes one array."""
     lines = cells.groupBy(*key, line).agg(
         F.array_sort(F.collect_list(F.struct(along, value))).alias("_line"))
-    lines = lines.withColumn("_pad", padded(F.col(f"_line.{value}"), len(taps) // 2, False))
+    lines = lines.withColumn("_pad", padded(F.col(f"_line.{value}"), len(taps) // 2))
     at = F.transform("_line", lambda s, i: F.struct(
         s[along].alias(along), weighted(F.col("_pad"), taps, i).alias(name)))
     return lines.select(*key, line, F.explode(at).alias("_s")).select(
