@@ -25,10 +25,11 @@ def row_digest(columns: Sequence[str]) -> Column:
 def fingerprint(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """Row count and additive digest; equal tables agree whatever their row order.
 
-    Sums combine on the map side, so nothing is sorted or gathered.
+    Sums combine on the map side, so nothing is sorted or gathered; as decimals they
+    do not overflow on any table size.
     """
     return df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(row_digest(columns)).cast("long").alias("digest"))
+        F.count(F.lit(1)).alias("rows"), F.sum(row_digest(columns).cast("decimal(20,0)")).cast("string").alias("digest"))
 
 
 def exact_digest(df: DataFrame, columns: Sequence[str], max_rows: int = 100_000) -> DataFrame:

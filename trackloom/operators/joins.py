@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import comparable_text, d
 from trackloom.operators.ordered import BLOCK, assign_blocks, halo_blocks
-from trackloom.session import attach
+from trackloom.session import attach, broadcast_if_small
 
 
 def nearest_sides(probes: DataFrame, points: DataFrame, groups: Sequence[str], probe_x: str,
@@ -29,7 +29,7 @@ def nearest_sides(probes: DataFrame, points: DataFrame, groups: Sequence[str], p
     q = points.select(*groups, F.col(point_x).alias("_x"), F.lit(0).cast("long").alias("_tie"),
                       prior.alias("_prior"), later.alias("_later"))
     both = p.unionByName(q, allowMissingColumns=True)
-    blocked = assign_blocks(both, ["_x", "_tie"])
+    blocked = assign_blocks(both, ["_x", "_tie"], groups=groups)
     inside = Window.partitionBy(*groups, BLOCK)
     up = inside.orderBy("_x", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     down = inside.orderBy(F.desc("_x"), "_tie").rowsBetween(Window.unboundedPreceding, 0)
@@ -100,11 +100,11 @@ def window_lookup(probes: DataFrame, points: DataFrame, groups: Sequence[str], p
 
 
 def best_tiles(samples: DataFrame, tiles: DataFrame, key: Sequence[str], x: str, reach: float,
-               tile_pixels: int, bin_mm: float, salts: int = 4) -> DataFrame:
+               tile_pixels: int, bin_mm: float, salts: int = 16) -> DataFrame:
     """The tile for each sample, and the tile that also holds x +- reach.
 
     Tiles are copied to the bins they touch, samples have one bin, so the join is
-    an equi-join on (bin, salt). The best tile has the largest distance of the
+    an equi-join on (bin, salt), broadcast only when a count shows the tiles small. The best tile has the largest distance of the
     point to its edges; the first in tile order wins ties. Samples without a tile
     keep NULL structs ``mapped`` and ``context`` (edge, order, tile_id, u).
     """
@@ -113,7 +113,7 @@ def best_tiles(samples: DataFrame, tiles: DataFrame, key: Sequence[str], x: str,
     bins = F.sequence(F.floor(F.col("xmin") / d(bin_mm)), F.floor(F.col("xmax") / d(bin_mm)))
     right = tiles.withColumn("_bin", F.explode(bins)).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    joined = left.join(right, ["_bin", "_salt"], "left")
+    joined = left.join(broadcast_if_small(right), ["_bin", "_salt"], "left")
     u = (F.col(x) - F.col("xmin")) / F.col("px_mm")
     choice = F.struct(F.least(u, d(tile_pixels - 1) - u).alias("edge"),
                       (-F.col("tile_order")).alias("order"), F.col("tile_id"), u.alias("u"))

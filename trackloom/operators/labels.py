@@ -186,7 +186,7 @@ def stump_fit(rows: DataFrame, groups: Sequence[str], features: Sequence[str], l
         F.count_if(F.col("_y")).alias("pos"), F.count_if(~F.col("_y")).alias("neg"))
     values = materialize(values)
     key = [*groups, "feature_rank", "feature"]
-    blocked = assign_blocks(values, ["x"]).df
+    blocked = assign_blocks(values, ["x"], groups=key).df
     run = running_sum(running_sum(blocked, key, ["x"], "pos", "cp"), key, ["x"], "neg", "cn")
     totals = values.groupBy(*key).agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
     run = run.join(totals, key)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import NORMAL_QUANTILES, QUANTILES, change, d, pinball, safe_corr
 from trackloom.operators.ordered import average_rank, exact_quantiles, quantile_columns
-from trackloom.session import attach, materialize
+from trackloom.session import attach, attach_one, materialize
 
 
 def error_bundle(df: DataFrame, groups: Sequence[str], y: str, p: str,
@@ -101,8 +101,9 @@ def region_gain(df: DataFrame, key: Sequence[str], region: str, model: str, erro
         F.max(F.when(F.col(model) == candidate, F.col(error))).alias("c"))
     sums = wide.groupBy(region).agg(F.sum(F.col("b") - F.col("c")).alias("gain"),
                                     F.count(F.lit(1)).alias("n"))
-    total = F.sum("gain").over(Window.partitionBy())
-    return sums.withColumn("share", F.when(total > 0, F.try_divide(F.col("gain"), total)))
+    out = attach_one(sums, sums.groupBy().agg(F.sum("gain").alias("_total")))
+    share = F.when(F.col("_total") > 0, F.try_divide(F.col("gain"), F.col("_total")))
+    return out.withColumn("share", share).drop("_total")
 
 
 def gain_concentration(regions: DataFrame) -> DataFrame:
@@ -185,8 +186,8 @@ def anchor_ratios(df: DataFrame, track: str, y: str, candidates: Sequence[str])
 
 
 def choose_anchor(ratios: DataFrame) -> DataFrame:
-    """The candidate with the smallest CV; the name breaks ties."""
-    return ratios.orderBy("cv", "candidate").limit(1).select(
+    """The candidate with the smallest CV (to twelve decimals); the name breaks ties."""
+    return ratios.orderBy(F.round("cv", 12), "candidate").limit(1).select(
         F.col("candidate").alias("c_star"), F.col("mean_ratio").alias("k_star"), "cv")
 
 

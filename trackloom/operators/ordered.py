@@ -22,7 +22,7 @@ from trackloom.session import attach
 
 BLOCK = "_blk"
 ROWS_PER_BLOCK_CONF = "trackloom.rowsPerBlock"
-DEFAULT_ROWS_PER_BLOCK = 200_000
+DEFAULT_ROWS_PER_BLOCK = 1_000_000
 MAX_BLOCKS = 4096
 SAMPLE_PER_BLOCK = 100
 
@@ -71,15 +71,18 @@ def _bucket(df: DataFrame, key: str, cuts: list[float], name: str) -> DataFrame:
     return cutter.transform(keyed).withColumn(name, F.col(name).cast("int")).drop("_key")
 
 
-def assign_blocks(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> Blocked:
+def assign_blocks(df: DataFrame, keys: Sequence[str], rows: int | None = None,
+                  groups: Sequence[str] = ()) -> Blocked:
     """Add the block column. ``keys`` must be non-null; later keys break ties.
 
-    A value of the first key that fills more than a block gets a block of its
-    own, which the second key then cuts further.
+    When the largest of ``groups`` fits one block, by a count, there is one block. A
+    value of the first key that fills more than a block gets a block of its own,
+    which the second key then cuts further.
     """
     rows = rows or rows_per_block(df.sparkSession)
-    n = df.select(keys[0]).count()
-    if n <= rows:
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_c"))
+    n, largest = sizes.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.coalesce(F.max("_c"), F.lit(0))).first()
+    if largest <= rows:
         return Blocked(df.withColumn(BLOCK, F.lit(0)), True)
     cuts, heavy = _cuts(df, keys[0], n, rows)
     out = _bucket(df, keys[0], cuts, BLOCK)
@@ -111,7 +114,7 @@ def dense_index(df: DataFrame, groups: Sequence[str], order: Sequence[str],
 
     ``reuse_blocks`` takes the block column already on ``df``.
     """
-    blocked = Blocked(df, False) if reuse_blocks else assign_blocks(df, order)
+    blocked = Blocked(df, False) if reuse_blocks else assign_blocks(df, order, groups=groups)
     w = Window.partitionBy(*groups, BLOCK).orderBy(*order)
     out = blocked.df.withColumn("_rn", F.row_number().over(w).cast("long") - 1)
     if blocked.single:
@@ -202,11 +205,11 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Seq
                     rows: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles, long form (groups, prob, quantile).
 
-    Small inputs (by a checked count) use the built-in ``percentile``. Larger
-    ones rank only the blocks that hold the wanted order statistics.
+    Small groups (by a checked count) use the built-in ``percentile``. For larger
+    ones only the blocks that hold the wanted order statistics are ranked.
     """
     data = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    blocked = assign_blocks(data, ["_v"], rows)
+    blocked = assign_blocks(data, ["_v"], rows, groups)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     if blocked.single:
         picks = data.groupBy(*groups).agg(F.percentile("_v", wanted).alias("_q"))
@@ -250,7 +253,7 @@ def quantile_columns(df: DataFrame, groups: Sequence[str], value: str,
 
 def average_rank(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
     """1-based rank with ties sharing their mean rank."""
-    blocked = assign_blocks(df, [value])
+    blocked = assign_blocks(df, [value], groups=groups)
     inside = Window.partitionBy(*groups, BLOCK)
     line = inside.orderBy(value)
     upto = F.count(F.lit(1)).over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -274,7 +277,7 @@ def average_rank(df: DataFrame, groups: Sequence[str], value: str, name: str) ->
 def largest_gap(df: DataFrame, groups: Sequence[str], x: str) -> DataFrame:
     """Largest distance between consecutive sorted values; NULL for one row."""
     values = df.where(F.col(x).isNotNull()).groupBy(*groups, x).agg(F.count(F.lit(1)).alias("_c"))
-    blocked = assign_blocks(values, [x])
+    blocked = assign_blocks(values, [x], groups=groups)
     inside = Window.partitionBy(*groups, BLOCK).orderBy(x)
     local = blocked.df.withColumn("_gap", F.col(x) - F.lag(x).over(inside))
     per_block = local.groupBy(*groups, BLOCK).agg(

@@ -24,7 +24,7 @@ def scratch(t) -> str:
     return f"{checkpoint_dir(t.spark)}/trackloom-{uuid.uuid4().hex}"
 
 
-@query("table_hash", f"""SELECT lang, count(*) AS rows, CAST(sum({DIGEST.format("concat_ws('|', doc_id, lang, source, n_chars, text)")}) AS BIGINT) AS digest FROM documents GROUP BY 1""")
+@query("table_hash", f"""SELECT lang, count(*) AS rows, CAST(sum({DIGEST.format("concat_ws('|', doc_id, lang, source, n_chars, text)")}) AS VARCHAR) AS digest FROM documents GROUP BY 1""")
 def table_hash(t):
     """Q7: order-independent table fingerprint."""
     return A.fingerprint(t.documents, ["doc_id", "lang", "source", "n_chars", "text"], ["lang"])
@@ -184,7 +184,7 @@ def tile_metadata_audit(t):
     """Dimensions, strictly decreasing stage x and distinct hashes."""
     rows = t.part.select(F.col("p_brand").alias("track_id"), F.col("p_partkey").alias("tile_id"), F.col("p_retailprice").alias("stage_x"),
                          F.md5("p_name").alias("h"), F.col("p_size").between(1, 50).alias("size_ok"))
-    near = O.neighbour(O.assign_blocks(rows, ["tile_id"]).df, ["track_id"], "tile_id", ["stage_x"], "p_")
+    near = O.neighbour(O.assign_blocks(rows, ["tile_id"], groups=["track_id"]).df, ["track_id"], "tile_id", ["stage_x"], "p_")
     return near.groupBy("track_id").agg(
         F.count(F.lit(1)).alias("tiles"), F.bool_and("size_ok").alias("sizes_ok"),
         F.coalesce(F.bool_and(F.col("stage_x") < F.col("p_stage_x")), F.lit(True)).alias("strictly_decreasing"),

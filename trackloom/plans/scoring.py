@@ -259,7 +259,7 @@ def anchor_calibration(t):
 
 
 @query("anchor_choice", ANCHOR_SQL + """SELECT candidate AS c_star, avg(r) AS k_star, stddev_pop(r) / avg(r) AS cv FROM ratios
-GROUP BY 1 ORDER BY 3, 1 LIMIT 1""", "k_star cv")
+GROUP BY 1 ORDER BY round(stddev_pop(r) / avg(r), 12), 1 LIMIT 1""", "k_star cv")
 def anchor_choice(t):
     """The candidate with the smallest CV."""
     return M.choose_anchor(M.anchor_ratios(X.regression_rows(t), "track_id", "y", ["f1", "f2", "f3"]))

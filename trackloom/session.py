@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+SALTS = 16
 
 
 def build_session(master: str, app: str = "trackloom", shuffle_partitions: int = 8) -> SparkSession:
@@ -35,6 +36,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="trackloom-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -85,13 +88,17 @@ def attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left",
            max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a summary table back to its rows.
 
-    The summary is broadcast when its row count has been checked; a larger one
-    goes through a shuffle join, where adaptive execution splits skewed keys.
+    The summary is broadcast when its row count has been checked. A larger one is
+    copied to each salt of a shuffle join, so the rows of a hot key spread over
+    several tasks.
     """
     local = bounded(side, max_rows)
-    if local is None:
-        return df.join(side, list(on), how)
-    return df.join(F.broadcast(local), list(on), how)
+    if local is not None:
+        return df.join(F.broadcast(local), list(on), how)
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def attach_one(df: DataFrame, side: DataFrame) -> DataFrame:
