@@ -10,10 +10,12 @@ pass per step over a table written once.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,9 @@ from trackloom.operators.metrics import sorted_quantiles
 from trackloom.operators.ordered import quantile_columns
 from trackloom.session import attach, attach_one, materialize
 
+# Workers get the small solvers with the task, whether or not the package is installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _pairs(p: int) -> list[tuple[int, int]]:
     """Upper triangle of the (1, features, target) moment matrix."""

@@ -93,7 +93,10 @@ def block_bootstrap(df: DataFrame, groups: Sequence[str], index: str, diff: str,
     sums = full.select(*groups, F.col(index).alias("_start"), "_full", tail.alias("_cut"))
     pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_k") - 1) / task_blocks))
     plan = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    plan = plan.withColumn("_piece", F.explode(pieces)).repartition(*groups, "draw", "_piece")
+    # A fixed partition count: adaptive execution would merge these few rows, which
+    # stand for many, into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = plan.withColumn("_piece", F.explode(pieces)).repartition(tasks, *groups, "draw", "_piece")
     last = F.least(F.col("_k"), (F.col("_piece") + 1) * task_blocks) - 1
     starts = plan.withColumn("_j", F.explode(F.sequence(F.col("_piece") * task_blocks, last)))
     starts = starts.withColumn("_start", hashed_start(F.col("draw"), F.col("_j"), F.col("_choices")))
