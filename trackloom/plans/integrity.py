@@ -13,7 +13,7 @@ from trackloom.operators import ordered as O
 from trackloom.plans import fixtures as X
 from trackloom.plans.registry import query
 from trackloom.sources import readers as IO
-from trackloom.session import checkpoint_dir
+from trackloom.session import attach_one, checkpoint_dir
 from trackloom.streaming import streams as W
 
 DIGEST = "CAST(concat('0x', substr(md5({}), 1, 8)) AS BIGINT)"
@@ -37,7 +37,7 @@ def immutability_check(t):
     cols = ["event_id", "user_id", "event_type", "props"]
     a = A.fingerprint(t.events, cols).withColumnsRenamed({"rows": "rows_before", "digest": "h0"})
     b = A.fingerprint(t.events.repartition("event_id"), cols).withColumnsRenamed({"rows": "rows_after", "digest": "h1"})
-    return a.withColumn("k", F.lit(0)).join(b.withColumn("k", F.lit(0)), "k").select(
+    return attach_one(a, b).select(
         "rows_before", "rows_after", (F.col("h0") == F.col("h1")).alias("unchanged"))
 
 

@@ -247,8 +247,9 @@ def frozen_scoring(t):
                       F.array("m").alias("means"), F.array("sd").alias("scales"), F.array(d(2)).alias("coefficients"))
     mean = F.struct(F.lit("mean").alias("model_id"), F.col("m").alias("intercept"), none.alias("feature_names"), empty.alias("medians"),
                     empty.alias("means"), empty.alias("scales"), empty.alias("coefficients"))
-    artifacts = stats.select(F.lit("a").alias("cohort"), F.explode(F.array(linear, mean)).alias("x")).select("cohort", "x.*")
-    rows = X.all_positions(t).select("y", F.lit("a").alias("cohort"), F.create_map(
+    cohorts = t.events.select((F.col("user_id") % 4).cast("int").alias("cohort")).distinct()
+    artifacts = attach_one(cohorts, stats).select("cohort", F.explode(F.array(linear, mean)).alias("x")).select("cohort", "x.*")
+    rows = X.all_positions(t).select("y", F.col("track_id").alias("cohort"), F.create_map(
         F.lit("v"), F.when(F.col("event_type") != "error", F.col("y"))).alias("features"))
     return R.score_artifacts(rows, artifacts, "cohort").groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"))

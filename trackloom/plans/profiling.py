@@ -398,7 +398,7 @@ h AS (SELECT gate_id, '{' || string_agg('"' || why || '":' || n, ',' ORDER BY wh
 SELECT gate_id, count(*) AS positions, count(*) FILTER (WHERE accepted) AS accepted_count, avg(CASE WHEN accepted THEN 1e0 ELSE 0e0 END) AS accepted_fraction, any_value(reasons) AS reasons FROM every JOIN h USING (gate_id) GROUP BY 1""", "accepted_fraction")
 def gate_yield(t):
     """Yield over all positions."""
-    return L.gate_yield(L.apply_gates(quality_features(t), L.quality_gates()))
+    return L.gate_yield(L.apply_gates(materialize(quality_features(t)), L.quality_gates()))
 
 
 AGG_METRICS = ", agg AS (" + confusion_sql("judged_rows", "gate_id, gate_rank") + "), tracks AS (" + confusion_sql("judged_rows", "gate_id, track_id") + ") "
