@@ -38,8 +38,13 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str], delay: str) -> DataFram
 
 def on_sessions(stream: DataFrame, groups: Sequence[str], value: str, threshold: float, gap: str,
                 delay: str = "1 hour") -> DataFrame:
-    """Sessions of rows above a threshold, split by idle gaps."""
-    hot = stream.withWatermark("ts", delay).where(F.col(value) > d(threshold))
+    """Sessions of rows above a threshold, split by idle gaps.
+
+    The condition names the event time, which keeps it above the watermark: quiet
+    rows must move the watermark too, or the last session would never close.
+    """
+    above = F.when(F.col("ts").isNotNull(), F.col(value) > d(threshold)).otherwise(F.lit(False))
+    hot = stream.withWatermark("ts", delay).where(above)
     out = hot.groupBy(F.session_window("ts", gap).alias("w"), *groups).agg(
         F.count(F.lit(1)).alias("n"), F.max(value).alias("peak"))
     return out.select(*groups, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "peak")
