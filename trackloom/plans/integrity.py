@@ -255,14 +255,14 @@ def artifact_round_trip(t):
     return rows.select("model_id", "intercept", F.size("coefficients").alias("features"))
 
 
-@query("config_rules", """SELECT 'r' || r_regionkey AS track, 'missing:axis' AS problem FROM region WHERE r_regionkey % 2 = 1 UNION ALL
-SELECT 'r' || r_regionkey, 'not_allowed:direction' FROM region WHERE r_regionkey > 2""")
+@query("config_rules", """SELECT 'r' || s_suppkey AS track, 'missing:axis' AS problem FROM supplier WHERE s_acctbal < 0 UNION ALL
+SELECT 'r' || s_suppkey, 'not_allowed:direction' FROM supplier WHERE s_acctbal > 5000""")
 def config_rules(t):
-    """Required and allowed keys of a per-track config."""
-    entry = F.struct(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("key"), F.create_map(
-        F.lit("axis"), F.when(F.col("r_regionkey") % 2 == 0, "horizontal"), F.lit("direction"),
-        F.when(F.col("r_regionkey") > 2, "sideways").otherwise("left_to_right")).alias("value"))
-    config = t.region.groupBy().agg(F.map_from_entries(F.collect_list(entry)).alias("tracks"))
+    """Required and allowed keys of per-track configs."""
+    entry = F.struct(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("key"), F.create_map(
+        F.lit("axis"), F.when(F.col("s_acctbal") >= 0, "horizontal"), F.lit("direction"),
+        F.when(F.col("s_acctbal") > 5000, "sideways").otherwise("left_to_right")).alias("value"))
+    config = t.supplier.select(F.map_from_entries(F.array(entry)).alias("tracks"))
     return IO.config_problems(config, "tracks", ["axis", "direction"], {"direction": ["left_to_right", "right_to_left"]})
 
 

@@ -265,15 +265,23 @@ def human_reference_errors(t):
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("reference_mae"), F.avg(e).alias("reference_bias"))
 
 
-@query("representation_manifest", X.with_sql(X.CELLS) + """SELECT frame, representation_id, size, context FROM (SELECT DISTINCT frame FROM cells) CROSS JOIN
-  (VALUES ('current_absolute', 64, 'current_only'), ('first_half', 32, 'current_only'), ('causal_context_prev1', 128, 'current_and_preceding_only')) r(representation_id, size, context)""")
+@query("representation_manifest", """WITH f AS (SELECT vec_id AS frame, CAST(label % 3 AS INT) AS track_id, coalesce(lag(vec_id) OVER (PARTITION BY label % 3 ORDER BY vec_id), vec_id) AS prev FROM embeddings)
+SELECT frame, track_id, representation_id, size, context, CASE WHEN size = 128 THEN prev || ';' || frame ELSE CAST(frame AS VARCHAR) END AS context_frames FROM f CROSS JOIN
+  (VALUES ('current_absolute', 64, 'current_only'), ('current_background_subtracted', 64, 'current_only'), ('causal_context_prev1', 128, 'current_and_preceding_only')) r(representation_id, size, context)""")
 def representation_manifest(t):
     """One provenance row per frame and representation."""
+    rows = O.dense_index(vectors(t).select("vec_id", "track_id"), ["track_id"], ["vec_id"], "idx").join(
+        vectors(t).select("vec_id", "embedding"), "vec_id").select("vec_id", "track_id", "idx", "embedding")
+    prev = rows.select("track_id", (F.col("idx") + 1).alias("idx"), F.col("vec_id").alias("prev_id"), F.col("embedding").alias("prev_embedding"))
+    rows = rows.join(prev, ["track_id", "idx"], "left")
     e = F.col("embedding")
-    parts = {"current_absolute": (e, "current_only"), "first_half": (F.slice(e, 1, 32), "current_only"),
-             "causal_context_prev1": (F.concat(e, e), "current_and_preceding_only")}
-    rows = t.embeddings.select(F.col("vec_id").alias("frame"), "embedding")
-    return R.representation_catalogue(rows, parts).drop("embedding")
+    parts = {"current_absolute": (e, "current_only"),
+             "current_background_subtracted": (F.transform(e, lambda v: v - F.array_min(e)), "current_only"),
+             "causal_context_prev1": (F.concat(F.coalesce("prev_embedding", e), e), "current_and_preceding_only")}
+    out = R.representation_catalogue(rows, parts)
+    used = F.when(F.col("context") == "current_only", F.col("vec_id").cast("string")).otherwise(
+        F.concat_ws(";", F.coalesce("prev_id", "vec_id").cast("string"), F.col("vec_id").cast("string")))
+    return out.select(F.col("vec_id").alias("frame"), "track_id", "representation_id", "size", "context", used.alias("context_frames"))
 
 
 def vectors(t):
