@@ -66,17 +66,20 @@ def join_counted(rows: DataFrame, side: DataFrame, on: Sequence[str], count: str
                  how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``side``, one row per key with the key's number of ``rows`` in ``count``.
 
-    A key of more than HOT_SHARE of the ``total`` rows is hot. At most 1 / HOT_SHARE keys can
-    be, so they are broadcast whatever the size of the tables; the other keys meet in a
-    shuffle, where none is large. ``count`` is dropped. ``how`` is inner or left.
+    A key of more than HOT_SHARE of the ``total`` rows is hot; at most 1 / HOT_SHARE keys can be.
+    Its rows are dealt over salts by a hash of the whole row, as many as keep a salt below that
+    share, and its side row is copied to each salt. Only the hot keys' salt numbers are broadcast,
+    a bounded table at any size. Rows must differ in some column to be dealt apart. ``count`` is
+    dropped; ``how`` is inner or left.
     """
     limit = max(1000, int(total * HOT_SHARE))
     keys = list(on)
-    hot = side.where(F.col(count) > limit).drop(count)
-    cold = side.where(F.col(count) <= limit).drop(count)
-    heads = F.broadcast(hot.select(*keys))
-    apart = rows.join(heads, keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys, "inner").unionByName(apart.join(cold, keys, how))
+    spread = F.when(F.col(count) > limit, F.ceil(F.col(count) / limit).cast("int"))
+    heads = side.where(F.col(count) > limit).select(*keys, spread.alias("_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"), F.lit(0))
+    salted = rows.join(F.broadcast(heads), keys, "left").withColumn("_salt", salt).drop("_salts")
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(spread, F.lit(1)) - 1)))
+    return salted.join(copies.drop(count), [*keys, "_salt"], how).drop("_salt")
 
 
 def running_sums(steps: Column, width: int = 128) -> Column:

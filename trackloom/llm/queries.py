@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import pii, quality
+from trackloom.llm import line_dedup, near_dup, pii, quality
 from trackloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -106,3 +106,24 @@ FROM d LEFT JOIN reps USING (id) LEFT JOIN cut USING (id)"""
 @query("op10_quality", QUALITY_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.apply_rules(read_table(spark, folder, "documents"))
+
+
+LINES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT id, doc_id, i, l[i] AS line, translate(trim(l[i], {STRIP}),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM d, unnest(range(1, len(l) + 1)) u(i)),
+heavy AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= {line_dedup.MIN_CHARS} GROUP BY k
+    HAVING count(DISTINCT id) >= {line_dedup.MIN_DOCS})
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(keeper) FILTER (keeper <> doc_id) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN heavy USING (k) GROUP BY id"""
+
+
+@query("op2_lines", LINES_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(read_table(spark, folder, "documents"))
+
+
+@query("op6_near_dup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.report(read_table(spark, folder, "documents"))
