@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import line_dedup, near_dup, pii, quality
+from trackloom.llm import decontam, line_dedup, near_dup, pii, quality, toxicity
 from trackloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -127,3 +127,30 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_near_dup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.report(read_table(spark, folder, "documents"))
+
+
+WORDS_SQL = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+BENCH_SQL = f"""
+WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {WORDS_SQL} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, least(len(w), {decontam.WINDOW}) AS size, array_to_string(w[i:i + least(len(w), {decontam.WINDOW}) - 1], ' ') AS k
+    FROM items, unnest(range(1, greatest(len(w) - {decontam.WINDOW} + 2, 2))) u(i) WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS id, doc_id, {WORDS_SQL} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM wins),
+grams AS (SELECT id, i, size, array_to_string(w[i:i + size - 1], ' ') AS k FROM d, sizes, unnest(range(1, greatest(len(w) - size + 2, 1))) u(i)),
+hits AS (SELECT id, i, size, item FROM grams JOIN wins USING (size, k)),
+words AS (SELECT id, count(DISTINCT j) AS n FROM hits, unnest(range(i, i + size)) u(j) GROUP BY id),
+found AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT id, item FROM hits) GROUP BY id)
+SELECT doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (id) LEFT JOIN found USING (id)"""
+
+
+@query("op5_decontamination", BENCH_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
