@@ -81,6 +81,9 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
         self.chars = {c: i for c, i in self.ids.items() if len(c) == 1}
+        self.char_ids = np.full(0x110000, -1, np.int64)
+        for c, i in self.chars.items():
+            self.char_ids[ord(c)] = i
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of two neighbours, or -1; negative symbols have no piece."""
@@ -137,12 +140,14 @@ def segment_long(vocab: Vocabulary, chunk: str, key: int, rate: float) -> list[i
     return [x for i in range(size) if alive[i] for x in ([symbol[i]] if symbol[i] >= 0 else vocab.spelled(chunk[i]))]
 
 
-def segment_short(vocab: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float) -> list[np.ndarray]:
-    """Chunks of one length, all at once: every round merges the best candidate of each row."""
+def segment_short(vocab: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of one length, all at once: every round merges the best candidate of each row.
+    Returns all ids in a row, and their number for each chunk."""
     n, size = len(chunks), len(chunks[0])
-    symbol = np.array([[vocab.chars.get(c, -1) for c in chunk] for chunk in chunks], np.int64).reshape(n, size)
-    nxt = np.broadcast_to(np.arange(1, size + 1), (n, size)).copy()
-    prev = np.broadcast_to(np.arange(-1, size - 1), (n, size)).copy()
+    points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbol = vocab.char_ids[points].reshape(n, size)
+    nxt = np.tile(np.arange(1, size + 1), (n, 1))
+    prev = np.tile(np.arange(-1, size - 1), (n, 1))
     piece = np.full((n, size), -1)
     order = np.full((n, size), NONE)
 
@@ -159,8 +164,7 @@ def segment_short(vocab: Vocabulary, chunks: list[str], keys: np.ndarray, rate:
         order[row, i], piece[row, i] = value, made
 
     if size > 1:
-        rows, columns = np.divmod(np.arange(n * (size - 1)), size - 1)
-        offer(rows, columns)
+        offer(np.repeat(np.arange(n), size - 1), np.tile(np.arange(size - 1), n))
         live = np.arange(n)
         while len(live):
             best = order[live].argmin(1)
@@ -173,44 +177,68 @@ def segment_short(vocab: Vocabulary, chunks: list[str], keys: np.ndarray, rate:
             nxt[live, i] = end
             inner = end < size
             prev[live[inner], end[inner]] = i[inner]
-            offer(live, i)
             before = prev[live, i]
             left = before >= 0
-            offer(live[left], before[left])
-    out = []
-    for row, chunk in zip(symbol, chunks, strict=True):
-        kept = row[row != -2]
-        if (kept < 0).any():
-            kept = np.array([x for at, s in enumerate(row.tolist()) if s != -2
-                             for x in ([s] if s >= 0 else vocab.spelled(chunk[at]))], np.int64)
-        out.append(kept)
-    return out
-
-
-def segment(vocab: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float) -> list[np.ndarray]:
-    out: list[np.ndarray | None] = [None] * len(chunks)
-    by_size: dict[int, list[int]] = {}
-    for at, chunk in enumerate(chunks):
-        if len(chunk) <= SHORT:
-            by_size.setdefault(len(chunk), []).append(at)
+            offer(np.concatenate([live, live[left]]), np.concatenate([i, before[left]]))
+    sizes = (symbol != -2).sum(1)
+    ids = symbol[symbol != -2]
+    if (ids == -1).any():
+        ids, sizes = spell_rows(vocab, chunks, symbol, sizes)
+    return ids, sizes
+
+
+def spell_rows(vocab: Vocabulary, chunks: list[str], symbol: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ``symbol`` with characters that have no piece spelled in bytes."""
+    row, column = np.nonzero(symbol == -1)
+    spelled = [vocab.spelled(chunks[r][c]) for r, c in zip(row.tolist(), column.tolist(), strict=True)]
+    more = np.array([len(x) for x in spelled])
+    width = (symbol != -2).astype(np.int64)
+    width[row, column] = more
+    at = (np.cumsum(width) - width.ravel()).reshape(width.shape)
+    ids = np.zeros(int(width.sum()), np.int64)
+    plain = symbol >= 0
+    ids[at[plain]] = symbol[plain]
+    ids[np.repeat(at[row, column] - (np.cumsum(more) - more), more) + np.arange(int(more.sum()))] = np.concatenate(spelled)
+    return ids, width.sum(1)
+
+
+def segment(vocab: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all chunks in some order, and where each chunk's begin and how many they are."""
+    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    first, sizes = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+    parts, base = [], 0
+    for size in np.unique(lengths).tolist():
+        places = np.flatnonzero(lengths == size)
+        mine = [chunks[p] for p in places.tolist()]
+        if size <= SHORT:
+            ids, own = segment_short(vocab, mine, keys[places], rate)
         else:
-            out[at] = np.array(segment_long(vocab, chunk, int(keys[at]), rate), np.int64)
-    for places in by_size.values():
-        for at, ids in zip(places, segment_short(vocab, [chunks[p] for p in places], keys[places], rate), strict=True):
-            out[at] = ids
-    return out
+            found = [segment_long(vocab, c, int(k), rate) for c, k in zip(mine, keys[places], strict=True)]
+            own = np.array([len(f) for f in found], np.int64)
+            ids = np.concatenate(found).astype(np.int64)
+        first[places], sizes[places] = base + np.cumsum(own) - own, own
+        parts.append(ids)
+        base += len(ids)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), first, sizes
+
+
+class Places(dict):
+    def __missing__(self, chunk: str) -> int:
+        at = self[chunk] = len(self)
+        return at
 
 
 def encode_texts(vocab: Vocabulary, texts: list[bytes], names: list[str], seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """All ids of ``texts`` in a row, and the number of each text."""
-    place: dict[str, int] = {}
-    number, counts, starts = [], [], []
+    place = Places()
+    number: list[int] = []
+    counts, starts = [], []
     for text, name in zip(texts, names, strict=True):
         chunks = ()
         if text:
             marked = text.decode().replace(MARK, LITERAL).replace(" ", MARK)
             chunks = CHUNK.findall(MARK + marked)
-        number.extend([place.setdefault(c, len(place)) for c in chunks])
+        number.extend(map(place.__getitem__, chunks))
         counts.append(len(chunks))
         starts.append(xxhash.xxh64_intdigest(name.encode(), seed))
     number, counts = np.array(number, np.int64), np.array(counts, np.int64)
@@ -222,12 +250,9 @@ def encode_texts(vocab: Vocabulary, texts: list[bytes], names: list[str], seed:
         variant = (draws % np.uint64(VARIANTS)).astype(np.int64)
     wanted, back = np.unique(number * VARIANTS + variant, return_inverse=True)
     words = list(place)
-    chunk_hash = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogateescape"), seed) for w in words), np.uint64, len(words))
+    chunk_hash = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words), np.uint64, len(words))
     keys = mix(chunk_hash[wanted // VARIANTS] + (wanted % VARIANTS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    found = segment(vocab, [words[i] for i in (wanted // VARIANTS).tolist()], keys, rate)
-    sizes = np.array([len(f) for f in found], np.int64)
-    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-    first = np.cumsum(sizes) - sizes
+    flat, first, sizes = segment(vocab, [words[i] for i in (wanted // VARIANTS).tolist()], keys, rate)
     own = sizes[back] if total else np.zeros(0, np.int64)
     ends = np.cumsum(own)
     ids = flat[np.repeat(first[back] - (ends - own), own) + np.arange(int(own.sum()))] if total else flat
