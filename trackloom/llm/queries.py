@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.llm import decontam, line_dedup, near_dup, pii, quality, toxicity
+from trackloom.llm import chat, decontam, line_dedup, near_dup, pieces, pii, quality, toxicity, warc
 from trackloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -154,3 +155,49 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_toxicity")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+CONTROL = r"[<\[](\\*)(\||/?s>|/?INST\]|</?SYS>>)"
+CHAT_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+r AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w IS DISTINCT FROM role AS opens FROM t
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = '{chat.LEARNED}'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = '{chat.LEARNED}'), '')) AS loss_sha256,
+    CAST(sum(length(text) + len(regexp_extract_all(text, '{CONTROL}')) + CASE WHEN opens THEN
+        {len(chat.START + chat.SAYS + chat.END)} + length(role) + len(regexp_extract_all(role, '{CONTROL}'))
+        ELSE {len(chat.AND)} END) AS BIGINT) AS formatted_chars,
+    count(*) FILTER (opens) AS n_blocks
+FROM r GROUP BY conv_id"""
+
+
+@query("op3_chat", CHAT_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return chat.report(turns.unionByName(more))
+
+
+BITS = "array_to_string(list_transform(string_split(sha1(h), ''), lambda x: lpad(CAST(bin(('0x' || x)::INT) AS VARCHAR), 4, '0')), '')"
+BASE32 = """array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * CAST(substr(bits, 5 * k + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * k + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * k + 3, 1) AS INT)
+    + 2 * CAST(substr(bits, 5 * k + 4, 1) AS INT) + CAST(substr(bits, 5 * k + 5, 1) AS INT), 1)), '')"""
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS payload_bytes, {BITS} AS bits, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to FROM q"""
+
+
+@query("op4_warc", WARC_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.report(read_table(spark, folder, "pages"))
+
+
+@query("op9_pieces")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.report(read_table(spark, folder, "documents"))
