@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, decontam, line_dedup, near_dup, pieces, pii, quality, toxicity, warc
+from trackloom.llm import chat, decontam, line_dedup, near_dup, pieces, pii, quality, substring_dedup, toxicity, warc
 from trackloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -201,3 +201,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_pieces")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.report(read_table(spark, folder, "documents"))
+
+
+@query("op8_passages")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.report(read_table(spark, folder, "documents"))
