@@ -178,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     close()
                     name = f"pages-{uuid.uuid4().hex}.warc.zst"
                     path, number = f"{folder.rstrip('/')}/{name}", 0
-                    out = system.open_output_stream(f"{base.rstrip('/')}/{name}")
+                    out = system.open_output_stream(f"{base.rstrip('/')}/{name}", compression=None)
                     frame = dictionary_frame(sent.value)
                     out.write(frame)
                     size = len(frame)
@@ -224,7 +224,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 system, inner = file_system(path)
                 rows, held = [], 0
-                with system.open_input_stream(inner) as stream:
+                with system.open_input_stream(inner, compression=None) as stream:
                     for data in frames(stream):
                         row = parsed(data)
                         rows.append(row if payload else row | {"payload": None})
