@@ -15,9 +15,11 @@ coordinates are full, so the work is about K log K darts whatever its length.
 With ROWS = 6 and BANDS = 30 a pair at similarity 0.8 shares a band with probability 0.9999.
 
 Exact copies (equal words) are one node. In each bucket the members are first compared to the
-least one only. After components, members of a bucket that ended in different components are
-compared too, save those of its largest component among themselves. So every pair that shares a
-band is either in one class or was compared, without writing all pairs of a bucket.
+least one only. Buckets that end in several components are compared again around a pivot of their
+own, and after that the members outside a bucket's largest component meet those of its other
+components. So every pair that shares a band is either in one class or was compared. Families of
+near copies become one component in the linear steps; the last one writes as many pairs as a
+bucket has members, times those outside its largest component.
 
 Defined cases: documents without words (null, empty, only signs) are each a class of their own;
 rows with a null id keep a null class; rows with one id are one node, their class is that of the
@@ -218,9 +220,11 @@ def classes(docs: DataFrame) -> DataFrame:
     stars = members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     links = store(verified(store(stars, "near-pairs"), docs), "near-links")
     labels = components(links)
-    across = store(cross_pairs(members, labels, BANDS * total), "near-pairs")
-    if across.limit(1).count():
-        links = links.unionByName(store(verified(across, docs), "near-links"))
+    for pairs_of in (pivot_pairs, cross_pairs):
+        pairs = store(pairs_of(mixed_rows(members, labels, BANDS * total), BANDS * total), "near-pairs")
+        if not pairs.limit(1).count():
+            break
+        links = links.unionByName(store(verified(pairs, docs), "near-links"))
         labels = components(links)
     # copies follow their representative
     mates = copied.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("rep", "id")
@@ -231,21 +235,38 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.select("id").join(named, "id", "left").select("id", F.coalesce("label", "id").alias("class_id"))
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
-    """Pairs of bucket members that are in different components and were not compared yet.
-
-    In each bucket the largest component is set apart; the other members meet all members of
-    other components. Buckets of one component give nothing, and two strangers that were
-    compared through the bucket's least member are left out.
-    """
+def mixed_rows(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """(key, id, label) of the buckets that hold several components, without their least members:
+    those were compared to all others."""
     tagged = members.join(labels, "id", "left").select("key", "id", "least", F.coalesce("label", "id").alias("label"))
     tagged = store(tagged, "near-tagged")
     mixed = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = mixed.where("n > 2 AND lo <> hi").select("key", "n")
-    rows = store(join_counted(tagged, mixed, ["key"], "n", total), "near-mixed")
+    rows = join_counted(tagged, mixed, ["key"], "n", total)
+    return store(rows.where("id <> least").select("key", "id", "label"), "near-mixed")
+
+
+def pivot_pairs(rows: DataFrame, total: int) -> DataFrame:
+    """Each member of a mixed bucket with the bucket's pivot, where their components differ. The
+    pivot has the least id after xor with the key, so buckets of the same members differ in it: a
+    family whose members are not all near its least one meets many others of its own."""
+    turned = F.col("id").bitwiseXOR(F.col("key"))
+    pivots = rows.groupBy("key").agg(F.min(turned).alias("pivot"), F.count(F.lit(1)).alias("n"))
+    pivots = pivots.where("n > 1").select("key", F.col("pivot").bitwiseXOR(F.col("key")).alias("pivot"), "n")
+    met = join_counted(rows, pivots, ["key"], "n", total).where("id <> pivot")
+    pairs = met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"), "id", "label", "pivot")
+    pairs = pairs.dropDuplicates(["a", "b"])
+    other = rows.select(F.col("id").alias("pivot"), F.col("label").alias("other")).distinct()
+    uses = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).join(other, "pivot")
+    return join_counted(pairs, uses, ["pivot"], "n", total).where("label <> other").select("a", "b")
+
+
+def cross_pairs(rows: DataFrame, total: int) -> DataFrame:
+    """In each mixed bucket, the members outside its largest component with all members of other
+    components: what the stars left open."""
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     top = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.sum("size").alias("n"))
-    rows = store(join_counted(rows, top, ["key"], "n", total).where("id <> least"), "near-mixed")
+    rows = store(join_counted(rows, top, ["key"], "n", total), "near-mixed")
     few = rows.where("label <> top").select("key", F.col("id").alias("a"), F.col("label").alias("label_a"))
     pairs = few.join(rows, "key").where("label <> label_a AND (label = top OR a < id)")
     return pairs.select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()

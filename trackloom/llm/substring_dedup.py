@@ -9,8 +9,8 @@ Equal paragraphs (64-bit hash of their words, as in ``word_list``) are counted w
 and become one node. Nodes are banded: BANDS keys of one MinHash each over five-word shingles, so
 at Jaccard 0.8 a pair meets with probability 0.998. Members of a bucket are compared to its least
 node by exact Jaccard similarity; nodes whose bucket ends in several components meet again in
-buckets of two bands at once (0.973), where all pairs of different components are compared that
-``near_dup.cross_pairs`` leaves open. Classes are connected components.
+buckets of two bands at once (0.973), by the same steps as in ``near_dup``. Classes are
+connected components.
 
 A paragraph of a class found in several documents is shared; its keeper is the smallest doc_id of
 the class. Adjacent shared paragraphs (those of fewer than SHINGLE words join shared neighbours)
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import BROADCAST_ROWS, join_counted, store, text_slices
 from trackloom.llm.graph import components
-from trackloom.llm.near_dup import SHINGLE, THRESHOLD, WordHashes, cross_pairs, mix, salt, shingles, similarity
+from trackloom.llm.near_dup import SHINGLE, THRESHOLD, WordHashes, cross_pairs, mix, mixed_rows, pivot_pairs, salt, shingles, similarity
 from trackloom.llm.toxicity import SENTENCES
 
 BANDS = 4
@@ -187,8 +187,11 @@ def near_classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         return labels
     twos = [F.xxhash64(F.lit(i * BANDS + j), F.col(KEYS[i]), F.col(KEYS[j])) for i in range(BANDS) for j in range(i)]
     again = plain.join(open_ids, "id", "left_semi").select("id", F.explode(F.array(*twos)).alias("key"))
-    members = bucketed(again, len(twos) * number, "passage-twos")
-    for step in (lambda _: stars_of(members), lambda known: cross_pairs(members, known, len(twos) * number)):
+    total = len(twos) * number
+    members = bucketed(again, total, "passage-twos")
+    steps = (lambda known: stars_of(members), lambda known: pivot_pairs(mixed_rows(members, known, total), total),
+             lambda known: cross_pairs(mixed_rows(members, known, total), total))
+    for step in steps:
         pairs = store(step(labels), "passage-pairs")
         if pairs.limit(1).count():
             links = links.unionByName(store(verified(pairs, nodes, docs), "passage-links"))
