@@ -19,6 +19,7 @@ all labels are 1, 1; other columns pass through ``keep_clean``.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -55,25 +56,28 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> dict[byt
     """Feature weights, the bias under b"": gradient steps (Adam) on the noisy-or likelihood."""
     if not labels.any() or labels.all():
         return {b"": 40.0 if len(labels) and labels.all() else -math.inf}
-    known: dict[bytes, list[bytes]] = {}
     bags = [sentences(t) for t in texts]
-    number = np.zeros(2)
-    held: dict[bytes, np.ndarray] = {}
-    for bag, label in zip(bags, labels.astype(int), strict=True):
+    number, held = [0, 0], (Counter(), Counter())
+    for bag, label in zip(bags, labels.astype(int).tolist(), strict=True):
         number[label] += 1
-        own = {f for words in bag for w in words for f in known.setdefault(w, features(w))}
-        for f in own:
-            held.setdefault(f, np.zeros(2))[label] += 1
-    common = {f: n for f, n in held.items() if n.sum() >= LEAST_DOCUMENTS}
-    odds = {f: (n[1] / number[1]) * math.log((n[1] + .5) / (number[1] + 1) * (number[0] + 1) / (n[0] + .5))
-            for f, n in common.items()}
+        held[label].update({f for w in set().union(*bag) for f in features(w)})
+    odds = {}
+    for f in held[0].keys() | held[1].keys():
+        n0, n1 = held[0][f], held[1][f]
+        if n0 + n1 >= LEAST_DOCUMENTS:
+            odds[f] = n1 / number[1] * math.log((n1 + .5) / (number[1] + 1) * (number[0] + 1) / (n0 + .5))
     chosen = sorted(odds, key=lambda f: (-odds[f], f))[:FEATURES]
     place = {f: i for i, f in enumerate(chosen)}
-    columns: dict[bytes, list[int]] = {w: [place[f] for f in fs if f in place] for w, fs in known.items()}
+    del held, odds
+    columns: dict[bytes, list[int]] = {}
     at, rows, owner, sentence = [], [], [], 0
     for d, bag in enumerate(bags):
         for words in bag:
-            mine = {c for w in words for c in columns[w]}
+            mine = set()
+            for w in words:
+                if w not in columns:
+                    columns[w] = [place[f] for f in features(w) if f in place]
+                mine.update(columns[w])
             at.extend(mine)
             rows.extend([sentence] * len(mine))
             owner.append(d)
