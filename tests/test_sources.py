@@ -87,8 +87,26 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     digests = [A.fingerprint(d, ["k", "v"]).first()["digest"] for d in (a, b, c)]
     assert digests[0] == digests[1] != digests[2]
     assert A.exact_digest(a, ["k", "v"]).first()[0] == A.exact_digest(b, ["k", "v"]).first()[0]
-    with pytest.raises(ValueError):
-        A.exact_digest(a, ["k"], max_rows=2)
+    assert A.exact_digest(a, ["k"]).first()[0] != A.exact_digest(a, ["k", "v"]).first()[0]
+    big = spark.range(5000).select((F.col("id") % 700).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("v"))
+    deep = A.exact_digest(big, ["k", "v"], width=16).first()[0]
+    assert deep == A.exact_digest(big.repartition(5).orderBy("v"), ["k", "v"], width=16).first()[0]
+    assert deep != A.exact_digest(big.union(big.limit(1)), ["k", "v"], width=16).first()[0]
+
+
+def test_digest_keeps_values_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("", None), (None, ""), ("1:a", "")], "a string, b string")
+    assert rows.select(A.row_digest(["a", "b"]).alias("h")).distinct().count() == 5
+
+
+def test_links_resolve_within_their_host(spark):
+    pages = spark.createDataFrame([
+        (1, "http://h/a/x.html", '<a href="../b.html">'), (2, "http://h/b.html", '<a href="a/./x.html?q#f"><a href="c">'),
+        (3, "http://g/c", '<a href="/b.html"><a href="http://h/no"><a href="mailto:x"><a href="#top">')], "id int, url string, html string")
+    links = A.relative_links(pages, "id", "url", "html", 'href="([^"]+)"')
+    assert sorted(map(tuple, links.collect())) == [(1, "h", "/b.html"), (2, "h", "/a/x.html"), (2, "h", "/c"), (3, "g", "/b.html")]
+    known = pages.select(F.regexp_extract("url", A.URL, 1).alias("host"), F.regexp_extract("url", A.URL, 2).alias("target"))
+    assert sorted(r["target"] for r in A.broken_links(links, known, "id").collect()) == ["/b.html", "/c"]
 
 
 def test_phrase_scan_reports_line_numbers(spark):

@@ -84,8 +84,8 @@ def grid_bin(x: Column) -> Column:
     return F.floor((x - d(X_START_MM)) / d(MM_PER_FRAME))
 
 
-def region(x: Column, last_edge: float = 100.0001) -> Column:
-    """20 mm regions, left-closed; the last one also takes x = 100."""
+def region(x: Column, last_edge: float = 100.1) -> Column:
+    """20 mm regions, left-closed; the last one also takes x = 100 and rounding beyond it."""
     return (
         F.when((x >= 20) & (x < 40), "20_40mm").when((x >= 40) & (x < 60), "40_60mm")
         .when((x >= 60) & (x < 80), "60_80mm").when((x >= 80) & (x < d(last_edge)), "80_100mm")

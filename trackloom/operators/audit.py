@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import d
+from trackloom.session import materialize
 
 # The credential pattern and the home-folder pattern.
 SECRET_PATTERN = (r"(?i)(api[_-]?key|secret[_-]?key|access[_-]?token|password|private[_-]?key)"
@@ -17,9 +18,11 @@ SIZE_LIMITS_MB = (50, 100)
 
 
 def row_digest(columns: Sequence[str]) -> Column:
-    """Order-independent addend: 32 bits of the md5 of a row's text."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    """Order-independent addend: 60 bits of the md5 of a row's values. Each value carries its
+    length, and NULL a sign of its own, so different rows have different texts."""
+    values = [F.col(c).cast("string") for c in columns]
+    text = F.concat(*[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("~")) for v in values])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -29,16 +32,30 @@ def fingerprint(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = (
     do not overflow on any table size.
     """
     return df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(row_digest(columns).cast("decimal(20,0)")).cast("string").alias("digest"))
+        F.count(F.lit(1)).alias("rows"), F.sum(row_digest(columns).cast("decimal(28,0)")).cast("string").alias("digest"))
 
 
-def exact_digest(df: DataFrame, columns: Sequence[str], max_rows: int = 100_000) -> DataFrame:
-    """sha-256 of the sorted rows as JSON, for small tables only."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"more than {max_rows} rows: use fingerprint")
-    rows = F.sort_array(F.collect_list(F.struct(*columns)))
-    return df.groupBy().agg(F.sha2(F.to_json(rows), 256).alias("sha256"))
+def exact_digest(df: DataFrame, columns: Sequence[str], width: int = 10_000) -> DataFrame:
+    """sha-256 of a table as a multiset of rows, by a tree of hashes.
+
+    Rows become (hash, count) pairs, which fall into buckets of about ``width`` by their
+    hash; a bucket's hash is that of its sorted pairs, and buckets are hashed again in
+    groups of ``width`` until one is left. Equal tables have equal trees however their rows
+    are ordered or partitioned, and no task holds more than one bucket.
+    """
+    rows = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    pairs = df.select(F.sha2(rows, 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    pairs = materialize(pairs)
+    parts = 1 + pairs.count() // width
+    level = pairs.select(F.pmod(F.conv(F.substring("h", 1, 15), 16, 10).cast("long"), F.lit(parts)).alias("part"),
+                         F.concat_ws(":", "h", "n").alias("own"))
+    while True:
+        done = level.groupBy("part").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("own"))), 256).alias("own"))
+        if parts == 1:
+            return done.groupBy().agg(F.coalesce(F.max("own"), F.sha2(F.lit(""), 256)).alias("sha256"))
+        named = F.concat_ws(":", F.lpad(F.col("part").cast("string"), 20, "0"), "own")
+        level = done.select((F.col("part") / width).cast("long").alias("part"), named.alias("own"))
+        parts = 1 + (parts - 1) // width
 
 
 def lock_violations(artifacts: DataFrame, lock: DataFrame, key: Sequence[str], value: str) -> DataFrame:
@@ -100,22 +117,38 @@ def privacy_flags(text: Column) -> dict[str, Column]:
     return {"has_secret": text.rlike(SECRET_PATTERN), "has_home_path": text.rlike(HOME_PATTERN)}
 
 
-def relative_links(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """Link targets without fragment; absolute and mail links drop out."""
-    target = F.trim(F.substring_index("_t", "#", 1))
-    out = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 1)).alias("_t")).select(
-        key, target.alias("target"))
-    return out.where((F.col("target") != "") & ~F.contains("target", F.lit("://")) & ~F.startswith("target", F.lit("mailto:")))
+URL = r"^[a-z]+://([^/?#]+)([^?#]*)"
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The path of ``target`` as seen from the page at path ``base``, dot segments applied."""
+    whole = F.when(F.startswith(target, F.lit("/")), target).otherwise(
+        F.concat(F.regexp_replace(base, "[^/]*$", ""), target))
+    kept = F.aggregate(
+        F.split(F.regexp_replace(whole, r"/\.?$", "/"), "/"), F.array().cast("array<string>"),
+        lambda path, part: F.when(part == "..", F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(1))))
+        .when(part == ".", path).otherwise(F.concat(path, F.array(part))))
+    return F.array_join(kept, "/")
+
+
+def relative_links(df: DataFrame, key: str, url: str, text: str, pattern: str) -> DataFrame:
+    """(key, host, target): links within the page's host as full paths, without query and
+    fragment; absolute and mail links drop out."""
+    out = df.select(key, F.regexp_extract(url, URL, 1).alias("host"), F.regexp_extract(url, URL, 2).alias("_base"),
+                    F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 1)).alias("_t"))
+    out = out.withColumn("_t", F.trim(F.regexp_replace("_t", "[?#].*$", "")))
+    out = out.where((F.col("_t") != "") & ~F.contains("_t", F.lit("://")) & ~F.startswith("_t", F.lit("mailto:")))
+    return out.select(key, "host", resolved(F.col("_base"), F.col("_t")).alias("target"))
 
 
 def broken_links(links: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Targets that exist nowhere, with the number of links to them.
+    """Targets that do not exist on their host, with the number of links to them.
 
     Links are counted per target first, so a target on a third of all pages is one row
     in the join.
     """
-    counted = links.groupBy("target").agg(F.count(F.lit(1)).alias("links"), F.min(key).alias(f"first_{key}"))
-    return counted.join(known.select("target").distinct(), "target", "left_anti")
+    counted = links.groupBy("host", "target").agg(F.count(F.lit(1)).alias("links"), F.min(key).alias(f"first_{key}"))
+    return counted.join(known.select("host", "target").distinct(), ["host", "target"], "left_anti")
 
 
 def manifest_summary(files: DataFrame, forbidden: Sequence[str]) -> DataFrame:

@@ -71,6 +71,7 @@ def nearest_position(probes: DataFrame, points: DataFrame, groups: Sequence[str]
 def window_lookup(probes: DataFrame, points: DataFrame, groups: Sequence[str], probe_x: str,
                   point_x: str, index: str, half_width: float, tie: str) -> DataFrame:
     """Half-open index range of the points in [x-h, x+h]; the nearest point if none.
+    Probes outside the support keep NULL answers and say so in ``status``.
 
     Three ordered lookups per probe (centre, window start, window end) replace a
     range join, so no probe/point pairs are formed.
@@ -88,39 +89,46 @@ def window_lookup(probes: DataFrame, points: DataFrame, groups: Sequence[str], p
     wide = sides.groupBy(*groups, tie, probe_x).agg(
         of("mid", "before"), of("mid", "after"), of("lo", "after"), of("hi", "before"))
     lo, hi, x = F.col("mid_before"), F.col("mid_after"), F.col(probe_x)
-    near = F.when(x - lo["x"] <= hi["x"] - x, lo).otherwise(hi)
+    inside = lo.isNotNull() & hi.isNotNull()
+    near = F.when(inside & (x - lo["x"] <= hi["x"] - x), lo).when(inside, hi)
     start, stop = F.col("lo_after"), F.col("hi_before")
     has = start["k"] <= stop["k"]
-    return wide.where(lo.isNotNull() & hi.isNotNull()).select(
-        *groups, tie, probe_x, near["x"].alias("selected_x"),
-        F.when(has, start["k"]).otherwise(near["k"]).alias("index_start"),
-        (F.when(has, stop["k"]).otherwise(near["k"]) + 1).alias("index_end"),
-        F.when(has, start["x"]).otherwise(near["x"]).alias("x_start"),
-        F.when(has, stop["x"]).otherwise(near["x"]).alias("x_end"))
+    first, last = F.when(inside & has, start).otherwise(near), F.when(inside & has, stop).otherwise(near)
+    status = F.when(~inside, "outside_support").when(has, "window").otherwise("nearest")
+    return wide.select(
+        *groups, tie, probe_x, near["x"].alias("selected_x"), F.abs(near["x"] - x).alias("coordinate_error"),
+        first["k"].alias("index_start"), (last["k"] + 1).alias("index_end"),
+        first["x"].alias("x_start"), last["x"].alias("x_end"), status.alias("status"))
 
 
 def best_tiles(samples: DataFrame, tiles: DataFrame, key: Sequence[str], x: str, reach: float,
-               tile_pixels: int, bin_mm: float, salts: int = 16) -> DataFrame:
+               tile_pixels: int, bin_mm: float, salts: int = 16, groups: Sequence[str] = ()) -> DataFrame:
     """The tile for each sample, and the tile that also holds x +- reach.
 
+    ``key`` names each sample (a repeated key raises); tiles count only for samples of
+    equal ``groups``.
+
     Tiles are copied to the bins they touch, samples have one bin, so the join is
     an equi-join on (bin, salt), broadcast only when a count shows the tiles small. The best tile has the largest distance of the
     point to its edges; the first in tile order wins ties. Samples without a tile
     keep NULL structs ``mapped`` and ``context`` (edge, order, tile_id, u).
     """
+    if samples.groupBy(*key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{list(key)} does not name the samples")
     left = samples.withColumns({
         "_bin": F.floor(F.col(x) / d(bin_mm)), "_salt": F.pmod(F.xxhash64(*key), F.lit(salts))})
     bins = F.sequence(F.floor(F.col("xmin") / d(bin_mm)), F.floor(F.col("xmax") / d(bin_mm)))
     right = tiles.withColumn("_bin", F.explode(bins)).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    joined = left.join(broadcast_if_small(right), ["_bin", "_salt"], "left")
+    joined = left.join(broadcast_if_small(right), [*groups, "_bin", "_salt"], "left")
     u = (F.col(x) - F.col("xmin")) / F.col("px_mm")
     choice = F.struct(F.least(u, d(tile_pixels - 1) - u).alias("edge"),
                       (-F.col("tile_order")).alias("order"), F.col("tile_id"), u.alias("u"))
     holds = (F.col("xmin") <= F.col(x)) & (F.col("xmax") >= F.col(x))
     wide = (F.col("xmin") <= F.col(x) - d(reach)) & (F.col("xmax") >= F.col(x) + d(reach))
-    return joined.groupBy(*samples.columns).agg(
-        F.max(F.when(holds, choice)).alias("mapped"), F.max(F.when(wide, choice)).alias("context"))
+    rest = [F.any_value(c).alias(c) for c in samples.columns if c not in key]
+    return joined.groupBy(*key).agg(
+        *rest, F.max(F.when(holds, choice)).alias("mapped"), F.max(F.when(wide, choice)).alias("context"))
 
 
 def tile_outcome() -> Column:

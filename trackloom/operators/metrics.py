@@ -91,12 +91,13 @@ def subgroup_bundle(df: DataFrame, model: str, subgroups: dict[str, Column], y:
 
 def region_gain(df: DataFrame, key: Sequence[str], region: str, model: str, error: str,
                 baseline: str, candidate: str) -> DataFrame:
-    """Gain of a candidate over a baseline per region, with its share of the total.
+    """Gain of a candidate over a baseline per region, with its share of the total. Rows
+    outside all regions take no part.
 
     Models become columns by conditional sums, so no pivot over the rows is
     needed: each (key, model) holds one error.
     """
-    wide = df.groupBy(*key, region).agg(
+    wide = df.where(F.col(region).isNotNull()).groupBy(*key, region).agg(
         F.max(F.when(F.col(model) == baseline, F.col(error))).alias("b"),
         F.max(F.when(F.col(model) == candidate, F.col(error))).alias("c"))
     sums = wide.groupBy(region).agg(F.sum(F.col("b") - F.col("c")).alias("gain"),

@@ -205,12 +205,13 @@ def edge_support(profiles: DataFrame, edges: DataFrame, key: Sequence[str], radi
 def run_spread(edges: DataFrame, key: Sequence[str], run: str, base_run: str, widths: Sequence[str],
                alternates: Sequence[str]) -> DataFrame:
     """Spread of width and centre over the aggregation widths (two or more needed), and
-    the largest distance of the base run from the alternates."""
+    the largest distance of the base run from the alternates; NULL without a base edge."""
     out = []
     for v in ("width", "centre"):
         own = F.when(F.col(run).isin(*widths), F.col(v))
-        out.append(F.when(F.count(own) >= 2, F.max(own) - F.min(own)).alias(f"{v}_sensitivity"))
         base = F.max(F.when(F.col(run) == base_run, F.col(v)))
+        known = base.isNotNull() & (F.count(own) >= 2)
+        out.append(F.when(known, F.max(own) - F.min(own)).alias(f"{v}_sensitivity"))
         alt = F.when(F.col(run).isin(*alternates), F.col(v))
         out.append(F.greatest(F.max(alt) - base, base - F.min(alt)).alias(f"{v}_disagreement"))
     return edges.groupBy(*key).agg(*out)

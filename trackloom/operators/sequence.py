@@ -68,9 +68,9 @@ def exemplars(df: DataFrame, groups: Sequence[str], index: str) -> DataFrame:
 
 
 def hashed_start(draw: Column, block: Column, choices: Column) -> Column:
-    """Deterministic uniform block start in [0, choices)."""
+    """Deterministic uniform block start in [0, choices), from 60 bits of a hash."""
     digest = F.md5(F.concat_ws("_", draw.cast("string"), block.cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), choices)
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), choices)
 
 
 def block_bootstrap(df: DataFrame, groups: Sequence[str], index: str, diff: str, block: int,

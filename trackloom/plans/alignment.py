@@ -29,23 +29,24 @@ def nearest_position(t):
 
 @query("window_lookup", SIDES_SQL + """,
 hits AS (SELECT p.probe_id, min(q.seg) AS k0, max(q.seg) AS k1, min(q.x_mm) AS x0, max(q.x_mm) AS x1 FROM probes p JOIN positions q
-  ON p.track_id = q.track_id AND q.x_mm BETWEEN p.x_req - 0.15e0 AND p.x_req + 0.15e0 GROUP BY 1)
-SELECT s.track_id, s.probe_id, s.x_req, CASE WHEN x_req - bx <= ax - x_req THEN bx ELSE ax END AS selected_x,
-  coalesce(k0, CASE WHEN x_req - bx <= ax - x_req THEN bk ELSE ak END) AS index_start,
-  coalesce(k1, CASE WHEN x_req - bx <= ax - x_req THEN bk ELSE ak END) + 1 AS index_end,
-  coalesce(x0, CASE WHEN x_req - bx <= ax - x_req THEN bx ELSE ax END) AS x_start,
-  coalesce(x1, CASE WHEN x_req - bx <= ax - x_req THEN bx ELSE ax END) AS x_end
-FROM both_sides s LEFT JOIN hits USING (probe_id) WHERE bk IS NOT NULL AND ak IS NOT NULL""", "x_req selected_x x_start x_end")
+  ON p.track_id = q.track_id AND q.x_mm BETWEEN p.x_req - 0.15e0 AND p.x_req + 0.15e0 GROUP BY 1),
+picked AS (SELECT *, bk IS NOT NULL AND ak IS NOT NULL AS inside, CASE WHEN bk IS NULL OR ak IS NULL THEN NULL WHEN x_req - bx <= ax - x_req THEN bx ELSE ax END AS nx,
+  CASE WHEN bk IS NULL OR ak IS NULL THEN NULL WHEN x_req - bx <= ax - x_req THEN bk ELSE ak END AS nk FROM both_sides LEFT JOIN hits USING (probe_id))
+SELECT track_id, probe_id, x_req, nx AS selected_x, abs(nx - x_req) AS coordinate_error,
+  CASE WHEN inside THEN coalesce(k0, nk) END AS index_start, CASE WHEN inside THEN coalesce(k1, nk) + 1 END AS index_end,
+  CASE WHEN inside THEN coalesce(x0, nx) END AS x_start, CASE WHEN inside THEN coalesce(x1, nx) END AS x_end,
+  CASE WHEN NOT inside THEN 'outside_support' WHEN k0 IS NOT NULL THEN 'window' ELSE 'nearest' END AS status
+FROM picked""", "x_req selected_x coordinate_error x_start x_end")
 def window_lookup(t):
     """Index range of the positions in a window around each probe."""
     return J.window_lookup(X.probes(t), X.positions(t), ["track_id"], "x_req", "x_mm", "seg", 0.15, "probe_id")
 
 
 TILE_SQL = X.with_sql(X.POSITIONS, X.TILES, """
-cand AS (SELECT track_id, seg, x_mm, tile_id, tile_order, (x_mm - xmin) / px_mm AS u,
+cand AS (SELECT p.track_id, seg, x_mm, tile_id, tile_order, (x_mm - xmin) / px_mm AS u,
     least((x_mm - xmin) / px_mm, 1023e0 - (x_mm - xmin) / px_mm) AS edge,
     xmin <= x_mm - 1.4e0 AND xmax >= x_mm + 1.4e0 AS wide
-  FROM positions JOIN tiles ON xmin <= x_mm AND xmax >= x_mm),
+  FROM positions p JOIN tiles t ON xmin <= x_mm AND xmax >= x_mm AND p.track_id = t.track_id),
 mapped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, seg ORDER BY edge DESC, tile_order) AS rn FROM cand) WHERE rn = 1),
 context AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, seg ORDER BY edge DESC, tile_order) AS rn FROM cand WHERE wide) WHERE rn = 1),
 placed AS (SELECT p.track_id, p.seg, p.x_mm, m.tile_id, m.u, m.edge, c.tile_id AS context_tile, c.u AS context_u,
@@ -56,7 +57,7 @@ placed AS (SELECT p.track_id, p.seg, p.x_mm, m.tile_id, m.u, m.edge, c.tile_id A
 def placed(t):
     samples = X.positions(t).select("track_id", "seg", "x_mm")
     return J.best_tiles(samples, X.tiles(t), ["track_id", "seg"], "x_mm",
-                        S.MASK_HALF_MM + S.CONTEXT_MM, 1024, 2.5)
+                        S.MASK_HALF_MM + S.CONTEXT_MM, 1024, 2.5, groups=["track_id"])
 
 
 @query("interval_best_tile", TILE_SQL + "SELECT track_id, seg, x_mm, tile_id, u, edge FROM placed", "x_mm u edge")
@@ -82,7 +83,7 @@ SELECT track_id, seg, mask_lo, mask_hi, up_lo, up_hi, down_lo, down_hi, up_hi >
 def strip_bounds(t):
     """Masked and kept pixel ranges around each position, overlap asserted."""
     at = placed(t).where("context IS NOT NULL").select("track_id", "seg", "x_mm", "context.tile_id")
-    at = at.join(X.tiles(t), "tile_id")
+    at = at.join(X.tiles(t).drop("track_id"), "tile_id")
     x, m, c = F.col("x_mm"), d(S.MASK_HALF_MM), d(S.CONTEXT_MM)
 
     def px(e):

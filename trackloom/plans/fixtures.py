@@ -62,17 +62,17 @@ predictions AS (
 
 
 def tiles(t: Tables) -> DataFrame:
-    """Overlapping image tiles, one per supplier, in reversed physical order."""
+    """Image tiles of four tracks, one per supplier, in reversed physical order."""
     key = F.col("s_suppkey")
     xmin = d(15.0) + d(5.0) * key
     return t.supplier.select(
-        key.alias("tile_id"), (-key).alias("tile_order"), xmin.alias("xmin"),
+        (key % 4).cast("int").alias("track_id"), key.alias("tile_id"), (-key).alias("tile_order"), xmin.alias("xmin"),
         (xmin + d(7.5)).alias("xmax"), d(7.5 / 1024).alias("px_mm"))
 
 
 TILES = """
 tiles AS (
-  SELECT s_suppkey AS tile_id, -s_suppkey AS tile_order, 15e0 + 5e0 * s_suppkey AS xmin,
+  SELECT CAST(s_suppkey % 4 AS INT) AS track_id, s_suppkey AS tile_id, -s_suppkey AS tile_order, 15e0 + 5e0 * s_suppkey AS xmin,
          15e0 + 5e0 * s_suppkey + 7.5e0 AS xmax, CAST(0.00732421875 AS DOUBLE) AS px_mm
   FROM supplier)
 """

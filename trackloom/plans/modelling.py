@@ -189,7 +189,7 @@ scored AS (SELECT track_id, y, b0 + b1 * x1 + b2 * x2 AS base_p, c0 + c1 * f2 +
 
 
 @query("residual_model", RESIDUAL_SQL + """SELECT track_id, avg(abs(base_p - y)) AS base_mae, avg(abs(base_p + correction - y)) AS combined_mae, avg(abs(correction)) AS mean_correction,
-  avg(CASE WHEN abs(correction) > 0.001e0 THEN 1e0 ELSE 0e0 END) AS moved_fraction, 1 - var_pop(y - base_p - correction) / var_pop(y - base_p) AS variance_explained FROM scored GROUP BY 1""",
+  avg(CASE WHEN abs(correction) > 0.001e0 THEN 1e0 ELSE 0e0 END) AS moved_fraction, 1 - sum(power(y - base_p - correction, 2)) / sum(power(y - base_p, 2)) AS variance_explained FROM scored GROUP BY 1""",
        "base_mae combined_mae mean_correction moved_fraction variance_explained")
 def residual_model(t):
     """M5: baseline on x, ridge of the residual, both from one pass."""
@@ -202,7 +202,7 @@ def residual_model(t):
     return scored.groupBy("track_id").agg(
         F.avg(F.abs(F.col("b") - y)).alias("base_mae"), F.avg(F.abs(F.col("p") - y)).alias("combined_mae"),
         F.avg(F.abs(corr)).alias("mean_correction"), F.avg((F.abs(corr) > d(0.001)).cast("double")).alias("moved_fraction"),
-        (1 - F.var_pop(y - F.col("p")) / F.var_pop(y - F.col("b"))).alias("variance_explained"))
+        (1 - F.sum((y - F.col("p")) ** 2) / F.sum((y - F.col("b")) ** 2)).alias("variance_explained"))
 
 
 @query("lag_diagnostic", X.with_sql(X.POSITIONS, """lagged AS (SELECT l.lag, a.track_id, a.y, b.y AS f FROM positions a CROSS JOIN (SELECT unnest(range(-5, 6)) AS lag) l JOIN positions b ON b.track_id = a.track_id AND b.seg = a.seg + l.lag WHERE l.lag <> 0),

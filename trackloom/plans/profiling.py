@@ -165,9 +165,9 @@ def edge_support(t):
 SPREAD_SQL = """
 wc AS (SELECT *, right_ - left_ AS w, (left_ + right_) / 2 AS c FROM edges),
 spread AS (SELECT track_id, x_um,
-  CASE WHEN count(w) FILTER (WHERE run IN ('25', '50', '100')) >= 2 THEN max(w) FILTER (WHERE run IN ('25', '50', '100')) - min(w) FILTER (WHERE run IN ('25', '50', '100')) END AS width_sensitivity,
+  CASE WHEN count(w) FILTER (WHERE run = '100') > 0 AND count(w) FILTER (WHERE run IN ('25', '50', '100')) >= 2 THEN max(w) FILTER (WHERE run IN ('25', '50', '100')) - min(w) FILTER (WHERE run IN ('25', '50', '100')) END AS width_sensitivity,
   greatest(max(w) FILTER (WHERE run IN ('25', 'control_c', 'control_d')) - max(w) FILTER (WHERE run = '100'), max(w) FILTER (WHERE run = '100') - min(w) FILTER (WHERE run IN ('25', 'control_c', 'control_d'))) AS width_disagreement,
-  CASE WHEN count(c) FILTER (WHERE run IN ('25', '50', '100')) >= 2 THEN max(c) FILTER (WHERE run IN ('25', '50', '100')) - min(c) FILTER (WHERE run IN ('25', '50', '100')) END AS centre_sensitivity,
+  CASE WHEN count(c) FILTER (WHERE run = '100') > 0 AND count(c) FILTER (WHERE run IN ('25', '50', '100')) >= 2 THEN max(c) FILTER (WHERE run IN ('25', '50', '100')) - min(c) FILTER (WHERE run IN ('25', '50', '100')) END AS centre_sensitivity,
   greatest(max(c) FILTER (WHERE run IN ('25', 'control_c', 'control_d')) - max(c) FILTER (WHERE run = '100'), max(c) FILTER (WHERE run = '100') - min(c) FILTER (WHERE run IN ('25', 'control_c', 'control_d'))) AS centre_disagreement
   FROM wc GROUP BY 1, 2)"""
 

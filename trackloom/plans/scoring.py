@@ -56,8 +56,14 @@ def metrics_by_scope(t):
     return M.error_bundle(M.with_scopes(X.predictions(t), "track_id"), ["model_id", "scope"], "y", "p")
 
 
-REGION_SQL = """CASE WHEN x_mm >= 20 AND x_mm < 40 THEN '20_40mm' WHEN x_mm >= 40 AND x_mm < 60 THEN '40_60mm'
-  WHEN x_mm >= 60 AND x_mm < 80 THEN '60_80mm' WHEN x_mm >= 80 AND x_mm < 100.0001e0 THEN '80_100mm' END"""
+# Tracks are longer than the 80 mm of the four regions, so x starts again at 20 after 100.
+WRAPPED_SQL = "(20e0 + (x_mm - 20e0) % 80e0)"
+REGION_SQL = f"""CASE WHEN {WRAPPED_SQL} < 20 THEN NULL WHEN {WRAPPED_SQL} < 40 THEN '20_40mm' WHEN {WRAPPED_SQL} < 60 THEN '40_60mm'
+  WHEN {WRAPPED_SQL} < 80 THEN '60_80mm' WHEN {WRAPPED_SQL} < 100.1e0 THEN '80_100mm' END"""
+
+
+def wrapped_region():
+    return region(d(20) + (F.col("x_mm") - d(20)) % d(80))
 
 
 @query("metrics_subgroup", X.with_sql(X.PREDICTIONS, f""",
@@ -71,7 +77,7 @@ def metrics_subgroup(t):
     x = F.col("x_mm")
     near = F.when(x - F.floor(x / d(5)) * d(5) < 1, "near").otherwise("away")
     return M.subgroup_bundle(X.predictions(t), "model_id",
-                             {"x_region": region(x), "tile_boundary": near}, "y", "p")
+                             {"x_region": wrapped_region(), "tile_boundary": near}, "y", "p")
 
 
 @query("unweighted_vs_pooled", X.with_sql(X.PREDICTIONS, """,
@@ -127,14 +133,14 @@ def consistency_status(t):
 
 
 GAIN_SQL = X.with_sql(X.PREDICTIONS, f""",
-errors AS (SELECT track_id, seg, {REGION_SQL} AS region, model_id, abs(p - y) AS ae FROM predictions),
+errors AS (SELECT track_id, seg, {REGION_SQL} AS region, model_id, abs(p - y) AS ae FROM predictions WHERE {REGION_SQL} IS NOT NULL),
 wide AS (SELECT track_id, seg, region, max(CASE WHEN model_id = 'track_mean' THEN ae END) - max(CASE WHEN model_id = 'previous' THEN ae END) AS g
   FROM errors GROUP BY 1, 2, 3),
 gains AS (SELECT region, sum(g) AS gain, count(*) AS n FROM wide GROUP BY 1)""")
 
 
 def region_gains(t, baseline="track_mean", candidate="previous"):
-    e = X.predictions(t).withColumns({"region": region(F.col("x_mm")), "ae": F.abs(F.col("p") - F.col("y"))})
+    e = X.predictions(t).withColumns({"region": wrapped_region(), "ae": F.abs(F.col("p") - F.col("y"))})
     return M.region_gain(e, ["track_id", "seg"], "region", "model_id", "ae", baseline, candidate)
 
 

@@ -154,7 +154,7 @@ upto AS (SELECT track_id, pos, sum(diff) OVER (PARTITION BY track_id ORDER BY po
   UNION ALL SELECT track_id, count(*), sum(diff) FROM paired GROUP BY 1),
 draw_list AS (SELECT unnest(range(0, 2000)) AS draw),
 plan AS (SELECT track_id, n, k, draw, unnest(range(0, k)) AS j FROM sized CROSS JOIN draw_list),
-starts AS (SELECT *, CAST(concat('0x', substr(md5(draw || '_' || j), 1, 8)) AS BIGINT) % (n - 25 + 1) AS s,
+starts AS (SELECT *, CAST(concat('0x', substr(md5(draw || '_' || j), 1, 15)) AS BIGINT) % (n - 25 + 1) AS s,
   CASE WHEN j = k - 1 THEN n - (k - 1) * 25 ELSE 25 END AS len FROM plan),
 draws AS (SELECT s.track_id, draw, sum(b.before - a.before) / any_value(n) AS mean_difference FROM starts s
   JOIN upto a ON a.track_id = s.track_id AND a.pos = s.s JOIN upto b ON b.track_id = s.track_id AND b.pos = s.s + s.len GROUP BY 1, 2),

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+#: What a broadcast or local table may weigh beside its bound of rows.
+BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
 
@@ -36,7 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="trackloom-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
@@ -45,33 +48,58 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so later passes read it instead of
-    recomputing it and the loss of an executor loses nothing.
+    """Write ``df`` as Parquet below the checkpoint folder and read it back, so later passes
+    read the columns they need instead of recomputing, and the loss of an executor loses nothing.
 
-    ``spread`` rewrites a table of fewer partitions than half the task slots, as
-    from one small file, over all of them: for tables that many passes will read.
+    ``spread`` rewrites a table of fewer files than half the task slots, as from one small
+    file, over all of them: for tables that many passes will read.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(base)
+    out = spark.read.schema(df.schema).parquet(base)
     slots = spark.sparkContext.defaultParallelism
-    if spread and 2 * out.rdd.getNumPartitions() <= slots:
-        out = out.repartition(slots).checkpoint(eager=True)
+    if spread and 2 * len(out.inputFiles()) <= slots:
+        out.repartition(slots).write.parquet(f"{base}-spread")
+        out = spark.read.schema(df.schema).parquet(f"{base}-spread")
     return out
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 a value, the length of strings, 8 an array element."""
+    parts = [F.lit(0).cast("long")]
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("array", "map"):
+            parts.append(F.greatest(F.size(f.name), F.lit(1)).cast("long") * 8)
+        elif kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") + 8)
+        else:
+            parts.append(F.lit(8 if kind != "struct" else 64).cast("long"))
+    return sum(parts[1:], parts[0])
+
+
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` is within both bounds, by one aggregate over at most ``max_rows + 1`` rows."""
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return rows <= max_rows and (size or 0) <= BROADCAST_BYTES
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``max_rows`` narrow rows;
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows and BROADCAST_BYTES;
     unhinted otherwise, for a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a local table if it has at most ``max_rows`` rows, else None.
+    """``df`` as a local table if it has at most ``max_rows`` rows and BROADCAST_BYTES, else None.
 
-    At most ``max_rows + 1`` rows reach the driver, and the aggregate behind
-    ``df`` runs once however often the result is used.
+    Rows of plain numbers are bounded by their number alone, so the aggregate behind ``df``
+    runs once; rows with arrays or text are weighed before any of them is fetched.
     """
+    wide = any(f.dataType.typeName() in ("array", "map", "struct", "string", "binary") for f in df.schema.fields)
+    if wide and not is_small(df, max_rows):
+        return None
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return None

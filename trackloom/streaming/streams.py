@@ -50,11 +50,13 @@ def on_sessions(stream: DataFrame, groups: Sequence[str], value: str, threshold:
     return out.select(*groups, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "peak")
 
 
-def causal_context(stream: DataFrame, key: str, order: str, value: str, k: int, delay: str = "1 hour") -> DataFrame:
+def causal_context(stream: DataFrame, key: str, order: str, value: str, k: int, delay: str = "1 hour",
+                   idle_hours: float | None = None) -> DataFrame:
     """Mean over the current and up to k previous values of a key, in event order.
 
-    State is the last k values per key, so it does not grow with the stream. Rows
-    of a micro-batch are ordered before use; state of a key idle for a day is dropped.
+    State is the last k values per key, so it does not grow with the stream, and it is
+    kept for good unless ``idle_hours`` says after how much event time without rows a key
+    is forgotten. Rows of a micro-batch are ordered before use.
     """
     schema = T.StructType([stream.schema[key], stream.schema[order], T.StructField("context_mean", T.DoubleType()),
                            T.StructField("context_size", T.IntegerType())])
@@ -72,7 +74,8 @@ def causal_context(stream: DataFrame, key: str, order: str, value: str, k: int,
             means.append(sum(last) / len(last))
             sizes.append(len(last))
         state.update((last[-k:],))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 86_400_000)
+        if idle_hours is not None:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(idle_hours * 3_600_000))
         yield pd.DataFrame({key: rows[key], order: rows[order], "context_mean": means, "context_size": sizes})
 
     timed = stream.withWatermark("ts", delay)
