@@ -105,6 +105,50 @@ def test_logistic_steps_match_numpy(spark, pdf):
     assert np.allclose([row["intercept"], *row["coefficients"]], w)
 
 
+def test_logistic_rows_beyond_the_bound_give_the_same(spark, pdf, monkeypatch):
+    df = spark.createDataFrame(pdf.assign(l=(pdf.y > 0).astype(float)))
+    near = R.logistic_fit(df, ["a", "b"], "l", steps=5).first()
+    monkeypatch.setattr(R, "bounded", lambda *a: None)
+    far = R.logistic_fit(df, ["a", "b"], "l", steps=5).first()
+    assert np.allclose([near["intercept"], *near["coefficients"]], [far["intercept"], *far["coefficients"]])
+
+
+def test_fits_refuse_missing_values(spark, pdf):
+    holes = spark.createDataFrame(pdf.assign(a=pdf.a.where(pdf.index != 3)))
+    for fit in (lambda: R.logistic_fit(holes, ["a"], "y"), lambda: R.quantile_fit(holes, ["a"], "y", [0.5], 0.1)):
+        with pytest.raises(ValueError):
+            fit()
+
+
+def test_moments_leave_out_incomplete_rows(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0), (0, None, 5.0), (0, 3.0, float("nan")), (0, 2.0, 4.0)], "k int, a double, y double")
+    row = R.moments(df, ["k"], ["a"], "y", [0.0]).first()
+    assert [row[f"_m{i}"] for i in range(6)] == [2.0, 3.0, 6.0, 5.0, 10.0, 20.0]
+
+
+@pytest.mark.parametrize("width", [5, 400])
+def test_vector_ridge_imputes_per_fold_whatever_the_partitions(spark, width):
+    rng = np.random.default_rng(3)
+    x = rng.normal(1500, 2, (60, width))
+    y = x[:, :3].sum(1) + rng.normal(size=60)
+    holes = rng.random((60, width)) < (0.1 if width == 5 else 0.0)
+    x[holes] = np.nan
+    rows = [(i, i % 3, [None if np.isnan(v) else float(v) for v in x[i]], float(y[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, track int, v array<double>, y double")
+    for parts in (1, 8):
+        models = R.vector_ridge(df.repartition(parts), "track", "v", "y", 7.0)
+        got = {r["id"]: r["p"] for r in R.score_vector_ridge(df, models, "track", "v").collect()}
+        for held in range(3):
+            train, test = np.arange(60) % 3 != held, np.arange(60) % 3 == held
+            med = np.nanmedian(x[train], axis=0)
+            a, b = np.where(np.isnan(x[train]), med, x[train]), np.where(np.isnan(x[test]), med, x[test])
+            mean, std = a.mean(0), a.std(0)
+            z = (a - mean) / std
+            coef = np.linalg.solve(z.T @ z + 7.0 * np.eye(width), z.T @ (y[train] - y[train].mean()))
+            want = y[train].mean() + (b - mean) / std @ coef
+            assert np.allclose([got[i] for i in np.flatnonzero(test)], want, atol=1e-6)
+
+
 def test_pca_matches_numpy(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(80, 5)) @ rng.normal(size=(5, 5))

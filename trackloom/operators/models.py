@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from trackloom.functions.scalars import d
 from trackloom.operators.metrics import sorted_quantiles
 from trackloom.operators.ordered import quantile_columns
-from trackloom.session import attach, attach_one, materialize
+from trackloom.session import attach, attach_one, bounded, materialize
 
 # Workers get the small solvers with the task, whether or not the package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,10 +42,26 @@ def feature_centres(df: DataFrame, features: Sequence[str]) -> list[float]:
 
 def moments(df: DataFrame, groups: Sequence[str], features: Sequence[str], y: str,
             centres: Sequence[float]) -> DataFrame:
-    """Moment sums per group as columns _m0, _m1, ... (partial aggregation only)."""
+    """Moment sums per group as columns _m0, _m1, ... (partial aggregation only).
+
+    Rows with a missing feature or target take no part in any sum, so all sums are over
+    the same rows; ``vector_ridge`` imputes instead.
+    """
     z = [d(1)] + [F.col(f) - d(c) for f, c in zip(features, centres)] + [F.col(y)]
     sums = [F.sum(z[i] * z[j]).alias(f"_m{k}") for k, (i, j) in enumerate(_pairs(len(features)))]
-    return df.groupBy(*groups).agg(*sums)
+    return df.where(_complete([*features, y])).groupBy(*groups).agg(*sums)
+
+
+def _complete(columns: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return out
+
+
+def _require_complete(df: DataFrame, columns: Sequence[str]) -> None:
+    if df.where(~_complete(columns)).limit(1).count():
+        raise ValueError(f"missing values in {list(columns)}: impute or drop them before the fit")
 
 
 def _moment_columns(df: DataFrame) -> list[str]:
@@ -238,19 +254,30 @@ def score_artifacts(df: DataFrame, artifacts: DataFrame, cohort: str) -> DataFra
 # Vectors: principal components from distributed outer products.
 
 
-def vector_moments(df: DataFrame, track: str, vector: str) -> DataFrame:
-    """Per track: flattened Sum (1, v)(1, v)^T of array rows.
+def vector_means(df: DataFrame, vector: str) -> list[float]:
+    """The mean of each element over the known values of all rows."""
+    cells = df.select(F.posexplode(vector).alias("_i", "_v")).withColumn("_v", F.col("_v").cast("double"))
+    known = F.when(~F.isnan("_v"), F.col("_v"))
+    rows = cells.groupBy("_i").agg(F.avg(known).alias("_v")).collect()
+    return [r["_v"] or 0.0 for r in sorted(rows, key=lambda r: r["_i"])]
+
+
+def vector_moments(df: DataFrame, track: str, vector: str, centre: Sequence[float]) -> DataFrame:
+    """Per track: flattened Sum (1, v - centre)(1, v - centre)^T of array rows; rows with a
+    missing element take no part.
 
-    Batches are reduced with one matrix product per task; the partial matrices
-    are summed entry by entry in a shuffle.
+    Centring keeps the sums accurate where values are far from zero. Batches are reduced with
+    one matrix product per task; the partial matrices are summed entry by entry in a shuffle.
     """
     key_type = df.schema[track].dataType
+    shift = np.asarray(centre, float)
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for batch in batches:
             for k, part in batch.groupby(track):
-                v = np.stack(part[vector].to_numpy()).astype(float)
+                v = np.stack(part[vector].to_numpy()).astype(float) - shift
+                v = v[np.isfinite(v).all(1)]
                 z = np.column_stack([np.ones(len(v)), v])
                 sums[k] = sums.get(k, 0) + z.T @ z
         if sums:
@@ -269,7 +296,7 @@ def _total(per: DataFrame) -> DataFrame:
     return entries.groupBy().agg(F.transform(rows, lambda s: s["_s"]).alias("m"))
 
 
-def principal_axes(moment_rows: DataFrame, components: int, floor: float = 1e-8) -> DataFrame:
+def principal_axes(moment_rows: DataFrame, components: int, centre: Sequence[float], floor: float = 1e-8) -> DataFrame:
     """Axes of the standardised vectors: adds mean, scale and ``axes`` (array of arrays).
 
     Each axis is signed so that its largest loading is positive.
@@ -279,6 +306,8 @@ def principal_axes(moment_rows: DataFrame, components: int, floor: float = 1e-8)
         T.StructField("variances", T.ArrayType(T.DoubleType())),
         T.StructField("axes", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
+    shift = np.asarray(centre, float)
+
     @F.pandas_udf(schema)
     def solve(m: pd.Series) -> pd.DataFrame:
         out = []
@@ -293,7 +322,7 @@ def principal_axes(moment_rows: DataFrame, components: int, floor: float = 1e-8)
             axes = vectors[:, ::-1][:, :components].T
             lead = axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)]
             axes = axes * np.where(lead < 0, -1.0, 1.0)[:, None]
-            out.append((mean.tolist(), scale.tolist(), values[::-1][:components].tolist(), axes.tolist()))
+            out.append(((mean + shift).tolist(), scale.tolist(), values[::-1][:components].tolist(), axes.tolist()))
         return pd.DataFrame(out, columns=["mean", "scale", "variances", "axes"])
 
     return moment_rows.withColumn("_p", solve("m")).select(
@@ -302,15 +331,17 @@ def principal_axes(moment_rows: DataFrame, components: int, floor: float = 1e-8)
 
 def pca(df: DataFrame, track: str, vector: str, components: int) -> DataFrame:
     """Axes over all rows (one row)."""
-    return principal_axes(_total(vector_moments(df, track, vector)), components)
+    centre = vector_means(df, vector)
+    return principal_axes(_total(vector_moments(df, track, vector, centre)), components, centre)
 
 
 def pca_leave_one_out(df: DataFrame, track: str, vector: str, components: int) -> DataFrame:
     """Axes per held-out track from the other tracks' moments."""
-    per = materialize(vector_moments(df, track, vector))
+    centre = vector_means(df, vector)
+    per = materialize(vector_moments(df, track, vector, centre))
     rows = attach_one(per, _total(per).withColumnRenamed("m", "_t"))
     train = F.zip_with("_t", "m", lambda a, b: a - b)
-    return principal_axes(rows.select(F.col(track).alias("held_out"), train.alias("m")), components)
+    return principal_axes(rows.select(F.col(track).alias("held_out"), train.alias("m")), components, centre)
 
 
 def project(df: DataFrame, vector: str, name: str = "scores") -> DataFrame:
@@ -320,6 +351,88 @@ def project(df: DataFrame, vector: str, name: str = "scores") -> DataFrame:
         F.zip_with(a, F.col("_z"), lambda x, y: x * y), d(0), lambda s, v: s + v))).drop("_z")
 
 
+def imputed_moments(df: DataFrame, track: str, vector: str, y: str, centre: Sequence[float],
+                    gaps: Sequence[int]) -> DataFrame:
+    """Per track: flattened moments of (1, known values - centre or 0, gap flags, target).
+
+    ``gaps`` are the elements that are missing somewhere. With their flags in the moments,
+    any value can be imputed afterwards without another pass: the imputed element is the
+    known part plus the flag times the value.
+    """
+    key_type, shift, where = df.schema[track].dataType, np.asarray(centre, float), np.asarray(gaps, int)
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for k, part in batch.groupby(track):
+                v = np.stack([np.array(x, dtype=float) for x in part[vector]]) - shift
+                lost = np.isnan(v)
+                z = np.column_stack([np.ones(len(v)), np.where(lost, 0.0, v), lost[:, where], part[y].to_numpy(float)])
+                sums[k] = sums.get(k, 0) + z.T @ z
+        if sums:
+            yield pd.DataFrame({track: list(sums), "m": [s.ravel().tolist() for s in sums.values()]})
+
+    schema = T.StructType([T.StructField(track, key_type), T.StructField("m", T.ArrayType(T.DoubleType()))])
+    partial = df.where(_complete([y])).select(track, vector, y).mapInPandas(reduce, schema)
+    entries = partial.select(track, F.posexplode("m").alias("_i", "_s")).groupBy(track, "_i").agg(F.sum("_s").alias("_s"))
+    rows = F.array_sort(F.collect_list(F.struct("_i", "_s")))
+    return entries.groupBy(track).agg(F.transform(rows, lambda s: s["_s"]).alias("m"))
+
+
+def vector_ridge(df: DataFrame, track: str, vector: str, y: str, alpha: float, floor: float = 1e-8) -> DataFrame:
+    """Leave-one-track-out ridge on an array of features: (held_out, beta), beta being the
+    intercept and one raw coefficient per element.
+
+    One pass of array moments per track serves all folds. Missing elements take the median of
+    the fold's training rows; features are standardised, the intercept is not penalised.
+    """
+    centre = vector_means(df, vector)
+    p = len(centre)
+    cells = df.where(_complete([y])).select(track, F.posexplode(vector).alias("_i", "_v")).withColumn("_v", F.col("_v").cast("double"))
+    known = F.col("_v").isNotNull() & ~F.isnan("_v")
+    gaps = sorted(r["_i"] for r in cells.where(~known).select("_i").distinct().collect())
+    per = materialize(imputed_moments(df, track, vector, y, centre, gaps))
+    tracks = [r[0] for r in per.select(track).collect()]
+    medians = {h: {} for h in tracks}
+    if gaps:
+        some = materialize(cells.where(known & F.col("_i").isin(gaps)))
+        for h in tracks:
+            fold = quantile_columns(some.where(F.col(track) != h), ["_i"], "_v", {"median": 0.5})
+            medians[h] = {r["_i"]: r["median"] for r in fold.collect()}
+    rows = attach_one(per, _total(per).withColumnRenamed("m", "_t"))
+    train = rows.select(F.col(track).alias("held_out"), F.zip_with("_t", "m", lambda a, b: a - b).alias("m"))
+    shift = np.asarray(centre, float)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(held: pd.Series, m: pd.Series) -> pd.Series:
+        out = []
+        for h, flat in zip(held, m):
+            size = p + len(gaps) + 2
+            full = np.asarray(flat, float).reshape(size, size)
+            fill = np.zeros((p + 2, size))  # (1, imputed values, target) from the long vector
+            fill[0, 0] = fill[p + 1, size - 1] = 1.0
+            fill[np.arange(1, p + 1), np.arange(1, p + 1)] = 1.0
+            for k, i in enumerate(gaps):
+                fill[i + 1, p + 1 + k] = medians[h].get(i, shift[i]) - shift[i]
+            out.append(_uncentre(_ridge(fill @ full @ fill.T, list(range(p)), alpha, False, floor), centre))
+        return pd.Series(out)
+
+    models = train.withColumn("beta", solve("held_out", "m")).drop("m")
+    filled = F.array(*[F.array(*[d(medians[h].get(i, centre[i])) for i in range(p)]) for h in tracks]) if gaps else None
+    if filled is None:
+        return models.withColumn("fill", F.array().cast("array<double>"))
+    place = F.array_position(F.array(*[F.lit(h) for h in tracks]), F.col("held_out")).cast("int")
+    return models.withColumn("fill", F.element_at(filled, place))
+
+
+def score_vector_ridge(df: DataFrame, models: DataFrame, track: str, vector: str) -> DataFrame:
+    """Adds ``p``: the prediction of the model that held the row's track out."""
+    rows = attach(df, models.withColumnRenamed("held_out", track), [track], "inner")
+    value = lambda v, i: F.coalesce(F.nanvl(v.cast("double"), F.lit(None).cast("double")), F.get("fill", i))
+    terms = F.transform(vector, lambda v, i: value(v, i) * F.get("beta", i + 1))
+    return rows.withColumn("p", F.get("beta", F.lit(0)) + F.aggregate(terms, d(0), lambda a, v: a + v)).drop("beta", "fill")
+
+
 # Iterative fits.
 
 
@@ -366,9 +479,11 @@ def quantile_fit(df: DataFrame, features: Sequence[str], y: str, quantiles: Sequ
 
     Majorise-minimise steps (Hunter and Lange 2000): weights 1 / (eps + |r|) make
     each step a weighted least squares whose sums for all quantiles come from one
-    pass. Features are standardised first. Returns one row per quantile
-    with intercept, coefficients (standardised), means, scales and the loss.
+    pass. Features are standardised first; missing values raise. Returns one row per
+    quantile with intercept, coefficients (standardised), means, scales, the loss, the steps
+    taken and whether the losses had settled by then.
     """
+    _require_complete(df, [*features, y])
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("_sy"), F.avg(y).alias("_my"),
                    *[F.avg(f).alias(f"m_{f}") for f in features],
                    *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
@@ -384,7 +499,7 @@ def quantile_fit(df: DataFrame, features: Sequence[str], y: str, quantiles: Sequ
     beta = {q: np.r_[stats["_my"], np.zeros(p)] for q in quantiles}
     best = {q: (math.inf, beta[q]) for q in quantiles}
     width = 1 + (p + 1) * (p + 2)
-    still = 0
+    still, settled, step = 0, False, 0
     for step in range(steps + 1):
         eps = max(1e-6, 0.1 * 0.93 ** step) * unit
         sums = _weighted_sums(rows, names, np.stack([beta[q] for q in quantiles]), levels, eps)
@@ -401,11 +516,13 @@ def quantile_fit(df: DataFrame, features: Sequence[str], y: str, quantiles: Sequ
             rhs = got[k, 1 + (p + 1) ** 2:] + (2 * q - 1) * sx
             beta[q] = np.linalg.solve(gram / (2 * n) + alpha * np.diag(shrink), rhs / (2 * n))
         still = 0 if moved else still + 1
-        if still >= 10 and eps <= 1e-3 * unit:
+        settled = still >= 10 and eps <= 1e-3 * unit
+        if settled:
             break
-    out = [(float(q), float(best[q][1][0]), best[q][1][1:].tolist(), mean, scale, float(best[q][0])) for q in quantiles]
+    out = [(float(q), float(best[q][1][0]), best[q][1][1:].tolist(), mean, scale, float(best[q][0]), step, settled) for q in quantiles]
     return df.sparkSession.createDataFrame(
-        out, "quantile double, intercept double, coefficients array<double>, means array<double>, scales array<double>, loss double")
+        out, "quantile double, intercept double, coefficients array<double>, means array<double>, scales array<double>, loss double, "
+        "steps int, settled boolean")
 
 
 def quantile_predict(df: DataFrame, models: DataFrame, features: Sequence[str], names: Sequence[str],
@@ -425,9 +542,12 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, steps: int
                  penalty: float = 0.05) -> DataFrame:
     """Fixed gradient steps of an L2 logistic model on standardised features.
 
-    The intercept is not penalised and scores are clipped to +-20. One row:
-    intercept, coefficients, means, scales.
+    The intercept is not penalised and scores are clipped to +-20; missing values raise. One
+    row: intercept, coefficients, means, scales. Equal rows are counted first. While their
+    number and bytes are bounded the steps run on these counts; beyond, each step is one pass
+    over the stored rows, with the same result.
     """
+    _require_complete(df, [*features, label])
     stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features],
                    *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
     mean = [stats[f"m_{f}"] for f in features]
@@ -436,6 +556,14 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, steps: int
     rows = materialize(df.select(*[c.alias(f"z{i}") for i, c in enumerate(z)],
                                  F.col(label).cast("double").alias("y"), F.lit(0).alias("_k")), spread=True)
     w = np.zeros(len(features) + 1)
+    few = bounded(rows.groupBy(*[f"z{i}" for i in range(len(z))], "y").agg(F.count(F.lit(1)).alias("n")), 200_000)
+    if few is not None:
+        table = few.toPandas().to_numpy(float)
+        zs, ys, share = table[:, :len(z)], table[:, -2], table[:, -1] / table[:, -1].sum()
+        for _ in range(steps):
+            gap = (1 / (1 + np.exp(-np.clip(w[0] + zs @ w[1:], -20, 20))) - ys) * share
+            w = w - rate * (np.r_[gap.sum(), gap @ zs] + penalty * np.r_[0.0, w[1:]])
+        steps = 0
     score = sum((F.col(f"w{i + 1}") * F.col(f"z{i}") for i in range(len(features))), F.col("w0"))
     gap = d(1) / (d(1) + F.exp(-F.greatest(d(-20), F.least(d(20), score)))) - F.col("y")
     for _ in range(steps):

@@ -350,20 +350,37 @@ def anchored_quantiles(t):
     return M.quantile_scores(wide, ["track_id"], "y", names)
 
 
-LOGIT_STEPS = 12
-_LOGIT = X.with_sql(X.GATE_ROWS, """src AS (SELECT quality, n_chars, CAST(toxic AS DOUBLE) AS tox FROM gate_rows WHERE quality IS NOT NULL),
-st AS (SELECT avg(n_chars) AS m0, stddev_pop(n_chars) AS s0, avg(tox) AS m1, CASE WHEN stddev_pop(tox) = 0 THEN 1e0 ELSE stddev_pop(tox) END AS s1 FROM src),
-z AS (SELECT (n_chars - m0) / s0 AS z0, (tox - m1) / s1 AS z1, CAST(quality AS DOUBLE) AS y FROM src, st), w0 AS (SELECT 0e0 AS a, 0e0 AS b, 0e0 AS c)""") + "".join(f""",
-w{i + 1} AS (SELECT any_value(a) - 0.1e0 * avg(g) AS a, any_value(b) - 0.1e0 * (avg(g * z0) + 0.05e0 * any_value(b)) AS b, any_value(c) - 0.1e0 * (avg(g * z1) + 0.05e0 * any_value(c)) AS c
-  FROM (SELECT a, b, c, z0, z1, 1e0 / (1e0 + exp(-greatest(-20e0, least(20e0, a + b * z0 + c * z1)))) - y AS g FROM z, w{i}))""" for i in range(LOGIT_STEPS))
-
-
-@query("logistic_gate", _LOGIT + f" SELECT a AS intercept, b AS b1, c AS b2 FROM w{LOGIT_STEPS}", "intercept b1 b2")
+GATE_FEATURES = ["n_chars", "tox", "log_chars", "source_number"]
+_Z = range(len(GATE_FEATURES))
+_LOGIT = "WITH RECURSIVE " + X.GATE_ROWS + """, src AS (SELECT quality, n_chars, CAST(toxic AS DOUBLE) AS tox, ln(n_chars + 1e0) AS log_chars, CAST(substr(source, 4) AS DOUBLE) AS source_number
+  FROM gate_rows WHERE quality IS NOT NULL),
+st AS (SELECT """ + ", ".join(f"avg({f}) AS m{i}, CASE WHEN stddev_pop({f}) = 0 THEN 1e0 ELSE stddev_pop({f}) END AS s{i}" for i, f in enumerate(GATE_FEATURES)) + """ FROM src),
+z AS MATERIALIZED (SELECT """ + ", ".join(f"({f} - m{i}) / s{i} AS z{i}" for i, f in enumerate(GATE_FEATURES)) + """, CAST(quality AS DOUBLE) AS y FROM src, st),
+w AS (SELECT 0 AS k, 0e0 AS a, """ + ", ".join(f"0e0 AS b{i}" for i in _Z) + """ UNION ALL
+  SELECT any_value(k) + 1, any_value(a) - 0.1e0 * avg(g), """ + ", ".join(f"any_value(b{i}) - 0.1e0 * (avg(g * z{i}) + 0.05e0 * any_value(b{i}))" for i in _Z) + """
+  FROM (SELECT *, 1e0 / (1e0 + exp(-greatest(-20e0, least(20e0, a + """ + " + ".join(f"b{i} * z{i}" for i in _Z) + """)))) - y AS g FROM w, z WHERE k < 1000) GROUP BY k)
+"""
+
+
+@query("logistic_gate", _LOGIT + "SELECT a AS intercept, b0 AS b1, b1 AS b2, b2 AS b3, b3 AS b4 FROM w WHERE k = 1000", "intercept b1 b2 b3 b4")
 def logistic_gate(t):
-    """Fixed gradient steps of the regularised logistic gate."""
-    rows = X.gate_rows(t).where("quality IS NOT NULL").select("n_chars", F.col("toxic").cast("double").alias("tox"), "quality")
-    fit = R.logistic_fit(rows, ["n_chars", "tox"], "quality", steps=LOGIT_STEPS)
-    return fit.select("intercept", F.col("coefficients")[0].alias("b1"), F.col("coefficients")[1].alias("b2"))
+    """A thousand gradient steps of the regularised logistic gate on four features."""
+    rows = X.gate_rows(t).where("quality IS NOT NULL").select(
+        "n_chars", F.col("toxic").cast("double").alias("tox"), F.log(F.col("n_chars") + 1).alias("log_chars"),
+        F.substring("source", 4, 9).cast("double").alias("source_number"), "quality")
+    fit = R.logistic_fit(rows, GATE_FEATURES, "quality")
+    return fit.select("intercept", *[F.col("coefficients")[i].alias(f"b{i + 1}") for i in _Z])
+
+
+@query("ridge_vector_loto")
+def ridge_vector_loto(t):
+    """M2/M3/M6: whole-track ridge of the target on 64-value vectors with gaps, scored held out."""
+    rows = t.embeddings.select(
+        F.col("vec_id"), (F.col("label") % 3).cast("int").alias("track_id"), F.col("label").cast("double").alias("y"),
+        F.transform("embedding", lambda v, i: F.when((F.col("vec_id") + i) % 23 > 0, v.cast("double"))).alias("v"))
+    rows = materialize(rows)
+    scored = R.score_vector_ridge(rows, R.vector_ridge(rows, "track_id", "v", "y", 10.0), "track_id", "v")
+    return M.error_bundle(M.with_scopes(scored, "track_id").withColumn("model_id", F.lit("vector_ridge")), ["model_id", "scope"], "y", "p")
 
 
 FK0, FK1 = solve2_sql("10e0")
