@@ -17,9 +17,11 @@ With ROWS = 6 and BANDS = 30 a pair at similarity 0.8 shares a band with probabi
 Exact copies (equal words) are one node. In each bucket the members are first compared to the
 least one only. Buckets that end in several components are compared again around a pivot of their
 own, and after that the members outside a bucket's largest component meet those of its other
-components. So every pair that shares a band is either in one class or was compared. Families of
-near copies become one component in the linear steps; the last one writes as many pairs as a
-bucket has members, times those outside its largest component.
+components. So every pair that shares a band is either in one class or was compared, by texts or,
+in the last step, first by 4 bits of each coordinate: pairs whose bits are too far apart for the
+threshold are not written. Families of near copies become components in the linear steps; the
+last one tests as many pairs of bits as a bucket has members, times those outside its largest
+component.
 
 Defined cases: documents without words (null, empty, only signs) are each a class of their own;
 rows with a null id keep a null class; rows with one id are one node, their class is that of the
@@ -29,12 +31,13 @@ id; other columns pass through ``keep_first``.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import BROADCAST_ROWS, join_counted, store, text_slices, word_list
@@ -44,6 +47,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 6, 30
 COORDINATES = ROWS * BANDS
+#: Bits kept of each coordinate, and how many of all bits may differ between two documents that
+#: are worth comparing: the mean at THRESHOLD and four standard deviations, so that a pair at the
+#: threshold is passed over with probability 0.00003.
+BITS = 4
+_APART = 1 - THRESHOLD
+MOST_BITS = int(COORDINATES * _APART * BITS / 2 + 4 * math.sqrt(
+    COORDINATES * (_APART * BITS / 4 + (BITS / 2) ** 2 * _APART * THRESHOLD)))
 SEED = 0x9E3779B97F4A7C15
 #: Length of the first time cell; the next ones end at 2, 4, 8, ... times this.
 FIRST_CELL = 1 / 64
@@ -141,8 +151,18 @@ def band_keys(names: np.ndarray) -> np.ndarray:
     return key
 
 
+def packed_bits(names: np.ndarray) -> np.ndarray:
+    """BITS hashed bits of every coordinate, packed into 64-bit words."""
+    hashed = mix(names ^ salt(17))
+    bits = np.stack([(hashed >> np.uint64(i)) & np.uint64(1) for i in range(BITS)], axis=2).astype(np.uint8)
+    flat = bits.reshape(len(names), COORDINATES * BITS)
+    whole = np.pad(flat, ((0, 0), (0, -flat.shape[1] % 64)))
+    return np.packbits(whole, axis=1).view(np.int64)
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """(id, f1, f2, bands): a digest of the words and the band keys; nulls where there is no word."""
+    """(id, f1, f2, bands, bits): a digest of the words, the band keys and the packed signature;
+    nulls where there is no word."""
     def scan(batches):
         hashes = WordHashes()
         for part, texts in text_slices(batches, "text"):
@@ -150,22 +170,23 @@ def sketched(docs: DataFrame) -> DataFrame:
             full = [i for i, w in enumerate(words) if w]
             print_of = {i: xxhash.xxh3_128_digest(b" ".join(words[i])) for i in full}
             own = [shingles(words[i], hashes) for i in full]
-            bands = np.zeros((0, BANDS), np.uint64)
+            signed, bits = np.zeros((0, BANDS), np.int64), np.zeros((0, 1), np.int64)
             if full:
                 sizes = [len(k) for k, _ in own]
-                bands = band_keys(signatures(
+                drawn = signatures(
                     np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]).astype(np.float64),
-                    np.repeat(np.arange(len(full)), sizes), len(full)))
+                    np.repeat(np.arange(len(full)), sizes), len(full))
+                signed, bits = band_keys(drawn).astype(np.int64), packed_bits(drawn)
             row_of = {i: r for r, i in enumerate(full)}
             digest = [np.frombuffer(print_of[i], "<i8").tolist() if i in print_of else (None, None) for i in range(len(texts))]
-            signed = bands.astype(np.int64)
+            lists = lambda table: pa.array(
+                [table[row_of[i]] if i in row_of else None for i in range(len(texts))], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([d[0] for d in digest], pa.int64()), pa.array([d[1] for d in digest], pa.int64()),
-                 pa.array([signed[row_of[i]] if i in row_of else None for i in range(len(texts))], pa.list_(pa.int64()))],
-                names=["id", "f1", "f2", "bands"])
+                 lists(signed), lists(bits)], names=["id", "f1", "f2", "bands", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(
-        scan, "id long, f1 long, f2 long, bands array<long>")
+        scan, "id long, f1 long, f2 long, bands array<long>, bits array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -212,8 +233,9 @@ def classes(docs: DataFrame) -> DataFrame:
     several = store(copies.where("n > 1"), "near-copies")
     copied = store(join_counted(worded.select("id", "f1", "f2"), several, ["f1", "f2"], "n", total).where("id <> rep")
                    .select("id", "rep").distinct(), "near-copied")
-    nodes = worded.select("id", "bands").join(copied.select("id"), "id", "left_anti")
-    bands = store(nodes.select("id", F.explode("bands").alias("key")).distinct(), "near-bands")
+    nodes = worded.select("id", "bands", "bits").join(copied.select("id"), "id", "left_anti")
+    nodes = store(nodes.dropDuplicates(["id"]), "near-nodes")
+    bands = nodes.select("id", F.explode("bands").alias("key"))
     buckets = store(bands.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
                     .where("n > 1"), "near-buckets")
     members = store(join_counted(bands, buckets, ["key"], "n", BANDS * total), "near-members")
@@ -221,7 +243,8 @@ def classes(docs: DataFrame) -> DataFrame:
     links = store(verified(store(stars, "near-pairs"), docs), "near-links")
     labels = components(links)
     for pairs_of in (pivot_pairs, cross_pairs):
-        pairs = store(pairs_of(mixed_rows(members, labels, BANDS * total), BANDS * total), "near-pairs")
+        mixed = store(mixed_rows(members, labels, BANDS * total).join(nodes, "id"), "near-mixed")
+        pairs = store(pairs_of(mixed, BANDS * total, [alike, met_first]), "near-pairs")
         if not pairs.limit(1).count():
             break
         links = links.unionByName(store(verified(pairs, docs), "near-links"))
@@ -246,7 +269,19 @@ def mixed_rows(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     return store(rows.where("id <> least").select("key", "id", "label"), "near-mixed")
 
 
-def pivot_pairs(rows: DataFrame, total: int) -> DataFrame:
+def alike(a: str, b: str, key: Column) -> Column:
+    """Whether the packed signatures differ in few enough bits to be worth a comparison."""
+    words = -(-COORDINATES * BITS // 64)
+    apart = [F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseXOR(F.get(f"{b}.bits", F.lit(i)))) for i in range(words)]
+    return sum(apart[1:], apart[0]) <= MOST_BITS
+
+
+def met_first(a: str, b: str, key: Column) -> Column:
+    """Whether ``key`` is the first band that two documents share, so a pair is met once."""
+    return F.get(F.array_intersect(f"{a}.bands", f"{b}.bands"), F.lit(0)) == key
+
+
+def pivot_pairs(rows: DataFrame, total: int, _: Sequence = ()) -> DataFrame:
     """Each member of a mixed bucket with the bucket's pivot, where their components differ. The
     pivot has the least id after xor with the key, so buckets of the same members differ in it: a
     family whose members are not all near its least one meets many others of its own."""
@@ -261,15 +296,17 @@ def pivot_pairs(rows: DataFrame, total: int) -> DataFrame:
     return join_counted(pairs, uses, ["pivot"], "n", total).where("label <> other").select("a", "b")
 
 
-def cross_pairs(rows: DataFrame, total: int) -> DataFrame:
+def cross_pairs(rows: DataFrame, total: int, conditions: Sequence = ()) -> DataFrame:
     """In each mixed bucket, the members outside its largest component with all members of other
-    components: what the stars left open."""
+    components: what the stars left open. ``conditions`` on the two rows narrow the join itself."""
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     top = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.sum("size").alias("n"))
     rows = store(join_counted(rows, top, ["key"], "n", total), "near-mixed")
-    few = rows.where("label <> top").select("key", F.col("id").alias("a"), F.col("label").alias("label_a"))
-    pairs = few.join(rows, "key").where("label <> label_a AND (label = top OR a < id)")
-    return pairs.select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()
+    met = F.expr("x.key = y.key AND x.label <> y.label AND (y.label = y.top OR x.id < y.id)")
+    for condition in conditions:
+        met = met & condition("x", "y", F.col("x.key"))
+    pairs = rows.where("label <> top").alias("x").join(rows.alias("y"), met)
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
 def report(docs: DataFrame) -> DataFrame:
