@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,6 +427,9 @@ def test_pieces_equal_the_library_and_decode_losslessly():
         ids, sizes = pieces.encode_texts(vocab, raw, names, seed, rate)
         own = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
         assert [pieces.decode_ids(vocab, x) for x in own] == raw
+        lists = pa.array([None, *own, []], pa.list_(pa.int32()))
+        assert pieces.decode_lists(vocab, lists) == [b"", *raw, b""]
+        assert pieces.decode_lists(vocab, lists.slice(3, 5)) == raw[2:7]
         if rate == 0:
             assert all(x == library.encode(t) for x, t in zip(own, texts, strict=True) if "▁" not in t)
         seen.append(own)
