@@ -113,10 +113,14 @@ def parsed(data: bytes) -> dict:
 
 
 def trained(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample, empty where the sample is too small for one."""
+    """A dictionary from a bounded sample, the texts of the smallest hashes, empty where the
+    sample is too small for one. Hashes alone are compared first, so tasks send no texts that
+    are not chosen."""
     few = pages.where(F.length("html") > 0).select("html", F.octet_length("html").alias("size"), F.xxhash64("html").alias("h"))
-    few = few.where(F.col("size") <= SAMPLE_BYTES // SAMPLE_PAGES).orderBy("h").limit(SAMPLE_PAGES)
-    texts = [r[0].encode() for r in few.select("html").collect()]
+    few = few.where(F.col("size") <= SAMPLE_BYTES // SAMPLE_PAGES)
+    chosen = few.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES)
+    rows = few.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("html").alias("html"))
+    texts = [r["html"].encode() for r in sorted(rows.collect(), key=lambda r: r["h"])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) >= 16 else b""
     except zstandard.ZstdError:
