@@ -411,6 +411,25 @@ def test_near_paragraph_classes_by_brute_force(spark):
     assert groups(lambda i: labels.get(name[i], name[i])) == groups(lambda i: want[i])
 
 
+def test_pairs_that_share_one_band_of_a_mixed_bucket_are_compared(spark):
+    rng = random.Random(21)
+    words = [f"u{i}" for i in range(500)]
+    base = rng.choices(words, k=20)
+    near = [*base[:-1], "other"]
+    name = lambda w: substring_dedup.name_of([x.encode() for x in w])
+    strange = next(w for w in iter(lambda: rng.choices(words, k=20), None) if name(w) < min(name(base), name(near)))
+    texts = [strange, base, near]
+    docs = spark.createDataFrame([(i, " ".join(w) + ".") for i, w in enumerate(texts)], "doc_id long, text string")
+    # all three meet in the first band only, around the unlike one
+    rows = [(name(w), i, *[7 if band == 0 else 100 * i + band for band in range(substring_dedup.BANDS)]) for i, w in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, ", ".join(["fp long", "keeper long", *[f"{k} long" for k in substring_dedup.KEYS]]))
+    labels = {r["id"]: r["label"] for r in substring_dedup.near_classes(nodes, docs).collect()}
+    assert labels == dict.fromkeys([name(base), name(near)], min(name(base), name(near)))
+    sketches = substring_dedup.named(docs).select("fp", *substring_dedup.SKETCH)
+    again = substring_dedup.near_classes(nodes.join(sketches, "fp"), docs)
+    assert {r["id"]: r["label"] for r in again.collect()} == labels
+
+
 # ---- pieces ----
 
 def test_pieces_equal_the_library_and_decode_losslessly():

@@ -8,9 +8,10 @@ passage is therefore cut alike wherever it stands, save its first and last parag
 Equal paragraphs (64-bit hash of their words, as in ``word_list``) are counted with partial sums
 and become one node. Nodes are banded: BANDS keys of one MinHash each over five-word shingles, so
 at Jaccard 0.8 a pair meets with probability 0.998. Members of a bucket are compared to its least
-node by exact Jaccard similarity; nodes whose bucket ends in several components meet again in
-buckets of two bands at once (0.973), by the same steps as in ``near_dup``. Classes are
-connected components.
+node by exact Jaccard similarity; buckets that end in several components are compared around a
+pivot, then across components, as in ``near_dup``. So every pair that shares a band is in one class
+or was compared, by words or first by ``alike``, which passes over no pair at the threshold.
+Classes are connected components.
 
 A paragraph of a class found in several documents is shared; its keeper is the smallest doc_id of
 the class. Adjacent shared paragraphs (those of fewer than SHINGLE words join shared neighbours)
@@ -29,7 +30,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import BROADCAST_ROWS, join_counted, store, text_slices
@@ -37,16 +38,9 @@ from trackloom.llm.graph import components
 from trackloom.llm.near_dup import SHINGLE, THRESHOLD, WordHashes, cross_pairs, mix, mixed_rows, pivot_pairs, salt, shingles, similarity
 from trackloom.llm.toxicity import SENTENCES
 
-BANDS = 4
 FULL_PART, LONG_PART = 8, 24
 RUN_WORDS = 25
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-KEYS = [f"k{i}" for i in range(BANDS)]
-
-
-def recall(jaccard: float, rows: int, bands: int) -> float:
-    """The chance that a pair of this similarity shares a band."""
-    return 1 - (1 - jaccard ** rows) ** bands
 
 
 def bands_for(jaccard: float, rows: int, wanted: float) -> int:
@@ -54,6 +48,12 @@ def bands_for(jaccard: float, rows: int, wanted: float) -> int:
     return math.ceil(math.log(1 - wanted) / math.log(1 - jaccard ** rows))
 
 
+BANDS = bands_for(THRESHOLD, 1, 0.998)
+KEYS = [f"k{i}" for i in range(BANDS)]
+#: A bitmap of the shingles in two words, and their number.
+SKETCH = ["s0", "s1", "size"]
+
+
 def parts(text: bytes, hashes: WordHashes):
     """(end offset, words) of the parts of a text that have words."""
     start = 0
@@ -92,17 +92,21 @@ def name_of(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def min_keys(lists: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
-    """(paragraphs, BANDS) band keys."""
+def min_keys(lists: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(paragraphs, BANDS) band keys, and the SKETCH of each paragraph."""
     own = [shingles(words, hashes)[0] for words in lists]
     starts = np.cumsum([0] + [len(s) for s in own[:-1]])
     every = np.concatenate(own)
-    return np.stack([mix(np.minimum.reduceat(mix(every ^ salt(band, 31)), starts) + salt(band, 37))
+    keys = np.stack([mix(np.minimum.reduceat(mix(every ^ salt(band, 31)), starts) + salt(band, 37))
                      for band in range(BANDS)], axis=1).astype(np.int64)
+    spot = mix(every ^ salt(41))
+    bit, upper = np.uint64(1) << (spot & np.uint64(63)), (spot >> np.uint64(6)) & np.uint64(1) == 1
+    words = [np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64) for half in (~upper, upper)]
+    return keys, np.stack([*words, np.array([len(s) for s in own])], axis=1)
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """(fp, doc, k0...): the paragraphs of SHINGLE words or more of each document, once each."""
+    """(fp, doc, k0..., SKETCH): the paragraphs of SHINGLE words or more of each document, once each."""
     def scan(batches):
         hashes = WordHashes()
         for part, texts in text_slices(batches, "text"):
@@ -112,12 +116,13 @@ def named(docs: DataFrame) -> DataFrame:
                 rows.extend([at] * len(seen))
                 names.extend(seen)
                 lists.extend(seen.values())
-            keys = min_keys(lists, hashes) if lists else np.zeros((0, BANDS), np.int64)
+            keys, sketch = min_keys(lists, hashes) if lists else (np.zeros((0, BANDS), np.int64), np.zeros((0, 3), np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int64()), part.column("doc").take(pa.array(rows, pa.int64())),
-                 *[pa.array(keys[:, i]) for i in range(BANDS)]], names=["fp", "doc", *KEYS])
+                 *[pa.array(keys[:, i]) for i in range(BANDS)], *[pa.array(sketch[:, i]) for i in range(len(SKETCH))]],
+                names=["fp", "doc", *KEYS, *SKETCH])
 
-    shape = ", ".join(["fp long", "doc long", *[f"{k} long" for k in KEYS]])
+    shape = ", ".join(["fp long", "doc long", *[f"{k} long" for k in [*KEYS, *SKETCH]]])
     return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(scan, shape)
 
 
@@ -170,6 +175,14 @@ def stars_of(members: DataFrame) -> DataFrame:
     return members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def alike(a: str, b: str, key: Column) -> Column:
+    """Whether two bitmaps leave THRESHOLD possible: no pair differs in more bits than shingles, and at
+    the threshold in at most (1 - t) / (1 + t) of the shingles of both."""
+    apart = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[:2]]
+    most = (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
+    return apart[0] + apart[1] <= most
+
+
 def near_classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, label) of the nodes that are near another."""
     total = BANDS * nodes.count()
@@ -178,21 +191,11 @@ def near_classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     members = bucketed(keys(plain), total, "passage-bands")
     links = store(verified(store(stars_of(members), "passage-pairs"), nodes, docs), "passage-links")
     labels = components(links)
-    tagged = store(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "passage-tagged")
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("n > 2 AND lo <> hi").select("key", "n")
-    open_ids = store(join_counted(tagged, mixed, ["key"], "n", total).select("id").distinct(), "passage-open")
-    number = open_ids.count()
-    if not number:
-        return labels
-    twos = [F.xxhash64(F.lit(i * BANDS + j), F.col(KEYS[i]), F.col(KEYS[j])) for i in range(BANDS) for j in range(i)]
-    again = plain.join(open_ids, "id", "left_semi").select("id", F.explode(F.array(*twos)).alias("key"))
-    total = len(twos) * number
-    members = bucketed(again, total, "passage-twos")
-    steps = (lambda known: stars_of(members), lambda known: pivot_pairs(mixed_rows(members, known, total), total),
-             lambda known: cross_pairs(mixed_rows(members, known, total), total))
-    for step in steps:
-        pairs = store(step(labels), "passage-pairs")
+    sketched = set(SKETCH) <= set(nodes.columns)
+    narrow = nodes.select(F.col("fp").alias("id"), *SKETCH) if sketched else plain.select("id")
+    for pairs_of in (pivot_pairs, cross_pairs):
+        mixed = store(mixed_rows(members, labels, total).join(narrow, "id"), "passage-mixed")
+        pairs = store(pairs_of(mixed, total, [alike] if sketched else []), "passage-pairs")
         if pairs.limit(1).count():
             links = links.unionByName(store(verified(pairs, nodes, docs), "passage-links"))
             labels = components(links)
@@ -204,7 +207,7 @@ def shared_paragraphs(docs: DataFrame) -> DataFrame:
     documents of the paragraph itself."""
     grouped = named(docs).where("doc IS NOT NULL").groupBy("fp").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc").alias("keeper"), F.max("doc").alias("last"),
-        *[F.min(k).alias(k) for k in KEYS])
+        *[F.min(k).alias(k) for k in [*KEYS, *SKETCH]])
     nodes = store(grouped, "passage-nodes")
     labels = near_classes(nodes, docs)
     near = nodes.select("fp", "n", "keeper", "last").join(labels.select(F.col("id").alias("fp"), "label"), "fp")
