@@ -411,6 +411,47 @@ def test_near_paragraph_classes_by_brute_force(spark):
     assert groups(lambda i: labels.get(name[i], name[i])) == groups(lambda i: want[i])
 
 
+def test_short_passages_at_any_offset_are_found_with_an_edit(spark):
+    rng = random.Random(12)
+    words = [f"u{i}" for i in range(3000)]
+    prose = lambda n: rng.choices(words, k=n)
+    dotted = lambda ws: "".join(w + (". " if rng.random() < 0.1 else " ") for w in ws)
+    docs, where = [], {}
+    for case in range(120):
+        size, edits = rng.choice([(51, 0), (51, 1), (55, 1), (60, 1), (60, 2)])
+        passage = prose(size)
+        copy = list(passage)
+        for at in {0: [], 1: [rng.randrange(8, size - 8)], 2: [rng.randrange(9, 25), rng.randrange(34, 51)]}[edits]:
+            copy[at] = "edited"
+        for doc, said in ((2 * case, passage), (2 * case + 1, copy)):
+            head = dotted(prose(rng.randint(0, 80)))
+            text = dotted(said)
+            docs.append((doc, head + text + dotted(prose(rng.randint(0, 80)))))
+            where[doc] = (len(head), len(head) + len(text.rstrip(". ")))
+    docs += [(1000 + i, dotted(prose(200))) for i in range(40)]
+    got = {r["doc_id"]: r for r in substring_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == set(where)
+    for doc, (start, end) in where.items():
+        spans = [s.split(":") for s in got[doc]["spans"].split(",")]
+        assert len(spans) == 1 and spans[0][2] == ("removed" if doc % 2 else "kept")
+        assert got[doc]["kept_in"] == [doc - doc % 2]
+        assert abs(int(spans[0][0]) - start) <= 2 and abs(int(spans[0][1]) - end) <= 2
+
+
+def test_every_run_of_equal_words_has_an_anchor():
+    rng = random.Random(13)
+    prose = lambda n: [b"w%d" % rng.randrange(300) for _ in range(n)]
+    hashes = near_dup.WordHashes()
+    size = substring_dedup.WINDOW + substring_dedup.SPREAD - 1
+    for _ in range(100):
+        run, found = prose(size), []
+        for _ in range(2):
+            names, inside, _ = substring_dedup.window_hashes([prose(rng.randrange(9)), prose(rng.randrange(50)) + run + prose(30)], hashes)
+            found.append(set(names[substring_dedup.anchors(names, inside)].tolist()))
+        own, _, _ = substring_dedup.window_hashes([run], hashes)
+        assert set(own.tolist()) & found[0] & found[1]
+
+
 def test_pairs_that_share_one_band_of_a_mixed_bucket_are_compared(spark):
     rng = random.Random(21)
     words = [f"u{i}" for i in range(500)]

@@ -14,8 +14,15 @@ or was compared, by words or first by ``alike``, which passes over no pair at th
 Classes are connected components.
 
 A paragraph of a class found in several documents is shared; its keeper is the smallest doc_id of
-the class. Adjacent shared paragraphs (those of fewer than SHINGLE words join shared neighbours)
-of RUN_WORDS words or more are a passage. Passages are removed where they are not kept.
+the class. Paragraphs at the ends of a passage merge with their surroundings, so equal windows of
+WINDOW words are joined too. The least hashes of every SPREAD windows in a row are anchors, thus
+any run of WINDOW + SPREAD - 1 = 19 equal words has one: a passage of 51 words with one changed word
+or of 60 with two always has. Around anchors found in several documents, up to REACH words to
+either side, all windows are counted; those in several documents are shared, their keeper is the
+smallest doc_id. That extends a match word by word and stops at the word where texts part.
+
+Shared words, with gaps of up to GAP_CHARS characters, are a passage if RUN_WORDS of them or more
+are kept by other documents, in which case it is removed, or by the document itself.
 
 Defined cases: null or empty texts have no paragraph; a null id is never a keeper unless all are
 null, and such documents are not reported; rows of one id are one document; a passage that only
@@ -33,13 +40,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import BROADCAST_ROWS, join_counted, store, text_slices
+from trackloom.llm.common import BROADCAST_ROWS, WORD_BYTES, join_counted, store, text_slices, word_list
 from trackloom.llm.graph import components
 from trackloom.llm.near_dup import SHINGLE, THRESHOLD, WordHashes, cross_pairs, mix, mixed_rows, pivot_pairs, salt, shingles, similarity
 from trackloom.llm.toxicity import SENTENCES
 
 FULL_PART, LONG_PART = 8, 24
 RUN_WORDS = 25
+WINDOW, SPREAD, REACH = 8, 12, 60
+GAP_CHARS = 40
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -218,10 +227,134 @@ def shared_paragraphs(docs: DataFrame) -> DataFrame:
     return store(alone.select("fp", F.col("fp").alias("class_id"), "keeper", "n").unionByName(close), "passage-shared")
 
 
+def window_hashes(lists: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of word lists laid end to end: their hashes, whether they lie in one list, and the
+    list of each word."""
+    counts = [len(words) for words in lists]
+    h = np.fromiter((hashes[w] for words in lists for w in words), np.uint64, sum(counts))
+    size = max(len(h) - WINDOW + 1, 0)
+    total = np.zeros(size, np.uint64)
+    for j in range(WINDOW):
+        total = total * np.uint64(0x100000001B3) + mix(h[j:size + j] + np.uint64(j))
+    owner = np.repeat(np.arange(len(lists)), counts)
+    return mix(total), owner[:size] == owner[WINDOW - 1:][:size], owner
+
+
+def anchors(names: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Where the windows stand that are least among SPREAD windows of their text in a row."""
+    chosen = np.zeros(len(names), bool)
+    size = len(names) - SPREAD + 1
+    if size > 0:
+        whole = np.ones(size, bool)
+        least = names[:size].copy()
+        for j in range(SPREAD):
+            whole &= inside[j:size + j]
+            np.minimum(least, names[j:size + j], out=least)
+        for j in range(SPREAD):
+            chosen[j:size + j] |= whole & (names[j:size + j] == least)
+    return np.flatnonzero(chosen)
+
+
+def code_points(text: bytes) -> np.ndarray:
+    """The code points before each byte."""
+    return np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+
+
+def repeated(rows: DataFrame, name: str) -> DataFrame:
+    """The stored ``rows`` (h, doc, ...) whose h is in several documents, with the least as keeper."""
+    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("keeper"), F.max("doc").alias("last"))
+    groups = store(groups.where("keeper <> last").select("h", "keeper", "n"), name)
+    return join_counted(rows, groups, ["h"], "n", rows.count())
+
+
+def shared_windows(docs: DataFrame) -> DataFrame:
+    """(doc, keeper, first, last, start, end): the windows found in several documents, by words and
+    by code points."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc_id IS NOT NULL")
+
+    def pick(batches):
+        hashes = WordHashes()
+        for part, texts in text_slices(batches, "text"):
+            names, inside, owner = window_hashes([word_list(t) for t in texts], hashes)
+            at = anchors(names, inside)
+            rows = owner[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[at].view(np.int64)), part.column("doc").take(pa.array(rows)),
+                 pa.array((at - np.searchsorted(owner, rows)).astype(np.int32))], names=["h", "doc", "pos"])
+
+    seeds = repeated(store(texts.mapInArrow(pick, "h long, doc long, pos int"), "passage-anchors"), "passage-seeds")
+    places = store(seeds.groupBy("doc").agg(F.collect_set("pos").alias("places")), "passage-spots")
+    ids = places.select("doc")
+    if places.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+
+    def around(batches):
+        hashes = WordHashes()
+        for part, texts in text_slices(batches, "text"):
+            cells, rows = [], []
+            for at, (text, spots) in enumerate(zip(texts, part.column("places").to_pylist(), strict=True)):
+                names, _, _ = window_hashes([word_list(text)], hashes)
+                size = len(names)
+                spots = np.array(spots, np.int64)
+                edges = np.bincount(np.clip(spots - REACH, 0, size), minlength=size + 1) - np.bincount(
+                    np.minimum(spots + WINDOW + REACH, size), minlength=size + 1)
+                first = np.flatnonzero(np.cumsum(edges)[:size] > 0)
+                held = np.frombuffer(b" " + text.translate(WORD_BYTES) + b" ", np.uint8) != 32
+                turns = np.flatnonzero(held[1:] != held[:-1])
+                points = code_points(text)
+                cells.append(np.stack([names[first].view(np.int64), first, first + WINDOW, points[turns[::2]][first],
+                                       points[turns[1::2]][first + WINDOW - 1]]))
+                rows.append(np.full(len(first), at))
+            table = np.concatenate(cells, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(table[0]), part.column("doc").take(pa.array(np.concatenate(rows))),
+                 *[pa.array(c.astype(np.int32)) for c in table[1:]]], names=["h", "doc", "first", "last", "start", "end"])
+
+    found = texts.join(ids, "doc", "left_semi").join(places, "doc")
+    shape = "h long, doc long, first int, last int, start int, end int"
+    return repeated(store(found.mapInArrow(around, shape), "passage-windows"), "passage-repeats").drop("h")
+
+
+def spans_of(doc: int, first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray,
+             keeper: np.ndarray) -> list[tuple[int, int, bool, int, int, int]]:
+    """(start, end, kept, first word, end word, shared words) of the passages of one document."""
+    size = int(last.max())
+    begin, finish = np.full(size, np.iinfo(np.int64).max), np.zeros(size + 1, np.int64)
+    np.minimum.at(begin, first, start)
+    np.maximum.at(finish, last, end)
+
+    def covered(rows: np.ndarray) -> np.ndarray:
+        steps = np.bincount(first[rows], minlength=size + 1) - np.bincount(last[rows], minlength=size + 1)
+        return np.cumsum(steps)[:size] > 0
+
+    def runs(mask: np.ndarray, counted: np.ndarray, kept: bool, cuts: list) -> list:
+        turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
+        out = []
+        for i, j in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+            # a removed passage beside the run ends it where no window does
+            low = max([c[1] for c in cuts if c[4] <= i], default=0)
+            high = min([c[0] for c in cuts if c[3] >= j], default=None)
+            a = low if begin[i] == np.iinfo(np.int64).max else max(int(begin[i]), low)
+            b = int(finish[j]) or high
+            b = b if high is None else min(b, high)
+            if out and a - out[-1][1] <= GAP_CHARS:
+                a, i = out[-1][0], out.pop()[3]
+            out.append((a, b, kept, i, j))
+        sums = np.concatenate([[0], np.cumsum(counted)])
+        return [(*r, int(sums[r[4]] - sums[r[3]])) for r in out if sums[r[4]] - sums[r[3]] >= RUN_WORDS]
+
+    other, own = covered(keeper != doc), covered(keeper == doc)
+    gone = runs(other, other, False, [])
+    left = other | own
+    for r in gone:
+        left[r[3]:r[4]] = False
+    return sorted(gone + runs(left, own & left, True, gone))
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, spans, class_ids, kept_in, shared_words, removed_words): one row per document with a
-    shared passage. ``spans`` are (start, end, kept) in code points; ``kept_in`` are the documents
-    that keep the passages."""
+    shared passage. ``spans`` are (start, end, kept) in code points; ``class_ids`` are those of its
+    shared paragraphs; ``kept_in`` are the documents that keep the passages."""
     shared = shared_paragraphs(docs)
 
     def place(batches):
@@ -229,44 +362,46 @@ def passages(docs: DataFrame) -> DataFrame:
         for part, texts in text_slices(batches, "text"):
             rows, cells = [], []
             for at, text in enumerate(texts):
-                points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)]).tolist()
-                for number, (start, end, words) in enumerate(paragraphs(text, hashes)):
-                    cells.append((name_of(words), number, points[start], points[end], len(words)))
+                points, first = code_points(text).tolist(), 0
+                for start, end, words in paragraphs(text, hashes):
+                    cells.append((name_of(words), first, first + len(words), points[start], points[end]))
+                    first += len(words)
                     rows.append(at)
             columns = list(zip(*cells, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc").take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int64()),
-                 *[pa.array(c, pa.int32()) for c in columns[1:]]], names=["doc", "fp", "number", "start", "end", "words"])
+                 *[pa.array(c, pa.int32()) for c in columns[1:]]], names=["doc", "fp", "first", "last", "start", "end"])
 
     units = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc_id IS NOT NULL").mapInArrow(
-        place, "doc long, fp long, number int, start int, end int, words int")
+        place, "doc long, fp long, first int, last int, start int, end int")
     total = shared.agg(F.sum("n")).first()[0] or 0
-    # short paragraphs carry no mark but may stand between two that do
-    marked = join_counted(units, shared, ["fp"], "n", total)
-    cell = F.struct("number", "start", "end", "words", "class_id", "keeper", (F.col("keeper") == F.col("doc")).alias("kept"))
+    marked = join_counted(units, shared, ["fp"], "n", total).drop("fp")
+    marked = marked.unionByName(shared_windows(docs), allowMissingColumns=True)
+    cell = F.struct("first", "last", "start", "end", "keeper", "class_id")
     per_doc = marked.groupBy("doc").agg(F.collect_set(cell).alias("cells"))
 
     def runs(batches):
         for batch in batches:
             ids, spans, classes, keepers, total, gone = [], [], [], [], [], []
-            for doc, cells in zip(batch.column("doc").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                found, held = [], []
-                for c in sorted(cells, key=lambda c: (c["number"], c["start"], c["end"], c["class_id"])):
-                    near = held and c["number"] - held[-1]["number"] <= 2 and (
-                        c["number"] - held[-1]["number"] <= 1 or c["start"] - held[-1]["end"] <= 40)
-                    if held and not (near and c["kept"] == held[-1]["kept"]):
-                        found.append(held)
-                        held = []
-                    held.append(c)
-                found.append(held)
-                found = [r for r in found if sum(c["words"] for c in r) >= RUN_WORDS]
+            lists = batch.column("cells")
+            cells = lists.flatten()
+            column = lambda k: cells.field(k).to_numpy(zero_copy_only=False).astype(np.int64)
+            first, last, start, end, keeper = (column(k) for k in range(5))
+            class_id, named_ = cells.field(5).fill_null(0).to_numpy(zero_copy_only=False), cells.field(5).is_valid().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            for doc, low, high in zip(batch.column("doc").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                mine = slice(low, high)
+                found = spans_of(doc, first[mine], last[mine], start[mine], end[mine], keeper[mine])
                 if found:
+                    inside = np.zeros(high - low, bool)
+                    for _, _, kept, i, j, _ in found:
+                        inside |= (first[mine] >= i) & (last[mine] <= j) & ((keeper[mine] == doc) == kept)
                     ids.append(doc)
-                    spans.append([{"start": r[0]["start"], "end": r[-1]["end"], "kept": r[0]["kept"]} for r in found])
-                    classes.append(sorted({c["class_id"] for r in found for c in r}))
-                    keepers.append(sorted({c["keeper"] for r in found for c in r}))
-                    total.append(sum(c["words"] for r in found for c in r))
-                    gone.append(sum(c["words"] for r in found for c in r if not c["kept"]))
+                    spans.append([{"start": r[0], "end": r[1], "kept": r[2]} for r in found])
+                    classes.append(np.unique(class_id[mine][inside & named_[mine]]).tolist())
+                    keepers.append(np.unique(keeper[mine][inside]).tolist())
+                    total.append(sum(r[5] for r in found))
+                    gone.append(sum(r[5] for r in found if not r[2]))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept", pa.bool_())]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(spans, span), pa.array(classes, pa.list_(pa.int64())),
