@@ -507,6 +507,34 @@ def test_arrays_and_heap_segment_alike():
         assert got == [pieces.segment_long(vocab, c, int(k), rate) for c, k in zip(chunks, keys, strict=True)]
 
 
+def test_each_occurrence_has_its_own_dropout():
+    vocab = pieces.vocabulary(open(pieces.VOCABULARY, "rb").read())
+    text = " ".join(["the"] * 4000 + ["international"] * 4000)
+    whole = pieces.encode_texts(vocab, [text.encode()], ["7"], 5, 0.1)[0].tolist()
+    assert pieces.decode_ids(vocab, whole) == text.encode()
+    spelled = [bytes(vocab.bytes_of[i]) for i in whole]
+    groups = []
+    for piece in spelled:
+        if piece.startswith(b" "):
+            groups.append([])
+        groups[-1].append(piece)
+    ways = [len({tuple(g) for g in groups if b"".join(g) == word}) for word in (b" the", b" international")]
+    assert ways[1] > 16
+    # each occurrence by itself gives the same pieces
+    rng = random.Random(4)
+    words = ["the", "international", "ing", "a", "é漢", "unbelievable", "x" * 40]
+    chunks = [pieces.MARK + rng.choice(words) for _ in range(600)]
+    start = np.uint64(pieces.xxhash.xxh64_intdigest(b"9", 3))
+    keys = pieces.mix(start + pieces.mix(np.arange(600, dtype=np.uint64)))
+    want = [x for c, k in zip(chunks, keys.tolist()) for x in pieces.segment_long(vocab, c, k, 0.3)]
+    got = pieces.encode_texts(vocab, ["".join(chunks)[1:].replace(pieces.MARK, " ").encode()], ["9"], 3, 0.3)[0].tolist()
+    assert got == want
+    # a word of one candidate is split at the rate
+    pair = next(n for n in vocab.ids if len(n) == 2 and n[0] == pieces.MARK != n[1] and vocab.candidates(n).shape[1] == 1)
+    ids, _ = pieces.encode_texts(vocab, [" ".join([pair[1]] * 40000).encode()], ["1"], 5, 0.1)
+    assert abs((len(ids) - 40000) / 40000 - 0.1) < 0.01
+
+
 def test_piece_report_is_lossless(spark):
     assert {r["lossless"] for r in QUERIES["op9_pieces"](spark, FOLDER).collect()} == {True}
 

@@ -4,12 +4,13 @@ The vocabulary is a merge-type model with byte fallback, read on the driver from
 broadcast (at most MODEL_BYTES). Encoding follows that type's agenda: all neighbouring symbols
 whose joint piece is known are candidates; the best score goes first, the left one of equals, and
 a merge adds the candidates it makes. Dropout skips a candidate for good if a keyed hash of the
-seed, the chunk, its variant and the candidate's three borders is below the rate: the same seed
-always gives the same segmentation.
+seed, the document's id, the chunk's position and the candidate's three borders is below the rate:
+every occurrence has draws of its own, and the same seed always gives the same segmentation.
 
 No piece holds a space mark after another character, so a text is cut before each run of marks
-and around line ends, and equal chunks of a slice are segmented once for each of VARIANTS hash
-keys; the variant of an occurrence comes from the seed, the document's id and its position.
+and around line ends. Equal chunks of a slice are segmented once for each set of skipped candidates,
+out of all candidates any order of merges can make; chunks longer than SHORT or found fewer than
+OFTEN times occurrence by occurrence.
 Chunks of up to SHORT characters are segmented together in arrays, longer ones one by one with a
 heap; both give the same pieces.
 
@@ -37,8 +38,10 @@ from trackloom.llm.near_dup import mix, unit
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 16 << 20
-SEED, DROPOUT, VARIANTS = 20, 0.1, 16
-SHORT = 32
+SEED, DROPOUT = 20, 0.1
+SHORT, OFTEN = 32, 32
+#: Draws made at once, and distinct chunks whose candidates a task remembers.
+DRAWS, CHUNK_CACHE = 1 << 20, 200_000
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Stands for a space mark of the text itself; no valid text holds a lone surrogate.
@@ -81,6 +84,7 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
         self.spelling = pa.array(self.bytes_of, pa.large_binary())
+        self.held: dict[str, np.ndarray] = {}
         self.chars = {c: i for c, i in self.ids.items() if len(c) == 1}
         self.char_ids = np.full(0x110000, -1, np.int64)
         for c, i in self.chars.items():
@@ -92,6 +96,32 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.joint[at], -1)
 
+    def candidates(self, chunk: str) -> np.ndarray:
+        """(3, n): the borders of all candidates that merges of ``chunk`` can make."""
+        if (known := self.held.get(chunk)) is not None:
+            return known
+        size, found = len(chunk), []
+        begun: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        for start in range(size - 1, -1, -1):
+            spans = {start + 1: self.chars.get(chunk[start], -1)}
+            if spans[start + 1] < 0:
+                continue
+            open_ends = [start + 1]
+            for middle in open_ends:
+                left = spans[middle] * self.size
+                for end, right in begun[middle] if middle < size else ():
+                    piece = self.merges.get(left + right)
+                    if piece is not None:
+                        found.append((start, middle, end))
+                        if end not in spans:
+                            spans[end] = piece
+                            open_ends.append(end)
+            begun[start] = list(spans.items())
+        if len(self.held) >= CHUNK_CACHE:
+            self.held.clear()
+        out = self.held[chunk] = np.array(found, np.int64).reshape(-1, 3).T
+        return out
+
     def spelled(self, char: str) -> list[int]:
         raw = MARK.encode() if char == LITERAL else char.encode()
         return [self.byte_ids[b] for b in raw]
@@ -223,6 +253,31 @@ def segment(vocab: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float)
     return np.concatenate(parts) if parts else np.zeros(0, np.int64), first, sizes
 
 
+def skip_sets(vocab: Vocabulary, words: list[str], number: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+    """A hash of the candidates each occurrence skips; ``number`` is its word. Occurrences of a word
+    with equal hashes have equal pieces. Words longer than SHORT or rarer than OFTEN get their keys."""
+    alone = (np.bincount(number, minlength=len(words)) < OFTEN) | np.array([len(w) > SHORT for w in words], bool)
+    none = np.zeros((3, 0), np.int64)
+    tables = [none if single else vocab.candidates(w) for w, single in zip(words, alone.tolist(), strict=True)]
+    sizes = np.array([t.shape[1] for t in tables], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    borders = np.concatenate([none, *tables], axis=1)
+    out = np.zeros(len(number), np.uint64)
+    draws = sizes[number]
+    ends = np.cumsum(draws)
+    low = 0
+    while low < len(number):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - draws[low] + DRAWS, side="right")))
+        mine = draws[low:high]
+        row = np.repeat(np.arange(low, high), mine)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(mine) - mine, mine)
+        at = begins[number[row]] + turn
+        gone = np.flatnonzero(skipped(keys[row], *borders[:, at], rate))
+        np.add.at(out, row[gone], mix((turn[gone] + 1).astype(np.uint64)))
+        low = high
+    return np.where(alone[number], keys, out) if len(number) else out
+
+
 class Places(dict):
     def __missing__(self, chunk: str) -> int:
         at = self[chunk] = len(self)
@@ -245,15 +300,18 @@ def encode_texts(vocab: Vocabulary, texts: list[bytes], names: list[str], seed:
     number, counts = np.array(number, np.int64), np.array(counts, np.int64)
     total = int(counts.sum())
     at = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    variant = np.zeros(total, np.int64)
-    if rate > 0:
-        draws = mix(np.repeat(np.array(starts, np.uint64), counts) + mix(at.astype(np.uint64)))
-        variant = (draws % np.uint64(VARIANTS)).astype(np.int64)
-    wanted, back = np.unique(number * VARIANTS + variant, return_inverse=True)
+    keys, skips = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
     words = list(place)
-    chunk_hash = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words), np.uint64, len(words))
-    keys = mix(chunk_hash[wanted // VARIANTS] + (wanted % VARIANTS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    flat, first, sizes = segment(vocab, [words[i] for i in (wanted // VARIANTS).tolist()], keys, rate)
+    if rate > 0:
+        keys = mix(np.repeat(np.array(starts, np.uint64), counts) + mix(at.astype(np.uint64)))
+        skips = skip_sets(vocab, words, number, keys, rate)
+    order = np.lexsort((skips, number))
+    fresh = np.ones(total, bool)
+    fresh[1:] = (np.diff(number[order]) != 0) | (skips[order][1:] != skips[order][:-1])
+    back = np.empty(total, np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    wanted = order[fresh]
+    flat, first, sizes = segment(vocab, [words[i] for i in number[wanted].tolist()], keys[wanted], rate)
     own = sizes[back] if total else np.zeros(0, np.int64)
     ends = np.cumsum(own)
     ids = flat[np.repeat(first[back] - (ends - own), own) + np.arange(int(own.sum()))] if total else flat
