@@ -128,6 +128,16 @@ def test_added_kinds_need_a_checksum_or_context(spark):
 
 # ---- lines ----
 
+def test_ibans_before_capitals_digits_and_each_other(spark):
+    iban, short, other = "DE89 3704 0044 0532 0130 00", "NO9386011117947", "GB29 NWBK 6016 1331 9268 19"
+    texts = [f"Pay {iban} BIC COBADEFF", f"{iban} Please", f"é {iban} 12 times", f"{iban} {other}", f"{short} {iban} X",
+             f"{other}, {short}", f"x{iban}", f"{iban}x", f"{iban[:-1]}1 BIC"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [r["text"][s["start"]:s["end"]] for s in r["pii"] if s["kind"] == "iban"] for r in pii.detect(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [
+        [iban], [iban], [iban], [iban, other], [short, iban], [other, short], [], [], []]
+
+
 def brute_lines(docs):
     keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").encode().lower().decode() for x in (t or "").split("\n")]
     holders = {}

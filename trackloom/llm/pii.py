@@ -27,7 +27,8 @@ THRESHOLD = 0.5
 class Kind:
     """A kind of span. Score: ``prior``, plus ``checked`` where its validator confirms the
     match, plus ``context`` where one of the ``words`` stands near. ``required`` kinds drop
-    matches that their validator rejects; ``alone`` ones need a non-alphanumeric neighbour."""
+    matches that their validator rejects; ``alone`` ones need a non-alphanumeric neighbour. Where there is
+    a ``body``, ``pattern`` is only the head, and the longest valid beginning of the body is the span."""
 
     name: str
     pattern: str
@@ -37,6 +38,7 @@ class Kind:
     context: float
     words: str
     alone: bool = False
+    body: str | None = None
 
 
 LOCAL, DOMAIN = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
@@ -52,7 +54,8 @@ BASE = (
 )
 #: What the method adds: these need a checksum or a context word.
 ADDED = (
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+", None, 0.1, 0.6, 0.3, "iban|account|bank", True),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})", None, 0.1, 0.6, 0.3, "iban|account|bank", True,
+         r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+"),
     Kind("short_card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,14}+(?![ -]?[0-9])", None, 0.0, 0.3, 0.4,
          "card|visa|credit|payment", True),
     Kind("ssn", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", "-", 0.3, 0.0, 0.4, "ssn|social|security", True),
@@ -86,6 +89,26 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+def valid_length(body: str, tail: Column) -> Column:
+    """The length of the longest beginning of ``tail`` that is a whole, confirmed account number, or null."""
+    most = F.length(F.regexp_extract(tail, body, 0))
+    return F.array_max(F.filter(F.sequence(F.lit(15), F.greatest(most, F.lit(15))), lambda n: (
+        (n <= most) & tail.substr(n, F.lit(2)).rlike("^[A-Z0-9](?![A-Za-z0-9])")
+        & (F.length(F.regexp_replace(tail.substr(F.lit(1), n), " ", "")) >= 15) & mod97(tail.substr(F.lit(1), n)))))
+
+
+def grown(spans: Column, whole: Column, kind: Kind) -> Column:
+    """Spans of heads made as long as their valid bodies; of overlapping ones the first stays."""
+    sized = F.transform(spans, lambda s: F.struct(s.alias("s"), valid_length(
+        kind.body, whole.substr(s["start"] + 1, F.lit(70))).alias("n")))
+    long = F.transform(F.filter(sized, lambda x: x["n"].isNotNull()), lambda x: F.struct(
+        x["s"]["kind"].alias("kind"), x["s"]["start"].alias("start"), (x["s"]["start"] + x["n"]).alias("end"),
+        whole.substr(x["s"]["start"] + 1, x["n"]).alias("m"), x["s"]["before"].alias("before"),
+        whole.substr(x["s"]["start"] + x["n"] + 1, F.lit(CONTEXT)).alias("after")))
+    return F.aggregate(long, F.filter(long, lambda s: F.lit(False)), lambda kept, s: F.when(
+        F.exists(kept, lambda k: k["end"] > s["start"]), kept).otherwise(F.concat(kept, F.array(s))))
+
+
 def small_part(part: Column) -> Column:
     bare = F.regexp_replace(part, "^0+", "")
     return (F.length(bare) <= 3) & (F.concat(F.lit("0"), F.substring(bare, 1, 3)).cast("int") <= 255)
@@ -98,7 +121,6 @@ def valid(kind: str, text: Column) -> Column:
         "ip": lambda: F.forall(F.split(text, r"\."), small_part),
         "card": lambda: F.length(digits).between(16, 19) & luhn(digits),
         "phone": lambda: F.length(digits).between(8, 15),
-        "iban": lambda: mod97(text),
         "short_card": lambda: F.length(digits).between(13, 15) & luhn(digits),
         "ssn": lambda: ~text.rlike("^(000|666|9)"),
     }[kind]()
@@ -130,7 +152,7 @@ def detect(docs: DataFrame, text: str = "text", output: str = "pii") -> DataFram
         spans = F.zip_with(pieces, ends, lambda p, e: F.struct(
             F.lit(kind.name).alias("kind"), (e - F.length(p["m"])).alias("start"), e.alias("end"),
             p["m"].alias("m"), p["before"].alias("before"), p["after"].alias("after")))
-        spans = F.filter(spans, lambda s: valid(kind.name, s["m"]))
+        spans = grown(spans, whole, kind) if kind.body else F.filter(spans, lambda s: valid(kind.name, s["m"]))
         if kind.alone:
             spans = F.filter(spans, lambda s: ~s["before"].rlike("[A-Za-z0-9]$") & ~s["after"].rlike("^[A-Za-z0-9]"))
         near = lambda s: F.lower(F.concat_ws(" ", s["before"], s["after"])).rlike(kind.words)
