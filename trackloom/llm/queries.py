@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, decontam, line_dedup, near_dup, pieces, pii, quality, substring_dedup, toxicity, warc
+from trackloom.llm import (
+    chat, decontam, filter_audit, line_dedup, multi_index, near_dup, periodic, pieces, pii, quality, substring_dedup, toxicity, warc)
 from trackloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -206,3 +207,45 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_passages")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.report(read_table(spark, folder, "documents"))
+
+
+#: Every order of the filters applied row by row to the counts of failed subsets.
+AUDIT_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (len(w) < 200) AS a, (100 * len(list_distinct(w)) < 50 * len(w)) AS b,
+    (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t)) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(d.doc_id > least, false) AS e, coalesce(quality = 1, false) AS good,
+    coalesce(toxic = 1, false) AS bad FROM d JOIN firsts USING (t) LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+    || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails, count(*) AS n,
+    count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM m GROUP BY ALL),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, step, substr(o, step, 1) AS x, substr(o, 1, step - 1) AS past FROM o, unnest(range(1, 6)) u(step)
+    WHERE length(o) = 5),
+r AS (SELECT part, filter_order, step, x, n, good, bad, fails, contains(fails, x) AS hit,
+    (past <> '' AND regexp_matches(fails, '[' || CASE past WHEN '' THEN '-' ELSE past END || ']')) AS gone FROM g, s),
+f AS (SELECT part, filter_order, CAST(step AS INT) AS step, x, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept,
+    coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = x), 0) AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost,
+    coalesce(sum(bad) FILTER (hit AND NOT gone), 0) AS toxic_lost FROM r GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM f"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.report(read_table(spark, folder, "documents"))
+
+
+@query("op13_neighbours")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.report(read_table(spark, folder, "embeddings"))
