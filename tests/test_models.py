@@ -206,3 +206,56 @@ def test_stump_first_best_wins(spark):
     df = spark.createDataFrame([(1, 0.1, 9.0, False), (1, 0.2, 9.0, False), (1, 0.3, 9.0, True), (1, 0.4, 9.0, True)], "g int, u double, w double, ok boolean")
     row = stump_fit(df, ["g"], ["u", "w"], "ok").first()
     assert (row["feature"], row["threshold"], row["direction"], row["loss"]) == ("u", 0.3, 1, 0.0)
+
+
+def test_nested_vector_selection_against_direct_fits(spark):
+    """Choice, refit and held-out errors against decompositions of each fold's own rows."""
+    from trackloom.operators import nested as N
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(120):
+        v = rng.normal(size=6) * [3, 2, 1, 1, .5, .1] + [0, 5, 0, 0, 0, 100]
+        e = rng.normal(size=2)
+        rows.append((i % 4, v.tolist(), e.tolist(), float(v[0] - v[1] + .3 * v[4] + e[0] + rng.normal() + (i % 4))))
+    bad = [(0, [float("nan")] * 6, [0.0, 0.0], 1.0), (1, [0.0] * 6, [0.0, None], 1.0), (2, [0.0] * 6, [0.0, 0.0], None)]
+    df = spark.createDataFrame(rows + bad, "g int, v array<double>, e array<double>, y double")
+    families = [N.Family("mean", None), N.Family("pca", (1, 3, 9)), N.Family("both", (2, 4), True, "pca"), N.Family("whole", ())]
+    alphas = (0.1, 5.0, 300.0)
+
+    def direct(train, test, spec):
+        x = [np.array([r[1] for r in part], float) for part in (train, test)]
+        extra = [np.array([r[2] for r in part], float) for part in (train, test)]
+        scale = lambda a: tuple((b - a[0].mean(0)) / a[0].std(0) for b in a)
+        x, extra = scale(x), scale(extra)
+        parts = [np.zeros((len(part), 0)) for part in (train, test)]
+        if spec.components is not None:
+            axes = np.linalg.svd(x[0], full_matrices=False)[2][:spec.components or 6]
+            parts = [a @ axes.T for a in x]
+        if spec.extra:
+            parts = [np.column_stack(z) for z in zip(parts, extra)]
+        y = np.array([r[3] for r in train])
+        beta = np.linalg.solve(parts[0].T @ parts[0] + spec.alpha * np.eye(parts[0].shape[1]), parts[0].T @ (y - y.mean()))
+        return y.mean() + parts[1] @ beta
+
+    errors = lambda train, test, s: np.abs(direct(train, test, s) - [r[3] for r in test]).mean()
+    specs = N.specs_of(families, alphas)
+    want, held = {}, {}
+    for outer in range(4):
+        rest = [r for r in rows if r[0] != outer]
+        for f in families:
+            mine = [s for s in specs if s.family == f.name]
+            scored = [(np.mean([errors([r for r in rest if r[0] != i], [r for r in rest if r[0] == i], s) for i in range(4) if i != outer]),
+                       s.components or 0, s.alpha, s) for s in mine]
+            best = min(scored, key=lambda x: (round(x[0], 9), *x[1:3]))
+            want[outer, f.name] = (*best[1:3], round(best[0], 6))
+            held[outer, f.name] = round(errors(rest, [r for r in rows if r[0] == outer], best[3]), 6)
+    chosen = N.chosen_specs(N.inner_scores(df, "g", "v", "e", "y", families, alphas).withColumn("inner_mae", F.round("inner_mae", 9)))
+    got = {(r["held_out"], r["family"]): (r["components"], r["alpha"], round(r["inner_mae"], 6)) for r in chosen.collect()}
+    assert got == want
+    table = N.fold_table(N.refit_held_out(df, "g", "v", "e", "y", families, chosen), [], "g", "y", families).collect()
+    assert {(r["g"], r["family"]): round(r["mae"], 6) for r in table} == held
+    both = [r for r in table if r["family"] == "both"]
+    assert all(abs(r["change_vs_partner"] - (held[r["g"], "both"] - held[r["g"], "pca"])) < 2e-6 for r in both)
+    empty = N.inner_scores(df.limit(0), "g", "v", "e", "y", families, alphas)
+    assert empty.collect() == [] and N.chosen_specs(empty).collect() == []

@@ -10,6 +10,7 @@ from trackloom.operators import joins as J
 from trackloom.operators import labels as L
 from trackloom.operators import metrics as M
 from trackloom.operators import models as R
+from trackloom.operators import nested as N
 from trackloom.operators import ordered as O
 from trackloom.plans import fixtures as X
 from trackloom.plans.registry import query
@@ -350,6 +351,96 @@ def anchored_quantiles(t):
     return M.quantile_scores(wide, ["track_id"], "y", names)
 
 
+# Vectors with principal components: one moment pass serves every fold, component count and penalty.
+PAIR_ALPHAS = (1.0, 100.0, 1e4, 1e5)
+PAIR_FAMILIES = [N.Family("pca", (1, 2)), N.Family("pca_plus_scalar", (1, 2), True, "pca"), N.Family("scalar", None, True)]
+_G = "(c02 / (s0 * s2) + sg * c12 / (s1 * s2)) / sqrt(2e0)"
+_U = "(cy0 / s0 + sg * cy1 / s1) / sqrt(2e0)"
+_L = "(n * (1e0 + abs(c01) / (s0 * s1)) + alpha)"
+_DET = f"({_L} * (n + alpha) - n * {_G} * n * {_G})"
+_T = f"((n * {_U} * (n + alpha) - n * {_G} * n * cy2 / s2) / {_DET})"
+P0, P1 = solve2_sql("alpha")
+Q3 = solve3_sql(["true", "true", "true"], "alpha")
+#: Family, components, and the raw coefficients; the first axis of two values is (1, sign of their covariance).
+PAIR_FITS = [
+    ("pca", 1, f"n * {_U} / {_L} / sqrt(2e0) / s0", f"sg * n * {_U} / {_L} / sqrt(2e0) / s1", "0e0"), ("pca", 2, P0, P1, "0e0"),
+    ("pca_plus_scalar", 1, f"{_T} / sqrt(2e0) / s0", f"sg * {_T} / sqrt(2e0) / s1", f"({_L} * n * cy2 / s2 - n * {_G} * n * {_U}) / {_DET} / s2"),
+    ("pca_plus_scalar", 2, *Q3), ("scalar", 0, "0e0", "0e0", "n * cy2 / s2 / (n + alpha) / s2")]
+PAIR_SQL = X.with_sql(X.REGRESSION, """policies AS (SELECT 'all_rows' AS policy, * FROM regression_rows UNION ALL SELECT 'taxed_rows', * FROM regression_rows WHERE f3 >= 0.03e0),
+tracks AS (SELECT DISTINCT track_id AS h FROM regression_rows),
+folds AS (SELECT policy, a.h AS outer_, b.h AS inner_ FROM (VALUES ('all_rows'), ('taxed_rows')) v(policy), tracks a, tracks b),
+train AS (SELECT f.policy, outer_, inner_, f1, f2, f3, y FROM policies p JOIN folds f ON p.policy = f.policy AND track_id <> outer_ AND track_id <> inner_)""") + moments_sql(
+    "mom", "train", "policy, outer_, inner_", ["f1", "f2", "f3"], "y") + f""",
+grid AS (SELECT *, CASE WHEN c01 >= 0 THEN 1e0 ELSE -1e0 END AS sg FROM mom, (VALUES {", ".join(f"({a!r}::DOUBLE)" for a in PAIR_ALPHAS)}) g(alpha)),
+raw_fits AS ({" UNION ALL ".join(f"SELECT policy, outer_, inner_, '{f}' AS family, {c} AS components, alpha, my, m0, m1, m2, {k0} AS k0, {k1} AS k1, {k2} AS k2 FROM grid" for f, c, k0, k1, k2 in PAIR_FITS)}),
+fits AS (SELECT *, my - k0 * m0 - k1 * m1 - k2 * m2 AS a0 FROM raw_fits),
+inner_mae AS (SELECT outer_, inner_, family, components, alpha, avg(abs(a0 + k0 * f1 + k1 * f2 + k2 * f3 - y)) AS mae FROM fits JOIN regression_rows ON track_id = inner_
+  WHERE policy = 'all_rows' AND outer_ <> inner_ GROUP BY 1, 2, 3, 4, 5),
+candidates AS (SELECT outer_, family, components, alpha, avg(mae) AS inner_mae FROM inner_mae GROUP BY 1, 2, 3, 4),
+chosen AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY outer_, family ORDER BY inner_mae, components, alpha) = 1),
+"""
+
+
+def pair_rows(t):
+    return X.regression_rows(t).select("track_id", F.array("f1", "f2").alias("vector"), F.array("f3").alias("extra"), "f3", "y")
+
+
+def pair_scores(t):
+    return N.inner_scores(pair_rows(t), "track_id", "vector", "extra", "y", PAIR_FAMILIES, PAIR_ALPHAS)
+
+
+@query("nested_pair_scores", PAIR_SQL.rstrip().rstrip(",") + " SELECT outer_ AS held_out, family, components, alpha, inner_mae FROM candidates", "alpha inner_mae")
+def nested_pair_scores(t):
+    """M4/M7: inner score of every component count and penalty on two-value vectors, alone and with a scalar."""
+    return pair_scores(t)
+
+
+@query("nested_pair_selection", PAIR_SQL + """scored AS (SELECT p.policy, p.track_id, c.family, y, a0 + k0 * f1 + k1 * f2 + k2 * f3 AS p FROM policies p JOIN chosen c ON c.outer_ = p.track_id
+  JOIN fits f ON f.policy = p.policy AND f.outer_ = p.track_id AND f.inner_ = p.track_id AND f.family = c.family AND f.components = c.components AND f.alpha = c.alpha),
+errors AS (SELECT policy, track_id, family, count(*) AS n, avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, avg(p - y) AS signed_bias FROM scored GROUP BY 1, 2, 3)
+SELECT e.policy, e.track_id AS held_out, e.family, c.components, c.alpha, c.inner_mae, e.n, e.mae, e.rmse, e.signed_bias, CASE WHEN e.family = 'pca_plus_scalar' THEN 'pca' END AS partner,
+  e.mae - q.mae AS change_vs_partner, (e.mae - q.mae) / q.mae AS relative_change_vs_partner
+FROM errors e JOIN chosen c ON c.outer_ = e.track_id AND c.family = e.family LEFT JOIN errors q ON e.family = 'pca_plus_scalar' AND q.family = 'pca' AND q.policy = e.policy AND q.track_id = e.track_id""",
+       "alpha inner_mae mae rmse signed_bias change_vs_partner relative_change_vs_partner")
+def nested_pair_selection(t):
+    """Choice on all rows, locked and refitted per policy, scored held out, against the partner family."""
+    rows = materialize(pair_rows(t))
+    chosen = materialize(N.chosen_specs(N.inner_scores(rows, "track_id", "vector", "extra", "y", PAIR_FAMILIES, PAIR_ALPHAS)))
+    out = None
+    for policy, part in (("all_rows", rows), ("taxed_rows", rows.where(F.col("f3") >= d(0.03)))):
+        scored = N.refit_held_out(part, "track_id", "vector", "extra", "y", PAIR_FAMILIES, chosen).withColumn("policy", F.lit(policy))
+        out = scored if out is None else out.unionByName(scored)
+    table = N.fold_table(out, ["policy"], "track_id", "y", PAIR_FAMILIES).withColumnRenamed("track_id", "held_out")
+    return table.join(chosen, ["held_out", "family"])
+
+
+VECTOR_ALPHAS = (0.1, 1.0, 10.0, 100.0)
+VECTOR_COMPONENTS = (10, 20, 40, 80)
+VECTOR_FAMILIES = [
+    N.Family("training_mean", None), N.Family("summary_ridge", None, True), N.Family("vector_ridge", ()), N.Family("pca_ridge", VECTOR_COMPONENTS),
+    N.Family("vector_plus_summary_ridge", (), True, "vector_ridge"), N.Family("pca_plus_summary_ridge", VECTOR_COMPONENTS, True, "pca_ridge")]
+
+
+def vector_rows(t):
+    e = F.col("embedding")
+    total = F.aggregate(e, d(0), lambda a, v: a + v)
+    halves = [F.aggregate(F.slice(e, i, 32), d(0), lambda a, v: a + v) for i in (1, 33)]
+    squares = F.aggregate(F.transform(e, lambda v, i: v * v * (i % 8)), d(0), lambda a, v: a + v)
+    summary = F.array(F.array_max(e).cast("double"), F.array_min(e).cast("double"), total, halves[0] - halves[1])
+    return vectors(t).select("vec_id", "track_id", F.transform(e, lambda v: v.cast("double")).alias("vector"), summary.alias("extra"),
+                             (squares + total).alias("y"))
+
+
+@query("nested_vector_selection")
+def nested_vector_selection(t):
+    """Components and penalty chosen in nested folds on 64-value vectors, refitted and scored held out."""
+    rows = materialize(vector_rows(t))
+    chosen = materialize(N.chosen_specs(N.inner_scores(rows, "track_id", "vector", "extra", "y", VECTOR_FAMILIES, VECTOR_ALPHAS)))
+    scored = N.refit_held_out(rows, "track_id", "vector", "extra", "y", VECTOR_FAMILIES, chosen)
+    table = N.fold_table(scored, [], "track_id", "y", VECTOR_FAMILIES).withColumnRenamed("track_id", "held_out")
+    return table.join(chosen, ["held_out", "family"])
+
+
 GATE_FEATURES = ["n_chars", "tox", "log_chars", "source_number"]
 _Z = range(len(GATE_FEATURES))
 _LOGIT = "WITH RECURSIVE " + X.GATE_ROWS + """, src AS (SELECT quality, n_chars, CAST(toxic AS DOUBLE) AS tox, ln(n_chars + 1e0) AS log_chars, CAST(substr(source, 4) AS DOUBLE) AS source_number
