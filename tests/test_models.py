@@ -259,3 +259,58 @@ def test_nested_vector_selection_against_direct_fits(spark):
     assert all(abs(r["change_vs_partner"] - (held[r["g"], "both"] - held[r["g"], "pca"])) < 2e-6 for r in both)
     empty = N.inner_scores(df.limit(0), "g", "v", "e", "y", families, alphas)
     assert empty.collect() == [] and N.chosen_specs(empty).collect() == []
+
+
+def test_quantile_folds_reach_the_exact_optimum(spark):
+    """Losses against all corners of the piecewise linear objective; anchors, gaps, predictions
+    and the choice of the penalty against numpy."""
+    from trackloom.operators import quantile_folds as QF
+
+    rng = np.random.default_rng(5)
+    rows = [(i % 3, float(rng.uniform(1, 4)), None if i % 7 == 0 else float(rng.normal()), 0.0) for i in range(36)]
+    rows = [(g, a, x, float(2.5 * a + (x or 0.2) + rng.standard_t(2) + .2 * g)) for g, a, x, _ in rows]
+    df = spark.createDataFrame([*rows, (1, 2.0, 1.0, None), (2, None, 1.0, 3.0)], "g int, a double, x double, y double")
+    quantiles, alphas, names = (.05, .25, .5, .75, .95), (1e-3, 0.1), ["q05", "q25", "q50", "q75", "q95"]
+    models = {(r["held_out"], r["alpha"], r["quantile"]): r for r in QF.fit_folds(df, "g", "a", ["x"], "y", quantiles, alphas).collect()}
+    g, a, y = (np.array([r[i] for r in rows], float) for i in (0, 1, 3))
+    x = np.array([np.nan if r[2] is None else r[2] for r in rows])
+    ratio = {t: np.median(y[g == t]) / np.median(a[g == t]) for t in range(3)}
+    held = {}
+    for t in range(3):
+        k = np.mean([v for o, v in ratio.items() if o != t])
+        fill = np.nanmedian(x[g != t])
+        full = np.where(np.isnan(x), fill, x)
+        mean, sd = full[g != t].mean(), full[g != t].std()
+        z, r = (full[g != t] - mean) / sd, (y - k * a)[g != t]
+        for alpha in alphas:
+            held[t, alpha] = []
+            for q in quantiles:
+                got = models[t, alpha, q]
+                assert np.allclose([got["anchor_ratio"], got["medians"][0], got["means"][0], got["scales"][0]], [k, fill, mean, sd])
+
+                def objective(b, s):
+                    e = r - b - s * z
+                    return np.maximum(q * e, (q - 1) * e).mean() + alpha * abs(s)
+
+                corners = [(v, 0.0) for v in r]
+                for i, j in itertools.combinations(range(len(r)), 2):
+                    if z[i] != z[j]:
+                        s = (r[i] - r[j]) / (z[i] - z[j])
+                        corners.append((r[i] - s * z[i], s))
+                best = min(objective(*c) for c in corners)
+                assert best - 1e-9 <= got["loss"] <= best * (1 + 2e-3) + 1e-9
+                held[t, alpha].append(k * a[g == t] + got["intercept"] + got["coefficients"][0] * (full[g == t] - mean) / sd)
+    scores, wide = QF.protocol(df, "g", "a", ["x"], "y", quantiles, alphas, names)
+    want = {}
+    for alpha in alphas:
+        losses, level = [], []
+        for t in range(3):
+            fits = np.sort(np.stack(held[t, alpha]), axis=0)
+            e = y[g == t] - fits
+            losses.append(np.mean([np.maximum(q * e[i], (q - 1) * e[i]).mean() for i, q in enumerate(quantiles)]))
+            level.append(np.median(y[g == t]) - np.median(fits[2]))
+        want[alpha] = (np.mean(losses), np.sqrt(np.mean(np.square(level))))
+    for r in scores.collect():
+        assert np.allclose([r["mean_pinball"], r["level_uncertainty"]], want[r["alpha"]], atol=1e-9)
+        assert r["chosen"] == (r["alpha"] == min(alphas, key=lambda v: want[v][0]))
+    assert wide.count() == len(rows) and wide.where("q05 <= q25 and q25 <= q50 and q50 <= q75 and q75 <= q95").count() == len(rows)

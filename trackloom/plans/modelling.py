@@ -12,6 +12,7 @@ from trackloom.operators import metrics as M
 from trackloom.operators import models as R
 from trackloom.operators import nested as N
 from trackloom.operators import ordered as O
+from trackloom.operators import quantile_folds as QF
 from trackloom.plans import fixtures as X
 from trackloom.plans.registry import query
 from trackloom.plans.scoring import BUNDLE, bundle_sql
@@ -441,6 +442,63 @@ def nested_vector_selection(t):
     return table.join(chosen, ["held_out", "family"])
 
 
+QUANTILE_NAMES = ["q05", "q25", "q50", "q75", "q95"]
+QUANTILE_ALPHAS = (1e-4, 1e-3, 1e-2)
+
+
+def quantile_rows(t):
+    """Regression rows with gaps in one feature."""
+    gap = (F.col("l_orderkey") + F.col("l_linenumber")) % 11 == 0
+    return X.regression_rows(t).select("track_id", "f1", F.when(~gap, F.col("f2")).alias("f2"), "f3", "y")
+
+
+@query("quantile_protocol")
+def quantile_protocol(t):
+    """Penalty by held-out pinball, an anchor per fold, level error of held-out folds, inflated held-out scores."""
+    scores, wide = QF.protocol(quantile_rows(t), "track_id", "f1", ["f2", "f3"], "y", S.QUANTILES, QUANTILE_ALPHAS, QUANTILE_NAMES)
+    table = M.quantile_scores(wide, ["track_id", "alpha"], "y", QUANTILE_NAMES)
+    return table.join(scores.where("chosen").select("alpha", F.col("mean_pinball").alias("selection_pinball"), "level_uncertainty"), "alpha")
+
+
+INTERCEPT_SQL = X.with_sql(X.REGRESSION, f"""r AS (SELECT track_id, median(y) / median(f1) AS ratio FROM regression_rows GROUP BY 1),
+k AS (SELECT a.track_id AS held_out, avg(b.ratio) AS k FROM r a JOIN r b ON a.track_id <> b.track_id GROUP BY 1),
+train AS (SELECT held_out, y - k * f1 AS res FROM regression_rows JOIN k ON track_id <> held_out),
+qs AS (SELECT unnest([{", ".join(f"{q}::DOUBLE" for q in S.QUANTILES)}]) AS q),
+b AS ({" UNION ALL ".join(f"SELECT held_out, {q}::DOUBLE AS q, quantile_disc(res, {q}) AS b FROM train GROUP BY 1" for q in S.QUANTILES)}),
+l AS (SELECT b.held_out, b.q, avg(CASE WHEN res > b THEN b.q * (res - b) ELSE (b.q - 1) * (res - b) END) AS loss FROM b JOIN train t ON b.held_out = t.held_out GROUP BY 1, 2),
+h AS (SELECT held_out, b.q, avg(CASE WHEN y > k * f1 + b THEN b.q * (y - k * f1 - b) ELSE (b.q - 1) * (y - k * f1 - b) END) AS held_out_pinball FROM b JOIN k USING (held_out)
+  JOIN regression_rows ON track_id = held_out GROUP BY 1, 2)""")
+
+
+@query("quantile_intercepts", INTERCEPT_SQL + "SELECT held_out, q AS quantile, k AS anchor_ratio, loss, held_out_pinball FROM l JOIN k USING (held_out) JOIN h USING (held_out, q)",
+       "anchor_ratio loss held_out_pinball", 4)
+def quantile_intercepts(t):
+    """M8/M9: without features the fit is the residual quantile of each fold, in training and held-out loss."""
+    rows = X.regression_rows(t).select("track_id", "f1", "y")
+    models = materialize(QF.fit_folds(rows, "track_id", "f1", [], "y", S.QUANTILES, (0.0,)))
+    scored = QF.predict_held_out(rows, models, "track_id", "f1", [], QUANTILE_NAMES)
+    losses = [F.avg(M.pinball(F.col("y"), F.col(c), q)).alias(c) for c, q in zip(QUANTILE_NAMES, S.QUANTILES)]
+    at = F.create_map(*[v for c, q in zip(QUANTILE_NAMES, S.QUANTILES) for v in (F.lit(c), d(q))])
+    held = scored.groupBy(F.col("track_id").alias("held_out")).agg(*losses).unpivot(["held_out"], QUANTILE_NAMES, "name", "held_out_pinball")
+    held = held.withColumn("quantile", at[F.col("name")]).drop("name")
+    return models.select("held_out", "quantile", "anchor_ratio", "loss").join(held, ["held_out", "quantile"])
+
+
+LEVEL_SQL = INTERCEPT_SQL + """, mid AS (SELECT held_out, b FROM b WHERE q = 0.5e0),
+m AS (SELECT held_out, median(y) - median(k * f1 + b) AS e FROM mid JOIN k USING (held_out) JOIN regression_rows ON track_id = held_out GROUP BY 1),
+p AS (SELECT held_out, avg(held_out_pinball) AS pinball FROM h GROUP BY 1)
+SELECT count(*) AS folds, avg(pinball) AS mean_pinball, sqrt(avg(e * e)) AS level_uncertainty FROM m JOIN p USING (held_out)"""
+
+
+@query("level_uncertainty_held_out", LEVEL_SQL, "mean_pinball level_uncertainty", 4)
+def level_uncertainty_held_out(t):
+    """Level errors of models that held the track out."""
+    rows = X.regression_rows(t).select("track_id", "f1", "y")
+    models = materialize(QF.fit_folds(rows, "track_id", "f1", [], "y", S.QUANTILES, (0.0,)))
+    scored = QF.predict_held_out(rows, models, "track_id", "f1", [], QUANTILE_NAMES)
+    return QF.choose_alpha(scored, "track_id", "y", S.QUANTILES, QUANTILE_NAMES).select("folds", "mean_pinball", "level_uncertainty")
+
+
 GATE_FEATURES = ["n_chars", "tox", "log_chars", "source_number"]
 _Z = range(len(GATE_FEATURES))
 _LOGIT = "WITH RECURSIVE " + X.GATE_ROWS + """, src AS (SELECT quality, n_chars, CAST(toxic AS DOUBLE) AS tox, ln(n_chars + 1e0) AS log_chars, CAST(substr(source, 4) AS DOUBLE) AS source_number
