@@ -314,3 +314,29 @@ def test_quantile_folds_reach_the_exact_optimum(spark):
         assert np.allclose([r["mean_pinball"], r["level_uncertainty"]], want[r["alpha"]], atol=1e-9)
         assert r["chosen"] == (r["alpha"] == min(alphas, key=lambda v: want[v][0]))
     assert wide.count() == len(rows) and wide.where("q05 <= q25 and q25 <= q50 and q50 <= q75 and q75 <= q95").count() == len(rows)
+
+
+def test_gate_fits_per_fold(spark, monkeypatch):
+    """Logistic steps on counts and in passes against numpy; stumps against single fits."""
+    from trackloom.operators import gates as G
+    from trackloom.operators.labels import training_folds
+
+    rng = np.random.default_rng(9)
+    rows = [(i % 3, float(rng.integers(0, 6)), None if i % 9 == 0 else float(rng.normal()), bool(rng.random() < .4 + .1 * (i % 3)))
+            for i in range(90)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, ok boolean")
+    local = {r["held_out"]: r for r in G.logistic_folds(df, "g", ["a", "b"], "ok", steps=25).collect()}
+    monkeypatch.setattr(G, "LOCAL_ROWS", 1)
+    passed = {r["held_out"]: r for r in G.logistic_folds(df, "g", ["a", "b"], "ok", steps=25).collect()}
+    for t in range(3):
+        x = np.array([[r[1], r[2] or 0.0] for r in rows if r[0] != t])
+        y = np.array([r[3] for r in rows if r[0] != t], float)
+        z, w = (x - x.mean(0)) / x.std(0), np.zeros(3)
+        for _ in range(25):
+            gap = 1 / (1 + np.exp(-np.clip(w[0] + z @ w[1:], -20, 20))) - y
+            w = w - .1 * (np.r_[gap.mean(), z.T @ gap / len(y)] + .05 * np.r_[0, w[1:]])
+        for got in (local[t], passed[t]):
+            assert np.allclose([got["intercept"], *got["coefficients"]], w, atol=1e-9)
+    single = stump_fit(training_folds(df, "g", range(3)), ["held_out"], ["a", "b"], "ok")
+    rows_of = lambda d: sorted(map(tuple, d.select("held_out", "feature", "threshold", "direction", "loss").collect()))
+    assert rows_of(G.stump_folds(df, "g", ["a", "b"], "ok")) == rows_of(single)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
 from trackloom.functions.scalars import d
+from trackloom.operators import gates as G
 from trackloom.operators import labels as L
 from trackloom.operators import metrics as M
 from trackloom.operators import ordered as O
@@ -387,10 +388,11 @@ def judged_rows(t):
 SCOPED = ", scoped AS (SELECT *, 'aggregate' AS scope FROM judged_rows UNION ALL SELECT *, CAST(track_id AS VARCHAR) FROM judged_rows) "
 
 
-@query("gate_confusion", GATES_SQL + SCOPED + confusion_sql("scoped", "gate_id, scope"), CONF)
+@query("gate_confusion", GATES_SQL + SCOPED + "SELECT *, (left_mae + right_mae) / 2 AS combined_mae FROM (" + confusion_sql("scoped", "gate_id, scope") + ")", CONF + " combined_mae")
 def gate_confusion(t):
     """Confusion and conditional geometry errors of ten gates, all and per track."""
-    return L.gate_confusion(M.with_scopes(judged_rows(t), "track_id"), ["gate_id", "scope"])
+    out = L.gate_confusion(M.with_scopes(judged_rows(t), "track_id"), ["gate_id", "scope"])
+    return out.withColumn("combined_mae", (F.col("left_mae") + F.col("right_mae")) / 2)
 
 
 @query("gate_yield", GATES_SQL + """, every AS (SELECT g.id AS gate_id, g.acc AS accepted, CASE WHEN g.acc THEN 'accepted' WHEN NOT finite_prediction THEN 'nonfinite_boundary' ELSE 'objective_rule_failed' END AS why FROM gated),
@@ -420,22 +422,49 @@ def recommended_gate(t):
     return L.recommended_gate(L.gate_confusion(judged_rows(t), ["gate_id", "gate_rank"]))
 
 
-LOTO_SQL = GATES_SQL + """, train_rows AS (SELECT j.*, f.held_out FROM judged_rows j CROSS JOIN (VALUES (0), (1), (2)) f(held_out) WHERE j.track_id <> f.held_out),
+STUMP = ["slab_valid_fraction", "width_sensitivity", "width_disagreement", "limit_distance"]
+_W = range(len(STUMP))
+LOTO_SQL = "WITH RECURSIVE " + GATES_SQL.lstrip().removeprefix("WITH") + """, held AS (SELECT DISTINCT track_id AS held_out FROM judged_rows),
+train_rows AS (SELECT j.*, f.held_out FROM judged_rows j JOIN held f ON j.track_id <> f.held_out),
 tm AS (""" + confusion_sql("train_rows", "held_out, gate_id, gate_rank") + """),
 chosen AS (SELECT held_out, gate_id FROM (SELECT *, row_number() OVER (PARTITION BY held_out ORDER BY fp <= 1 DESC, coalesce(recall, 0) >= 0.7e0 DESC, coalesce(precision, 0) + coalesce(recall, 0) DESC, coalesce(width_mae, 99), gate_rank) AS rn FROM tm) WHERE rn = 1),
-tests AS (""" + confusion_sql("judged_rows", "track_id, gate_id") + """)
-SELECT c.held_out, c.gate_id AS selected_gate, t.tp, t.fp, t.fn, t.tn, t.precision, t.recall, t.width_mae FROM chosen c JOIN tests t ON c.held_out = t.track_id AND c.gate_id = t.gate_id"""
+tests AS (""" + confusion_sql("judged_rows", "track_id, gate_id") + """),
+one AS (SELECT j.*, """ + ", ".join(f"round(coalesce(f.{c}, 0e0), 9) AS v{i}" for i, c in enumerate(STUMP)) + """ FROM judged_rows j JOIN features f USING (vec_id) WHERE j.gate_rank = 0),
+tr AS MATERIALIZED (SELECT held_out, one.* FROM one JOIN held ON track_id <> held_out),
+long AS (""" + " UNION ALL ".join(f"SELECT held_out, {i} AS fr, v{i} AS x, available AS y FROM tr" for i in _W) + """),
+cuts AS (SELECT DISTINCT held_out, fr, x AS threshold FROM long),
+losses AS (SELECT c.held_out, c.fr, c.threshold, d.dir, avg(CASE WHEN (d.dir * l.x >= d.dir * c.threshold) <> l.y THEN 1e0 ELSE 0e0 END) AS loss
+  FROM cuts c JOIN long l ON c.held_out = l.held_out AND c.fr = l.fr CROSS JOIN (VALUES (1), (-1)) d(dir) GROUP BY 1, 2, 3, 4),
+split AS (SELECT * FROM losses QUALIFY row_number() OVER (PARTITION BY held_out ORDER BY loss, fr, threshold, dir DESC) = 1),
+tree_rows AS (SELECT one.* REPLACE (finite_prediction AND dir * CASE fr """ + " ".join(f"WHEN {i} THEN v{i}" for i in _W) + """ END >= dir * threshold AS accepted) FROM one JOIN split ON track_id = held_out),
+st AS (SELECT held_out, """ + ", ".join(f"avg(v{i}) AS m{i}, CASE WHEN stddev_pop(v{i}) < 1e-12 THEN 1e0 ELSE stddev_pop(v{i}) END AS s{i}" for i in _W) + """ FROM tr GROUP BY 1),
+z AS MATERIALIZED (SELECT held_out AS h, """ + ", ".join(f"(v{i} - m{i}) / s{i} AS z{i}" for i in _W) + """, CASE WHEN available THEN 1e0 ELSE 0e0 END AS y FROM tr JOIN st USING (held_out)),
+w AS (SELECT 0 AS k, held_out AS h, 0e0 AS a, """ + ", ".join(f"0e0 AS b{i}" for i in _W) + """ FROM held UNION ALL
+  SELECT any_value(k) + 1, h, any_value(a) - 0.1e0 * avg(g), """ + ", ".join(f"any_value(b{i}) - 0.1e0 * (avg(g * z{i}) + 0.05e0 * any_value(b{i}))" for i in _W) + """
+  FROM (SELECT w.*, """ + ", ".join(f"z{i}" for i in _W) + ", 1e0 / (1e0 + exp(-greatest(-20e0, least(20e0, a + " + " + ".join(f"b{i} * z{i}" for i in _W) + """)))) - y AS g FROM w JOIN z ON w.h = z.h WHERE k < 1000) GROUP BY h),
+logistic_rows AS (SELECT one.* REPLACE (finite_prediction AND a + """ + " + ".join(f"b{i} * (v{i} - m{i}) / s{i}" for i in _W) + """ >= 0 AS accepted) FROM one JOIN st ON track_id = st.held_out JOIN w ON w.h = st.held_out AND w.k = 1000),
+tree_tests AS (""" + confusion_sql("tree_rows", "track_id") + """), logistic_tests AS (""" + confusion_sql("logistic_rows", "track_id") + """),
+every AS (SELECT track_id AS held_out, gate_id, CAST(NULL AS VARCHAR) AS selected_gate, 'shared_fixed_rule' AS role, * EXCLUDE (track_id, gate_id) FROM tests
+  UNION ALL SELECT c.held_out, 'selected_shared_rule', c.gate_id, 'selected_on_other_tracks', t.* EXCLUDE (track_id, gate_id) FROM chosen c JOIN tests t ON c.held_out = t.track_id AND c.gate_id = t.gate_id
+  UNION ALL SELECT track_id, 'diagnostic_tree', NULL, 'diagnostic_training_tracks', * EXCLUDE (track_id) FROM tree_tests
+  UNION ALL SELECT track_id, 'diagnostic_logistic', NULL, 'diagnostic_training_tracks', * EXCLUDE (track_id) FROM logistic_tests)
+SELECT *, (left_mae + right_mae) / 2 AS combined_mae FROM every"""
+
+
+@query("gate_loto", LOTO_SQL, CONF + " combined_mae")
+def gate_loto(t):
+    """Fixed rules, the rule chosen on the other tracks, and the tree and logistic rule fitted there, on each held-out track."""
+    rows = materialize(judged_features(t).withColumns({f"v_{c}": F.round(F.coalesce(F.col(c), d(0)), 9) for c in STUMP}))
+    return G.held_out_gates(rows, "track_id", L.quality_gates(), [f"v_{c}" for c in STUMP])
 
 
-@query("gate_loto", LOTO_SQL, "precision recall width_mae")
-def gate_loto(t):
-    """The gate chosen on the other tracks, scored on the held-out one."""
-    rows = judged_rows(t)
-    train = L.gate_confusion(L.training_folds(rows, "track_id", range(3)), ["held_out", "gate_id", "gate_rank"])
-    chosen = L.best_gate(train, ["held_out"])
-    tests = L.gate_confusion(rows, ["track_id", "gate_id"]).withColumnsRenamed({"track_id": "held_out", "gate_id": "selected_gate"})
-    return chosen.join(tests, ["held_out", "selected_gate"]).select(
-        "held_out", "selected_gate", "tp", "fp", "fn", "tn", "precision", "recall", "width_mae")
+@query("gate_yield_by_track", GATES_SQL + """SELECT g.id AS gate_id, track_id, count(*) AS positions, count(*) FILTER (WHERE g.acc) AS accepted_count, avg(CASE WHEN g.acc THEN 1e0 ELSE 0e0 END) AS accepted_fraction FROM gated GROUP BY 1, 2""", "accepted_fraction")
+def gate_yield_by_track(t):
+    """Accepted positions of each gate per track."""
+    rows = L.apply_gates(materialize(quality_features(t)), L.quality_gates())
+    return rows.groupBy("gate_id", "track_id").agg(
+        F.count(F.lit(1)).alias("positions"), F.count_if(F.col("accepted")).alias("accepted_count"),
+        F.avg(F.col("accepted").cast("double")).alias("accepted_fraction"))
 
 
 @query("error_cases", GATES_SQL + """SELECT gate_id, vec_id, kind AS "case" FROM (SELECT *, CASE WHEN accepted AND NOT available THEN 'false_accept' WHEN NOT accepted AND available THEN 'false_reject'
@@ -445,7 +474,6 @@ def error_cases(t):
     return L.error_cases(judged_rows(t)).select("gate_id", "vec_id", "case")
 
 
-STUMP = ["slab_valid_fraction", "width_sensitivity", "width_disagreement", "limit_distance"]
 STUMP_SQL = FEATURE_SQL + ", rows_ AS (SELECT f.track_id, quality = 1 AS y, h.held_out, " + ", ".join(f"round(coalesce({c}, 0e0), 9) AS {c}" for c in STUMP) + """ FROM features f JOIN labels ON vec_id = doc_id CROSS JOIN (VALUES (0), (1), (2)) h(held_out) WHERE f.track_id <> h.held_out),
 long AS (""" + " UNION ALL ".join(f"SELECT held_out, {i} AS fr, '{c}' AS feature, {c} AS x, y FROM rows_" for i, c in enumerate(STUMP)) + """),
 cuts AS (SELECT DISTINCT held_out, fr, feature, x AS threshold FROM long),
