@@ -138,3 +138,74 @@ def test_crop_pads_with_zero_and_flags_the_edge(spark):
     centres = spark.createDataFrame([(1, 0.5, 4.5)], "frame int, cx double, cy double")
     out = R.centred_crop(cells, centres, ["frame"], 8, 8, 4)
     assert out.count() == 16 and out.agg(F.sum("v")).first()[0] == 8.0 and out.first()["edge"]
+
+
+def test_frame_kernels_with_missing_cells(spark):
+    """Array statistics against loops over the known cells of each frame."""
+    import warnings
+
+    from trackloom.operators import frames as FR
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(7, 4, 6))
+    x[1, 2, 3] = x[1, 0, 0] = np.nan
+    x[2] = 3.0
+    x[3] = np.nan
+    rows = [(i, [None if np.isnan(v) and v_i % 2 else float(v) for v_i, v in enumerate(f.ravel())]) for i, f in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, f array<double>")
+    got = {r["k"]: r for r in FR.per_frame(df, ["k"], "f", 4, 6, FR.SUMMARY, FR.summary).collect()}
+    scores = {r["k"]: r["score"] for r in FR.frame_scores(df, ["k"], "f", 4, 6).collect()}
+    centres = {r["k"]: r for r in FR.per_frame(df, ["k"], "f", 4, 6, ["cx", "cy", "hot_cells"], FR.hot_centre).collect()}
+    for i, f in enumerate(x):
+        known = f[~np.isnan(f)]
+        if not len(known):
+            assert got[i]["mean"] is None and scores[i] is None and centres[i]["cx"] is None
+            continue
+        p10, p95 = np.quantile(known, [.1, .95])
+        assert np.allclose([got[i]["mean"], got[i]["std"], got[i]["p10"], got[i]["high"]], [known.mean(), known.std(), p10, known.max()])
+        assert np.isclose(got[i]["hot_fraction"], (known >= p95).mean()) and np.isclose(scores[i], np.quantile(known, .995))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            assert np.isclose(got[i]["grad_x"], np.nanmean(np.abs(f[:, 1:] - f[:, :-1])))
+        w = {(r, c): max(f[r, c] - p95, 0) + 1e-12 for r in range(4) for c in range(6) if f[r, c] >= p95}
+        assert np.isclose(centres[i]["cx"], sum(v * c for (_, c), v in w.items()) / sum(w.values())) and centres[i]["hot_cells"] == len(w)
+    shape = {r["k"]: r for r in FR.per_frame(df, ["k"], "f", 4, 6, FR.SHAPE, FR.shape).collect()}
+    assert shape[2]["failure"] == shape[3]["failure"] == 1.0 and shape[2]["major_axis"] == 0.0 and shape[0]["failure"] == 0.0
+    indexed = df.selectExpr("0 AS t", "k AS idx", "f")
+    pairs = {r["idx"]: r for r in FR.consecutive(indexed, "t", "idx", "f", 4, 6).collect()}
+    ok = ~np.isnan(x[1])
+    assert np.isclose(pairs[1]["mean_abs_difference"], np.abs(x[1] - x[0])[ok].mean())
+    assert np.isclose(pairs[1]["correlation"], np.corrcoef(x[1][ok], x[0][ok])[0, 1]) and pairs[3]["mean_abs_difference"] is None
+    assert FR.per_frame(df.limit(0), ["k"], "f", 4, 6, FR.SUMMARY, FR.summary).collect() == []
+    with pytest.raises(Exception, match="must have 4 x 5 cells"):
+        FR.per_frame(df, ["k"], "f", 4, 5, FR.SUMMARY, FR.summary).collect()
+
+
+def test_strips_are_cut_from_row_blocks(spark):
+    """Ranges beside the mask, sums and area averages against the whole tile in numpy."""
+    from pyspark.sql import functions as F
+
+    from trackloom.functions.scalars import d
+    from trackloom.operators import frames as FR
+
+    rng = np.random.default_rng(6)
+    image = rng.normal(size=(37, 5))
+    rows = spark.createDataFrame([("a", r, line.tolist()) for r, line in enumerate(image)], "tile string, r int, pixels array<float>")
+    at = spark.createDataFrame([("a", i, i * 0.35) for i in range(9)], "tile string, position int, x double").withColumns(
+        FR.strip_ranges(F.col("x"), d(.4), d(1.0), d(.1), F.lit(37)))
+    strips = FR.strips_of(at, ["tile", "position"])
+    cut = FR.cut_strips(strips, ["tile", "position"], FR.tile_blocks(rows, ["tile"], "r", "pixels", 6), ["tile"], 6, 5, 4)
+    want = {(r["position"], r["side"]): (r["lo"], r["hi"]) for r in strips.collect()}
+    got = {(r["position"], r["side"]): r for r in cut.collect()}
+    assert got.keys() == want.keys() and not any(r["overlap"] for r in got.values()) and (0, "up") not in got
+    image = image.astype(np.float32).astype(float)
+    fine = lambda a, n: np.repeat(np.repeat(a, n, axis=0), n, axis=1)
+    for key, (lo, hi) in want.items():
+        part = image[lo:hi]
+        assert got[key]["cells"] == part.size and np.isclose(got[key]["total"], part.sum()) and np.isclose(got[key]["squares"], (part ** 2).sum())
+        whole = fine(part, 4)  # every pixel 4 x 4 times, so quarters of the strip are whole pixels
+        means = whole.reshape(4, hi - lo, 4, 5).mean(axis=(1, 3))
+        assert np.allclose(got[key]["grid"], means.ravel())
+    vectors = {r["position"]: r["vector"] for r in FR.raw_vector(cut, ["tile", "position"], 4).collect()}
+    assert all(len(v) == 32 for v in vectors.values()) and vectors[0][:16] == [0.0] * 16
+    assert {r["side"] for r in FR.strips_of(at, ["tile", "position"], upstream_only=True).collect()} == {"up"}

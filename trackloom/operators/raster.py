@@ -37,29 +37,6 @@ def frame_context(cells: DataFrame, key: Sequence[str], percentiles: Sequence[st
     return out.withColumns({p: F.col("_p")[i] for i, p in enumerate(percentiles)}).drop("_p")
 
 
-def _halves(axis: str, size: int) -> Column:
-    low = F.col(axis) < size // 2
-    return F.avg(F.when(low, F.col("v"))) - F.avg(F.when(~low, F.col("v")))
-
-
-def frame_summary(cells: DataFrame, key: Sequence[str], height: int, width: int) -> DataFrame:
-    """Seventeen statistics per frame."""
-    rows = frame_context(cells, key, ["p10", "p50", "p90", "p95", "p99"])
-    excess = F.greatest(F.col("v") - F.col("p10"), d(0))
-    total = F.greatest(F.sum(excess), d(1))
-    return rows.groupBy(*key).agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"),
-        F.max("v").alias("high"), F.max("p10").alias("p10"), F.max("p50").alias("p50"),
-        F.max("p90").alias("p90"), F.max("p99").alias("p99"),
-        (F.max("v") - F.max("p10")).alias("contrast"),
-        F.avg((F.col("v") >= F.col("p95")).cast("double")).alias("hot_fraction"),
-        (F.sum(excess * F.col("c")) / total / d(width - 1)).alias("centroid_x"),
-        (F.sum(excess * F.col("r")) / total / d(height - 1)).alias("centroid_y"),
-        _halves("c", width).alias("left_right"), _halves("r", height).alias("up_down"),
-        F.avg(F.abs("gx")).alias("grad_x"), F.avg(F.abs("gy")).alias("grad_y"),
-        F.avg(excess).alias("mean_excess"))
-
-
 def block_mean(cells: DataFrame, key: Sequence[str], height: int, width: int, grid: int) -> DataFrame:
     """Mean of each block of a grid x grid partition of the frame."""
     if height % grid or width % grid:
@@ -77,15 +54,6 @@ def robust_scaled(cells: DataFrame, key: Sequence[str]) -> DataFrame:
                        (F.col("v") - F.col("p10")).alias("above_background"))
 
 
-def hotspot(cells: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Weighted centroid of the cells at or above the frame's p95."""
-    rows = frame_context(cells, key, ["p95"]).where(F.col("v") >= F.col("p95"))
-    w = F.greatest(F.col("v") - F.col("p95"), d(0)) + d(1e-12)
-    return rows.groupBy(*key).agg(
-        (F.sum(w * F.col("c")) / F.sum(w)).alias("cx"), (F.sum(w * F.col("r")) / F.sum(w)).alias("cy"),
-        F.count(F.lit(1)).alias("hot_cells"))
-
-
 def centred_crop(cells: DataFrame, centres: DataFrame, key: Sequence[str], height: int, width: int,
                  size: int) -> DataFrame:
     """size x size window around (cx, cy), zero outside the frame, with an edge flag."""
@@ -101,52 +69,6 @@ def centred_crop(cells: DataFrame, centres: DataFrame, key: Sequence[str], heigh
     return joined.select(*key, "edge", "rr", "rc", F.coalesce("v", d(0)).alias("v"))
 
 
-def shape_features(cells: DataFrame, key: Sequence[str], height: int, width: int) -> DataFrame:
-    """Nineteen shape features of the hot region (second moments in closed form)."""
-    rows = frame_context(cells, key, ["p10", "p90", "p95", "p97", "p99"])
-    by = Window.partitionBy(*key)
-    hot = F.col("v") >= F.col("p95")
-    excess = F.greatest(F.col("v") - F.col("p10"), d(0))
-    w = F.when(hot, excess).otherwise(d(0))
-    rows = rows.withColumns({"_e": excess, "_w": w}).withColumns({
-        "_mx": F.try_divide(F.sum(F.col("_w") * F.col("c")).over(by), F.sum("_w").over(by)),
-        "_my": F.try_divide(F.sum(F.col("_w") * F.col("r")).over(by), F.sum("_w").over(by))})
-    dx, dy, wt = F.col("c") - F.col("_mx"), F.col("r") - F.col("_my"), F.sum("_w")
-
-    def share(p: str) -> Column:
-        return F.avg((F.col("v") >= F.col(p)).cast("double"))
-
-    m = rows.groupBy(*key).agg(
-        *[share(p).alias(f"fraction_{p}") for p in ("p90", "p95", "p97", "p99")],
-        wt.alias("_t"), F.max("_mx").alias("_mx"), F.max("_my").alias("_my"),
-        F.try_divide(F.sum(F.col("_w") * dx * dx), wt).alias("_xx"),
-        F.try_divide(F.sum(F.col("_w") * dy * dy), wt).alias("_yy"),
-        F.try_divide(F.sum(F.col("_w") * dx * dy), wt).alias("_xy"),
-        F.count_if(hot).alias("_hot"), (F.max("v") - F.max("p10")).alias("contrast"),
-        F.avg("_e").alias("mean_excess"), F.avg(F.abs("gx")).alias("grad_x"),
-        F.avg(F.abs("gy")).alias("grad_y"), _halves("c", width).alias("left_right"),
-        _halves("r", height).alias("up_down"))
-    mid = (F.col("_xx") + F.col("_yy")) / 2
-    half = F.sqrt(F.pow((F.col("_xx") - F.col("_yy")) / 2, 2) + F.col("_xy") * F.col("_xy"))
-    m = m.withColumns({"_e1": mid + half, "_e2": mid - half})
-    major, minor = (2 * F.sqrt(F.greatest(F.col(e), d(0))) for e in ("_e1", "_e2"))
-    area = d(height * width)
-    features = {
-        "fraction_p90": F.col("fraction_p90"), "fraction_p95": F.col("fraction_p95"),
-        "fraction_p97": F.col("fraction_p97"), "fraction_p99": F.col("fraction_p99"),
-        "equivalent_diameter": 2 * F.sqrt(F.col("_hot") / d(math.pi)) / d(width),
-        "major_axis": major / d(width), "minor_axis": minor / d(width),
-        "axis_ratio": major / F.greatest(minor, d(1e-9)),
-        "centroid_x": F.col("_mx") / d(width - 1), "centroid_y": F.col("_my") / d(height - 1),
-        "eigen_1": F.col("_e1") / area, "eigen_2": F.col("_e2") / area,
-        "contrast": F.col("contrast"), "mean_excess": F.col("mean_excess"),
-        "grad_x": F.col("grad_x"), "grad_y": F.col("grad_y"),
-        "left_right": F.col("left_right"), "up_down": F.col("up_down")}
-    failed = F.coalesce(F.col("_t") <= 0, F.lit(True))
-    return m.select(*key, *[F.when(failed, d(0)).otherwise(c).alias(k) for k, c in features.items()],
-                    failed.cast("double").alias("failure"))
-
-
 def isotherm_extents(cells: DataFrame, key: Sequence[str], levels: Sequence[float], pixel_mm: float) -> DataFrame:
     """Width of the columns holding a cell above each level; 0 for fewer than two columns."""
     columns = cells.groupBy(*key, "c").agg(F.max("v").alias("peak"))
@@ -201,38 +123,6 @@ def gaussian_blur(cells: DataFrame, key: Sequence[str], sigma: float, radius: in
     return _blur_lines(rows, key, "c", "r", "_h", taps, "blurred")
 
 
-def strip_statistics(cells: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Fourteen texture statistics of each strip; values are grey levels in [0, 1]."""
-    by = Window.partitionBy(*key)
-    row, col = Window.partitionBy(*key, "r").orderBy("c"), Window.partitionBy(*key, "c").orderBy("r")
-    left, right = F.lag("v").over(row), F.lead("v").over(row)
-    up, down = F.lag("v").over(col), F.lead("v").over(col)
-    v = F.col("v")
-    lap = (F.coalesce(left, right, v) + F.coalesce(right, left, v) + F.coalesce(up, down, v)
-           + F.coalesce(down, up, v) - 4 * v)
-    rows = cells.withColumns({"_gx": v - left, "_gy": v - up, "_lap": lap})
-    # Sigma 3 takes a 25-tap kernel.
-    blur = gaussian_blur(cells, key, 3.0, 12)
-    rows = rows.join(blur, [*key, "r", "c"])
-    probs = F.array(*[F.lit(p) for p in (.05, .25, .5, .75, .95)])
-    g = F.coalesce(F.col("_gx"), F.when(F.col("_cols") == 1, F.col("_gy")))
-    rows = rows.withColumn("_cols", F.max("c").over(by) - F.min("c").over(by) + 1)
-    main = rows.groupBy(*key).agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", probs).alias("_p"),
-        F.avg(g * g).alias("gradient_energy"), F.avg((F.abs(g) > d(0.08)).cast("double")).alias("edge_fraction"),
-        F.var_pop("_lap").alias("laplacian_variance"), F.avg(F.abs(v - F.col("blurred"))).alias("detail"),
-        F.avg(v * v).alias("mean_square"))
-    bin32 = F.least(F.floor(v * 32), F.lit(31).cast("long"))
-    hist = cells.where((v >= 0) & (v <= 1)).groupBy(*key, bin32.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    n = F.sum("_c")
-    entropy = hist.groupBy(*key).agg((F.log2(n) - F.sum(F.col("_c") * F.log2("_c")) / n).alias("entropy"))
-    names = ("p05", "p25", "median", "p75", "p95")
-    return main.join(entropy, list(key), "left").select(
-        *key, "mean", "std", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)],
-        (F.col("_p")[4] - F.col("_p")[0]).alias("p95_p05"), "gradient_energy", "edge_fraction",
-        "laplacian_variance", "detail", F.coalesce("entropy", d(0)).alias("entropy"), "mean_square")
-
-
 STRIP_NAMES = ("mean", "std", "median", "p05", "p25", "p75", "p95", "p95_p05", "gradient_energy",
                "edge_fraction", "laplacian_variance", "detail", "entropy", "mean_square")
 
@@ -271,18 +161,6 @@ def area_resize(cells: DataFrame, key: Sequence[str], height: int, width: int, o
     return long.groupBy(*key, "orow", "ocol").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
 
 
-def consecutive_frames(cells: DataFrame, track: str, index: str) -> DataFrame:
-    """Mean absolute change, correlation and repeat flags against the previous frame."""
-    prev = cells.select(track, (F.col(index) + 1).alias(index), "r", "c", F.col("v").alias("pv"))
-    pairs = cells.join(prev, [track, index, "r", "c"])
-    norm = F.stddev_pop("v") * F.stddev_pop("pv") * F.count(F.lit(1))
-    out = pairs.groupBy(track, index).agg(
-        F.avg(F.abs(F.col("v") - F.col("pv"))).alias("mean_abs_difference"),
-        (F.covar_pop("v", "pv") * F.count(F.lit(1)) / F.greatest(norm, d(1e-12))).alias("correlation"))
-    return out.withColumns({"duplicate": F.col("mean_abs_difference") == 0,
-                            "near_duplicate": F.col("mean_abs_difference") < d(1e-6)})
-
-
 def source_inventory(cells: DataFrame, track: str, frame: str) -> DataFrame:
     """Value range, moments, percentiles, bad-value counts and degenerate fractions per track."""
     v = F.col("v")

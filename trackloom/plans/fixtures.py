@@ -109,6 +109,11 @@ gate_rows AS (
 """
 
 
+def frames(t: Tables) -> DataFrame:
+    """Each vector as an 8x8 frame in one array."""
+    return t.embeddings.select(F.col("vec_id").alias("frame"), (F.col("label") % 3).cast("int").alias("track_id"), "embedding")
+
+
 def cells(t: Tables) -> DataFrame:
     """Each vector as an 8x8 frame in long form."""
     return t.embeddings.select(

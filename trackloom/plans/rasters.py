@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.functions.scalars import THERMAL_PIXEL_MM, d
+from trackloom.functions.scalars import CONTEXT_MM, MASK_HALF_MM, THERMAL_PIXEL_MM, d
+from trackloom.operators import frames as FR
 from trackloom.operators import raster as R
+from trackloom.operators import sequence as Q
 from trackloom.operators.ordered import dense_index
 from trackloom.plans import fixtures as X
 from trackloom.plans.registry import query
+from trackloom.plans.sequences import active_sql
 from trackloom.session import attach
 
 PCT_SQL = X.with_sql(X.CELLS, """
@@ -26,10 +29,19 @@ SUMMARY_SQL = PCT_SQL + """, summary AS (SELECT frame, track_id, avg(v) AS mean,
 KEY = ["frame", "track_id"]
 
 
+def summaries(t):
+    return FR.per_frame(X.frames(t), KEY, "embedding", 8, 8, FR.SUMMARY, FR.summary)
+
+
+def hotspots(t, key):
+    found = FR.per_frame(X.frames(t), key, "embedding", 8, 8, ["cx", "cy", "hot_cells"], FR.hot_centre)
+    return found.withColumn("hot_cells", F.col("hot_cells").cast("long"))
+
+
 @query("frame_summary", SUMMARY_SQL + "SELECT * FROM summary", SUMMARY)
 def frame_summary(t):
     """Seventeen statistics per frame."""
-    return R.frame_summary(X.cells(t), KEY, 8, 8)
+    return summaries(t)
 
 
 @query("frame_shift", SUMMARY_SQL + ", long AS (UNPIVOT (SELECT * EXCLUDE (frame) FROM summary) ON COLUMNS(* EXCLUDE (track_id)) INTO NAME feature VALUE x)," + """
@@ -38,7 +50,7 @@ SELECT feature, count(*) AS tracks, max(m) - min(m) AS between_range, avg(s) AS
 FROM per JOIN pooled USING (feature) GROUP BY 1""", "between_range within_std ratio pooled_std")
 def frame_shift(t):
     """Distribution shift of frame features between tracks."""
-    return R.distribution_shift(R.frame_summary(X.cells(t), KEY, 8, 8), "track_id", SUMMARY.split())
+    return R.distribution_shift(summaries(t), "track_id", SUMMARY.split())
 
 
 @query("block_mean", X.with_sql(X.CELLS) + """SELECT frame, CAST(floor(r / 2e0) AS INT) AS br, CAST(floor(c / 2e0) AS INT) AS bc, avg(v) AS v FROM cells GROUP BY 1, 2, 3""", "v")
@@ -60,7 +72,7 @@ HOT_SQL = PCT_SQL + """, hot AS (SELECT frame, sum((greatest(v - p95, 0e0) + 1e-
 @query("hotspot", HOT_SQL + "SELECT * FROM hot", "cx cy")
 def hotspot(t):
     """Weighted hotspot centroid."""
-    return R.hotspot(X.cells(t), ["frame"])
+    return hotspots(t, ["frame"])
 
 
 @query("centred_crop", HOT_SQL + """, roi AS (SELECT frame, CAST(round_even(cx, 0) AS INT) - 2 AS x0, CAST(round_even(cy, 0) AS INT) - 2 AS y0, i FROM hot CROSS JOIN (SELECT unnest(range(0, 16)) AS i))
@@ -68,8 +80,7 @@ SELECT a.frame, CAST(i // 4 AS INT) AS rr, CAST(i % 4 AS INT) AS rc, x0 < 0 OR y
 FROM roi a LEFT JOIN cells b ON a.frame = b.frame AND b.r = y0 + i // 4 AND b.c = x0 + i % 4""", "v")
 def centred_crop(t):
     """Zero-padded window around the hotspot."""
-    cells = X.cells(t)
-    return R.centred_crop(cells, R.hotspot(cells, ["frame"]), ["frame"], 8, 8, 4)
+    return R.centred_crop(X.cells(t), hotspots(t, ["frame"]), ["frame"], 8, 8, 4)
 
 
 SHAPE = ("fraction_p90 fraction_p95 fraction_p97 fraction_p99 equivalent_diameter major_axis minor_axis axis_ratio centroid_x centroid_y "
@@ -89,7 +100,7 @@ SELECT frame, f90 AS fraction_p90, f95 AS fraction_p95, f97 AS fraction_p97, f99
   mx / 7e0 AS centroid_x, my / 7e0 AS centroid_y, e1 / 64e0 AS eigen_1, e2 / 64e0 AS eigen_2, contrast, mean_excess, grad_x, grad_y, left_right, up_down, 0e0 AS failure FROM g""", SHAPE)
 def shape_moments(t):
     """Nineteen shape features from second moments."""
-    return R.shape_features(X.cells(t), ["frame"], 8, 8)
+    return FR.per_frame(X.frames(t), ["frame"], "embedding", 8, 8, FR.SHAPE, FR.shape)
 
 
 LEVELS = (0.05, 0.10, 0.15, 0.20, 0.30)
@@ -122,16 +133,18 @@ stats AS (SELECT frame, side, avg(v) AS mean, stddev_pop(v) AS std, median(v) AS
 STRIP = " ".join(R.STRIP_NAMES)
 
 
-def strips(t):
-    left = F.col("c") < 4
-    return X.cells(t).select("frame", F.when(left, "up").otherwise("down").alias("side"), "r",
-                             F.when(left, F.col("c")).otherwise(F.col("c") - 4).alias("c"), (F.col("v") + d(0.5)).alias("v"))
+def textures(t):
+    """Both half strips of each frame, cut out of its array."""
+    grey = lambda low: F.filter(F.transform("embedding", lambda v: v.cast("double") + d(0.5)), lambda _, i: (i % 8 >= low) & (i % 8 < low + 4))
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), grey(low).alias("cells")) for n, low in (("up", 0), ("down", 4))])
+    rows = X.frames(t).select("frame", F.explode(sides).alias("s")).select("frame", "s.*")
+    return FR.per_frame(rows, ["frame", "side"], "cells", 8, 4, FR.TEXTURE, FR.texture)
 
 
 @query("strip_stats", STRIP_SQL + "SELECT * FROM stats", STRIP)
 def strip_stats(t):
     """Fourteen texture statistics per strip."""
-    return R.strip_statistics(strips(t), ["frame", "side"])
+    return textures(t)
 
 
 @query("strip_vector", STRIP_SQL + """, arr AS (SELECT frame, side, [mean, std, median, p05, p25, p75, p95, p95_p05, gradient_energy, edge_fraction, laplacian_variance, detail, entropy, mean_square] AS a FROM stats),
@@ -139,8 +152,7 @@ vec AS (SELECT u.frame, u.a || w.a || [u.a[1] - w.a[1], u.a[9] - w.a[9], 1e0, 0e
 SELECT frame, CAST(i - 1 AS INT) AS position, v[i] AS value FROM vec, range(1, 34) t(i)""", "value")
 def strip_vector(t):
     """The 33-value sample vector, one row per entry."""
-    stats = R.strip_statistics(strips(t), ["frame", "side"])
-    vec = R.strip_vector(stats, ["frame"], "side", F.lit(False), F.lit(True))
+    vec = R.strip_vector(textures(t), ["frame"], "side", F.lit(False), F.lit(True))
     return vec.select("frame", F.posexplode("vector").alias("position", "value"))
 
 
@@ -153,10 +165,10 @@ def area_resize(t):
     return R.area_resize(X.cells(t), ["frame"], 8, 8, 3)
 
 
-def indexed_cells(t):
-    frames = dense_index(t.embeddings.select(F.col("vec_id").alias("frame"), (F.col("label") % 3).cast("int").alias("track_id")),
-                         ["track_id"], ["frame"], "idx").select("frame", "idx")
-    return X.cells(t).join(frames, "frame")
+def indexed_frames(t):
+    """Frames with their place in the track; only ids are ordered."""
+    places = dense_index(X.frames(t).select("track_id", "frame"), ["track_id"], ["frame"], "idx").select("frame", "idx")
+    return X.frames(t).join(places, "frame")
 
 
 @query("consecutive_frames", X.with_sql(X.CELLS, """
@@ -166,7 +178,7 @@ SELECT a.track_id, a.idx, avg(abs(a.v - b.v)) AS mean_abs_difference, covar_pop(
 FROM ic a JOIN ic b ON a.track_id = b.track_id AND a.idx = b.idx + 1 AND a.r = b.r AND a.c = b.c GROUP BY 1, 2""", "mean_abs_difference correlation")
 def consecutive_frames(t):
     """Change and correlation against the previous frame."""
-    return R.consecutive_frames(indexed_cells(t), "track_id", "idx")
+    return FR.consecutive(indexed_frames(t), "track_id", "idx", "embedding", 8, 8)
 
 
 @query("hotspot_displacement", HOT_SQL + """, ordered AS (SELECT track_id, frame, cx, cy, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS idx FROM hot JOIN (SELECT DISTINCT frame, track_id FROM cells) USING (frame))
@@ -174,12 +186,75 @@ SELECT track_id, idx, sqrt(power(cx - lag(cx) OVER w, 2) + power(cy - lag(cy) OV
 def hotspot_displacement(t):
     """Hotspot movement between consecutive frames."""
     from trackloom.operators.ordered import neighbour
-    hot = dense_index(R.hotspot(X.cells(t), KEY), ["track_id"], ["frame"], "idx")
+    hot = dense_index(hotspots(t, KEY), ["track_id"], ["frame"], "idx")
     near = neighbour(hot, ["track_id"], "idx", ["cx", "cy"], "p_")
     gap = F.sqrt(F.pow(F.col("cx") - F.col("p_cx"), 2) + F.pow(F.col("cy") - F.col("p_cy"), 2))
     return near.select("track_id", "idx", gap.alias("displacement"))
 
 
+# The activity of a frame is the p99.5 of its cells.
+SCORE_SQL = X.with_sql(X.CELLS, "frame_scores AS (SELECT frame, track_id, quantile_cont(v, 0.995) AS score FROM cells GROUP BY 1, 2)")
+
+
+@query("frame_score", SCORE_SQL + "SELECT frame, track_id, score FROM frame_scores", "score")
+def frame_score(t):
+    """The p99.5 score of every frame."""
+    return FR.frame_scores(X.frames(t), KEY, "embedding", 8, 8)
+
+
+@query("on_interval_frames", SCORE_SQL + ", scores AS (SELECT track_id, frame, score, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS idx FROM frame_scores)," + active_sql()
+       + "SELECT * FROM active", "threshold")
+def on_interval_frames(t):
+    """Active interval of each track from its frames' scores."""
+    scores = FR.frame_scores(X.frames(t), KEY, "embedding", 8, 8)
+    return Q.active_interval(dense_index(scores, ["track_id"], ["frame"], "idx"), ["track_id"], "idx", "score")
+
+
+# Tiles of 40 vectors as pixel rows of 0.05 mm, ten positions a tile; strips are cut along the rows.
+TILE_ROWS, TILE_PX, BLOCK_ROWS = 40, 0.05, 8
+CUT_SQL = X.with_sql(f"""placed_rows AS (SELECT CAST(label % 3 AS INT) AS track_id, embedding, row_number() OVER (PARTITION BY label % 3 ORDER BY vec_id) - 1 AS idx FROM embeddings),
+tile_rows AS (SELECT track_id, CAST(idx // {TILE_ROWS} AS INT) AS tile_id, CAST(idx % {TILE_ROWS} AS INT) AS r, embedding FROM placed_rows),
+tile_sizes AS (SELECT track_id, tile_id, max(r) + 1 AS n FROM tile_rows GROUP BY 1, 2),
+px AS (SELECT track_id, tile_id, CAST(k AS INT) AS position, (k + 0.5e0) * 0.2e0 AS x, n FROM tile_sizes, range(0, 10) t(k)),
+ranges AS (SELECT *, least(greatest(CAST(floor((x - 0.4e0) / 0.05e0) AS INT), 0), n) AS mask_lo, least(greatest(CAST(ceil((x + 0.4e0) / 0.05e0) AS INT), 0), n) AS mask_hi,
+  least(greatest(CAST(ceil((x - 0.4e0 - 1e0) / 0.05e0) AS INT), 0), n) AS up_lo, least(greatest(CAST(floor((x + 0.4e0 + 1e0) / 0.05e0) AS INT), 0), n) AS down_hi FROM px),
+strips AS (SELECT track_id, tile_id, position, 'up' AS side, up_lo AS lo, mask_lo AS hi FROM ranges WHERE mask_lo > up_lo
+  UNION ALL SELECT track_id, tile_id, position, 'down', mask_hi, down_hi FROM ranges WHERE down_hi > mask_hi),
+strip_cells AS (SELECT s.*, r, CAST(c - 1 AS INT) AS c, CAST(embedding[c] AS DOUBLE) + 0.5e0 AS v FROM strips s JOIN tile_rows t ON s.track_id = t.track_id AND s.tile_id = t.tile_id AND r >= lo AND r < hi, range(1, 65) u(c))""")
+POSITION = ["track_id", "tile_id", "position"]
+
+
+def strip_inputs(t):
+    """(positions with their ranges, tile rows in blocks)."""
+    grey = F.transform("embedding", lambda v: v.cast("double") + d(0.5))
+    rows = indexed_frames(t).select("track_id", F.floor(F.col("idx") / TILE_ROWS).cast("int").alias("tile_id"),
+                                    (F.col("idx") % TILE_ROWS).cast("int").alias("r"), grey.alias("pixels"))
+    tiles = rows.groupBy("track_id", "tile_id").agg((F.max("r") + 1).alias("n"))
+    at = tiles.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("x", (F.col("position") + d(0.5)) * d(0.2))
+    ranges = FR.strip_ranges(F.col("x"), d(MASK_HALF_MM), d(CONTEXT_MM), d(TILE_PX), F.col("n"))
+    return at.withColumns(ranges), FR.tile_blocks(rows, ["track_id", "tile_id"], "r", "pixels", BLOCK_ROWS)
+
+
+@query("strip_cut", CUT_SQL + "SELECT track_id, tile_id, position, side, false AS overlap, count(*) AS cells, sum(v) AS total, sum(v * v) AS squares FROM strip_cells GROUP BY 1, 2, 3, 4", "total squares")
+def strip_cut(t):
+    """The cells of both strips beside the masked centre of each position, read from row blocks."""
+    positions, blocks = strip_inputs(t)
+    return FR.cut_strips(FR.strips_of(positions, POSITION), POSITION, blocks, ["track_id", "tile_id"], BLOCK_ROWS, 64)
+
+
+@query("raw_strip_vector", CUT_SQL + """, o AS (SELECT unnest(range(0, 16)) AS k),
+wr AS (SELECT DISTINCT track_id, tile_id, position, side, lo, hi, r, k AS orow, greatest(0e0, least(r + 1, lo + (k + 1) * (hi - lo) / 16e0) - greatest(r, lo + k * (hi - lo) / 16e0)) * 16e0 / (hi - lo) AS w FROM strip_cells, o),
+wide AS (SELECT s.track_id, s.tile_id, s.position, s.side, orow, CAST(floor(c / 4) AS INT) AS ocol, sum(w * v) / 4e0 AS v FROM strip_cells s JOIN wr USING (track_id, tile_id, position, side, r) WHERE w > 0 GROUP BY 1, 2, 3, 4, 5, 6),
+spots AS (SELECT DISTINCT track_id, tile_id, position FROM strips)
+SELECT p.track_id, p.tile_id, p.position, CAST(i AS INT) AS entry, coalesce(v, 0e0) AS value FROM spots p CROSS JOIN range(0, 512) e(i) LEFT JOIN wide w ON w.track_id = p.track_id AND w.tile_id = p.tile_id AND w.position = p.position
+  AND w.side = CASE WHEN i < 256 THEN 'up' ELSE 'down' END AND w.orow = (i % 256) // 16 AND w.ocol = i % 16""", "value")
+def raw_strip_vector(t):
+    """The 2 x 16 x 16 area averages of both strips, one row per entry."""
+    positions, blocks = strip_inputs(t)
+    cut = FR.cut_strips(FR.strips_of(positions, POSITION), POSITION, blocks, ["track_id", "tile_id"], BLOCK_ROWS, 64, 16)
+    return FR.raw_vector(cut, POSITION, 16).select(*POSITION, F.posexplode("vector").alias("entry", "value"))
+
+
 @query("source_inventory", X.with_sql(X.CELLS, """
 pf AS (SELECT track_id, frame, min(v) = max(v) AS constant FROM cells GROUP BY 1, 2),
 edges AS (SELECT track_id, min(v) AS lo, max(v) AS hi FROM cells GROUP BY 1)""") + """

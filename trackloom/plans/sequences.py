@@ -84,8 +84,9 @@ def longest_run_span(t):
 
 
 # The activity score of a position is its event value.
-ACTIVE_SQL = X.with_sql(X.POSITIONS, """
-scores AS (SELECT track_id, event_id AS frame, y AS score, seg AS idx FROM all_positions),
+def active_sql() -> str:
+    """The active interval of a CTE ``scores`` (track_id, frame, score, idx)."""
+    return """
 sized AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n, min(score) OVER (PARTITION BY track_id) AS lo, max(score) OVER (PARTITION BY track_id) AS hi FROM scores),
 lead_in AS (SELECT * FROM sized WHERE idx < greatest(5, CAST(floor(n / 10e0) AS BIGINT))),
 med AS (SELECT track_id, median(score) AS med FROM lead_in GROUP BY 1),
@@ -95,7 +96,11 @@ level AS (SELECT s.track_id, any_value(n) AS n, greatest(any_value(lo) + 0.2e0 *
 flags AS (SELECT s.track_id, idx, idx - row_number() OVER (PARTITION BY s.track_id ORDER BY idx) AS island FROM scores s JOIN level l ON s.track_id = l.track_id AND score > threshold),
 spans AS (SELECT track_id, min(idx) AS start, max(idx) + 1 AS stop, count(*) AS run_length FROM flags GROUP BY track_id, island),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY run_length DESC, start) AS rn FROM spans) WHERE rn = 1),
-active AS (SELECT l.track_id, n, threshold, start, stop, run_length FROM level l LEFT JOIN best b USING (track_id))""")
+active AS (SELECT l.track_id, n, threshold, start, stop, run_length FROM level l LEFT JOIN best b USING (track_id))
+"""
+
+
+ACTIVE_SQL = X.with_sql(X.POSITIONS, "scores AS (SELECT track_id, event_id AS frame, y AS score, seg AS idx FROM all_positions)," + active_sql())
 
 
 def scores(t):
