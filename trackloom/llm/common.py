@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,6 +25,9 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Bytes of text handled at once inside a Python task.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to a Python task; a row is never cut.
+ARROW_BYTES = 8 << 20
+ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -44,19 +47,34 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def map_arrow(rows: DataFrame, scan: Callable, schema: str) -> DataFrame:
+    """``rows.mapInArrow`` in batches of about ARROW_BYTES. Rows of text would else come by the
+    default of 64 MB, of which the JVM and the Python task hold several copies. The session's
+    setting is lowered where it is larger."""
+    conf = rows.sparkSession.conf
+    now = conf.get(ARROW_SETTING, "64m").strip().lower()
+    units = {"b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+    number = now.removesuffix("b") if now[-2:-1] in units else now
+    size = int(number.rstrip("bkmgt")) << units.get(number[-1:], 0)
+    if size <= 0 or size > ARROW_BYTES:
+        conf.set(ARROW_SETTING, f"{ARROW_BYTES}b")
+    return rows.mapInArrow(scan, schema)
+
+
 def word_list(text: bytes) -> list[bytes]:
     """Lower-case words of ASCII letters, digits and any character beyond ASCII."""
     return text.translate(WORD_BYTES).split()
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Record batches cut to about SLICE_BYTES of text, with their texts as bytes (null: empty)."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str,
+                size_limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Record batches cut to about ``size_limit`` bytes of text, with their texts as bytes (null: empty)."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(sizes):
             held += size
-            if held >= SLICE_BYTES or i + 1 == len(sizes):
+            if held >= size_limit or i + 1 == len(sizes):
                 part = batch.slice(start, i + 1 - start)
                 texts = part.column(column).cast(pa.large_binary()).to_pylist()
                 yield part, [t or b"" for t in texts]

@@ -33,15 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import text_slices
+from trackloom.llm.common import map_arrow, text_slices
 from trackloom.llm.near_dup import mix, unit
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 16 << 20
 SEED, DROPOUT = 20, 0.1
 SHORT, OFTEN = 32, 32
-#: Draws made at once, and distinct chunks whose candidates a task remembers.
-DRAWS, CHUNK_CACHE = 1 << 20, 200_000
+#: Draws made at once, distinct chunks whose candidates a task remembers, and bytes of text at once.
+DRAWS, CHUNK_CACHE, SLICE = 1 << 16, 50_000, 1 << 20
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Stands for a space mark of the text itself; no valid text holds a lone surrogate.
@@ -49,13 +49,29 @@ LITERAL = "\udc81"
 NONE = np.int64(1 << 40)
 
 
-class Vocabulary:
-    """Pieces, the table of merges and the bytes of every id."""
+def load(model: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+class Spellings:
+    """The bytes of every id, all that decoding needs."""
 
     def __init__(self, model: bytes):
-        import sentencepiece
+        proc = load(model)
+        plain = lambda i: not (proc.is_control(i) or proc.is_unknown(i) or proc.is_unused(i))
+        self.bytes_of = [bytes([int(proc.id_to_piece(i)[3:5], 16)]) if proc.is_byte(i) else
+                         proc.id_to_piece(i).replace(MARK, " ").encode() if plain(i) else b"" for i in range(proc.get_piece_size())]
+        self.spelling = pa.array(self.bytes_of, pa.large_binary())
+
+
+class Vocabulary:
+    """Pieces and the table of merges."""
 
-        proc = sentencepiece.SentencePieceProcessor(model_proto=model)
+    def __init__(self, model: bytes):
+        proc = load(model)
+        self.model = model
         names = [proc.id_to_piece(i) for i in range(proc.get_piece_size())]
         plain = [i for i in range(len(names)) if not (
             proc.is_byte(i) or proc.is_control(i) or proc.is_unknown(i) or proc.is_unused(i))]
@@ -78,18 +94,20 @@ class Vocabulary:
         keys = sorted(merges)
         self.pairs, self.joint = np.array(keys, np.int64), np.array([merges[k] for k in keys], np.int64)
         self.merges = merges
-        self.bytes_of = [b""] * self.size
-        for name, i in self.ids.items():
-            self.bytes_of[i] = name.replace(MARK, " ").encode()
-        for b, i in enumerate(self.byte_ids):
-            self.bytes_of[i] = bytes([b])
-        self.spelling = pa.array(self.bytes_of, pa.large_binary())
         self.held: dict[str, np.ndarray] = {}
         self.chars = {c: i for c, i in self.ids.items() if len(c) == 1}
-        self.char_ids = np.full(0x110000, -1, np.int64)
+        self.char_ids = np.full(0x110000, -1, np.int32)
         for c, i in self.chars.items():
             self.char_ids[ord(c)] = i
 
+    @property
+    def bytes_of(self) -> list[bytes]:
+        return spellings(self.model).bytes_of
+
+    @property
+    def spelling(self) -> pa.Array:
+        return spellings(self.model).spelling
+
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of two neighbours, or -1; negative symbols have no piece."""
         key = left * self.size + right
@@ -97,7 +115,7 @@ class Vocabulary:
         return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.joint[at], -1)
 
     def candidates(self, chunk: str) -> np.ndarray:
-        """(3, n): the borders of all candidates that merges of ``chunk`` can make."""
+        """(3, n): the borders, at most SHORT, of all candidates that merges of ``chunk`` can make."""
         if (known := self.held.get(chunk)) is not None:
             return known
         size, found = len(chunk), []
@@ -119,7 +137,7 @@ class Vocabulary:
             begun[start] = list(spans.items())
         if len(self.held) >= CHUNK_CACHE:
             self.held.clear()
-        out = self.held[chunk] = np.array(found, np.int64).reshape(-1, 3).T
+        out = self.held[chunk] = np.array(found, np.uint8).reshape(-1, 3).T
         return out
 
     def spelled(self, char: str) -> list[int]:
@@ -127,11 +145,16 @@ class Vocabulary:
         return [self.byte_ids[b] for b in raw]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(model)
 
 
+@lru_cache(maxsize=1)
+def spellings(model: bytes) -> Spellings:
+    return Spellings(model)
+
+
 def skipped(keys: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
     if rate <= 0:
         return np.zeros(len(keys), bool)
@@ -176,7 +199,7 @@ def segment_short(vocab: Vocabulary, chunks: list[str], keys: np.ndarray, rate:
     Returns all ids in a row, and their number for each chunk."""
     n, size = len(chunks), len(chunks[0])
     points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = vocab.char_ids[points].reshape(n, size)
+    symbol = vocab.char_ids[points].astype(np.int64).reshape(n, size)
     nxt = np.tile(np.arange(1, size + 1), (n, 1))
     prev = np.tile(np.arange(-1, size - 1), (n, 1))
     piece = np.full((n, size), -1)
@@ -257,7 +280,7 @@ def skip_sets(vocab: Vocabulary, words: list[str], number: np.ndarray, keys: np.
     """A hash of the candidates each occurrence skips; ``number`` is its word. Occurrences of a word
     with equal hashes have equal pieces. Words longer than SHORT or rarer than OFTEN get their keys."""
     alone = (np.bincount(number, minlength=len(words)) < OFTEN) | np.array([len(w) > SHORT for w in words], bool)
-    none = np.zeros((3, 0), np.int64)
+    none = np.zeros((3, 0), np.uint8)
     tables = [none if single else vocab.candidates(w) for w, single in zip(words, alone.tolist(), strict=True)]
     sizes = np.array([t.shape[1] for t in tables], np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -319,11 +342,11 @@ def encode_texts(vocab: Vocabulary, texts: list[bytes], names: list[str], seed:
     return ids, np.diff(np.concatenate([[0], ends])[borders_of])
 
 
-def decode_ids(vocab: Vocabulary, ids: list[int]) -> bytes:
+def decode_ids(vocab: Spellings, ids: list[int]) -> bytes:
     return b"".join(map(vocab.bytes_of.__getitem__, ids))[1:]
 
 
-def decode_lists(vocab: Vocabulary, lists: pa.ListArray) -> list[bytes]:
+def decode_lists(vocab: Spellings, lists: pa.ListArray) -> list[bytes]:
     """The texts of many id lists: one gather of spellings, cut where the lists end."""
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     spelled = vocab.spelling.take(lists.flatten())
@@ -348,18 +371,18 @@ def encode(docs: DataFrame, path: str = VOCABULARY, seed: int = SEED, rate: floa
     sent = send_model(docs, path)
     others = [c for c in docs.columns if c != "text" and c != output]
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = docs.select("text", name.alias("name"), F.struct(*others).alias("doc"))
+    rows = docs.select("text", name.alias("name"), F.struct(F.lit(0).alias("_"), *others).alias("doc"))
 
     def scan(batches):
         vocab = vocabulary(sent.value)
-        for part, texts in text_slices(batches, "text"):
+        for part, texts in text_slices(batches, "text", SLICE):
             ids, sizes = encode_texts(vocab, texts, part.column("name").to_pylist(), seed, rate)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("text"), part.column("doc"),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["text", "doc", "tokens"])
 
-    done = rows.mapInArrow(scan, f"text string, doc {rows.schema['doc'].dataType.simpleString()}, tokens array<int>")
+    done = map_arrow(rows, scan, f"text string, doc {rows.schema['doc'].dataType.simpleString()}, tokens array<int>")
     columns = [F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns if c != output]
     return done.select(*columns, F.col("tokens").alias(output))
 
@@ -371,7 +394,7 @@ def decode(docs: DataFrame, path: str = VOCABULARY, tokens: str = "tokens", outp
     rows = docs.select(F.col(tokens).alias("ids"), F.struct(*others).alias("doc"))
 
     def scan(batches):
-        vocab = vocabulary(sent.value)
+        vocab = spellings(sent.value)
         for part in batches:
             lists = part.column("ids")
             for start in range(0, part.num_rows, 200):
@@ -379,7 +402,7 @@ def decode(docs: DataFrame, path: str = VOCABULARY, tokens: str = "tokens", outp
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc").slice(start, 200), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc", "decoded"])
 
-    done = rows.mapInArrow(scan, f"doc {rows.schema['doc'].dataType.simpleString()}, decoded string")
+    done = map_arrow(rows, scan, f"doc {rows.schema['doc'].dataType.simpleString()}, decoded string")
     return done.select(*[F.col(f"doc.`{c}`") for c in others], F.col("decoded").alias(output))
 
 
