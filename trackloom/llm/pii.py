@@ -5,7 +5,8 @@ DataFrame functions only. Offsets count code points, ends are exclusive.
 Defined cases: a null or empty text has no spans; repeated rows and repeated ids are scored
 row by row; other columns pass through unless named like an output; texts of any length are
 scanned whole, every pattern in linear time (a match starts where its run starts, or where the
-match before ended).
+match before ended; account numbers are tried on at most 64 code points from each head); of
+overlapping matches of a kind the first one stays; an empty table has no row.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ class Kind:
     """A kind of span. Score: ``prior``, plus ``checked`` where its validator confirms the
     match, plus ``context`` where one of the ``words`` stands near. ``required`` kinds drop
     matches that their validator rejects; ``alone`` ones need a non-alphanumeric neighbour. Where there is
-    a ``body``, ``pattern`` is only the head, and the longest valid beginning of the body is the span."""
+    a ``body``, ``pattern`` matches only the head, its first group is the body and what follows it, and
+    the longest valid beginning of the body is the span."""
 
     name: str
     pattern: str
@@ -54,8 +56,8 @@ BASE = (
 )
 #: What the method adds: these need a checksum or a context word.
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})", None, 0.1, 0.6, 0.3, "iban|account|bank", True,
-         r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+"),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+[\s\S]{0,41}))[A-Z]{2}[0-9]{2}", None, 0.1, 0.6, 0.3,
+         "iban|account|bank", True, r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+"),
     Kind("short_card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,14}+(?![ -]?[0-9])", None, 0.0, 0.3, 0.4,
          "card|visa|credit|payment", True),
     Kind("ssn", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", "-", 0.3, 0.0, 0.4, "ssn|social|security", True),
@@ -97,16 +99,18 @@ def valid_length(body: str, tail: Column) -> Column:
         & (F.length(F.regexp_replace(tail.substr(F.lit(1), n), " ", "")) >= 15) & mod97(tail.substr(F.lit(1), n)))))
 
 
-def grown(spans: Column, whole: Column, kind: Kind) -> Column:
-    """Spans of heads made as long as their valid bodies; of overlapping ones the first stays."""
-    sized = F.transform(spans, lambda s: F.struct(s.alias("s"), valid_length(
-        kind.body, whole.substr(s["start"] + 1, F.lit(70))).alias("n")))
+def grown(spans: Column, tails: Column, kind: Kind) -> Column:
+    """Spans of heads made as long as their valid bodies; of overlapping ones the first stays.
+    ``tails`` are the texts from each head on, so no text is walked through per span."""
+    sized = F.zip_with(spans, tails, lambda s, t: F.struct(s.alias("s"), t.alias("t"), valid_length(kind.body, t).alias("n")))
     long = F.transform(F.filter(sized, lambda x: x["n"].isNotNull()), lambda x: F.struct(
         x["s"]["kind"].alias("kind"), x["s"]["start"].alias("start"), (x["s"]["start"] + x["n"]).alias("end"),
-        whole.substr(x["s"]["start"] + 1, x["n"]).alias("m"), x["s"]["before"].alias("before"),
-        whole.substr(x["s"]["start"] + x["n"] + 1, F.lit(CONTEXT)).alias("after")))
-    return F.aggregate(long, F.filter(long, lambda s: F.lit(False)), lambda kept, s: F.when(
-        F.exists(kept, lambda k: k["end"] > s["start"]), kept).otherwise(F.concat(kept, F.array(s))))
+        x["t"].substr(F.lit(1), x["n"]).alias("m"), x["s"]["before"].alias("before"),
+        x["t"].substr(x["n"] + 1, F.lit(CONTEXT)).alias("after")))
+    none = F.filter(long, lambda s: F.lit(False))
+    return F.aggregate(long, F.struct(none.alias("kept"), F.lit(0).alias("end")), lambda k, s: F.when(
+        k["end"] > s["start"], k).otherwise(F.struct(F.concat(k["kept"], F.array(s)).alias("kept"), s["end"].alias("end"))),
+        lambda k: k["kept"])
 
 
 def small_part(part: Column) -> Column:
@@ -152,7 +156,7 @@ def detect(docs: DataFrame, text: str = "text", output: str = "pii") -> DataFram
         spans = F.zip_with(pieces, ends, lambda p, e: F.struct(
             F.lit(kind.name).alias("kind"), (e - F.length(p["m"])).alias("start"), e.alias("end"),
             p["m"].alias("m"), p["before"].alias("before"), p["after"].alias("after")))
-        spans = grown(spans, whole, kind) if kind.body else F.filter(spans, lambda s: valid(kind.name, s["m"]))
+        spans = grown(spans, F.col(f"_tail_{kind.name}"), kind) if kind.body else F.filter(spans, lambda s: valid(kind.name, s["m"]))
         if kind.alone:
             spans = F.filter(spans, lambda s: ~s["before"].rlike("[A-Za-z0-9]$") & ~s["after"].rlike("^[A-Za-z0-9]"))
         near = lambda s: F.lower(F.concat_ws(" ", s["before"], s["after"])).rlike(kind.words)
@@ -164,6 +168,7 @@ def detect(docs: DataFrame, text: str = "text", output: str = "pii") -> DataFram
     kept = [c for c in docs.columns if c != output]
     out = docs.withColumns({f"_match_{k.name}": found(k) for k in kinds})
     out = out.withColumns({f"_gap_{k.name}": gaps(k) for k in kinds})
+    out = out.withColumns({f"_tail_{k.name}": F.regexp_extract_all(whole, F.lit(k.pattern), F.lit(1)) for k in kinds if k.body})
     per_kind = [F.when(F.size(f"_match_{k.name}") > 0, located(k)).otherwise(empty) for k in kinds]
     spans = F.filter(F.concat(*per_kind), lambda s: s["score"] >= THRESHOLD)
     return out.select(*kept, spans.alias(output))

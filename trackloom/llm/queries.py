@@ -40,17 +40,38 @@ PII_SQL = {
            "OR TRY_CAST(p AS HUGEINT) > 255)) = 0"),
     "card": (r"[0-9]([\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 16 AND 19", LUHN),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "true", f"length({DIGITS}) BETWEEN 8 AND 15"),
-    "iban": (r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", "true", MOD97),
+    "iban": (r"(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}", "true", "true"),
     "short_card": (r"[0-9]([\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 13 AND 15", LUHN),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches(p, '[0-9]$') AND NOT regexp_matches(n, '^[0-9]')",
             "NOT regexp_matches(m, '^(000|666|9)')"),
 }
 
 
+#: Whether the first n characters of ``tail`` are a confirmed account number that ends there.
+ACCOUNT = f"""regexp_matches(substr(tail, n, 2), '^[A-Z0-9]([^A-Za-z0-9]|$)') AND length(replace(substr(tail, 1, n), ' ', '')) >= 15
+    AND {MOD97.replace("replace(m,", "replace(substr(tail, 1, n),")}"""
+def accounts_sql(at: int, kind: pii.Kind, heads: str) -> str:
+    """Heads with the longest confirmed beginning of their bodies; of overlapping ones the first."""
+    return f"""
+        SELECT id, k, kind, s, e, round(prior + CASE WHEN regexp_matches(lower(before || ' ' || after), words) THEN context ELSE 0 END, 2) AS score
+        FROM (SELECT *, s + n AS e, substr(tail, n + 1, {pii.CONTEXT}) AS after, max(s + n) OVER (PARTITION BY id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past
+            FROM (SELECT *, list_max(list_filter(range(15, length(regexp_extract(tail, '^[A-Z]{{2}}[0-9]{{2}}( ?[A-Z0-9]){{11,30}}')) + 1), lambda n: {ACCOUNT})) AS n
+                FROM (SELECT id, t, {at} AS k, 'iban' AS kind, {kind.prior + kind.checked} AS prior, {kind.context} AS context, '{kind.words}' AS words, e - 4 AS s, substr(t, e - 3, 105) AS tail,
+                    substr(t, greatest(e - 4 - {pii.CONTEXT}, before_at) + 1, e - 4 - greatest(e - 4 - {pii.CONTEXT}, before_at)) AS before FROM ({heads})))
+            WHERE n IS NOT NULL)
+        WHERE (past IS NULL OR past <= s) AND NOT regexp_matches(after, '^[A-Za-z0-9]')"""
+
+
 def pii_sql() -> str:
     parts = []
     for at, kind in enumerate(pii.BASE + pii.ADDED):
         pattern, candidate, ok = PII_SQL[kind.name]
+        if kind.body:
+            heads = f"""SELECT *, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s), 0) AS before_at FROM (SELECT id, t, CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS BIGINT) AS e, e - 4 AS s
+                FROM (SELECT id, t, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g FROM d), unnest(range(1, len(m) + 1)) u(i))"""
+            parts.append(accounts_sql(at, kind, heads))
+            continue
         alone = "NOT regexp_matches(before, '[A-Za-z0-9]$') AND NOT regexp_matches(after, '^[A-Za-z0-9]')"
         parts.append(f"""
         SELECT id, {at} AS k, '{kind.name}' AS kind, s, e, round({kind.prior + kind.checked} + CASE WHEN
