@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import SPACE_CHARS, join_counted, store, text_slices
+from trackloom.llm.common import SPACE_CHARS, join_counted, map_arrow, store, text_slices
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -40,7 +40,9 @@ FILTER_BYTES = 48 << 20
 SLOTS, KICKS = 4, 400
 STRIP = SPACE_CHARS.encode()
 KEY = ["h1", "h2"]
-FILTER_SCHEMA = "shard int, buckets long, slots binary, stash array<long>"
+FILTER_SCHEMA = "shard int, buckets long, slots binary, stash array<long>, full boolean"
+#: Share of its slots up to which a shard takes keys; beyond, it is made anew from the exact counts.
+MOST_LOAD = 0.85
 
 
 def keyed_lines(text: bytes) -> Iterator[tuple[int, bytes]]:
@@ -120,8 +122,12 @@ class CuckooFilter:
         found = (self.slots[one] == mark[:, None]).any(1) | (self.slots[two] == mark[:, None]).any(1)
         return found | np.isin(pairs[:, 0], list(self.stash)) if self.stash else found
 
-    def row(self, shard: int) -> dict:
-        return {"shard": shard, "buckets": self.buckets, "slots": self.slots.tobytes(), "stash": sorted(self.stash)}
+    def takes(self, keys: int) -> bool:
+        """Whether so many more keys leave the load within MOST_LOAD, with none of them in the stash yet."""
+        return not self.stash and np.count_nonzero(self.slots) + keys <= MOST_LOAD * self.slots.size
+
+    def row(self, shard: int, full: bool = False) -> dict:
+        return {"shard": shard, "buckets": self.buckets, "slots": self.slots.tobytes(), "stash": sorted(self.stash), "full": full}
 
     @classmethod
     def of(cls, row) -> CuckooFilter:
@@ -144,7 +150,7 @@ def references(docs: DataFrame) -> DataFrame:
                 names=[*KEY, "doc_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"h1 long, h2 long, doc_id {kind}")
+    return map_arrow(docs.select("doc_id", "text"), scan, f"h1 long, h2 long, doc_id {kind}")
 
 
 def summed(refs: DataFrame) -> DataFrame:
@@ -152,9 +158,13 @@ def summed(refs: DataFrame) -> DataFrame:
 
 
 def update_filters(filters: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
-    """Apply ``changes`` (h1, h2, enters) to the filters, shard by shard."""
+    """Apply ``changes`` (h1, h2, enters) to the filters, shard by shard. A shard too full for its
+    changes is returned as it was, marked ``full``."""
     def one(key, held: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
         table = CuckooFilter.of(held.iloc[0]) if len(held) else CuckooFilter.sized(max(len(change), SHARD_KEYS // 8))
+        more = int(change.enters.sum()) if len(change) else 0
+        if len(held) and more and not table.takes(more):
+            return pd.DataFrame([table.row(int(key[0]), True)])
         for enters, act in ((False, table.delete), (True, table.insert)):
             part = change.loc[change.enters == enters, KEY].sort_values(KEY)
             if len(part):
@@ -165,6 +175,14 @@ def update_filters(filters: DataFrame, changes: DataFrame, shards: int) -> DataF
     return filters.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInPandas(one, FILTER_SCHEMA)
 
 
+def built_filters(counts: DataFrame, shards: int, only: DataFrame | None = None) -> DataFrame:
+    """The filters of all shards, or of those in ``only``, from the exact counts."""
+    heavy = counts.where(F.col("n_docs") >= MIN_DOCS).select(*KEY, F.lit(True).alias("enters"))
+    if only is not None:
+        heavy = heavy.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(only, "shard", "left_semi").drop("shard")
+    return update_filters(counts.sparkSession.createDataFrame([], FILTER_SCHEMA), heavy, shards)
+
+
 @dataclass(frozen=True)
 class LineIndex:
     refs: DataFrame
@@ -176,11 +194,8 @@ class LineIndex:
     def build(cls, docs: DataFrame) -> LineIndex:
         refs = store(references(docs), "line-refs")
         counts = store(summed(refs), "line-counts")
-        heavy = counts.where(F.col("n_docs") >= MIN_DOCS)
-        shards = 1 + heavy.count() // SHARD_KEYS
-        none = docs.sparkSession.createDataFrame([], FILTER_SCHEMA)
-        filters = update_filters(none, heavy.select(*KEY, F.lit(True).alias("enters")), shards)
-        return cls(refs, counts, store(filters, "line-filters"), shards)
+        shards = 1 + counts.where(F.col("n_docs") >= MIN_DOCS).count() // SHARD_KEYS
+        return cls(refs, counts, store(built_filters(counts, shards), "line-filters"), shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents; the tables of this index stay as they are."""
@@ -190,9 +205,16 @@ class LineIndex:
         old, add = F.coalesce("n_docs", F.lit(0)), F.coalesce("n_new", F.lit(0))
         counts = store(both.select(*KEY, (old + add).alias("n_docs"), F.greatest("keeper", "k_new").alias("keeper"),
                                    ((old < MIN_DOCS) & (old + add >= MIN_DOCS)).alias("enters")), "line-counts")
-        changes = counts.where("enters").select(*KEY, "enters")
-        filters = store(update_filters(self.filters, changes, self.shards), "line-filters")
-        return LineIndex(self.refs.unionByName(new), counts.drop("enters"), filters, self.shards)
+        refs, exact = self.refs.unionByName(new), counts.drop("enters")
+        shards = 1 + exact.where(F.col("n_docs") >= MIN_DOCS).count() // SHARD_KEYS
+        if shards > 2 * self.shards:  # more shards, all made anew
+            return LineIndex(refs, exact, store(built_filters(exact, shards), "line-filters"), shards)
+        filters = store(update_filters(self.filters, counts.where("enters").select(*KEY, "enters"), self.shards), "line-filters")
+        full = filters.where("full").select("shard")
+        if full.limit(1).count():
+            anew = built_filters(exact, self.shards, full)
+            filters = store(filters.where("NOT full").unionByName(anew), "line-filters")
+        return LineIndex(refs, exact, filters, self.shards)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Take out the documents whose ``doc_id`` is in ``ids``."""
@@ -211,7 +233,7 @@ class LineIndex:
         """``docs`` with the lines that go cut from ``text``, plus ``n_lines`` and ``n_dropped``."""
         spark = docs.sparkSession
         spot = [F.col("doc_id"), F.xxhash64("text").alias("hash")]
-        size = self.filters.agg(F.sum(F.length("slots"))).first()[0] or 0
+        size = self.filters.agg(F.sum(F.length("slots") + 8 * F.size("stash"))).first()[0] or 0
         kept = None
         if size <= FILTER_BYTES:
             kept = spark.sparkContext.broadcast([r.asDict() for r in self.filters.collect()])
@@ -239,7 +261,7 @@ class LineIndex:
                      pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc_id", "hash", "line", *KEY])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        probes = docs.select(*spot, "text").mapInArrow(probe, f"doc_id {kind}, hash long, line int, h1 long, h2 long")
+        probes = map_arrow(docs.select(*spot, "text"), probe, f"doc_id {kind}, hash long, line int, h1 long, h2 long")
         heavy = self.counts.where(F.col("n_docs") >= MIN_DOCS)
         total = heavy.agg(F.sum("n_docs")).first()[0] or 0
         hits = join_counted(probes, heavy, KEY, "n_docs", total).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -264,7 +286,7 @@ class LineIndex:
                      pa.array(gone, pa.int64())], names=["doc", "text", "n_lines", "n_dropped"])
 
         doc = rows.schema["doc"].dataType.simpleString()
-        done = rows.mapInArrow(cut, f"doc {doc}, text string, n_lines long, n_dropped long")
+        done = map_arrow(rows, cut, f"doc {doc}, text string, n_lines long, n_dropped long")
         columns = [F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns
                    if c not in ("n_lines", "n_dropped")]
         return done.select(*columns, "n_lines", "n_dropped")
