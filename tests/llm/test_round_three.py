@@ -267,3 +267,94 @@ def test_odd_and_empty_tables(spark, name):
 def test_very_long_texts_repeat(spark):
     docs = spark.createDataFrame([(3, LONG)], "doc_id long, text string")
     assert [tuple(x) for x in periodic.detect(docs).first()["runs"]] == [(0, 24000, 8)]
+
+
+# ---- earlier operators, mended ----
+
+IBAN, SHORT, OTHER = "DE89 3704 0044 0532 0130 00", "NO9386011117947", "GB29 NWBK 6016 1331 9268 19"
+
+
+def test_account_numbers_by_sql(spark):
+    import duckdb
+
+    from trackloom.llm import pii, queries
+
+    texts = [f"Pay {IBAN} BIC COBADEFF", f"é {IBAN} 12 times", f"{IBAN} {OTHER}", f"{SHORT} {IBAN} X bank", f"{OTHER}, {SHORT}", f"x{IBAN}",
+             f"{IBAN}x", f"{IBAN[:-1]}1 BIC", IBAN, "", None, f"my account {IBAN}"]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    found = con.execute(queries.pii_sql())
+    names = [c[0] for c in found.description]
+    want = sorted(tuple(r[names.index(c)] for c in ("doc_id", "spans", "scores")) for r in found.fetchall())
+    got = pii.report(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "spans", "scores").collect()
+    assert sorted(map(tuple, got)) == want and sum("iban" in r[1] for r in want) == 7
+
+
+def test_many_account_heads_take_linear_time(spark):
+    import time
+
+    from trackloom.llm import pii
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "AB12 CDEF GHIJ KLMN, " * n)], "doc_id long, text string")
+        best = []
+        for _ in range(2):
+            start = time.time()
+            assert pii.report(df).first()["spans"] == ""
+            best.append(time.time() - start)
+        return min(best)
+
+    seconds(10)
+    assert seconds(16_000) < 3 * seconds(4_000) + 5
+
+
+def test_filters_grow_with_inserted_documents(spark, monkeypatch):
+    from trackloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    rng = random.Random(3)
+    line = lambda i: f"line number {i} that is long enough to be a key of its own"
+
+    def batch(first, last, base):
+        return [(base + k, "\n".join(line(i) for i in range(first, last))) for k in range(6)]
+
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = batch(0, 50, 0)
+    index = line_dedup.LineIndex.build(frame(rows))
+    shards = index.shards
+    for step in range(1, 4):
+        more = batch(50 * step, 50 * step + 50 * step, 100 * step)
+        rows += more
+        index = index.insert(frame(more))
+        tables = [line_dedup.CuckooFilter.of(r) for r in index.filters.collect()]
+        assert not any(t.stash for t in tables)
+        assert all(np.count_nonzero(t.slots) <= line_dedup.MOST_LOAD * t.slots.size for t in tables)
+    assert index.shards > shards
+    fresh = line_dedup.LineIndex.build(frame(rows))
+    docs = frame(rows + [(9000, "\n".join(line(rng.randrange(400)) for _ in range(30)))])
+    result = lambda x: sorted(map(tuple, x.dedup(docs).select("doc_id", "text", "n_dropped").collect()))
+    assert result(index) == result(fresh)
+
+
+def test_large_items_are_cut_and_blocks_stay_bounded(spark, monkeypatch):
+    from trackloom.llm import decontam
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(40)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 3, 9, 10, 200])))) for i in range(30)]
+    items += [items[5], (5, items[7][1]), (None, items[8][1]), (99, None)]
+    docs = []
+    for i in range(60):
+        own = [word() for _ in range(rng.randint(0, 60))]
+        source = rng.choice(items)[1] or ""
+        cut = source.split()[rng.randint(0, 5):][:rng.randint(0, 40)]
+        docs.append((i, " ".join(own + cut + [word() for _ in range(5)])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontam.report(d, b).collect()))
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 16)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 600)
+    pieces, number = decontam.blocks_of(decontam.pieces_of(b))
+    assert number > 3 and pieces.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] <= 600
+    assert sorted(map(tuple, decontam.report(d, b).collect())) == want

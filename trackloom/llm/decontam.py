@@ -18,17 +18,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import store, text_slices, word_list
+from trackloom.llm.common import map_arrow, store, text_slices, word_list
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, PIECE_WORDS = 16 << 20, 50_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 FOUND = "doc_id {id}, text string, doc {doc}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -40,48 +39,81 @@ class Vocabulary(dict):
 
 
 class Windows:
-    """The windows of one block of items, by length."""
+    """The windows of one block of items, by length: sorted hashes beside the places of the
+    windows in one row of word numbers, some 20 bytes a word."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
-        self.words = Vocabulary()
-        tables: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for name, text in items:
-            words = word_list(text)
-            if not words:
-                continue
-            ids = np.array([self.words.setdefault(w, len(self.words)) for w in words], np.int64)
-            size = min(WINDOW, len(ids))
-            for i in range(len(ids) - size + 1):
-                tables[size][ids[i:i + size].tobytes()].add(name)
-        self.by_size = {
-            size: (dict(table), np.sort(self.rolled(np.array([np.frombuffer(k, np.int64) for k in table]))))
-            for size, table in tables.items()}
+        self.words, self.names = Vocabulary(), [name for name, _ in items]
+        lists = [np.array([self.words.setdefault(w, len(self.words)) for w in word_list(text)], np.int32) for _, text in items]
+        self.ids = np.concatenate([*lists, np.zeros(WINDOW, np.int32)])
+        self.ends = np.cumsum([len(x) for x in lists])
+        sizes = np.array([min(WINDOW, len(x)) for x in lists])
+        self.by_size = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            at = np.concatenate([np.arange(self.ends[i] - len(lists[i]), self.ends[i] - size + 1) for i in np.flatnonzero(sizes == size).tolist()])
+            hashes = self.rolled(self.ids, at, size)
+            order = np.argsort(hashes, kind="stable")
+            self.by_size[size] = (hashes[order], at[order].astype(np.int32))
 
     @staticmethod
-    def rolled(rows: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(rows), np.uint64)
-        for j in range(rows.shape[1]):
-            total = total * BASE + rows[:, j].astype(np.uint64) + np.uint64(1)
+    def rolled(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        total = np.zeros(len(at), np.uint64)
+        for j in range(size):
+            total = total * BASE + ids[at + j].astype(np.uint64) + np.uint64(1)
         return total ^ (total >> np.uint64(32))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-        spans, names = [], set()
-        for size, (table, hashes) in self.by_size.items():
+        spans, owners = [], []
+        for size, (hashes, places) in self.by_size.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
             if not len(at):
                 continue
-            hashed = self.rolled(np.lib.stride_tricks.sliding_window_view(ids, size)[at])
-            near = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
-            for i in at[hashes[near] == hashed].tolist():
-                owners = table.get(ids[i:i + size].tobytes())
-                if owners:
+            hashed = self.rolled(ids, at, size)
+            low, high = np.searchsorted(hashes, hashed), np.searchsorted(hashes, hashed, side="right")
+            for i, a, b in zip(*(x[high > low].tolist() for x in (at, low, high)), strict=True):
+                same = np.ones(b - a, bool)
+                for j in range(size):
+                    same &= self.ids[places[a:b] + j] == ids[i + j]
+                if same.any():
                     spans.append((i, i + size))
-                    names |= owners
-        return spans, names
+                    owners.append(places[a:b][same])
+        found = np.unique(np.searchsorted(self.ends, np.concatenate(owners), side="right")) if owners else ()
+        return spans, {self.names[i] for i in found}
+
+
+def pieces_of(items: DataFrame) -> DataFrame:
+    """(item_id, text) once each, items of more than PIECE_WORDS words in pieces that overlap by all
+    but one word of a window, so that every window is in one."""
+    rows = items.where(F.length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+
+    def cut(batches):
+        for part, texts in text_slices(batches, "text"):
+            rows, out = [], []
+            for at, text in enumerate(texts):
+                words = word_list(text)
+                for low in range(0, max(1, len(words) - WINDOW + 1), PIECE_WORDS):
+                    rows.append(at)
+                    out.append(b" ".join(words[low:low + PIECE_WORDS + WINDOW - 1]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("item_id").take(pa.array(rows, pa.int64())), pa.array(out, pa.binary()).cast(pa.string())], names=["item_id", "text"])
+
+    return map_arrow(rows.distinct(), cut, "item_id string, text string").where(F.length("text") > 0).distinct()
+
+
+def blocks_of(pieces: DataFrame) -> tuple[DataFrame, int]:
+    """(``pieces`` with their block, number of blocks): as many blocks as keep each within BLOCK_BYTES."""
+    size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = 1 + 2 * size // BLOCK_BYTES
+    while True:
+        rows = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(number)))
+        largest = rows.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).agg(F.max("n"), F.max("rows")).first()
+        if (largest[0] or 0) <= BLOCK_BYTES or largest[1] == 1:
+            return rows, number
+        number *= 2
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -98,10 +130,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text, doc, n_words, spans, items): hit word spans and the items hit; ``doc`` holds the
     other columns."""
     spark = docs.sparkSession
-    texts = items.where(F.length("text") > 0).select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + 2 * size // BLOCK_BYTES
+    pieces, blocks = blocks_of(store(pieces_of(items), "decontam-items"))
     kind, others = docs.schema["doc_id"].dataType.simpleString(), [c for c in docs.columns if c not in ("doc_id", "text")]
     doc = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
     rows = docs.select("doc_id", "text", doc.alias("doc"), F.lit(0).cast("long").alias("n_words"),
@@ -109,7 +138,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
                        F.array().cast("array<string>").alias("items"))
     shape = FOUND.format(id=kind, doc=rows.schema["doc"].dataType.simpleString())
     for block in range(blocks):
-        mine = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        mine = pieces.where(F.col("block") == block).select("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(sorted((r[0], r[1].encode()) for r in mine))
 
         def scan(batches, sent=sent):
@@ -130,7 +159,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
                      pa.array(names, pa.list_(pa.string()))],
                     names=["doc_id", "text", "doc", "n_words", "spans", "items"])
 
-        rows = rows.mapInArrow(scan, shape)
+        rows = map_arrow(rows, scan, shape)
         if block + 1 < blocks:
             rows = store(rows, "decontam")
     return rows
@@ -171,7 +200,7 @@ def remove_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
                 names=["doc_id", "text", "doc"])
 
     kinds = [f"{c} {found.schema[c].dataType.simpleString()}" for c in ("doc_id", "text", "doc")]
-    done = found.mapInArrow(cut, ", ".join(kinds))
+    done = map_arrow(found, cut, ", ".join(kinds))
     new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
     return done.select(*[new.get(c, F.col(f"doc.`{c}`")) for c in docs.columns])
 
