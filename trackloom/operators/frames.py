@@ -280,3 +280,110 @@ def raw_vector(cut: DataFrame, key: Sequence[str], out: int) -> DataFrame:
     """``vector``: the grids of the upstream and the downstream strip, zeros for one that is absent."""
     side = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("grid"))), F.array_repeat(d(0), out * out))
     return cut.groupBy(*key).agg(F.concat(side("up"), side("down")).alias("vector"))
+
+
+# Representations of a frame as vectors.
+
+CONTEXTS = (1, 2, 4)
+
+
+def block_average(x: np.ndarray, grid: int) -> np.ndarray:
+    """(frames, grid * grid) means of equal blocks."""
+    n, height, width = x.shape
+    if height % grid or width % grid:
+        raise ValueError(f"a {height}x{width} frame does not divide into a {grid}x{grid} grid")
+    return _block_mean(x.reshape(n, grid, height // grid, grid, width // grid)).reshape(n, -1)
+
+
+def _block_mean(x: np.ndarray) -> np.ndarray:
+    return np.nanmean(x, axis=(2, 4))
+
+
+def crops(x: np.ndarray, cx: np.ndarray, cy: np.ndarray, size: int) -> np.ndarray:
+    """(frames, size, size) windows around the centres, zero outside the frame."""
+    n, height, width = x.shape
+    rows = (np.rint(np.nan_to_num(cy)).astype(int) - size // 2)[:, None] + np.arange(size)
+    cols = (np.rint(np.nan_to_num(cx)).astype(int) - size // 2)[:, None] + np.arange(size)
+    inside = ((rows >= 0) & (rows < height))[:, :, None] & ((cols >= 0) & (cols < width))[:, None, :]
+    taken = x[np.arange(n)[:, None, None], np.clip(rows, 0, height - 1)[:, :, None], np.clip(cols, 0, width - 1)[:, None, :]]
+    return np.where(inside, taken, 0.0)
+
+
+def single_frame_vectors(df: DataFrame, key: Sequence[str], vector: str, height: int, width: int, grid: int, crop: int) -> DataFrame:
+    """Six representations of each frame as array columns: block means of the frame, of the frame
+    above its p10, and of the robustly scaled frame; crops of the first and the last around the hot centre;
+    and the shape features. One pass, no shuffle; frames without a known cell have NaN."""
+    step = max(1, CELLS // (height * width))
+    rows = df.select(*key, F.transform(vector, lambda v: v.cast("double")).alias("_frame"))
+    names = ("current_absolute", "current_background_subtracted", "current_robust_scaled", "hotspot_centered_absolute",
+             "hotspot_centered_relative", "thermal_shape_features")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                x = stacked(part.column("_frame"), height, width)
+                with warnings.catch_warnings(), np.errstate(invalid="ignore", divide="ignore"):
+                    warnings.simplefilter("ignore", RuntimeWarning)
+                    p05, p10, p50, p95 = (v[:, None, None] for v in order_statistics(x, (.05, .10, .50, .95)))
+                    relative, hot, features = (x - p50) / (p95 - p05 + 1e-6), hot_centre(x), shape(x)
+                    flat = lambda v: v.reshape(len(x), -1)
+                    found = [block_average(x, grid), block_average(x - p10, grid), block_average(relative, grid),
+                             flat(crops(x, hot["cx"], hot["cy"], crop)), flat(crops(relative, hot["cx"], hot["cy"], crop)),
+                             np.stack([features[n] for n in SHAPE], axis=1)]
+                arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel())) for v in found]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in key], *arrays], names=[*key, *names])
+
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(scan, ", ".join([keys, *[f"{n} array<double>" for n in names]]))
+
+
+def causal_vectors(df: DataFrame, lagged: str, frame: str) -> DataFrame:
+    """Adds a vector per context length: the current scaled frame, the mean of the stack, current
+    less oldest, and 1 if a frame is missing; and the frames used, oldest first. ``lagged`` is an array of
+    (frame, scaled), the current one first, null where a lag has no frame; a missing one is replaced
+    by the current."""
+    at = lambda j: F.get(lagged, F.lit(j))
+    value = lambda j: F.coalesce(at(j)["scaled"], at(0)["scaled"])
+    for count in CONTEXTS:
+        stack = [value(j) for j in range(count + 1)]
+        mean = stack[0]
+        for more in stack[1:]:
+            mean = F.zip_with(mean, more, lambda a, b: a + b)
+        mean = F.transform(mean, lambda v: v / (count + 1))  # noqa: B023
+        gap = F.exists(F.slice(lagged, 2, count), lambda x: x.isNull())
+        used = F.concat_ws(";", *[F.coalesce(at(j)[frame], at(0)[frame]).cast("string") for j in range(count, -1, -1)])
+        df = df.withColumns({f"causal_context_prev{count}": F.concat(stack[0], mean, F.zip_with(stack[0], stack[-1], lambda a, b: a - b),
+                                                                    F.array(gap.cast("double"))), f"_used{count}": used})
+    return df
+
+
+REPRESENTATIONS = {
+    "current_absolute": (0, "none"), "current_background_subtracted": (0, "sample_local_p10_background"),
+    "current_robust_scaled": (0, "sample_local_robust_p05_p50_p95"), "hotspot_centered_absolute": (0, "none"),
+    "hotspot_centered_relative": (0, "sample_local_robust_p05_p50_p95"), "thermal_shape_features": (0, "none"),
+    **{f"causal_context_prev{c}": (c, "sample_local_robust_p05_p50_p95") for c in CONTEXTS}}
+
+
+def representations(df: DataFrame, track: str, index: str, frame: str, vector: str, height: int, width: int, grid: int, crop: int) -> DataFrame:
+    """All nine representations of each frame. Contexts join frames by their index, one row per
+    frame and lag; lags after the first frame of a track are missing."""
+    single = single_frame_vectors(df, [track, index, frame], vector, height, width, grid, crop)
+    far = max(CONTEXTS)
+    shown = single.select(track, F.explode(F.sequence(F.lit(0), F.lit(far))).alias("lag"), index, frame, F.col("current_robust_scaled").alias("scaled"))
+    near = shown.select(track, (F.col(index) + F.col("lag")).alias(index), "lag", frame, "scaled")
+    gathered = near.groupBy(track, index).agg(F.map_from_entries(F.collect_list(F.struct("lag", F.struct(frame, "scaled")))).alias("_m"))
+    lagged = F.transform(F.sequence(F.lit(0), F.lit(far)), lambda j: F.try_element_at("_m", j))
+    rows = single.join(gathered, [track, index]).withColumn("_lagged", lagged).drop("_m")
+    return causal_vectors(rows, "_lagged", frame).drop("_lagged")
+
+
+def manifest(rows: DataFrame, key: Sequence[str], frame: str) -> DataFrame:
+    """A provenance row per frame and representation: size, frames used, direction, normalisation,
+    and the sum of the elements."""
+    items = F.array(*[F.struct(
+        F.lit(name).alias("representation_id"), F.size(name).alias("size"),
+        F.lit("current_and_preceding_only" if count else "current_only").alias("context"),
+        (F.col(f"_used{count}") if count else F.col(frame).cast("string")).alias("context_frames"), F.lit(kind).alias("normalization_id"),
+        F.aggregate(name, d(0), lambda a, v: a + v).alias("total")) for name, (count, kind) in REPRESENTATIONS.items()])
+    return rows.select(*key, F.explode(items).alias("_i")).select(*key, "_i.*")

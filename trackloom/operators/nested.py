@@ -262,3 +262,163 @@ def fold_table(scored: DataFrame, groups: Sequence[str], track: str, y: str, fam
     return rows.join(F.broadcast(other) if rows.count() <= 50_000 else other, [*groups, track, "partner"], "left").withColumns({
         "change_vs_partner": F.col("mae") - F.col("partner_mae"),
         "relative_change_vs_partner": (F.col("mae") - F.col("partner_mae")) / F.col("partner_mae")}).drop("partner_mae")
+
+
+# A baseline on x, and a ridge of its residual on a representation, chosen in nested folds.
+
+
+@dataclass(frozen=True)
+class Baseline:
+    """A ridge on the first ``degree`` further features (powers of x)."""
+
+    degree: int
+    alpha: float
+
+
+def solved(spark, moments: dict, folds: list[tuple], solve, centre: np.ndarray) -> dict:
+    """Fold (the tracks left out): the rows of coefficients that ``solve`` makes of its training
+    moments. Folds are solved in tasks."""
+    total, size = sum(moments.values()), len(centre) + 1
+    sent = spark.sparkContext.broadcast((moments, total, folds))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        moments, total, folds = sent.value
+        for batch in batches:
+            for k in batch["id"]:
+                beta = np.stack(solve(folds[k], total - sum(moments[h] for h in folds[k])))
+                beta[:, 0] -= beta[:, 1:] @ centre
+                yield pd.DataFrame({"k": [k], "beta": [beta.ravel().tolist()]})
+
+    rows = spark.range(len(folds), numPartitions=max(1, min(len(folds), spark.sparkContext.defaultParallelism)))
+    found = rows.mapInPandas(run, "k long, beta array<double>").collect()
+    return {folds[r["k"]]: np.array(r["beta"]).reshape(-1, size) for r in found}
+
+
+def penalised(full: np.ndarray, use: Sequence[int], alpha: float, target: np.ndarray | None = None, floor: float = 1e-8) -> np.ndarray:
+    """Intercept and coefficients around the centre from moments; the penalty covers the intercept
+    of the standardised fit. ``target`` are the moments of another target than the last one."""
+    size = len(full) - 1
+    t, n, out = full[:size, size] if target is None else target, full[0, 0], np.zeros(size)
+    out[0] = t[0] / (n + alpha)
+    at = [i + 1 for i in use]
+    if at:
+        mean = full[0, at] / n
+        cov = full[np.ix_(at, at)] / n - np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(cov), 0))
+        scale = np.where(scale < floor, 1.0, scale)
+        gram = n * cov / np.outer(scale, scale) + alpha * np.eye(len(at))
+        out[at] = np.linalg.solve(gram, (t[at] - mean * t[0]) / scale) / scale
+        out[0] -= out[at] @ mean
+    return out
+
+
+def residual_fit(full: np.ndarray, base: np.ndarray, use: Sequence[int], alpha: float) -> np.ndarray:
+    """The ridge of what ``base`` leaves, from the joint moments."""
+    size = len(full) - 1
+    return penalised(full, use, alpha, full[:size, size] - full[:size, :size] @ base)
+
+
+def _inner(df: DataFrame, track: str, vector: str, extra: str, y: str, moments: dict, centre: np.ndarray, solve, specs: int) -> DataFrame:
+    """(held_out number, spec, inner_mae) of the candidates that ``solve`` makes per fold."""
+    tracks = list(moments)
+    step, found = max(1, BROADCAST_BYTES // max(1, len(tracks) * specs * (len(centre) + 1) * 8)), None
+    for low in range(0, len(tracks), step):
+        folds = [(o, i) for o in tracks[low:low + step] for i in tracks if o != i]
+        models: dict = {}
+        for (o, i), beta in solved(df.sparkSession, moments, folds, solve, centre).items():
+            models.setdefault(i, []).append((tracks.index(o), beta))
+        part = _errors(df, track, vector, extra, y, models)
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("outer", "spec").agg(F.avg("mae").alias("inner_mae"))
+
+
+def residual_choice(df: DataFrame, track: str, y: str, powers: str, representations: Sequence[str], alphas: Sequence[float],
+                    degrees: int = 3, inner_base: Baseline = Baseline(2, 1.0)) -> tuple[DataFrame, DataFrame]:
+    """(choice per held-out track, scores of all candidates). The baseline's degree and penalty are
+    chosen by its own inner error; representation (an array column) and penalty by the inner
+    error of ``inner_base`` plus the residual ridge. Ties go to the smaller representation, its
+    name, then the smaller penalty. Rows with a gap take no part."""
+    spark, scores, chosen_base = df.sparkSession, None, None
+    for rep in representations:
+        part = materialize(complete_rows(df, rep, powers, y).select(track, F.col(rep).alias("v"), F.col(powers).alias("e"), y), spread=True)
+        first = part.first()
+        if first is None:
+            raise ValueError("no complete rows to choose from")
+        p, centre = len(first["v"]), design_means(part, "v", "e")
+        moments = track_moments(part, track, "v", "e", y, centre)
+        tracks = list(moments)
+        x_of = lambda degree, p=p: list(range(p, p + degree))
+        if chosen_base is None:
+            bases = [Baseline(g, a) for g in range(1, degrees + 1) for a in alphas]
+            found = _inner(part, track, "v", "e", y, moments, centre, lambda _, full: [penalised(full, x_of(b.degree), b.alpha) for b in bases], len(bases))
+            chosen_base = {}
+            for r in found.collect():  # tracks x baselines
+                b = bases[r["spec"]]
+                chosen_base[tracks[r["outer"]]] = min(chosen_base.get(tracks[r["outer"]], (np.inf,)), (r["inner_mae"], b.degree, b.alpha))
+
+        def solve(_, full, p=p, x_of=x_of):
+            base = penalised(full, x_of(inner_base.degree), inner_base.alpha)
+            return [base + residual_fit(full, base, range(p), a) for a in alphas]
+
+        found = _inner(part, track, "v", "e", y, moments, centre, solve, len(alphas))
+        rows = [(tracks[r["outer"]], rep, p, float(alphas[r["spec"]]), r["inner_mae"]) for r in found.collect()]
+        kind = df.schema[track].dataType.simpleString()
+        table = spark.createDataFrame(rows, f"held_out {kind}, representation string, size int, alpha double, inner_mae double")
+        scores = table if scores is None else scores.unionByName(table)
+    best = F.min(F.struct("inner_mae", "size", "representation", "alpha")).alias("b")
+    base = spark.createDataFrame([(t, int(g), float(a)) for t, (_, g, a) in chosen_base.items()], f"held_out {kind}, degree int, x_alpha double")
+    chosen = scores.groupBy("held_out").agg(best).select("held_out", "b.representation", "b.alpha", "b.inner_mae").join(base, "held_out")
+    return materialize(chosen), scores
+
+
+def residual_held_out(df: DataFrame, track: str, y: str, powers: str, chosen: DataFrame) -> DataFrame:
+    """(track, y, x_only, thermal_only, correction): every row under the locked choice of its track,
+    fitted on the other tracks' rows of ``df``."""
+    spark, kind, out = df.sparkSession, df.schema[track].dataType.simpleString(), None
+    picks: dict = {}
+    for r in chosen.collect():
+        picks.setdefault(r["representation"], {})[r["held_out"]] = r
+    for rep, own in sorted(picks.items()):
+        part = materialize(complete_rows(df, rep, powers, y).select(track, F.col(rep).alias("v"), F.col(powers).alias("e"), F.col(y).alias("y")))
+        first = part.first()
+        if first is None:
+            continue
+        p, centre = len(first["v"]), design_means(part, "v", "e")
+        moments = track_moments(part, track, "v", "e", "y", centre)
+        settings = {t: (r["degree"], r["x_alpha"], r["alpha"]) for t, r in own.items()}
+
+        def solve(fold, full, p=p, settings=settings):
+            degree, x_alpha, alpha = settings[fold[0]]
+            base = penalised(full, list(range(p, p + degree)), x_alpha)
+            return [base, penalised(full, range(p), alpha), residual_fit(full, base, range(p), alpha)]
+
+        folds = [(t,) for t in moments if t in own and len(moments) > 1]
+        sent = spark.sparkContext.broadcast({t: beta for (t,), beta in solved(spark, moments, folds, solve, centre).items()})
+
+        def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, rows in batch.groupby(track):
+                    if key in sent.value:
+                        beta = sent.value[key]
+                        fit = beta[:, 0] + _design(rows, "v", "e") @ beta[:, 1:].T
+                        yield pd.DataFrame({track: rows[track], "y": rows["y"], "x_only": fit[:, 0], "thermal_only": fit[:, 1], "correction": fit[:, 2]})
+
+        scored = part.mapInPandas(score, f"{track} {kind}, y double, x_only double, thermal_only double, correction double")
+        out = scored if out is None else out.unionByName(scored)
+    return out if out is not None else spark.createDataFrame([], f"{track} {kind}, y double, x_only double, thermal_only double, correction double")
+
+
+def residual_table(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Errors of the three predictions, and what the correction does."""
+    left, y = F.col("y") - F.col("x_only"), F.col("y")
+    combined = F.col("x_only") + F.col("correction")
+    mae = lambda p: F.avg(F.abs(p - y))
+    above = lambda limit: F.avg((F.abs("correction") > limit).cast("double"))
+    rows = scored.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), mae(F.col("x_only")).alias("x_only_mae"), mae(F.col("thermal_only")).alias("thermal_only_mae"),
+        mae(combined).alias("combined_mae"), F.sqrt(F.avg((combined - y) ** 2)).alias("combined_rmse"), F.avg(combined - y).alias("combined_bias"),
+        F.corr(left, F.col("correction")).alias("residual_correlation"),
+        (1 - F.sum((y - combined) ** 2) / F.greatest(F.sum(left ** 2), F.lit(1e-12))).alias("residual_variance_explained"),
+        above(0.02).alias("above_0p02"), above(0.05).alias("above_0p05"), above(0.10).alias("above_0p10"))
+    change = F.col("combined_mae") - F.col("x_only_mae")
+    return rows.withColumns({"mae_change": change, "relative_mae_change": change / F.col("x_only_mae")})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
 from trackloom.functions.scalars import d
+from trackloom.operators import frames as FR
 from trackloom.operators import joins as J
 from trackloom.operators import labels as L
 from trackloom.operators import metrics as M
@@ -286,6 +287,55 @@ def representation_manifest(t):
     return out.select(F.col("vec_id").alias("frame"), "track_id", "representation_id", "size", "context", used.alias("context_frames"))
 
 
+CATALOGUE_SQL = X.with_sql(X.CELLS, """
+fp AS (SELECT frame, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.10) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.97) AS p97, quantile_cont(v, 0.99) AS p99 FROM cells GROUP BY 1),
+c AS (SELECT c.*, p05, p10, p50, p90, p95, p97, p99, (v - p50) / (p95 - p05 + 1e-6) AS s, greatest(v - p10, 0e0) AS e, CASE WHEN v >= p95 THEN greatest(v - p95, 0e0) + 1e-12 ELSE 0e0 END AS h, CASE WHEN v >= p95 THEN greatest(v - p10, 0e0) ELSE 0e0 END AS w,
+  v - lag(v) OVER (PARTITION BY c.frame, r ORDER BY c) AS gx, v - lag(v) OVER (PARTITION BY c.frame, c ORDER BY r) AS gy FROM cells c JOIN fp USING (frame)),
+hot AS (SELECT frame, CAST(round_even(sum(h * c) / sum(h), 0) AS INT) - 2 AS x0, CAST(round_even(sum(h * r) / sum(h), 0) AS INT) - 2 AS y0, sum(w * c) / sum(w) AS mx, sum(w * r) / sum(w) AS my FROM c GROUP BY 1),
+roi AS (SELECT frame, sum(v) AS a, sum(s) AS r FROM c JOIN hot USING (frame) WHERE r >= y0 AND r < y0 + 4 AND c >= x0 AND c < x0 + 4 GROUP BY 1),
+m AS (SELECT frame, any_value(mx) AS mx, any_value(my) AS my, sum(w * (c - mx) * (c - mx)) / sum(w) AS xx, sum(w * (r - my) * (r - my)) / sum(w) AS yy, sum(w * (c - mx) * (r - my)) / sum(w) AS xy,
+  avg(CASE WHEN v >= p90 THEN 1e0 ELSE 0e0 END) + avg(CASE WHEN v >= p95 THEN 1e0 ELSE 0e0 END) + avg(CASE WHEN v >= p97 THEN 1e0 ELSE 0e0 END) + avg(CASE WHEN v >= p99 THEN 1e0 ELSE 0e0 END) AS f, count(*) FILTER (WHERE v >= p95) AS n,
+  max(v) - max(p10) + avg(e) + avg(abs(gx)) + avg(abs(gy)) + avg(v) FILTER (WHERE c < 4) - avg(v) FILTER (WHERE c >= 4) + avg(v) FILTER (WHERE r < 4) - avg(v) FILTER (WHERE r >= 4) AS rest FROM c JOIN hot USING (frame) GROUP BY 1),
+g AS (SELECT *, (xx + yy) / 2 + sqrt(power((xx - yy) / 2, 2) + xy * xy) AS e1, (xx + yy) / 2 - sqrt(power((xx - yy) / 2, 2) + xy * xy) AS e2 FROM m),
+sums AS (SELECT frame, any_value(track_id) AS track_id, sum(v) AS a, sum(v - p10) AS b, sum(s) AS s FROM c GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS idx FROM sums),
+ctx AS (SELECT k, o.frame, o.track_id, any_value(o.s) AS s, avg(coalesce(p.s, o.s)) AS mean, max(CASE WHEN j = k THEN coalesce(p.s, o.s) END) AS oldest, max(CASE WHEN p.frame IS NULL THEN 1e0 ELSE 0e0 END) AS gap,
+  string_agg(CAST(coalesce(p.frame, o.frame) AS VARCHAR), ';' ORDER BY j DESC) AS used FROM o CROSS JOIN (VALUES (1), (2), (4)) t(k) CROSS JOIN range(0, 5) u(j) LEFT JOIN o p ON p.track_id = o.track_id AND p.idx = o.idx - j WHERE j <= k GROUP BY 1, 2, 3)""") + """
+SELECT frame, track_id, 'current_absolute' AS representation_id, 64 AS size, 'current_only' AS context, CAST(frame AS VARCHAR) AS context_frames, 'none' AS normalization_id, a AS total FROM sums
+UNION ALL SELECT frame, track_id, 'current_background_subtracted', 64, 'current_only', CAST(frame AS VARCHAR), 'sample_local_p10_background', b FROM sums
+UNION ALL SELECT frame, track_id, 'current_robust_scaled', 64, 'current_only', CAST(frame AS VARCHAR), 'sample_local_robust_p05_p50_p95', s FROM sums
+UNION ALL SELECT frame, track_id, 'hotspot_centered_absolute', 16, 'current_only', CAST(frame AS VARCHAR), 'none', r.a FROM roi r JOIN sums USING (frame)
+UNION ALL SELECT frame, track_id, 'hotspot_centered_relative', 16, 'current_only', CAST(frame AS VARCHAR), 'sample_local_robust_p05_p50_p95', r.r FROM roi r JOIN sums USING (frame)
+UNION ALL SELECT frame, track_id, 'thermal_shape_features', 19, 'current_only', CAST(frame AS VARCHAR), 'none', f + 2 * sqrt(n / pi()) / 8e0 + 2 * sqrt(greatest(e1, 0e0)) / 8e0 + 2 * sqrt(greatest(e2, 0e0)) / 8e0
+  + 2 * sqrt(greatest(e1, 0e0)) / greatest(2 * sqrt(greatest(e2, 0e0)), 1e-9) + mx / 7e0 + my / 7e0 + e1 / 64e0 + e2 / 64e0 + rest FROM g JOIN sums USING (frame)
+UNION ALL SELECT frame, track_id, 'causal_context_prev' || k, 193, 'current_and_preceding_only', used, 'sample_local_robust_p05_p50_p95', s + mean + s - oldest + gap FROM ctx"""
+
+
+def catalogue(t):
+    """Every frame with its nine representations."""
+    places = O.dense_index(X.frames(t).select("track_id", "frame"), ["track_id"], ["frame"], "idx").select("frame", "idx")
+    rows = X.frames(t).join(places, "frame")
+    return FR.representations(rows, "track_id", "idx", "frame", "embedding", 8, 8, 8, 4)
+
+
+@query("representation_catalogue", CATALOGUE_SQL, "total", 5)
+def representation_catalogue(t):
+    """Nine representations of each frame with their provenance, contents checked by their sums."""
+    return FR.manifest(catalogue(t), ["frame", "track_id"], "frame")
+
+
+@query("representation_residuals")
+def representation_residuals(t):
+    """The residual grid over all nine representations, locked choices on all and on later frames."""
+    rows = catalogue(t)
+    x, e = d(20) + (F.col("idx") + d(0.5)) * d(0.2), F.col("current_absolute")
+    target = F.aggregate(F.transform(e, lambda v, i: v * v * (i % 8)), d(0), lambda a, v: a + v) + x / 50
+    powers = F.array(x, x * x, x * x * x)
+    chosen, table = residual_results(rows.withColumns({"powers": powers, "y": target}), {"all_rows": F.lit(True), "later_rows": F.col("idx") >= 20},
+                                     list(FR.REPRESENTATIONS), RIDGE_ALPHAS)
+    return table.join(chosen, "held_out")
+
+
 def vectors(t):
     return t.embeddings.select("vec_id", (F.col("label") % 3).cast("int").alias("track_id"), "embedding")
 
@@ -442,6 +492,71 @@ def nested_vector_selection(t):
     return table.join(chosen, ["held_out", "family"])
 
 
+# Residual grid: the baseline on powers of f1, the representations (f2) and (f2, f3), three alphas.
+RES_ALPHAS = (1.0, 100.0, 10000.0)
+
+
+def base_sql(name: str, source: str, keys: str, grid: str) -> str:
+    """Ridges on powers of f1 per ``keys`` and (degree, a) in ``grid``: b0 and k1..k3 with a penalised intercept."""
+    k = solve3_sql(["degree >= 1", "degree >= 2", "degree >= 3"], "a")
+    return moments_sql(f"{name}_m", source, keys, ["x1", "x2", "x3"], "y") + f""", {name}_k AS (SELECT *, {k[0]} AS k1, {k[1]} AS k2, {k[2]} AS k3 FROM {name}_m JOIN {grid}),
+{name} AS (SELECT *, n * my / (n + a) - k1 * m0 - k2 * m1 - k3 * m2 AS b0 FROM {name}_k)"""
+
+
+def correction_sql(name: str, source: str, keys: str, grid: str) -> str:
+    """Ridges of r on f2 (size 1) or f2 and f3 (size 2) per ``keys`` and (size, alpha) in ``grid``."""
+    c0, c1 = solve2_sql("alpha")
+    return moments_sql(f"{name}_m", source, keys, ["f2", "f3"], "r") + f""", {name}_k AS (SELECT *, CASE WHEN size = 1 THEN n * cy0 / s0 / (n + alpha) / s0 ELSE {c0} END AS c1, CASE WHEN size = 1 THEN 0e0 ELSE {c1} END AS c2 FROM {name}_m JOIN {grid}),
+{name} AS (SELECT *, n * my / (n + alpha) - c1 * m0 - c2 * m1 AS c0 FROM {name}_k)"""
+
+
+_ALPHAS = ", ".join(f"({a!r}::DOUBLE)" for a in RES_ALPHAS)
+RES_SQL = POLY_SQL + f""", policies AS (SELECT 'all_rows' AS policy, * FROM poly UNION ALL SELECT 'taxed_rows', * FROM poly WHERE f3 >= 0.03e0),
+tr AS (SELECT DISTINCT track_id AS h FROM poly), al(alpha) AS (VALUES {_ALPHAS}), degrees(degree) AS (VALUES (1), (2), (3)), sizes(size) AS (VALUES (1), (2)),
+pairs AS (SELECT a.h AS o, b.h AS i FROM tr a JOIN tr b ON a.h <> b.h), train AS (SELECT o, i, p.* FROM poly p JOIN pairs ON track_id <> o AND track_id <> i),
+bg AS (SELECT degree, alpha AS a FROM degrees, al)""" + base_sql("xb", "train", "o, i", "bg ON true") + """,
+x_mae AS (SELECT o, degree, a, avg(mae) AS mae FROM (SELECT o, i, degree, a, avg(abs(b0 + k1 * x1 + k2 * x2 + k3 * x3 - y)) AS mae FROM xb JOIN poly ON track_id = i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+x_best AS (SELECT o, degree, a FROM x_mae QUALIFY row_number() OVER (PARTITION BY o ORDER BY mae, degree, a) = 1), one AS (SELECT 2 AS degree, 1e0 AS a)""" + base_sql("ib", "train", "o, i", "one ON true") + """,
+ir AS (SELECT t.o, t.i, f2, f3, y - (b0 + k1 * x1 + k2 * x2 + k3 * x3) AS r FROM train t JOIN ib ON t.o = ib.o AND t.i = ib.i), cg AS (SELECT size, alpha FROM sizes, al)""" + correction_sql("ic", "ir", "o, i", "cg ON true") + """,
+candidates AS (SELECT o, size, alpha, avg(mae) AS inner_mae FROM (SELECT ic.o, ic.i, size, alpha, avg(abs(b0 + k1 * x1 + k2 * x2 + k3 * x3 + c0 + c1 * f2 + c2 * f3 - y)) AS mae
+  FROM ic JOIN ib ON ic.o = ib.o AND ic.i = ib.i JOIN poly ON track_id = ic.i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+best AS (SELECT c.o, size, alpha, inner_mae, degree, a AS x_alpha FROM candidates c JOIN x_best b ON c.o = b.o QUALIFY row_number() OVER (PARTITION BY c.o ORDER BY inner_mae, size, alpha) = 1),
+full_train AS (SELECT h AS o, p.* FROM policies p JOIN tr ON track_id <> h)""" + base_sql("fb", "full_train", "policy, o", "(SELECT o AS bo, degree, x_alpha AS a FROM best) ON o = bo") + """,
+fr AS (SELECT t.policy, t.o, f2, f3, y, y - (b0 + k1 * x1 + k2 * x2 + k3 * x3) AS r FROM full_train t JOIN fb ON t.o = fb.o AND t.policy = fb.policy)""" + correction_sql(
+    "fc", "fr", "policy, o", "(SELECT o AS bo, size, alpha FROM best) ON o = bo") + correction_sql(
+    "ft", "(SELECT policy, o, f2, f3, y AS r FROM fr)", "policy, o", "(SELECT o AS bo, size, alpha FROM best) ON o = bo") + """,
+scored AS (SELECT p.policy, track_id, y, b0 + k1 * x1 + k2 * x2 + k3 * x3 AS xp, ft.c0 + ft.c1 * f2 + ft.c2 * f3 AS tp, fc.c0 + fc.c1 * f2 + fc.c2 * f3 AS c
+  FROM policies p JOIN fb ON fb.o = track_id AND fb.policy = p.policy JOIN fc ON fc.o = track_id AND fc.policy = p.policy JOIN ft ON ft.o = track_id AND ft.policy = p.policy),
+e AS (SELECT policy, track_id, count(*) AS n, avg(abs(xp - y)) AS x_only_mae, avg(abs(tp - y)) AS thermal_only_mae, avg(abs(xp + c - y)) AS combined_mae, sqrt(avg(power(xp + c - y, 2))) AS combined_rmse,
+  avg(xp + c - y) AS combined_bias, corr(y - xp, c) AS residual_correlation, 1 - sum(power(y - xp - c, 2)) / greatest(sum(power(y - xp, 2)), 1e-12) AS residual_variance_explained,
+  avg(CASE WHEN abs(c) > 0.02e0 THEN 1e0 ELSE 0e0 END) AS above_0p02, avg(CASE WHEN abs(c) > 0.05e0 THEN 1e0 ELSE 0e0 END) AS above_0p05, avg(CASE WHEN abs(c) > 0.10e0 THEN 1e0 ELSE 0e0 END) AS above_0p10 FROM scored GROUP BY 1, 2)"""
+RES_OUT = "x_only_mae thermal_only_mae combined_mae combined_rmse combined_bias residual_correlation residual_variance_explained above_0p02 above_0p05 above_0p10 mae_change relative_mae_change"
+
+
+def residual_rows(t):
+    return poly_rows(t).select("track_id", F.array("x1", "x2", "x3").alias("powers"), F.array("f2").alias("one"), F.array("f2", "f3").alias("two"), "f3", "y")
+
+
+def residual_results(rows, policies, representations, alphas):
+    """(choice, errors per policy and held-out track) of the residual grid."""
+    rows = materialize(rows)
+    chosen, _ = N.residual_choice(rows, "track_id", "y", "powers", representations, alphas)
+    out = None
+    for policy, keep in policies.items():
+        part = N.residual_held_out(rows.where(keep), "track_id", "y", "powers", chosen).withColumn("policy", F.lit(policy))
+        out = part if out is None else out.unionByName(part)
+    return chosen, N.residual_table(out, ["policy", "track_id"]).withColumnRenamed("track_id", "held_out")
+
+
+@query("residual_grid", RES_SQL + """SELECT policy, track_id AS held_out, CASE size WHEN 1 THEN 'one' ELSE 'two' END AS representation, alpha, inner_mae, degree, x_alpha, e.* EXCLUDE (policy, track_id),
+  combined_mae - x_only_mae AS mae_change, (combined_mae - x_only_mae) / x_only_mae AS relative_mae_change FROM e JOIN best ON o = track_id""", "alpha inner_mae x_alpha " + RES_OUT)
+def residual_grid(t):
+    """Representation, penalties and degree chosen in nested folds, locked, refitted per policy, three predictions held out."""
+    policies = {"all_rows": F.lit(True), "taxed_rows": F.col("f3") >= d(0.03)}
+    chosen, table = residual_results(residual_rows(t), policies, ["one", "two"], RES_ALPHAS)
+    return table.join(chosen, "held_out")
+
+
 QUANTILE_NAMES = ["q05", "q25", "q50", "q75", "q95"]
 QUANTILE_ALPHAS = (1e-4, 1e-3, 1e-2)
 
