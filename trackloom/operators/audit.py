@@ -106,10 +106,12 @@ def phrase_scan(df: DataFrame, key: str, text: str, phrases: Sequence[str]) -> D
     return lines.withColumn("phrase", F.explode(hits)).select(key, "line_number", "phrase", F.trim("line").alias("line"))
 
 
-def sanitize_text(text: Column, root: str) -> Column:
-    """Project root and home folders replaced by placeholders."""
+def sanitize_text(text: Column, root: str, datasets: Sequence[str] = ()) -> Column:
+    """Project root, data folders below it and home folders replaced by placeholders."""
     out = F.replace(text, F.lit(root + "/"), F.lit("${PROJECT_ROOT}/"))
     out = F.replace(out, F.lit(root), F.lit("${PROJECT_ROOT}"))
+    for name in datasets:
+        out = F.replace(out, F.lit(f"${{PROJECT_ROOT}}/{name}/"), F.lit(f"${{DATA_ROOT}}/{name}/"))
     return F.regexp_replace(out, F.lit(HOME_PATTERN), F.lit("\\${USER_HOME}"))
 
 

@@ -53,6 +53,14 @@ def cohort_summary(rows: DataFrame, group: str, eligible: Column, first: Column,
         F.count_if(~eligible).alias("excluded"))
 
 
+def cohort_exclusions(rows: DataFrame, group: str, reason: str, boundary: Column, border: Column) -> DataFrame:
+    """Per group: rows, the distribution of exclusion reasons (an empty one is no exclusion) as JSON
+    with sorted keys, and the boundary and border cases."""
+    main = rows.groupBy(group).agg(F.count(F.lit(1)).alias("total"), F.count_if(boundary).alias("boundary_cases"),
+                                   F.count_if(border).alias("border_cases"))
+    return main.join(histogram_json(rows.withColumn("_w", F.coalesce(F.col(reason), F.lit(""))), [group], "_w", "reasons"), group)
+
+
 def quality_gates() -> dict[str, Column]:
     """Ten acceptance gates over quality features; a missing feature fails its test."""
     ok = F.col("finite_prediction")
@@ -162,13 +170,15 @@ def training_folds(rows: DataFrame, track: str, tracks: Sequence) -> DataFrame:
     return rows.withColumn("held_out", F.explode(folds))
 
 
-def error_cases(rows: DataFrame) -> DataFrame:
-    """False accepts, false rejects and accepted rows with large width or centre error."""
+def error_cases(rows: DataFrame, fixed: Column | None = None) -> DataFrame:
+    """False accepts, false rejects, accepted rows with large width or centre error, and rows that
+    are ``fixed`` cases anyway."""
     acc, av = F.col("accepted"), F.col("available")
     lerr, rerr = F.col("left") - F.col("ref_left"), F.col("right") - F.col("ref_right")
     large = (F.abs(rerr - lerr) > d(.15)) | (F.abs((lerr + rerr) / 2) > d(.10))
     case = (F.when(acc & ~av, "false_accept").when(~acc & av, "false_reject")
             .when(acc & av & F.coalesce(large, F.lit(False)), "large_error"))
+    case = case if fixed is None else F.coalesce(case, F.when(fixed, "fixed"))
     return rows.withColumn("case", case).where(F.col("case").isNotNull())
 
 

@@ -222,15 +222,21 @@ def interval_rule(ci_low: Column, relative_gain: Column) -> Column:
     return F.coalesce((ci_low > 0) & (relative_gain >= d(0.05)), F.lit(False))
 
 
-def development_rule(changes: DataFrame, change_col: str, base_mae: str) -> DataFrame:
-    """All tracks improve, by 0.005 or 5% on average, none worse than 0.002."""
+def development_rule(changes: DataFrame, change_col: str, base_mae: str, reference: DataFrame | None = None) -> DataFrame:
+    """All tracks improve, by 0.005 or 5% on average, none worse than 0.002. ``reference``, one row of
+    baseline_reference_mae and candidate_reference_mae, adds that the error against an outside
+    reference may not grow."""
     gain, base = -F.avg(change_col), F.avg(base_mae)
-    return changes.groupBy().agg(
+    out = changes.groupBy().agg(
         gain.alias("mean_gain"), F.try_divide(gain, base).alias("relative_gain"),
         F.bool_and(F.col(change_col) < 0).alias("all_improve"),
         F.bool_and(F.col(change_col) <= d(0.002)).alias("none_worse"),
     ).withColumn("success", F.col("all_improve") & F.col("none_worse") & (
         (F.col("mean_gain") >= d(0.005)) | (F.col("relative_gain") >= d(0.05))))
+    if reference is None:
+        return out
+    kept = F.coalesce(F.col("candidate_reference_mae") <= F.col("baseline_reference_mae"), F.lit(False))
+    return attach_one(out, reference).withColumn("reference_not_worse", kept).withColumn("success", F.col("success") & F.col("reference_not_worse"))
 
 
 def status_from(df: DataFrame, improves: Column, everywhere: Column) -> DataFrame:

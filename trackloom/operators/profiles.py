@@ -203,11 +203,11 @@ def edge_support(profiles: DataFrame, edges: DataFrame, key: Sequence[str], radi
 
 
 def run_spread(edges: DataFrame, key: Sequence[str], run: str, base_run: str, widths: Sequence[str],
-               alternates: Sequence[str]) -> DataFrame:
-    """Spread of width and centre over the aggregation widths (two or more needed), and
+               alternates: Sequence[str], values: Sequence[str] = ("width", "centre")) -> DataFrame:
+    """Spread of ``values``, as width and centre, over the aggregation widths (two or more needed), and
     the largest distance of the base run from the alternates; NULL without a base edge."""
     out = []
-    for v in ("width", "centre"):
+    for v in values:
         own = F.when(F.col(run).isin(*widths), F.col(v))
         base = F.max(F.when(F.col(run) == base_run, F.col(v)))
         known = base.isNotNull() & (F.count(own) >= 2)

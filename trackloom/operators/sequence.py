@@ -67,6 +67,14 @@ def exemplars(df: DataFrame, groups: Sequence[str], index: str) -> DataFrame:
     return rows.withColumn("kind", kind).where(F.col("kind").isNotNull()).drop("_last")
 
 
+def boundary_exemplars(df: DataFrame, groups: Sequence[str], index: str, flag: Column) -> DataFrame:
+    """Per group the first flagged row, or the first row where none is flagged."""
+    names = [c for c in df.columns if c not in groups]
+    order = F.struct((~F.coalesce(flag, F.lit(False))).alias("a"), F.col(index).alias("b"))
+    best = df.groupBy(*groups).agg(F.min_by(F.struct(*names), order).alias("_r"))
+    return best.select(*groups, "_r.*").withColumn("kind", F.lit("near_boundary"))
+
+
 def hashed_start(draw: Column, block: Column, choices: Column) -> Column:
     """Deterministic uniform block start in [0, choices), from 60 bits of a hash."""
     digest = F.md5(F.concat_ws("_", draw.cast("string"), block.cast("string")))

@@ -73,6 +73,17 @@ def context_support(t):
                             J.tile_outcome().alias("outcome"))
 
 
+@query("pixel_directions", TILE_SQL + """SELECT track_id, seg, tile_id, (x_mm - xmin) / px_mm AS increasing_px, (xmax - x_mm) / px_mm AS decreasing_px, CASE WHEN tile_id % 2 = 0 THEN (x_mm - xmin) / px_mm ELSE (xmax - x_mm) / px_mm END AS own_px
+FROM (SELECT track_id, seg, x_mm, tile_id FROM placed WHERE tile_id IS NOT NULL) JOIN (SELECT tile_id, xmin, xmax, px_mm FROM tiles) USING (tile_id)""", "increasing_px decreasing_px own_px")
+def pixel_directions(t):
+    """The pixel of a position along increasing, decreasing and its tile's own direction."""
+    at = placed(t).where("mapped IS NOT NULL").select("track_id", "seg", "x_mm", "mapped.tile_id").where("tile_id IS NOT NULL")
+    at = at.join(X.tiles(t).drop("track_id"), "tile_id")
+    px = lambda way: S.pixel_position(F.col("x_mm"), F.col("xmin"), F.col("xmax"), F.col("px_mm"), way)
+    return at.select("track_id", "seg", "tile_id", px(F.lit(True)).alias("increasing_px"), px(F.lit(False)).alias("decreasing_px"),
+                     px(F.col("tile_id") % 2 == 0).alias("own_px"))
+
+
 @query("strip_bounds", TILE_SQL + """, px AS (SELECT *, (x_mm - xmin) / px_mm AS u0 FROM placed JOIN (SELECT tile_id AS context_tile, xmin, px_mm FROM tiles) USING (context_tile)),
 b AS (SELECT track_id, seg, xmin, px_mm, x_mm,
   greatest(0, CAST(floor((x_mm - 0.4e0 - xmin) / px_mm) AS BIGINT)) AS mask_lo, least(1024, CAST(ceil((x_mm + 0.4e0 - xmin) / px_mm) AS BIGINT)) AS mask_hi,

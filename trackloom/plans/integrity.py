@@ -124,6 +124,35 @@ def sanitize_paths(t):
     return t.pages.select("page_id", A.sanitize_text(raw, "/data/run").alias("clean"))
 
 
+DATASETS = ("thermal", "sem", "height")
+DATA_ROOT_SQL = "replace(replace(raw, '/data/run/', '${PROJECT_ROOT}/'), '/data/run', '${PROJECT_ROOT}')"
+for _name in DATASETS:
+    DATA_ROOT_SQL = f"replace({DATA_ROOT_SQL}, '${{PROJECT_ROOT}}/{_name}/', '${{DATA_ROOT}}/{_name}/')"
+
+
+@query("sanitize_data_paths", f"""WITH s AS (SELECT page_id, '/data/run/' || CASE page_id % 4 WHEN 0 THEN 'thermal' WHEN 1 THEN 'sem' WHEN 2 THEN 'height' ELSE 'code' END || '/f' || page_id || ' of ' || url AS raw FROM pages)
+SELECT page_id, regexp_replace({DATA_ROOT_SQL}, '{HOME_SQL}', '${{USER_HOME}}', 'g') AS clean FROM s""")
+def sanitize_data_paths(t):
+    """Q12: data folders below the project root rewritten to the data root."""
+    folder = F.element_at(F.array(*[F.lit(n) for n in (*DATASETS, "code")]), (F.col("page_id") % 4 + 1).cast("int"))
+    raw = F.concat(F.lit("/data/run/"), folder, F.lit("/f"), F.col("page_id").cast("string"), F.lit(" of "), F.col("url"))
+    return t.pages.select("page_id", A.sanitize_text(raw, "/data/run", DATASETS).alias("clean"))
+
+
+@query("table_exact_digest", """WITH p AS (SELECT sha256('{"s_suppkey":' || s_suppkey || ',"s_nationkey":' || s_nationkey || '}') AS h, count(*) AS n FROM supplier GROUP BY 1),
+k AS (SELECT 1 + count(*) // 7 AS parts FROM p), l0 AS (SELECT CAST('0x' || substr(h, 1, 15) AS BIGINT) % parts AS part, h || ':' || n AS own FROM p, k),
+d0 AS (SELECT part, sha256(string_agg(own, ',' ORDER BY own)) AS own FROM l0 GROUP BY 1),
+d1 AS (SELECT part // 7 AS part, sha256(string_agg(lpad(CAST(part AS VARCHAR), 20, '0') || ':' || own, ',' ORDER BY lpad(CAST(part AS VARCHAR), 20, '0'))) AS own FROM d0 GROUP BY 1),
+d2 AS (SELECT part // 7 AS part, sha256(string_agg(lpad(CAST(part AS VARCHAR), 20, '0') || ':' || own, ',' ORDER BY lpad(CAST(part AS VARCHAR), 20, '0'))) AS own FROM d1 GROUP BY 1),
+d3 AS (SELECT part // 7 AS part, sha256(string_agg(lpad(CAST(part AS VARCHAR), 20, '0') || ':' || own, ',' ORDER BY lpad(CAST(part AS VARCHAR), 20, '0'))) AS own FROM d2 GROUP BY 1),
+d4 AS (SELECT part // 7 AS part, sha256(string_agg(lpad(CAST(part AS VARCHAR), 20, '0') || ':' || own, ',' ORDER BY lpad(CAST(part AS VARCHAR), 20, '0'))) AS own FROM d3 GROUP BY 1)
+SELECT own AS sha256 FROM (SELECT 0 AS l, max(own) AS own, count(*) AS c FROM d0 UNION ALL SELECT 1, max(own), count(*) FROM d1 UNION ALL SELECT 2, max(own), count(*) FROM d2
+  UNION ALL SELECT 3, max(own), count(*) FROM d3 UNION ALL SELECT 4, max(own), count(*) FROM d4) WHERE c = 1 ORDER BY l LIMIT 1""")
+def table_exact_digest(t):
+    """Q7: a digest of a whole table as a tree of hashes, here of width seven."""
+    return A.exact_digest(t.supplier.select("s_suppkey", "s_nationkey"), ["s_suppkey", "s_nationkey"], 7)
+
+
 @query("broken_links", r"""WITH links AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)([^?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://([^/?#]+)([^?#]*)', 2) AS base,
   unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS t FROM pages), rel AS (SELECT *, trim(regexp_replace(t, '[?#].*$', '')) AS r FROM links),
 whole AS (SELECT page_id, host, regexp_replace(CASE WHEN starts_with(r, '/') THEN r ELSE regexp_replace(base, '[^/]*$', '') || r END, '/\.?$', '/') AS p

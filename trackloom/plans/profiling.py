@@ -179,6 +179,13 @@ def run_spread(t):
     return P.run_spread(edges(t), POS, "run", "100", AGG_RUNS, ALTERNATES)
 
 
+@query("run_spread_sides", WITH_EDGES + "," + SPREAD_SQL.replace("right_ - left_ AS w, (left_ + right_) / 2 AS c", "left_ AS w, right_ AS c").replace(
+    "width_", "left_").replace("centre_", "right_") + "SELECT * FROM spread", "left_sensitivity left_disagreement right_sensitivity right_disagreement")
+def run_spread_sides(t):
+    """Spread and disagreement of the left and right boundary."""
+    return P.run_spread(edges(t), POS, "run", "100", AGG_RUNS, ALTERNATES, ("left", "right"))
+
+
 def base_edges(t):
     e = P.edge_finder(base_profiles(t), POS)
     return e.withColumn("idx", (F.col("x_um") / 40).cast("long"))
@@ -198,6 +205,17 @@ def neighbour_continuity(t):
     return P.neighbour_continuity(base_edges(t).select("track_id", "idx", "width"), ["track_id"], "idx", "width")
 
 
+@query("neighbour_continuity_centre", BASE_EDGE_SQL + """, w AS (SELECT track_id, x_um // 40 AS idx, (left_ + right_) / 2 AS w FROM edges),
+n AS (SELECT a.track_id, a.idx, a.w, p.w AS pw, q.w AS qw FROM w a LEFT JOIN w p ON a.track_id = p.track_id AND p.idx = a.idx - 1 LEFT JOIN w q ON a.track_id = q.track_id AND q.idx = a.idx + 1),
+trio AS (SELECT *, list_filter([w, pw, qw], lambda x: x IS NOT NULL) AS l FROM n)
+SELECT track_id, idx, CAST((pw IS NOT NULL)::INT + (qw IS NOT NULL)::INT AS INT) AS neighbours,
+  CASE WHEN w IS NOT NULL AND coalesce(pw, qw) IS NOT NULL THEN (coalesce(abs(w - pw), 0e0) + coalesce(abs(w - qw), 0e0)) / ((pw IS NOT NULL)::INT + (qw IS NOT NULL)::INT) END AS neighbour_difference,
+  CASE WHEN len(l) >= 2 THEN list_median(list_transform(l, lambda x: abs(x - list_median(l)))) END AS neighbourhood_mad FROM trio""", "neighbour_difference neighbourhood_mad")
+def neighbour_continuity_centre(t):
+    """Continuity of the centre with the adjacent positions."""
+    return P.neighbour_continuity(base_edges(t).select("track_id", "idx", "centre"), ["track_id"], "idx", "centre")
+
+
 @query("repeated_value_cap", BASE_EDGE_SQL + """, k AS (SELECT track_id, x_um, round(right_ - left_, 6) AS k FROM edges), c AS (SELECT k, count(*) AS n FROM k WHERE k IS NOT NULL GROUP BY 1)
 SELECT track_id, x_um, coalesce(n, 0) AS repeat_count, coalesce(k.k = (SELECT max(k) FROM c) AND n >= 3, false) AS cap_flag, (SELECT max(k) FROM c) - k.k AS cap_distance FROM k LEFT JOIN c ON k.k = c.k""", "cap_distance")
 def repeated_value_cap(t):
@@ -254,6 +272,14 @@ def relief_anchor(t):
     return M.anchor_ratios(rows, "track_id", "relief_p90", ["extent", "extent_sq"])
 
 
+@query("area_anchor", RELIEF_SQL + """, m AS (SELECT track_id, median(area) AS y, median(CAST(x_um AS DOUBLE) / 1000 * (CAST(x_um AS DOUBLE) / 1000)) AS b FROM relief GROUP BY 1)
+SELECT 'extent_sq' AS candidate, count(y / b) AS tracks, avg(y / b) AS mean_ratio, stddev_pop(y / b) / avg(y / b) AS cv FROM m""", "mean_ratio cv")
+def area_anchor(t):
+    """The area's anchor on the squared extent."""
+    e = F.col("x_um").cast("double") / 1000
+    return M.anchor_ratios(relief(t).withColumn("extent_sq", e * e), "track_id", "area", ["extent_sq"])
+
+
 @query("contour_roughness", X.with_sql(X.POSITIONS, """
 s AS (SELECT *, avg(y) OVER (PARTITION BY track_id ORDER BY seg ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS s2, avg(y) OVER (PARTITION BY track_id ORDER BY seg ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS s10 FROM positions),
 l AS (SELECT track_id, regr_slope(y, x_mm) AS k, regr_intercept(y, x_mm) AS c FROM positions GROUP BY 1)""") + """
@@ -336,6 +362,17 @@ def policy_summary(t):
     return L.policy_summary(built_labels(t), "track_id", policies, "reason", "width", "x_mm")
 
 
+@query("cohort_exclusions", LABEL_SQL + """, c AS (SELECT *, least(x_mm - 20e0, 100e0 - x_mm) < 1e0 AS border, abs(x_mm - 0.2e0 * round(x_mm / 0.2e0)) < 0.021e0 AS boundary FROM labels_built),
+h AS (SELECT track_id, '{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}' AS reasons FROM (SELECT track_id, reason, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT c.track_id, count(*) AS total, any_value(reasons) AS reasons, count(*) FILTER (WHERE boundary) AS boundary_cases, count(*) FILTER (WHERE border) AS border_cases FROM c JOIN h USING (track_id) GROUP BY 1""")
+def cohort_exclusions(t):
+    """Exclusion distribution, boundary and border cases per track."""
+    x = F.col("x_mm")
+    rows = built_labels(t)
+    border, boundary = F.least(x - d(20), d(100) - x) < d(1), F.abs(x - d(0.2) * F.round(x / d(0.2))) < d(0.021)
+    return L.cohort_exclusions(rows, "track_id", "reason", boundary, border)
+
+
 @query("cohort_summary", X.with_sql(X.GATE_ROWS) + """SELECT track_id, count(*) AS total, count(*) FILTER (WHERE n_chars >= 500) AS eligible, count(quality) AS first_available, count(*) FILTER (WHERE coalesce(toxic = 0, false)) AS second_available,
   count(*) FILTER (WHERE n_chars >= 500 AND quality IS NOT NULL AND toxic = 0) AS common, count(*) FILTER (WHERE n_chars < 500) AS excluded FROM gate_rows GROUP BY 1""")
 def cohort_summary(t):
@@ -474,6 +511,13 @@ def error_cases(t):
     return L.error_cases(judged_rows(t)).select("gate_id", "vec_id", "case")
 
 
+@query("error_cases_with_fixed", GATES_SQL + """SELECT gate_id, vec_id, coalesce(kind, 'fixed') AS "case" FROM (SELECT *, CASE WHEN accepted AND NOT available THEN 'false_accept' WHEN NOT accepted AND available THEN 'false_reject'
+  WHEN accepted AND available AND coalesce(abs((right_ - rr) - (left_ - rl)) > 0.15e0 OR abs(((left_ - rl) + (right_ - rr)) / 2) > 0.1e0, false) THEN 'large_error' END AS kind FROM judged_rows) WHERE kind IS NOT NULL OR vec_id % 17 = 0""")
+def error_cases_with_fixed(t):
+    """Error cases together with fixed ids."""
+    return L.error_cases(judged_rows(t), F.col("vec_id") % 17 == 0).select("gate_id", "vec_id", "case")
+
+
 STUMP_SQL = FEATURE_SQL + ", rows_ AS (SELECT f.track_id, quality = 1 AS y, h.held_out, " + ", ".join(f"round(coalesce({c}, 0e0), 9) AS {c}" for c in STUMP) + """ FROM features f JOIN labels ON vec_id = doc_id CROSS JOIN (VALUES (0), (1), (2)) h(held_out) WHERE f.track_id <> h.held_out),
 long AS (""" + " UNION ALL ".join(f"SELECT held_out, {i} AS fr, '{c}' AS feature, {c} AS x, y FROM rows_" for i, c in enumerate(STUMP)) + """),
 cuts AS (SELECT DISTINCT held_out, fr, feature, x AS threshold FROM long),

@@ -124,6 +124,21 @@ def development_rule(t):
     return M.development_rule(fold_changes(t).where("model_id = 'previous'"), "absolute_change", "baseline_mae")
 
 
+@query("development_rule_with_reference", FOLD_SQL + """, r AS (SELECT -avg(absolute_change) AS mean_gain, -avg(absolute_change) / avg(baseline_mae) AS relative_gain,
+  bool_and(absolute_change < 0) AS all_improve, bool_and(absolute_change <= 0.002e0) AS none_worse FROM changes WHERE model_id = 'previous'),
+h AS (SELECT avg(abs(p - o_totalprice / 5000e0)) FILTER (WHERE model_id = 'track_mean') AS baseline_reference_mae, avg(abs(p - o_totalprice / 5000e0)) FILTER (WHERE model_id = 'previous') AS candidate_reference_mae
+  FROM predictions JOIN orders ON seg = o_orderkey AND track_id = o_custkey % 4)
+SELECT r.*, h.*, candidate_reference_mae <= baseline_reference_mae AS reference_not_worse,
+  all_improve AND none_worse AND (mean_gain >= 0.005e0 OR relative_gain >= 0.05e0) AND candidate_reference_mae <= baseline_reference_mae AS success FROM r, h""",
+       "mean_gain relative_gain baseline_reference_mae candidate_reference_mae")
+def development_rule_with_reference(t):
+    """Q3: the development rule with the condition on the error against the outside reference."""
+    ref = t.orders.select(F.col("o_orderkey").alias("seg"), (F.col("o_custkey") % 4).cast("int").alias("track_id"), (F.col("o_totalprice") / d(5000)).alias("ref"))
+    gap = lambda m: F.avg(F.when(F.col("model_id") == m, F.abs(F.col("p") - F.col("ref"))))
+    means = X.predictions(t).join(ref, ["seg", "track_id"]).agg(gap("track_mean").alias("baseline_reference_mae"), gap("previous").alias("candidate_reference_mae"))
+    return M.development_rule(fold_changes(t).where("model_id = 'previous'"), "absolute_change", "baseline_mae", means)
+
+
 @query("consistency_status", FOLD_SQL + """SELECT model_id, CASE WHEN avg(absolute_change) < 0 AND bool_and(absolute_change < 0) THEN 'consistent_improvement'
   WHEN avg(absolute_change) < 0 THEN 'aggregate_only' ELSE 'no_improvement' END AS status FROM changes GROUP BY 1""")
 def consistency_status(t):

@@ -140,6 +140,12 @@ def exemplars(t):
     return Q.exemplars(indexed(t), ["track_id"], "pos").select("track_id", "seg", "y", "kind")
 
 
+@query("boundary_exemplars", X.with_sql(X.POSITIONS) + """SELECT track_id, seg, y, 'near_boundary' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY y <= 95e0, seg) AS rn FROM positions) WHERE rn = 1""", "y")
+def boundary_exemplars(t):
+    """The first boundary case per track."""
+    return Q.boundary_exemplars(X.positions(t).select("track_id", "seg", "y"), ["track_id"], "seg", F.col("y") > 95)
+
+
 @query("monotonic_check", X.with_sql(X.POSITIONS) + """SELECT track_id, count(*) AS n, count(DISTINCT seg) AS distinct_index, coalesce(bool_and(x_mm > px), true) AS strictly_increasing
 FROM (SELECT *, lag(x_mm) OVER (PARTITION BY track_id ORDER BY seg) AS px FROM positions) GROUP BY 1""")
 def monotonic_check(t):
