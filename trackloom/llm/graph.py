@@ -20,7 +20,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two contractions that keep components: every node hands its larger neighbours to
     its least one, then its smaller ones likewise, until all are stars around least ids. Ids with
-    a large share of all links are joined apart; no neighbourhood is gathered.
+    a large share of all links are joined apart; no neighbourhood is gathered. Repeated links and
+    links to itself count once or not at all; an id only linked to itself is not returned, and no
+    links give no row.
     """
     edges = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .where("u <> v").distinct(), "links")
@@ -31,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         large = _linked_to_least(both, 2 * state[0]).where("v > u").select(
             F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
         large = store(large, "links")
-        near = _linked_to_least(large, large.count())
+        near = _linked_to_least(large, 2 * state[0])  # no more than there are before
         small = near.select(F.explode(F.array(
             F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v"))
         )).alias("e")).select("e.u", "e.v").where("u <> v").distinct()

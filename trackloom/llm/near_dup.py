@@ -18,10 +18,11 @@ Exact copies (equal words) are one node. In each bucket the members are first co
 least one only. Buckets that end in several components are compared again around a pivot of their
 own, and after that the members outside a bucket's largest component meet those of its other
 components. So every pair that shares a band is either in one class or was compared, by texts or,
-in the last step, first by 4 bits of each coordinate: pairs whose bits are too far apart for the
-threshold are not written. Families of near copies become components in the linear steps; the
-last one tests as many pairs of bits as a bucket has members, times those outside its largest
-component.
+in the last step, first by size and a parity sketch of all shingles: pairs that these prove to be
+below the threshold are not written. Sketches tell most from about 4,000 shingles down; longer
+documents are compared by texts. Families of near copies become components in the linear steps; the
+last one tests as many pairs of sketches as a bucket has members, times those outside its largest
+component, over as many tasks as that takes.
 
 Defined cases: documents without words (null, empty, only signs) are each a class of their own;
 rows with a null id keep a null class; rows with one id are one node, their class is that of the
@@ -40,25 +41,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import BROADCAST_ROWS, join_counted, store, text_slices, word_list
+from trackloom.llm.common import BROADCAST_ROWS, join_counted, map_arrow, store, text_slices, word_list
 from trackloom.llm.graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 6, 30
 COORDINATES = ROWS * BANDS
-#: Bits kept of each coordinate, and how many of all bits may differ between two documents that
-#: are worth comparing: the mean at THRESHOLD and four standard deviations, so that a pair at the
-#: threshold is passed over with probability 0.00003.
-BITS = 4
-_APART = 1 - THRESHOLD
-MOST_BITS = int(COORDINATES * _APART * BITS / 2 + 4 * math.sqrt(
-    COORDINATES * (_APART * BITS / 4 + (BITS / 2) ** 2 * _APART * THRESHOLD)))
+#: Bits of a document's parity sketch, and pairs of sketches that one task compares in a bucket.
+BITS, CROSS_PAIRS = 2048, 4_000_000
 SEED = 0x9E3779B97F4A7C15
 #: Length of the first time cell; the next ones end at 2, 4, 8, ... times this.
 FIRST_CELL = 1 / 64
 #: Distinct words whose hashes a task remembers.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -151,18 +147,18 @@ def band_keys(names: np.ndarray) -> np.ndarray:
     return key
 
 
-def packed_bits(names: np.ndarray) -> np.ndarray:
-    """BITS hashed bits of every coordinate, packed into 64-bit words."""
-    hashed = mix(names ^ salt(17))
-    bits = np.stack([(hashed >> np.uint64(i)) & np.uint64(1) for i in range(BITS)], axis=2).astype(np.uint8)
-    flat = bits.reshape(len(names), COORDINATES * BITS)
-    whole = np.pad(flat, ((0, 0), (0, -flat.shape[1] % 64)))
-    return np.packbits(whole, axis=1).view(np.int64)
+def parity_bits(keys: np.ndarray, counts: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """(docs, BITS / 64) sketches: every copy of a shingle turns one bit of its document's."""
+    copies = np.repeat(np.arange(len(keys)), counts)
+    turn = np.arange(len(copies)) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = mix(keys[copies] ^ mix(turn.astype(np.uint64) + salt(17))) % np.uint64(BITS)
+    odd = np.bincount(owner[copies] * BITS + place.astype(np.int64), minlength=docs * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(docs, BITS), axis=1).view(np.int64)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(id, f1, f2, bands, bits): a digest of the words, the band keys and the packed signature;
-    nulls where there is no word."""
+    """(id, f1, f2, bands, bits, size): a digest of the words, the band keys, the parity sketch and
+    the number of shingles; nulls where there is no word."""
     def scan(batches):
         hashes = WordHashes()
         for part, texts in text_slices(batches, "text"):
@@ -172,21 +168,22 @@ def sketched(docs: DataFrame) -> DataFrame:
             own = [shingles(words[i], hashes) for i in full]
             signed, bits = np.zeros((0, BANDS), np.int64), np.zeros((0, 1), np.int64)
             if full:
-                sizes = [len(k) for k, _ in own]
-                drawn = signatures(
-                    np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]).astype(np.float64),
-                    np.repeat(np.arange(len(full)), sizes), len(full))
-                signed, bits = band_keys(drawn).astype(np.int64), packed_bits(drawn)
+                keys, counts = (np.concatenate([o[x] for o in own]) for x in (0, 1))
+                owner = np.repeat(np.arange(len(full)), [len(k) for k, _ in own])
+                signed = band_keys(signatures(keys, counts.astype(np.float64), owner, len(full))).astype(np.int64)
+                bits = parity_bits(keys, counts, owner, len(full))
+            weight = {i: int(c.sum()) for i, (_, c) in zip(full, own, strict=True)}
             row_of = {i: r for r, i in enumerate(full)}
             digest = [np.frombuffer(print_of[i], "<i8").tolist() if i in print_of else (None, None) for i in range(len(texts))]
             lists = lambda table: pa.array(
                 [table[row_of[i]] if i in row_of else None for i in range(len(texts))], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([d[0] for d in digest], pa.int64()), pa.array([d[1] for d in digest], pa.int64()),
-                 lists(signed), lists(bits)], names=["id", "f1", "f2", "bands", "bits"])
+                 lists(signed), lists(bits), pa.array([weight.get(i) for i in range(len(texts))], pa.int64())],
+                names=["id", "f1", "f2", "bands", "bits", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(
-        scan, "id long, f1 long, f2 long, bands array<long>, bits array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), scan,
+                     "id long, f1 long, f2 long, bands array<long>, bits array<long>, size long")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -196,6 +193,14 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (int(a[1].sum()) + int(b[1].sum()) - shared)
 
 
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that may reach THRESHOLD by their sketches; texts of the others never move."""
+    sketch = lambda end, name: nodes.select(F.col("id").alias(end), F.struct("bits", "size").alias(name))
+    targets = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(sketch("b", "y"), "b")
+    both = join_counted(pairs.join(sketch("a", "x"), "a"), targets, ["b"], "n", pairs.count())
+    return store(both.where(alike("x", "y")).select("a", "b"), "near-pairs")
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts reach THRESHOLD; ``b`` may be shared by many pairs."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -221,7 +226,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(similarity(shingles(word_list(text), hashes), kept[b[i]]) >= THRESHOLD)
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "text", "text_b").mapInArrow(scan, "a long, b long")
+    return map_arrow(both.select("a", "b", "text", "text_b"), scan, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -233,22 +238,22 @@ def classes(docs: DataFrame) -> DataFrame:
     several = store(copies.where("n > 1"), "near-copies")
     copied = store(join_counted(worded.select("id", "f1", "f2"), several, ["f1", "f2"], "n", total).where("id <> rep")
                    .select("id", "rep").distinct(), "near-copied")
-    nodes = worded.select("id", "bands", "bits").join(copied.select("id"), "id", "left_anti")
+    nodes = worded.select("id", "bands", "bits", "size").join(copied.select("id"), "id", "left_anti")
     nodes = store(nodes.dropDuplicates(["id"]), "near-nodes")
     bands = nodes.select("id", F.explode("bands").alias("key"))
     buckets = store(bands.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
                     .where("n > 1"), "near-buckets")
     members = store(join_counted(bands, buckets, ["key"], "n", BANDS * total), "near-members")
     stars = members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    links = store(verified(store(stars, "near-pairs"), docs), "near-links")
-    labels = components(links)
+    labels = store(components(store(verified(possible(store(stars, "near-pairs"), nodes), docs), "near-links")), "near-labels")
     for pairs_of in (pivot_pairs, cross_pairs):
         mixed = store(mixed_rows(members, labels, BANDS * total).join(nodes, "id"), "near-mixed")
         pairs = store(pairs_of(mixed, BANDS * total, [alike, met_first]), "near-pairs")
+        if pairs_of is pivot_pairs:
+            pairs = possible(pairs, nodes)
         if not pairs.limit(1).count():
-            break
-        links = links.unionByName(store(verified(pairs, docs), "near-links"))
-        labels = components(links)
+            continue
+        labels = store(merged(labels, store(verified(pairs, docs), "near-links")), "near-labels")
     # copies follow their representative
     mates = copied.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("rep", "id")
     mates = mates.join(labels, "id", "left").select(F.col("id").alias("rep"), F.coalesce("label", "id").alias("label"), "n")
@@ -269,11 +274,15 @@ def mixed_rows(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     return store(rows.where("id <> least").select("key", "id", "label"), "near-mixed")
 
 
-def alike(a: str, b: str, key: Column) -> Column:
-    """Whether the packed signatures differ in few enough bits to be worth a comparison."""
-    words = -(-COORDINATES * BITS // 64)
-    apart = [F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseXOR(F.get(f"{b}.bits", F.lit(i)))) for i in range(words)]
-    return sum(apart[1:], apart[0]) <= MOST_BITS
+def alike(a: str, b: str, key: Column | None = None) -> Column:
+    """Whether two documents may reach THRESHOLD. What one holds and the other does not is at most
+    (1 - t) / (1 + t) of both sizes then, and no fewer than the bits in which the sketches differ; the
+    smaller is at least t of the larger. No pair at the threshold is passed over."""
+    words = F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))  # unrolled, it is too long to compile
+    apart = F.aggregate(words, F.lit(0), lambda total, n: total + n)
+    sizes = [F.col(f"{x}.size") for x in (a, b)]
+    near = F.least(*sizes) >= THRESHOLD * F.greatest(*sizes) - 1e-6
+    return near & (apart <= (1 - THRESHOLD) / (1 + THRESHOLD) * (sizes[0] + sizes[1]) + 1e-6)
 
 
 def met_first(a: str, b: str, key: Column) -> Column:
@@ -298,17 +307,43 @@ def pivot_pairs(rows: DataFrame, total: int, _: Sequence = ()) -> DataFrame:
 
 def cross_pairs(rows: DataFrame, total: int, conditions: Sequence = ()) -> DataFrame:
     """In each mixed bucket, the members outside its largest component with all members of other
-    components: what the stars left open. ``conditions`` on the two rows narrow the join itself."""
+    components: what the stars left open. ``conditions`` on the two rows narrow the join itself.
+    A bucket of many such pairs is dealt over salts: the outside members by a hash, the others to
+    each salt."""
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    top = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.sum("size").alias("n"))
+    outside = F.col("n") - F.col("most")
+    top = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.max("size").alias("most"),
+                                   F.sum("size").alias("n")).withColumn(
+        "salts", F.greatest(F.lit(1), F.least(outside, F.ceil(outside * F.col("n") / CROSS_PAIRS))).cast("int")).drop("most")
     rows = store(join_counted(rows, top, ["key"], "n", total), "near-mixed")
-    met = F.expr("x.key = y.key AND x.label <> y.label AND (y.label = y.top OR x.id < y.id)")
+    met = F.expr("x.key = y.key AND x.salt = y.salt AND x.label <> y.label AND (y.label = y.top OR x.id < y.id)")
     for condition in conditions:
         met = met & condition("x", "y", F.col("x.key"))
-    pairs = rows.where("label <> top").alias("x").join(rows.alias("y"), met)
+    left = rows.where("label <> top").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    pairs = left.alias("x").join(right.alias("y"), met)
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, label) after further links: these are drawn between labels, whose components
+    are found apart, and every id follows its label."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
+    known = store(known, "near-known")
+    uses = lambda end: links.groupBy(end).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed(end, "id").join(known, "id")
+    total = links.count()
+    drawn = links
+    for end in ("a", "b"):
+        side = uses(end).select(F.col("id").alias(end), F.col("label").alias(f"l{end}"), "n")
+        drawn = join_counted(drawn, side, [end], "n", total)
+    joined = components(drawn.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
+    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    moves = joined.select(F.col("id").alias("label"), F.col("label").alias("to")).join(sizes, "label")
+    moved = join_counted(known, moves, ["label"], "n", known.count(), "left")
+    return moved.select("id", F.coalesce("to", "label").alias("label"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     return classes(docs).select(F.col("id").alias("doc_id"), "class_id")
 
