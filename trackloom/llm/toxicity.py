@@ -7,19 +7,20 @@ log-likelihood of the noisy-or is what is fitted, and the sentence scores that c
 the offending sentences.
 
 The fit uses at most SAMPLE_ROWS labelled documents of each class, those of the smallest hash of
-their id, weighted to the true class sizes, in one task; rows with crc32(doc_id) mod 5 = 0 are
+their id, one row of an id, weighted to the true class sizes, in one task; rows with crc32(doc_id) mod 5 = 0 are
 held out. Every document is scored over its whole text. The model is at most FEATURES weights and
 is broadcast.
 
 Defined cases: null or empty texts have no sentence and score 0; several labels of an id give
-1 if any is 1, null labels are ignored; without labels of both classes all scores are 0 or, if
+1 if any is 1, null labels and those without a document are ignored; of an id's rows the text of
+the smallest hash is learned from, and all are scored; very long texts are scored whole, one at a time; without labels of both classes all scores are 0 or, if
 all labels are 1, 1; other columns pass through ``keep_clean``.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import text_slices
+from trackloom.llm.common import map_arrow, text_slices
 
 SAMPLE_ROWS = 3000
 FEATURES = 6000
@@ -37,7 +38,9 @@ LEAST_DOCUMENTS = 4
 BEGINNINGS = (3, 4, 5, 6, 7)
 STEPS, RATE, DECAY = 250, 0.15, 2e-4
 THRESHOLD = 0.5
-WORD_CACHE = 1_000_000
+WORD_CACHE = 100_000
+#: Words of the sample whose features are made at once.
+CHUNK = 100_000
 SENTENCES = bytes(10 if b in b".!?\n" else b + 32 if 65 <= b <= 90 else
                   b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -52,37 +55,78 @@ def features(word: bytes) -> list[bytes]:
     return [b"=" + word, *[word[:n] for n in BEGINNINGS if len(word) >= n]]
 
 
+class Numbers(dict):
+    def __missing__(self, key: bytes) -> int:
+        at = self[key] = len(self)
+        return at
+
+
+def distinct(owner: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different (owner, item) pairs by owner."""
+    both = np.unique(owner.astype(np.int64) << 32 | item.astype(np.int64))
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def spread(owner: np.ndarray, item: np.ndarray, first: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, entry) for every entry of ``flat`` in [first[item], first[item + 1])."""
+    sizes = first[item + 1] - first[item]
+    turn = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(owner, sizes), flat[np.repeat(first[item], sizes) + turn]
+
+
+def slices(owner: np.ndarray) -> list[slice]:
+    """About CHUNK entries each, never cutting an owner; ``owner`` ascends."""
+    cuts = np.unique(np.searchsorted(owner, owner[np.arange(0, len(owner), CHUNK)])).tolist() if len(owner) else [0]
+    return [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(owner)], strict=True)]
+
+
+def numbered(texts: list[bytes]) -> tuple[Numbers, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, document of each sentence, sentence of each entry, word of each entry)."""
+    number, words_of, sentence_of, owner = Numbers(), array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for part in text.translate(SENTENCES).split(b"\n"):
+            if words := set(part.split()):
+                words_of.extend(map(number.__getitem__, words))
+                sentence_of.extend([len(owner)] * len(words))
+                owner.append(d)
+    return number, *(np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (owner, sentence_of, words_of))
+
+
 def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> dict[bytes, float]:
-    """Feature weights, the bias under b"": gradient steps (Adam) on the noisy-or likelihood."""
+    """Feature weights, the bias under b"": gradient steps (Adam) on the noisy-or likelihood. Words
+    and features are numbers, and what has an entry per word is made in slices."""
     if not labels.any() or labels.all():
         return {b"": 40.0 if len(labels) and labels.all() else -math.inf}
-    bags = [sentences(t) for t in texts]
-    number, held = [0, 0], (Counter(), Counter())
-    for bag, label in zip(bags, labels.astype(int).tolist(), strict=True):
-        number[label] += 1
-        held[label].update({f for w in set().union(*bag) for f in features(w)})
+    number, owner, sentence_of, words_of = numbered(texts)
+    feature, flat, first = Numbers(), array("i"), array("i", [0])
+    for word in number:
+        flat.extend(map(feature.__getitem__, features(word)))
+        first.append(len(flat))
+    flat, first = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32), np.array(first, np.int64)
+    toxic = labels.astype(int)
+    total = [int((toxic == v).sum()) for v in (0, 1)]
+    held = np.zeros((2, len(feature)), np.int64)
+    for mine in slices(document := owner[sentence_of]):
+        bag, found = distinct(*spread(*distinct(document[mine], words_of[mine]), first, flat))
+        for v in (0, 1):
+            held[v] += np.bincount(found[toxic[bag] == v], minlength=len(feature))
+    often = np.flatnonzero(held.sum(0) >= LEAST_DOCUMENTS).tolist()
+    names = list(feature)
     odds = {}
-    for f in held[0].keys() | held[1].keys():
-        n0, n1 = held[0][f], held[1][f]
-        if n0 + n1 >= LEAST_DOCUMENTS:
-            odds[f] = n1 / number[1] * math.log((n1 + .5) / (number[1] + 1) * (number[0] + 1) / (n0 + .5))
+    for i in often:
+        n0, n1 = held[:, i].tolist()
+        odds[names[i]] = n1 / total[1] * math.log((n1 + .5) / (total[1] + 1) * (total[0] + 1) / (n0 + .5))
     chosen = sorted(odds, key=lambda f: (-odds[f], f))[:FEATURES]
     place = {f: i for i, f in enumerate(chosen)}
-    del held, odds
-    columns: dict[bytes, list[int]] = {}
-    at, rows, owner, sentence = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for words in bag:
-            mine = set()
-            for w in words:
-                if w not in columns:
-                    columns[w] = [place[f] for f in features(w) if f in place]
-                mine.update(columns[w])
-            at.extend(mine)
-            rows.extend([sentence] * len(mine))
-            owner.append(d)
-            sentence += 1
-    at, rows, owner = (np.array(x, np.int64) for x in (at, rows, owner))
+    at_of = np.full(len(feature), -1, np.int32)
+    at_of[[feature[f] for f in chosen]] = np.arange(len(chosen))
+    kept = at_of[flat] >= 0
+    first, flat = np.concatenate([[0], np.cumsum(kept)])[first], at_of[flat[kept]]
+    del names, odds, number, feature, held, kept, document
+    parts = [distinct(*spread(sentence_of[mine], words_of[mine], first, flat)) for mine in slices(sentence_of)]
+    rows, at = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    sentence = len(owner)
+    del parts, words_of, sentence_of
     theta = np.zeros(len(chosen) + 1)
     theta[-1] = -6.0
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
@@ -107,11 +151,12 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> dict[bytes, float]:
     """The model from the labelled documents that are not held out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(fold(F.col("doc_id")) != 0)
+    known = known.where(fold(F.col("doc_id")) != 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     parts = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for label in (0, 1)]
     sample = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "text"])
@@ -159,7 +204,7 @@ def score(docs: DataFrame, model: dict[bytes, float], locate: bool = False) -> D
     sent = docs.sparkSession.sparkContext.broadcast(model)
     outs = ("score", "offending")
     others = [c for c in docs.columns if c != "text" and c not in outs]
-    rows = docs.select("text", F.struct(*others).alias("doc"))
+    rows = docs.select("text", F.struct(F.lit(0).alias("_"), *others).alias("doc"))
 
     def scan(batches):
         weights = WordWeights(sent.value)
@@ -173,8 +218,7 @@ def score(docs: DataFrame, model: dict[bytes, float], locate: bool = False) -> D
                 [part.column("text"), part.column("doc"), pa.array(scores, pa.float64()), pa.array(bad, pa.list_(pa.int32()))],
                 names=["text", "doc", *outs])
 
-    done = rows.mapInArrow(scan, f"text string, doc {rows.schema['doc'].dataType.simpleString()}, "
-                                 "score double, offending array<int>")
+    done = map_arrow(rows, scan, f"text string, doc {rows.schema['doc'].dataType.simpleString()}, score double, offending array<int>")
     columns = [F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns if c not in outs]
     return done.select(*columns, "score", *(["offending"] if locate else []))
 
@@ -187,5 +231,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that score THRESHOLD or more."""
-    scored = score(docs.select("text", F.struct(*docs.columns).alias("row")), train(docs, labels))
-    return scored.where(F.col("score") < THRESHOLD).select(*[f"row.`{c}`" for c in docs.columns])
+    others = [f"`{c}`" for c in docs.columns if c != "text"]
+    scored = score(docs.select("text", F.struct(F.lit(0).alias("_"), *others).alias("row")), train(docs, labels))
+    return scored.where(F.col("score") < THRESHOLD).select(*["text" if c == "text" else f"row.`{c}`" for c in docs.columns])
