@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import d
 from trackloom.session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The credential pattern and the home-folder pattern.
 SECRET_PATTERN = (r"(?i)(api[_-]?key|secret[_-]?key|access[_-]?token|password|private[_-]?key)"
                   r"\s*[:=]\s*[\"']?[A-Za-z0-9_+/.=-]{12,}")
@@ -35,6 +42,16 @@ def fingerprint(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = (
         F.count(F.lit(1)).alias("rows"), F.sum(row_digest(columns).cast("decimal(28,0)")).cast("string").alias("digest"))
 
 
+def matrix_digest(matrix: Column) -> Column:
+    """sha-256 of the little-endian doubles of an array, missing ones as NaN; null for a null array."""
+
+    @F.pandas_udf("string")
+    def digest(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda v: None if v is None else hashlib.sha256(np.asarray(v, "<f8").tobytes()).hexdigest())
+
+    return digest(F.transform(matrix, lambda v: v.cast("double")))
+
+
 def exact_digest(df: DataFrame, columns: Sequence[str], width: int = 10_000) -> DataFrame:
     """sha-256 of a table as a multiset of rows, by a tree of hashes.
 

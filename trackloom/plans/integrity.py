@@ -124,6 +124,19 @@ def sanitize_paths(t):
     return t.pages.select("page_id", A.sanitize_text(raw, "/data/run").alias("clean"))
 
 
+@query("matrix_hash")
+def matrix_hash(t):
+    """Q7: the digest of each frame's values as bytes."""
+    return t.embeddings.select("vec_id", A.matrix_digest(F.col("embedding")).alias("sha256"))
+
+
+@query("file_tree_hashes")
+def file_tree_hashes(t):
+    """Tree hashes of the given tables' files, in ranges of 64 KB that are read apart."""
+    files = IO.list_files(t.spark, t.folder, "*.parquet")
+    return IO.tree_hashes(files.select("path", "length"), 64 << 10).withColumn("name", IO.file_name(F.col("path"))).drop("path")
+
+
 DATASETS = ("thermal", "sem", "height")
 DATA_ROOT_SQL = "replace(replace(raw, '/data/run/', '${PROJECT_ROOT}/'), '/data/run', '${PROJECT_ROOT}')"
 for _name in DATASETS:

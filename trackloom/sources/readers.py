@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.functions.scalars import HEIGHT_PIXEL_MM, HEIGHT_UNIT_MM, X_END_MM, X_START_MM, d, natural_key
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 POSITION_SCHEMA = T.StructType([
     T.StructField("track_id", T.IntegerType()), T.StructField("segment_frame_index", T.IntegerType()),
     T.StructField("raw_frame_index", T.IntegerType()), T.StructField("x_mm_center", T.DoubleType()),
@@ -51,6 +58,43 @@ def content_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> Data
     return files.select(file_name(F.col("path")).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+#: Bytes of a file that one task hashes at once.
+RANGE_BYTES = 64 << 20
+
+
+def range_hashes(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
+    """(path, length, part, sha256) of every range of ``size`` bytes of every file in ``files``
+    (path, length). Ranges are rows dealt over the cluster, so a file of any size is hashed by many
+    tasks, each with a piece of it in memory; an empty file has one empty range."""
+    last = F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0))
+    rows = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = []
+            for path, part in zip(batch.column("path").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                system, name = pafs.FileSystem.from_uri(path)
+                done, wanted = hashlib.sha256(), size
+                with system.open_input_file(name) as file:
+                    file.seek(part * size)
+                    while wanted and (piece := file.read(min(wanted, 4 << 20))):
+                        done.update(piece)
+                        wanted -= len(piece)
+                hashes.append(done.hexdigest())
+            yield batch.append_column("sha256", pa.array(hashes))
+
+    spread = rows.repartition(F.xxhash64("path", "part"))
+    return spread.mapInArrow(read, "path string, length long, part long, sha256 string")
+
+
+def tree_hashes(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
+    """(path, length, ranges, sha256): the hash of a file is that of its ranges' hashes, joined in
+    order. A file of n ranges gathers n short strings."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "sha256")))
+    return range_hashes(files, size).groupBy("path", "length").agg(
+        F.count(F.lit(1)).alias("ranges"), F.sha2(F.concat_ws("", F.transform(parts, lambda p: p["sha256"])), 256).alias("sha256"))
+
+
 def height_header(lines: DataFrame, key: Sequence[str]) -> DataFrame:
     """x size, y size and pixel size from the header lines of text height files."""
     parts = F.split(F.trim("value"), r"\s+")
