@@ -164,6 +164,11 @@ def recommended_gate(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy().agg(F.max(key)["gate_id"].alias("recommended_gate"))
 
 
+def tracks_of(rows: DataFrame, track: str) -> list:
+    """The tracks of a table in order, the folds of whole-track validation."""
+    return sorted(r[0] for r in rows.select(track).where(F.col(track).isNotNull()).distinct().collect())
+
+
 def training_folds(rows: DataFrame, track: str, tracks: Sequence) -> DataFrame:
     """Each row once per fold it trains in (every fold but its own track's)."""
     folds = F.array_except(F.array(*[F.lit(v) for v in tracks]), F.array(F.col(track)))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.functions.scalars import d
+from trackloom.operators.labels import training_folds
 from trackloom.operators.metrics import sorted_quantiles
 from trackloom.operators.ordered import quantile_columns
 from trackloom.session import attach, attach_one, bounded, materialize
@@ -396,9 +397,8 @@ def vector_ridge(df: DataFrame, track: str, vector: str, y: str, alpha: float, f
     medians = {h: {} for h in tracks}
     if gaps:
         some = materialize(cells.where(known & F.col("_i").isin(gaps)))
-        for h in tracks:
-            fold = quantile_columns(some.where(F.col(track) != h), ["_i"], "_v", {"median": 0.5})
-            medians[h] = {r["_i"]: r["median"] for r in fold.collect()}
+        for r in quantile_columns(training_folds(some, track, tracks), ["held_out", "_i"], "_v", {"median": 0.5}).collect():
+            medians[r["held_out"]][r["_i"]] = r["median"]
     rows = attach_one(per, _total(per).withColumnRenamed("m", "_t"))
     train = rows.select(F.col(track).alias("held_out"), F.zip_with("_t", "m", lambda a, b: a - b).alias("m"))
     shift = np.asarray(centre, float)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import scalars as S
 from trackloom.functions.scalars import d
 from trackloom.operators import joins as J
+from trackloom.operators import labels as L
 from trackloom.plans import fixtures as X
 from trackloom.plans.registry import query
 from trackloom.session import attach_one
@@ -306,16 +307,21 @@ FOLDS_SQL = X.with_sql(X.POSITIONS) + """, roles AS (SELECT f.fold, p.track_id,
 FROM positions p CROSS JOIN (VALUES (0), (1), (2), (3)) f(fold)) """
 
 
+def position_roles(t):
+    tracks = L.tracks_of(t.events.select((F.col("user_id") % 4).cast("int").alias("track_id")), "track_id")
+    return J.fold_roles(X.positions(t), "track_id", tracks)
+
+
 @query("fold_roles", FOLDS_SQL + "SELECT fold, role, count(*) AS n FROM roles GROUP BY 1, 2")
 def fold_roles(t):
     """Whole-track folds."""
-    return J.fold_roles(X.positions(t), "track_id", range(4)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
+    return position_roles(t).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("split_leakage", FOLDS_SQL + "SELECT fold, track_id, count(DISTINCT role) AS roles, count(*) AS n, count(DISTINCT role) > 1 AS leak FROM roles GROUP BY 1, 2")
 def split_leakage(t):
     """Q10: no track in both roles of a fold."""
-    return J.role_leaks(J.fold_roles(X.positions(t), "track_id", range(4)), "track_id")
+    return J.role_leaks(position_roles(t), "track_id")
 
 
 @query("row_concat", """SELECT kind, count(*) AS n, count(v) AS with_value, count(balance) AS with_balance FROM (

@@ -234,7 +234,7 @@ def feature_scaler(t):
     """Medians, means and floored scales per training fold."""
     wide = t.events.select((F.col("user_id") % 4).cast("int").alias("g"), F.when(F.col("event_type") != "error", F.col("value")).alias("v"),
                            F.col("user_id").cast("double").alias("u"), F.lit(1.0).alias("one"))
-    return R.scaler(L.training_folds(wide, "g", range(4)), ["held_out"], ["v", "u", "one"], 1e-12)
+    return R.scaler(L.training_folds(wide, "g", L.tracks_of(wide, "g")), ["held_out"], ["v", "u", "one"], 1e-12)
 
 
 @query("frozen_scoring", X.with_sql(X.POSITIONS, """s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd, median(value) AS med FROM events)""") + """

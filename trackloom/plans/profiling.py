@@ -531,4 +531,4 @@ def stump(t):
     """Best single split per training fold."""
     rows = judged_features(t)
     rows = rows.select("track_id", "available", *[F.round(F.coalesce(F.col(c), d(0)), 9).alias(c) for c in STUMP])
-    return L.stump_fit(L.training_folds(rows, "track_id", range(3)), ["held_out"], STUMP, "available")
+    return G.stump_folds(rows, "track_id", STUMP, "available")
