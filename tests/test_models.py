@@ -1,5 +1,6 @@
 """Fits against numpy and brute force."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -202,6 +203,23 @@ def test_bootstrap_pieces_do_not_change_draws(spark):
     assert a == pytest.approx(b)
 
 
+def test_bootstrap_across_chunks_broadcasts_nothing(spark):
+    """Blocks that cross a chunk's edge, missing values and a null group, against direct sums."""
+    n, block = 66_001, 10
+    value = [None if i % 13 == 5 else float(i % 97) for i in range(n)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(value)] + [(None, 0, 5.0)], "g int, pos long, diff double")
+    draws = Q.block_bootstrap(df, ["g"], "pos", "diff", block, 3, task_blocks=3000)
+    assert "Broadcast" not in draws._jdf.queryExecution().executedPlan().toString()
+    k, want = -(-n // block), {}
+    for draw in range(3):
+        starts = [int(hashlib.md5(f"{draw}_{j}".encode()).hexdigest()[:15], 16) % (n - block + 1) for j in range(k)]
+        assert max(starts) >= 1 << 16
+        total = sum(v or 0.0 for s in starts[:-1] for v in value[s:s + block])
+        cut = [v for v in value[starts[-1]:starts[-1] + block] if v is not None][:n - (k - 1) * block]
+        want[1, draw] = (total + sum(cut)) / n
+    assert {(r["g"], r["draw"]): r["mean_difference"] for r in draws.collect()} == pytest.approx(want)
+
+
 def test_stump_first_best_wins(spark):
     df = spark.createDataFrame([(1, 0.1, 9.0, False), (1, 0.2, 9.0, False), (1, 0.3, 9.0, True), (1, 0.4, 9.0, True)], "g int, u double, w double, ok boolean")
     row = stump_fit(df, ["g"], ["u", "w"], "ok").first()

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackloom.functions.scalars import FRAMES, d, frame_position_mm
-from trackloom.operators.ordered import longest_true_run, neighbour, quantile_columns, rolling
-from trackloom.session import attach, broadcast_if_small, materialize
+from trackloom.operators.ordered import halo_blocks, longest_true_run, neighbour, quantile_columns
+from trackloom.session import attach
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Positions of a group whose blocks are summed together; a start within them takes two bytes.
+CHUNK = 1 << 16
 
 
 def increments(df: DataFrame, groups: Sequence[str], index: str, x: str, value: str) -> DataFrame:
@@ -75,42 +86,105 @@ def boundary_exemplars(df: DataFrame, groups: Sequence[str], index: str, flag: C
     return best.select(*groups, "_r.*").withColumn("kind", F.lit("near_boundary"))
 
 
-def hashed_start(draw: Column, block: Column, choices: Column) -> Column:
-    """Deterministic uniform block start in [0, choices), from 60 bits of a hash."""
-    digest = F.md5(F.concat_ws("_", draw.cast("string"), block.cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), choices)
+def block_hashes(draw: int, blocks: range) -> np.ndarray:
+    """60 bits of a hash per block of a draw; modulo the choices, the block's uniform start."""
+    digests = [hashlib.md5(f"{draw}_{j}".encode(), usedforsecurity=False).digest() for j in blocks]
+    return (np.frombuffer(b"".join(digests), ">u8")[::2] >> 4).astype(np.int64)
+
+
+def drawn_starts(plan: DataFrame, groups: Sequence[str], task_blocks: int) -> DataFrame:
+    """(groups, _n, _tail, draw, _chunk, starts, last): the block starts of each draw by the chunk of
+    positions they fall in, two bytes each within it. ``last`` is the start of a draw's last block.
+
+    Groups that share a draw and a piece of it share its hashes.
+    """
+    kept = [*groups, "_n", "_tail", "draw"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hashes = None, None
+        for batch in batches:
+            at, chunks, starts, lasts, weight = [], [], [], [], 0
+            names = ("draw", "_piece", "_k", "_choices")
+            for i, (draw, piece, k, choices) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                own = range(piece * task_blocks, min(k, (piece + 1) * task_blocks))
+                if held != (draw, piece) or len(hashes) < len(own):
+                    held, hashes = (draw, piece), block_hashes(draw, own)
+                place = hashes[:len(own)] % choices
+                tail = int(place[-1]) if own.stop == k else None
+                place = np.sort(place[:-1] if own.stop == k else place)
+                found, first = np.unique(place // CHUNK, return_index=True)
+                pieces = dict(zip(found.tolist(), np.split((place % CHUNK).astype("<u2"), first[1:]), strict=True)) if len(place) else {}
+                if tail is not None:
+                    pieces.setdefault(tail // CHUNK, np.zeros(0, "<u2"))
+                for c, part in pieces.items():
+                    at.append(i)
+                    chunks.append(c)
+                    starts.append(part.tobytes())
+                    lasts.append(tail % CHUNK if tail is not None and tail // CHUNK == c else None)
+                weight += len(own)
+                if weight >= 1 << 21 or i == batch.num_rows - 1:
+                    out = batch.select(kept).take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*out.columns, pa.array(chunks, pa.int64()), pa.array(starts, pa.binary()), pa.array(lasts, pa.int32())],
+                        [*kept, "_chunk", "starts", "last"])
+                    at, chunks, starts, lasts, weight = [], [], [], [], 0
+
+    schema = T.StructType([plan.schema[c] for c in kept]).add("_chunk", T.LongType()).add("starts", T.BinaryType()).add("last", T.IntegerType())
+    return plan.select(*kept, "_piece", "_k", "_choices").mapInArrow(rows, schema)
+
+
+def chunk_sums(groups: Sequence[str], index: str, diff: str, block: int) -> Callable:
+    """For a cogroup of drawn starts and positions of a chunk: the sum of each draw's blocks there."""
+
+    def sums(key: tuple, drawn: pa.Table, values: pa.Table) -> pa.Table:
+        at = values.column(index).to_numpy() - key[-1].as_py() * CHUNK
+        own, known = at >= 0, values.column(diff).is_valid().to_numpy()
+        size = int(at.max()) + 1 if len(at) else 0
+        line, ok = np.zeros(size + block), np.zeros(size + block, bool)
+        line[at[own & known]] = values.column(diff).to_numpy()[own & known]
+        ok[at[own & known]] = True
+        m = min(size, CHUNK)
+        tail = drawn.column("_tail")[0].as_py() if len(drawn) else 0
+        full, cut, taken = np.zeros(m), np.zeros(m), np.zeros(m, np.int64)
+        for k in range(block):
+            full += line[k:k + m]
+            take = ok[k:k + m] & (taken < tail)
+            cut += np.where(take, line[k:k + m], 0.0)
+            taken += take
+        part = [float(full[np.frombuffer(s, "<u2")].sum()) + (0.0 if e is None else float(cut[e]))
+                for s, e in zip(drawn.column("starts").to_pylist(), drawn.column("last").to_pylist(), strict=True)]
+        return drawn.select([*groups, "_n", "draw"]).append_column("_part", pa.array(part, pa.float64()))
+
+    return sums
 
 
 def block_bootstrap(df: DataFrame, groups: Sequence[str], index: str, diff: str, block: int,
-                    draws: int, task_blocks: int = 4096) -> DataFrame:
+                    draws: int, task_blocks: int = 1 << 16) -> DataFrame:
     """Moving-block bootstrap of the mean of ``diff``: one row per (group, draw).
 
-    A draw joins ceil(n / block) hashed block starts, the last one cut so that n
-    rows are used. The sum of each possible block is built once with a rolling
-    frame, so a draw is an equi-join of starts to block sums, broadcast only when a
-    count shows them small; starts are spread over tasks in pieces of ``task_blocks``.
+    A draw takes ceil(n / block) hashed block starts, the last one cut so that n rows are used.
+    Missing values add nothing; the cut block takes the first known ones. Starts are made in pieces
+    of ``task_blocks`` by many tasks and shuffled as two bytes each to the chunk of positions they
+    fall in, where the sum of each possible block is built once. Nothing is broadcast.
     """
+    df = df.select(*groups, F.col(index).cast("long").alias(index), F.col(diff).cast("double").alias(diff)).dropna(subset=list(groups))
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     blocks = F.ceil(F.col("_n") / block)
     sizes = sizes.withColumns({"_k": blocks, "_tail": F.col("_n") - (blocks - 1) * block,
                                "_choices": F.col("_n") - F.least(F.lit(block).cast("long"), F.col("_n")) + 1})
-    full = rolling(df, groups, index, 0, block - 1, {
-        "_full": F.sum(diff), "_window": F.collect_list(F.col(diff))})
-    full = attach(full, sizes.select(*groups, "_tail"), groups)
-    tail = F.aggregate(F.slice("_window", 1, F.col("_tail").cast("int")), d(0), lambda a, v: a + v)
-    sums = full.select(*groups, F.col(index).alias("_start"), "_full", tail.alias("_cut"))
     pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_k") - 1) / task_blocks))
     plan = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     # A fixed partition count: adaptive execution would merge these few rows, which
     # stand for many, into one task.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plan = plan.withColumn("_piece", F.explode(pieces)).repartition(tasks, *groups, "draw", "_piece")
-    last = F.least(F.col("_k"), (F.col("_piece") + 1) * task_blocks) - 1
-    starts = plan.withColumn("_j", F.explode(F.sequence(F.col("_piece") * task_blocks, last)))
-    starts = starts.withColumn("_start", hashed_start(F.col("draw"), F.col("_j"), F.col("_choices")))
-    drawn = starts.join(broadcast_if_small(materialize(sums)), [*groups, "_start"])
-    part = F.when(F.col("_j") == F.col("_k") - 1, F.col("_cut")).otherwise(F.col("_full"))
-    return drawn.groupBy(*groups, "draw").agg((F.sum(part) / F.first("_n")).alias("mean_difference"))
+    plan = plan.withColumn("_piece", F.explode(pieces)).repartition(tasks, "draw", "_piece")
+    plan = plan.sortWithinPartitions("draw", "_piece", F.desc("_k"))
+    starts = drawn_starts(plan, groups, task_blocks)
+    values = halo_blocks(df, groups, index, 0, block - 1, CHUNK).select(*groups, "_chunk", index, diff)
+    schema = T.StructType([starts.schema[c] for c in (*groups, "_n", "draw")]).add("_part", T.DoubleType())
+    parts = starts.groupBy(*groups, "_chunk").cogroup(values.groupBy(*groups, "_chunk")).applyInArrow(
+        chunk_sums(groups, index, diff, block), schema)
+    return parts.groupBy(*groups, "draw").agg((F.sum("_part") / F.first("_n")).alias("mean_difference"))
 
 
 def bootstrap_interval(draws: DataFrame, groups: Sequence[str]) -> DataFrame:

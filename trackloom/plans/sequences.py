@@ -11,6 +11,7 @@ from trackloom.operators import ordered as O
 from trackloom.operators import sequence as Q
 from trackloom.plans import fixtures as X
 from trackloom.plans.registry import query
+from trackloom.session import materialize
 
 
 def indexed(t):
@@ -180,7 +181,7 @@ def paired_errors(t):
         F.max(F.when(F.col("model_id") == "track_mean", e)).alias("base"),
         F.max(F.when(F.col("model_id") == "previous", e)).alias("other"))
     rows = rows.withColumn("diff", F.col("base") - F.col("other"))
-    return O.dense_index(rows, ["track_id"], ["seg"], "pos", reuse_blocks=True)
+    return materialize(O.dense_index(rows, ["track_id"], ["seg"], "pos", reuse_blocks=True))
 
 
 @query("block_bootstrap", BOOT_SQL + "SELECT * FROM ci", "ci_low ci_high")
