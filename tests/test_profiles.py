@@ -48,6 +48,20 @@ def test_fewer_than_five_valid_rows_give_nothing(spark):
     assert P.edge_finder(frame(spark, z), ["k"]).first()["status"] == "insufficient_finite_profile"
 
 
+def test_profiles_are_dealt_over_tasks_by_their_rows(spark, monkeypatch):
+    """However small their bytes are; the edges stay the same."""
+    z = np.random.default_rng(5).normal(size=60)
+    one = frame(spark, z).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumnRenamed("k", "t").withColumn("k", F.col("x") * 40)
+    want = {tuple(r) for r in P.edge_finder(one, ["k"]).collect()}
+    monkeypatch.setattr(P, "TASK_ROWS", 200)
+    assert P.smooth(one, ["k"]).rdd.getNumPartitions() == 12
+    edges = P.edge_finder(one, ["k"], 2400)
+    assert edges.rdd.getNumPartitions() == 12 and {tuple(r) for r in edges.collect()} == want
+    runs = P.window_profiles(one, ["t"], "k", [25, 50], 80, 2400)
+    assert runs.rdd.getNumPartitions() == 12 and runs.count() == 2 * 2400
+    assert P.side_detrend(one, ["k"], 2, 2400).rdd.getNumPartitions() == 12
+
+
 def test_edges_of_a_bump(spark):
     z = 0.1 / (1 + np.exp(-(Y - 0.7) / 0.02)) - 0.1 / (1 + np.exp(-(Y - 1.2) / 0.02))
     row = P.edge_finder(frame(spark, z), ["k"]).first()

@@ -6,6 +6,7 @@ profile are bounded; profiles are spread over the cluster by their key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,17 +26,30 @@ SIGMA_ROWS = 2.0
 MIN_FINITE = 5
 MIN_WEIGHT = 0.25
 MIN_GRADIENT = 20
+#: Rows of profiles that one task sorts at most, about; in small tables fewer, so that all slots work.
+TASK_ROWS, SMALL_TASK_ROWS = 250_000, 10_000
+
+
+def deal(rows: DataFrame, key: Sequence[str], n: int | None = None) -> DataFrame:
+    """``rows`` dealt by ``key`` over as many tasks as their number ``n`` (counted if not given) takes.
+
+    Profiles compress so well that partitions merged by their bytes hold millions of rows to sort.
+    """
+    n = rows.count() if n is None else n
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, math.ceil(n / TASK_ROWS), min(slots, n // SMALL_TASK_ROWS)), *key)
 
 
 def window_profiles(cells: DataFrame, track: Sequence[str], x_um: str, half_um: Sequence[int],
-                    size_um: int = 20_000) -> DataFrame:
+                    size_um: int = 20_000, rows: int | None = None) -> DataFrame:
     """Median profile over the columns within each half width of every column.
 
     Sliding frames over integer micrometres on chunks with a halo: each cell is
-    shuffled once, whatever the window width. Adds ``run`` (the half width).
+    shuffled once, whatever the window width. Adds ``run`` (the half width). ``rows`` is
+    about the number of cells, here and below counted if not given.
     """
     widest = max(half_um)
-    halo = halo_blocks(cells, track, x_um, widest, widest, size_um)
+    halo = deal(halo_blocks(cells, track, x_um, widest, widest, size_um), [*track, "_chunk", "iy"], rows)
     base = Window.partitionBy(*track, "_chunk", "iy").orderBy(x_um)
     out = halo.withColumns({
         f"_z{h}": F.percentile("z", F.lit(0.5)).over(base.rangeBetween(-h, h)) for h in half_um})
@@ -56,12 +70,12 @@ def slab_valid_fraction(cells: DataFrame, track: Sequence[str], x_um: str, half_
         *track, x_um, "slab_valid_fraction")
 
 
-def side_detrend(profiles: DataFrame, key: Sequence[str], degree: int) -> DataFrame:
+def side_detrend(profiles: DataFrame, key: Sequence[str], degree: int, rows: int | None = None) -> DataFrame:
     """Subtract a line or parabola fitted to the two side bands of each profile."""
     y, z = F.col("y_mm"), F.col("z")
     side = z.isNotNull() & (y.between(*[d(v) for v in LEFT_BAND]) | y.between(*[d(v) for v in RIGHT_BAND]))
     by = Window.partitionBy(*key)
-    rows = profiles.withColumns({"_y0": F.avg(F.when(side, y)).over(by), "_z0": F.avg(F.when(side, z)).over(by)})
+    rows = deal(profiles, key, rows).withColumns({"_y0": F.avg(F.when(side, y)).over(by), "_z0": F.avg(F.when(side, z)).over(by)})
     u, v = y - F.col("_y0"), z - F.col("_z0")
 
     def total(e: Column) -> Column:
@@ -81,7 +95,7 @@ def side_detrend(profiles: DataFrame, key: Sequence[str], degree: int) -> DataFr
     return rows.withColumn("z", z - fit).select(*profiles.columns)
 
 
-def smooth(profiles: DataFrame, key: Sequence[str]) -> DataFrame:
+def smooth(profiles: DataFrame, key: Sequence[str], rows: int | None = None) -> DataFrame:
     """Gaussian smoothing that skips missing rows: key, iy, y_mm, z, smooth.
 
     Edges repeat in mirror order; a row keeps a value where enough weight is valid
@@ -90,7 +104,7 @@ def smooth(profiles: DataFrame, key: Sequence[str]) -> DataFrame:
     radius = int(4 * SIGMA_ROWS + 0.5)
     taps = gaussian_taps(SIGMA_ROWS, radius)[radius:]
     whole = Window.partitionBy(*key)
-    rows = profiles.select(*key, "iy", "y_mm", "z").withColumns({
+    rows = deal(profiles.select(*key, "iy", "y_mm", "z"), key, rows).withColumns({
         "_n": F.count(F.lit(1)).over(whole), "_valid": F.count("z").over(whole),
         "_i": F.row_number().over(whole.orderBy("iy")) - 1})
     # Mirror copies put every neighbour a frame can reach at its own position.
@@ -128,13 +142,13 @@ def filled_gradient(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.withColumn("gradient", F.coalesce(inner, (fn - f) / hd, (f - fp) / hs))
 
 
-def edge_finder(profiles: DataFrame, key: Sequence[str]) -> DataFrame:
+def edge_finder(profiles: DataFrame, key: Sequence[str], rows: int | None = None) -> DataFrame:
     """Left and right edge per profile: steepest rise and fall in the central region.
 
     The first row wins ties; gradients equal to nine decimals are ties, since a filled
     gap is a straight line. Too few rows or crossed edges give NULL edges and say so.
     """
-    rows = filled_gradient(smooth(profiles, key), key)
+    rows = filled_gradient(smooth(profiles, key, rows), key)
     mid = 0.5 * sum(CENTRAL)
     y, g, iy = F.col("y_mm"), F.round("gradient", 9), F.col("iy")
     on_left, on_right = y.between(d(CENTRAL[0]), d(mid)), y.between(d(mid), d(CENTRAL[1]))
@@ -154,14 +168,14 @@ def edge_finder(profiles: DataFrame, key: Sequence[str]) -> DataFrame:
         F.when(ok, F.col("_l.z")).alias("left_height"), F.when(ok, F.col("_r.z")).alias("right_height"))
 
 
-def band_statistics(profiles: DataFrame, key: Sequence[str]) -> DataFrame:
+def band_statistics(profiles: DataFrame, key: Sequence[str], rows: int | None = None) -> DataFrame:
     """Median, scaled MAD, valid share and count of each side band, plus valid shares
     of the profile and its central region."""
     y = F.col("y_mm")
     side = (F.when(y.between(d(LEFT_BAND[0]), d(LEFT_BAND[1])), "left")
             .when(y.between(d(RIGHT_BAND[0]), d(RIGHT_BAND[1])), "right"))
     w = Window.partitionBy(*key, "_side")
-    rows = profiles.withColumn("_side", side).withColumn("_med", F.percentile("z", F.lit(0.5)).over(w))
+    rows = deal(profiles, key, rows).withColumn("_side", side).withColumn("_med", F.percentile("z", F.lit(0.5)).over(w))
     rows = rows.withColumn("_mad", F.percentile(F.abs(F.col("z") - F.col("_med")), F.lit(0.5)).over(w))
     ok = F.col("z").isNotNull().cast("double")
     out = [F.avg(ok).alias("valid_fraction"),
@@ -175,13 +189,14 @@ def band_statistics(profiles: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(*out)
 
 
-def edge_support(profiles: DataFrame, edges: DataFrame, key: Sequence[str], radius: float = 0.10) -> DataFrame:
+def edge_support(profiles: DataFrame, edges: DataFrame, key: Sequence[str], radius: float = 0.10,
+                 rows: int | None = None) -> DataFrame:
     """Around each edge: longest valid and missing run (mm), valid count, and the
     distance to the nearest missing row of the whole profile."""
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("at")) for s in ("left", "right")])
     spots = edges.where("status = 'ok'").select(*key, F.explode(sides).alias("_s")).select(*key, "_s.side", "_s.at")
     by = Window.partitionBy(*key).orderBy("iy")
-    steps = profiles.withColumn("_dy", F.col("y_mm") - F.lag("y_mm").over(by))
+    steps = deal(profiles, key, rows).withColumn("_dy", F.col("y_mm") - F.lag("y_mm").over(by))
     steps = steps.withColumn("_dy", F.percentile("_dy", F.lit(0.5)).over(Window.partitionBy(*key)))
     rows = steps.join(spots, list(key)).withColumns({
         "_ok": F.col("z").isNotNull(),
@@ -286,9 +301,9 @@ def valid_run_labels(fractions: DataFrame, key: Sequence[str]) -> DataFrame:
                       F.when(ok, F.col("b.s._cl")).alias("left"), F.when(ok, F.col("b.e._cr")).alias("right"))
 
 
-def relief_and_area(profiles: DataFrame, key: Sequence[str]) -> DataFrame:
+def relief_and_area(profiles: DataFrame, key: Sequence[str], rows: int | None = None) -> DataFrame:
     """p90 height and trapezoid area of each profile after the side-band line is removed."""
-    rows = side_detrend(profiles, key, 1).where(F.col("z").isNotNull())
+    rows = side_detrend(profiles, key, 1, rows).where(F.col("z").isNotNull())
     line = Window.partitionBy(*key).orderBy("iy")
     slab = (F.lead("y_mm").over(line) - F.col("y_mm")) * (F.lead("z").over(line) + F.col("z")) / 2
     return rows.withColumn("_s", slab).groupBy(*key).agg(

@@ -40,12 +40,17 @@ def height_columns(t):
         "track_id", "x_um", "iy", (d(0.05) + F.col("iy") * d(1.80) / d(63)).alias("y_mm"), F.when(F.abs(v) <= d(0.1), v).alias("z"))
 
 
-def run_profiles(t):
-    """Window medians at three half widths and the two control levellings."""
-    runs = P.window_profiles(height_columns(t), ["track_id"], "x_um", [25, 50, 100])
+def cell_count(t) -> int:
+    """The cells of the height grid, about: what its operators spread their rows by."""
+    return max(0, t.embeddings.agg(F.sum(F.size("embedding"))).first()[0] or 0)
+
+
+def run_profiles(t, cells):
+    """Window medians at three half widths and the two control levellings, five rows a cell."""
+    runs = P.window_profiles(height_columns(t), ["track_id"], "x_um", [25, 50, 100], rows=cells)
     runs = runs.withColumn("run", F.col("run").cast("string"))
-    c = P.side_detrend(runs.where("run = '50'"), RUN, 2).withColumn("run", F.lit("control_c"))
-    l = P.side_detrend(runs.where("run = '25'"), RUN, 1).withColumn("run", F.lit("control_d"))
+    c = P.side_detrend(runs.where("run = '50'"), RUN, 2, cells).withColumn("run", F.lit("control_c"))
+    l = P.side_detrend(runs.where("run = '25'"), RUN, 1, cells).withColumn("run", F.lit("control_d"))
     return runs.unionByName(c).unionByName(l)
 
 
@@ -93,13 +98,14 @@ WITH_EDGES = X.with_sql(COLUMNS_SQL, CONTROLS_SQL, EDGES_SQL)
 
 
 def edges(t):
-    return P.edge_finder(run_profiles(t), RUN)
+    cells = cell_count(t)
+    return P.edge_finder(run_profiles(t, cells), RUN, 5 * cells)
 
 
 @query("profile_median", WITH_COLUMNS + "SELECT track_id, x_um, iy, run, z FROM agg_runs", "z")
 def profile_median(t):
     """Median profile over a window of columns, three half widths."""
-    runs = P.window_profiles(height_columns(t), ["track_id"], "x_um", [25, 50, 100])
+    runs = P.window_profiles(height_columns(t), ["track_id"], "x_um", [25, 50, 100], rows=cell_count(t))
     return runs.select("track_id", "x_um", "iy", F.col("run").cast("string").alias("run"), "z")
 
 
@@ -109,7 +115,7 @@ SMOOTH_SQL = X.with_sql(X.PROFILES, "run_profiles AS (SELECT vec_id AS track_id,
 @query("smooth_profile", SMOOTH_SQL + "SELECT track_id AS vec_id, iy, smooth, f AS filled, g AS gradient FROM graded", "smooth filled gradient")
 def smooth_profile(t):
     """Missing-aware smoothing, gap fill and gradient."""
-    rows = P.filled_gradient(P.smooth(X.profiles(t), ["vec_id"]), ["vec_id"])
+    rows = P.filled_gradient(P.smooth(X.profiles(t), ["vec_id"], cell_count(t)), ["vec_id"])
     return rows.select("vec_id", "iy", "smooth", "filled", "gradient")
 
 
@@ -131,8 +137,8 @@ bands AS (SELECT w.*, l.med AS left_baseline, l.mad AS left_noise, l.vf AS left_
   FROM whole w JOIN bmad l ON w.track_id = l.track_id AND w.x_um = l.x_um AND l.side = 'left' JOIN bmad r ON w.track_id = r.track_id AND w.x_um = r.x_um AND r.side = 'right')"""
 
 
-def base_profiles(t):
-    runs = P.window_profiles(height_columns(t), ["track_id"], "x_um", [100])
+def base_profiles(t, cells):
+    runs = P.window_profiles(height_columns(t), ["track_id"], "x_um", [100], rows=cells)
     return runs.drop("run")
 
 
@@ -140,7 +146,8 @@ def base_profiles(t):
        "valid_fraction central_valid_fraction left_baseline left_noise left_valid_fraction right_baseline right_noise right_valid_fraction")
 def side_baseline(t):
     """Side-band baseline, noise and valid fractions."""
-    return P.band_statistics(base_profiles(t), POS)
+    cells = cell_count(t)
+    return P.band_statistics(base_profiles(t, cells), POS, cells)
 
 
 SUPPORT_SQL = """
@@ -159,8 +166,9 @@ edge_support AS (SELECT s.*, m.nearest_missing_mm FROM support s JOIN missing m
 @query("edge_support", WITH_EDGES + "," + BANDS_SQL + "," + SUPPORT_SQL + "SELECT * FROM edge_support", "longest_valid_mm longest_gap_mm nearest_missing_mm")
 def edge_support(t):
     """Support next to each edge and distance to missing rows."""
-    base = base_profiles(t)
-    return P.edge_support(base, P.edge_finder(base, POS), POS)
+    cells = cell_count(t)
+    base = base_profiles(t, cells)
+    return P.edge_support(base, P.edge_finder(base, POS, cells), POS, rows=cells)
 
 
 SPREAD_SQL = """
@@ -187,7 +195,8 @@ def run_spread_sides(t):
 
 
 def base_edges(t):
-    e = P.edge_finder(base_profiles(t), POS)
+    cells = cell_count(t)
+    e = P.edge_finder(base_profiles(t, cells), POS, cells)
     return e.withColumn("idx", (F.col("x_um") / 40).cast("long"))
 
 
@@ -251,8 +260,9 @@ relief AS (SELECT track_id, x_um, quantile_cont(z, 0.9) AS relief_p90, sum(s) AS
 
 
 def relief(t):
-    runs = P.window_profiles(height_columns(t), ["track_id"], "x_um", [25]).drop("run")
-    return P.relief_and_area(runs, POS)
+    cells = cell_count(t)
+    runs = P.window_profiles(height_columns(t), ["track_id"], "x_um", [25], rows=cells).drop("run")
+    return P.relief_and_area(runs, POS, cells)
 
 
 @query("relief_and_area", RELIEF_SQL + "SELECT * FROM relief", "relief_p90 area")
@@ -305,13 +315,14 @@ FEATURES = "slab_valid_fraction valid_fraction left_valid_fraction right_valid_f
 
 def quality_features(t):
     """Every position's base edges with the quality features the gates use."""
-    runs = materialize(run_profiles(t))
-    found = materialize(P.edge_finder(runs, RUN))
+    cells = cell_count(t)
+    runs = materialize(run_profiles(t, cells))
+    found = materialize(P.edge_finder(runs, RUN, 5 * cells))
     base = runs.where("run = '100'").drop("run")
     own = found.where("run = '100'").drop("run")
-    support = P.edge_support(base, own, POS).groupBy(*POS).agg(
+    support = P.edge_support(base, own, POS, rows=cells).groupBy(*POS).agg(
         *[F.max(F.when(F.col("side") == s, F.col("nearest_missing_mm"))).alias(f"{s}_nearest_missing") for s in ("left", "right")])
-    bands = P.band_statistics(base, POS).select(*POS, "valid_fraction", "left_valid_fraction", "right_valid_fraction")
+    bands = P.band_statistics(base, POS, cells).select(*POS, "valid_fraction", "left_valid_fraction", "right_valid_fraction")
     spread = P.run_spread(found, POS, "run", "100", AGG_RUNS, ALTERNATES).select(*POS, "width_sensitivity", "width_disagreement")
     slab = P.slab_valid_fraction(height_columns(t), ["track_id"], "x_um", 100)
     rows = own.join(bands, POS).join(slab, POS).join(spread, POS).join(support, POS, "left").join(
