@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -220,6 +221,45 @@ def test_bootstrap_across_chunks_broadcasts_nothing(spark):
     assert {(r["g"], r["draw"]): r["mean_difference"] for r in draws.collect()} == pytest.approx(want)
 
 
+def test_folds_without_features_take_the_order_statistics(spark):
+    """Losses of the exact quantiles of each fold's residuals, the anchor taken off."""
+    from trackloom.operators import quantile_folds as QF
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"t": np.repeat([1, 2, 3], 70), "a": rng.uniform(1, 2, 210)})
+    pdf["y"] = 3 * pdf["a"] + rng.exponential(1, 210) * pdf["t"]
+    ratio = pdf.groupby("t")["y"].median() / pdf.groupby("t")["a"].median()
+    got = {(r["held_out"], r["quantile"]): r for r in QF.fit_folds(spark.createDataFrame(pdf), "t", "a", [], "y", [0.05, 0.5, 0.93], (0.0,)).collect()}
+    assert len(got) == 9
+    for (t, q), row in got.items():
+        own = pdf[pdf["t"] != t]
+        r = np.sort(own["y"] - ratio.drop(t).mean() * own["a"])
+        b = r[math.ceil(q * len(r)) - 1]
+        assert row["intercept"] == pytest.approx(b, abs=1e-12) and row["coefficients"] == []
+        assert row["loss"] == pytest.approx(np.maximum(q * (r - b), (q - 1) * (r - b)).mean(), abs=1e-12)
+
+
+def test_discrete_quantiles_in_blocks(spark, small_blocks):
+    from trackloom.operators.ordered import exact_quantiles
+
+    v = np.random.default_rng(6).integers(0, 90, 400)
+    df = spark.createDataFrame([(1, float(x)) for x in v], "g int, v double")
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, ["g"], "v", [0.0, 0.05, 0.333, 1.0], discrete=True).collect()}
+    assert got == {p: np.sort(v)[max(math.ceil(p * 400) - 1, 0)] for p in got} and len(got) == 4
+
+
+def test_packed_rows_keep_every_row_in_its_fold(spark):
+    from trackloom.session import pack
+
+    rows = [(i % 3, float(i), None if i % 7 == 0 else i / 2) for i in range(9001)]
+    blocks = pack(spark.createDataFrame(rows, "t int, a double, b double"), ["a", "b"], "t", [2, 0, 1]).collect()
+    lines = {k: np.concatenate([np.frombuffer(r["block"]).reshape(2, r["n"]) for r in blocks if r["k"] == k], axis=1) for k in range(3)}
+    for k, t in enumerate([2, 0, 1]):
+        got = lines[k][:, np.argsort(lines[k][0])]
+        want = np.array([[a, np.nan if b is None else b] for x, a, b in rows if x == t]).T
+        assert np.array_equal(got, want, equal_nan=True)
+
+
 def test_stump_first_best_wins(spark):
     df = spark.createDataFrame([(1, 0.1, 9.0, False), (1, 0.2, 9.0, False), (1, 0.3, 9.0, True), (1, 0.4, 9.0, True)], "g int, u double, w double, ok boolean")
     row = stump_fit(df, ["g"], ["u", "w"], "ok").first()

@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from trackloom.functions.scalars import d
 from trackloom.operators.labels import training_folds
 from trackloom.operators.metrics import sorted_quantiles
 from trackloom.operators.ordered import quantile_columns
-from trackloom.session import attach, attach_one, bounded, materialize
+from trackloom.session import attach, attach_one, bounded, materialize, pack
 
 # Workers get the small solvers with the task, whether or not the package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -447,30 +448,37 @@ def _with_parameters(rows: DataFrame, values: dict[str, float]) -> DataFrame:
     return rows.join(F.broadcast(row), "_k")
 
 
-def _weighted_sums(rows: DataFrame, names: Sequence[str], beta: np.ndarray, levels: np.ndarray,
-                   eps: float) -> np.ndarray:
-    """Per quantile: pinball sum, weighted Gram and weighted right-hand side.
+def _weighted_sums(blocks: DataFrame, beta: np.ndarray, levels: np.ndarray, eps: float) -> np.ndarray:
+    """Per quantile: pinball sum, weighted Gram and weighted right-hand side over packed rows of
+    standardised features and the target.
 
-    Each task reduces its Arrow batches to one short vector; Spark adds the vectors.
+    Each task reduces its blocks to one short vector; Spark adds the vectors.
     """
+    p = beta.shape[1]
+    upper = np.triu_indices(p)
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            z, t = batch[list(names)].to_numpy(), batch["y"].to_numpy()
-            parts = []
-            for b, q in zip(beta, levels):
-                r = t - z @ b
-                wz = z / (eps + np.abs(r))[:, None]
-                parts.append(np.r_[np.maximum(q * r, (q - 1) * r).sum(), (wz.T @ z).ravel(), wz.T @ t])
-            flat = np.concatenate(parts)
-            total = flat if total is None else total + flat
+            for n, block in zip(batch.column("n"), batch.column("block"), strict=True):
+                line = np.frombuffer(block.as_buffer()).reshape(p + 1, n.as_py())
+                z, t = line[:p], line[p]
+                r = t - beta @ z
+                signed, size = r.sum(1), np.abs(r, out=r)
+                loss = levels * signed + (size.sum(1) - signed) / 2
+                size += eps
+                weighted = np.reciprocal(size, out=size) @ np.vstack([z[upper[0]] * z[upper[1]], z * t]).T
+                found = np.hstack([loss[:, None], weighted])
+                total = found if total is None else total + found
         if total is not None:
-            yield pd.DataFrame({"s": [total.tolist()]})
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["s"])
 
-    partial = rows.mapInPandas(reduce, "s array<double>")
+    partial = blocks.mapInArrow(reduce, "s array<double>")
     summed = partial.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    return np.array([r["v"] for r in sorted(summed.collect(), key=lambda r: r["i"])])
+    got = np.array([r["v"] for r in sorted(summed.collect(), key=lambda r: r["i"])]).reshape(len(levels), -1)
+    gram = np.zeros((len(levels), p, p))
+    gram[:, upper[0], upper[1]] = gram[:, upper[1], upper[0]] = got[:, 1:-p]
+    return np.hstack([got[:, :1], gram.reshape(len(levels), -1), got[:, -p:]]).ravel()
 
 
 def quantile_fit(df: DataFrame, features: Sequence[str], y: str, quantiles: Sequence[float], alpha: float,
@@ -495,6 +503,7 @@ def quantile_fit(df: DataFrame, features: Sequence[str], y: str, quantiles: Sequ
     names = [f"z{i}" for i in range(p + 1)]
     rows = materialize(df.select(*[c.alias(k) for k, c in zip(names, z)], F.col(y).cast("double").alias("y")), spread=True)
     sx = np.array([float(v) for v in rows.agg(*[F.sum(c) for c in names]).first()])
+    blocks = pack(rows, [*names, "y"])
     levels = np.asarray(quantiles, float)
     beta = {q: np.r_[stats["_my"], np.zeros(p)] for q in quantiles}
     best = {q: (math.inf, beta[q]) for q in quantiles}
@@ -502,7 +511,7 @@ def quantile_fit(df: DataFrame, features: Sequence[str], y: str, quantiles: Sequ
     still, settled, step = 0, False, 0
     for step in range(steps + 1):
         eps = max(1e-6, 0.1 * 0.93 ** step) * unit
-        sums = _weighted_sums(rows, names, np.stack([beta[q] for q in quantiles]), levels, eps)
+        sums = _weighted_sums(blocks, np.stack([beta[q] for q in quantiles]), levels, eps)
         got = sums.reshape(len(quantiles), width)
         moved = False
         for k, q in enumerate(quantiles):

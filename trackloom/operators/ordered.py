@@ -202,8 +202,9 @@ def longest_true_run(df: DataFrame, groups: Sequence[str], index: str, flag: Col
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
-                    rows: int | None = None) -> DataFrame:
-    """Linear-interpolation quantiles, long form (groups, prob, quantile).
+                    rows: int | None = None, discrete: bool = False) -> DataFrame:
+    """Linear-interpolation quantiles, long form (groups, prob, quantile); ``discrete`` takes the
+    least value that has the share ``prob`` of its group at or below it.
 
     Small groups (by a checked count) use the built-in ``percentile``. For larger
     ones only the blocks that hold the wanted order statistics are ranked.
@@ -212,7 +213,10 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Seq
     blocked = assign_blocks(data, ["_v"], rows, groups)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     if blocked.single:
-        picks = data.groupBy(*groups).agg(F.percentile("_v", wanted).alias("_q"))
+        found = F.percentile("_v", wanted)
+        if discrete:
+            found = F.array(*[F.expr(f"percentile_disc({float(p)!r}D) WITHIN GROUP (ORDER BY _v)") for p in probs])
+        picks = data.groupBy(*groups).agg(found.alias("_q"))
         pairs = F.arrays_zip(wanted.alias("prob"), F.col("_q").alias("quantile"))
         return picks.select(*groups, F.explode(pairs).alias("_p")).select(
             *groups, F.col("_p.prob").alias("prob"), F.col("_p.quantile"))
@@ -222,8 +226,10 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Seq
         F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"))
     table = table.withColumns({
         "_off": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_n": F.sum("_c").over(by_group)})
-    spots = table.withColumn("prob", F.explode(wanted)).withColumn(
-        "_pos", F.col("prob") * (F.col("_n") - 1))
+    at = F.col("prob") * (F.col("_n") - 1)
+    if discrete:
+        at = F.greatest(F.ceil(F.col("prob") * F.col("_n")) - 1, F.lit(0)).cast("double")
+    spots = table.withColumn("prob", F.explode(wanted)).withColumn("_pos", at)
     spots = spots.withColumn("_k", F.explode(F.array_distinct(F.array(
         F.floor("_pos"), F.ceil("_pos")))))
     spots = spots.where((F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_c")))

@@ -8,8 +8,9 @@ that feature. Missing features take the fold's training median and scales are th
 The pinball loss is smoothed over a width that shrinks in steps; every step is one pass that sums
 gradient and curvature of every model, and a damped Newton move on the driver. A move that raises
 the smoothed loss is taken back and repeated with the curvature of a majorising parabola, which
-cannot raise it. The pass holds one matrix of models; rows are not copied per fold, penalty or
-quantile, and what tasks return is a few numbers per model. The best point by the true loss is kept.
+cannot raise it. Rows are packed once into matrices of a track's rows; the pass holds one matrix of
+models, and what tasks return is a few numbers per model. The best point by the true loss is kept.
+Models without features are the order statistics themselves.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from trackloom.functions.scalars import d
 from trackloom.operators import metrics as M
 from trackloom.operators.labels import training_folds
 from trackloom.operators.ordered import exact_quantiles, quantile_columns
-from trackloom.session import attach, materialize
+from trackloom.session import attach, materialize, pack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -88,45 +89,62 @@ class Batch:
         self.q = np.tile(np.asarray(quantiles, float), len(alphas))
 
     def design(self, fold, x: np.ndarray) -> np.ndarray:
-        fill, mean, scale = self.scales[fold]
-        return np.column_stack([np.ones(len(x)), (np.where(np.isfinite(x), x, fill) - mean) / scale])
-
-
-def step_sums(rows: DataFrame, track: str, anchor: str, names: Sequence[str], batch: Batch, beta: dict, width: float) -> dict:
-    """Fold: per model the summed pinball loss, smoothed loss, gradient and two curvatures."""
-    p = len(names) + 1
-    upper = np.triu_indices(p)
-    sent = rows.sparkSession.sparkContext.broadcast((batch, beta))
-
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Standardised features, a row each, below a row of ones."""
+        fill, mean, scale = (v[:, None] for v in self.scales[fold])
+        return np.vstack([np.ones((1, x.shape[1])), (np.where(np.isfinite(x), x, fill) - mean) / scale])
+
+    def sums(self, fold, line: np.ndarray, beta: np.ndarray, width: float) -> np.ndarray:
+        """Of a block (target, anchor feature, features): a row of sums per model."""
+        z, q = self.design(fold, line[2:]), self.q[:, None]
+        upper = np.triu_indices(len(z))
+        pairs = z[upper[0]] * z[upper[1]]
+        r = (line[0] - self.anchors[fold] * line[1]) - beta @ z
+        size = np.abs(r)
+        total, far = r.sum(1, keepdims=True), size.sum(1, keepdims=True)
+        loss = q * total + (far - total) / 2
+        inside = (size <= width).astype(float)
+        slope = (q - 0.5) * z.sum(1) + np.clip(r, -width, width) @ z.T / (2 * width)
+        np.maximum(size, width, out=size)
+        major = np.reciprocal(size) @ pairs.T / 2
+        np.subtract(width, np.minimum(np.abs(r), width), out=size)
+        smooth = far / 2 + (q - 0.5) * total + np.einsum("ij,ij->i", size, size)[:, None] / (4 * width)
+        return np.hstack([loss, smooth, slope, inside @ pairs.T / (2 * width), major, np.full((len(q), 1), z.shape[1])])
+
+
+def step_sums(blocks: DataFrame, batch: Batch, beta: dict, width: float) -> dict:
+    """Fold: per model the summed pinball loss, smoothed loss, gradient and two curvatures, over
+    packed rows (target, anchor feature, features) of the other tracks."""
+    p = next(iter(beta.values())).shape[1]
+    sent = blocks.sparkSession.sparkContext.broadcast((batch, beta))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, beta = sent.value
-        q, sums = batch.q, {}
+        sums: dict = {}
         for part in batches:
-            x, key = part[list(names)].to_numpy(float), part[track].to_numpy()
-            y, a = part["y"].to_numpy(float), part[anchor].to_numpy(float)
-            for k, fold in enumerate(batch.folds):
-                mine = key != fold
-                z = batch.design(fold, x[mine])
-                r = (y - batch.anchors[fold] * a)[mine][:, None] - z @ beta[fold].T
-                inside = np.abs(r) <= width
-                slope = np.where(inside, q - 0.5 + r / (2 * width), q - (r < 0))
-                loss = np.where(r > 0, q * r, (q - 1) * r)
-                smooth = np.where(inside, r * r / (4 * width) + width / 4 + (q - 0.5) * r, loss)
-                pairs = z[:, upper[0]] * z[:, upper[1]]
-                found = np.concatenate([loss.sum(0)[:, None], smooth.sum(0)[:, None], slope.T @ z, (inside / (2 * width)).T @ pairs,
-                                        (0.5 / np.maximum(np.abs(r), width)).T @ pairs, np.full((len(q), 1), len(z))], axis=1)
-                sums[k] = sums.get(k, 0) + found
+            for own, n, block in zip(*(part.column(c) for c in ("k", "n", "block")), strict=True):
+                line = np.frombuffer(block.as_buffer()).reshape(-1, n.as_py())
+                for k, fold in enumerate(batch.folds):
+                    if k != own.as_py():
+                        sums[k] = sums.get(k, 0) + batch.sums(fold, line, beta[fold], width)
         if sums:
-            yield pd.DataFrame({"k": list(sums), "s": [s.ravel().tolist() for s in sums.values()]})
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.ravel() for s in sums.values()], pa.list_(pa.float64()))], ["k", "s"])
 
-    partial = rows.mapInPandas(reduce, "k int, s array<double>")
+    partial = blocks.mapInArrow(reduce, "k int, s array<double>")
     entries = partial.select("k", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
-    size, out = 3 + p + 2 * len(upper[0]), {}
+    size, out = 3 + p + p * (p + 1), {}
     for r in entries.collect():  # folds x models x a few numbers
         out.setdefault(r["k"], np.zeros(len(batch.q) * size))[r["i"]] = r["v"]
     return {batch.folds[k]: v.reshape(len(batch.q), size) for k, v in out.items()}
 
 
+def fold_quantiles(rows: DataFrame, track: str, anchors: dict, quantiles: Sequence[float]) -> dict:
+    """Per held-out track the quantiles of the training rows' target less anchor: models without features."""
+    ratio = F.create_map(*[v for t, k in anchors.items() for v in (F.lit(t), d(k))])
+    long = training_folds(rows, track, list(anchors)).select("held_out", (F.col("y") - ratio[F.col("held_out")] * F.col("_a")).alias("_r"))
+    found = {(r["held_out"], r["prob"]): r["quantile"] for r in exact_quantiles(long, ["held_out"], "_r", quantiles, discrete=True).collect()}
+    return {t: np.array([[found[t, float(q)]] for q in quantiles]) for t in anchors}
+
+
 def _move(sums: np.ndarray, beta: np.ndarray, alpha: float, share: float, width: float) -> np.ndarray:
     """A Newton move whose curvature has ``share`` of the majorising parabola's."""
     p = len(beta)
@@ -155,13 +173,20 @@ def fit_folds(df: DataFrame, track: str, anchor: str, features: Sequence[str], y
     batch = Batch(anchors, scales, alphas, quantiles)
     unit = rows.agg(F.stddev_pop("y")).first()[0] or 1.0
     models, p = len(batch.q), len(features) + 1
+    blocks = pack(rows, ["y", "_a", *features], track, batch.folds)
     beta = {t: np.zeros((models, p)) for t in anchors}
     best = {(t, j): (math.inf, None) for t in anchors for j in range(models)}
-    for width in [w * unit for w in WIDTHS] if len(anchors) > 1 else ():
+    widths, passes = [w * unit for w in WIDTHS], PASSES
+    if len(anchors) < 2:
+        widths = []
+    elif not features:  # the optimum is known, one pass gives its loss
+        known = fold_quantiles(rows, track, anchors, quantiles)
+        beta, widths, passes = {t: np.tile(v, (len(alphas), 1)) for t, v in known.items()}, widths[-1:], 0
+    for width in widths:
         held: dict = {}
         share = {k: 0.02 for k in best}
-        for turn in range(PASSES + 1):
-            sums = step_sums(rows, track, "_a", features, batch, beta, width)
+        for turn in range(passes + 1):
+            sums = step_sums(blocks, batch, beta, width)
             for (t, j), (least, _) in list(best.items()):
                 s, b, alpha = sums[t][j], beta[t][j], batch.alpha[j]
                 cost = alpha * np.abs(b[1:]).sum()
