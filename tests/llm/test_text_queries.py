@@ -320,6 +320,21 @@ def test_near_duplicate_classes_by_brute_force(spark):
     assert kept == set(want.values())
 
 
+def test_sketches_of_documents_that_meet_no_other_do_not_move(spark, monkeypatch):
+    words = lambda n, seed: " ".join(f"w{seed}x{i}" for i in range(n))
+    docs = [(i, words(60, i)) for i in range(30)] + [(40, words(200, 99)), (41, words(199, 99)), (42, words(60, 3)), (43, words(50, 77)), (43, words(50, 78))]
+    kept, plain = {}, near_dup.store
+
+    def store(df, name):
+        kept.setdefault(name, []).append(plain(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(near_dup, "store", store)
+    got = near_dup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: {41: 40, 42: 3}.get(i, i) for i, _ in docs} and len(got) == len(docs)
+    assert sorted(r["id"] for t in kept["near-nodes"] for r in t.collect()) == [40, 41]
+
+
 def test_near_duplicates_of_the_tables_by_brute_force(spark, duck):
     docs = duck.execute("SELECT doc_id, text FROM documents").fetchall()
     got = {r["doc_id"]: r["class_id"] for r in QUERIES["op6_near_dup"](spark, FOLDER).collect()}

@@ -55,6 +55,8 @@ SEED = 0x9E3779B97F4A7C15
 FIRST_CELL = 1 / 64
 #: Distinct words whose hashes a task remembers.
 WORD_CACHE = 200_000
+#: Bytes of text sketched at once: an entry of a few dozen bytes per word and dart is held.
+SKETCH_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -161,7 +163,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     the number of shingles; nulls where there is no word."""
     def scan(batches):
         hashes = WordHashes()
-        for part, texts in text_slices(batches, "text"):
+        for part, texts in text_slices(batches, "text", SKETCH_BYTES):
             words = [word_list(t) for t in texts]
             full = [i for i, w in enumerate(words) if w]
             print_of = {i: xxhash.xxh3_128_digest(b" ".join(words[i])) for i in full}
@@ -206,8 +208,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = store(texts, "near-texts")
+    texts = store(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "near-texts")
+    if texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        texts = store(texts.dropDuplicates(["id"]), "near-texts")
     degree = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     targets = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(degree, "b")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), "text"), "a")
@@ -229,6 +232,22 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "text", "text_b"), scan, "a long, b long")
 
 
+def if_few(ids: DataFrame) -> DataFrame:
+    """The stored ``ids`` with a broadcast hint if a count allows it."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
+def nodes_of(rows: DataFrame, copied: DataFrame) -> DataFrame:
+    """One of the ``rows`` of each id that is not ``copied``. Rows are wide: only those of repeated ids
+    are shuffled for it, and all are written again only where the ids to leave out are many."""
+    twice = store(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "near-twice")
+    out = store(copied.unionByName(twice), "near-out")
+    once = if_few(out)
+    several = store(rows.join(if_few(twice), "id", "left_semi").join(copied, "id", "left_anti").dropDuplicates(["id"]), "near-several")
+    nodes = rows.join(once, "id", "left_anti").unionByName(several)
+    return store(nodes, "near-nodes") if once is out else nodes
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(id, class_id) once per row of ``docs``; the class is the least id of the component."""
     rows = store(sketched(docs), "near-sketches")
@@ -238,12 +257,14 @@ def classes(docs: DataFrame) -> DataFrame:
     several = store(copies.where("n > 1"), "near-copies")
     copied = store(join_counted(worded.select("id", "f1", "f2"), several, ["f1", "f2"], "n", total).where("id <> rep")
                    .select("id", "rep").distinct(), "near-copied")
-    nodes = worded.select("id", "bands", "bits", "size").join(copied.select("id"), "id", "left_anti")
-    nodes = store(nodes.dropDuplicates(["id"]), "near-nodes")
+    nodes = nodes_of(worded.select("id", "bands", "bits", "size"), copied.select("id"))
     bands = nodes.select("id", F.explode("bands").alias("key"))
     buckets = store(bands.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
                     .where("n > 1"), "near-buckets")
     members = store(join_counted(bands, buckets, ["key"], "n", BANDS * total), "near-members")
+    # sketches of documents that meet no other never move
+    met = store(members.select("id").distinct(), "near-ids")
+    nodes = store(nodes.join(if_few(met), "id", "left_semi"), "near-nodes")
     stars = members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     labels = store(components(store(verified(possible(store(stars, "near-pairs"), nodes), docs), "near-links")), "near-labels")
     for pairs_of in (pivot_pairs, cross_pairs):
