@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_arrow, text_slices
+from trackloom.llm.common import give_back, map_arrow, text_slices
 
 SAMPLE_ROWS = 3000
 FEATURES = 6000
@@ -164,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[bytes, float]:
         share = {v: sizes.get(v, 0) / max(1, int((label == v).sum())) for v in (0, 1)}
         weight = np.array([share[v] for v in label], float)
         model = fit([(t or "").encode() for t in group["text"]], label, weight)
+        give_back()
         return pd.DataFrame({"feature": [f.hex() for f in model], "weight": list(model.values())})
 
     found = rows.groupBy().applyInPandas(one, "feature string, weight double").collect()
