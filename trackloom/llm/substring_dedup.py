@@ -10,7 +10,7 @@ and become one node. Nodes are banded: BANDS keys of one MinHash each over five-
 at Jaccard 0.8 a pair meets with probability 0.998. Members of a bucket are compared to its least
 node by exact Jaccard similarity; buckets that end in several components are compared around a
 pivot, then across components, as in ``near_dup``. So every pair that shares a band is in one class
-or was compared, by words or first by ``alike``, which passes over no pair at the threshold.
+or was compared, first by sketches (``alike``), which pass over no pair at the threshold, then by words.
 Classes are connected components.
 
 A paragraph of a class found in several documents is shared; its keeper is the smallest doc_id of
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import BROADCAST_ROWS, WORD_BYTES, join_counted, store, text_slices, word_list
 from trackloom.llm.graph import components
-from trackloom.llm.near_dup import SHINGLE, THRESHOLD, WordHashes, cross_pairs, mix, mixed_rows, pivot_pairs, salt, shingles, similarity
+from trackloom.llm.near_dup import SHINGLE, THRESHOLD, WordHashes, cross_pairs, if_few, mix, mixed_rows, pivot_pairs, salt, shingles, similarity
 from trackloom.llm.toxicity import SENTENCES
 
 FULL_PART, LONG_PART = 8, 24
@@ -102,16 +102,21 @@ def name_of(words: list[bytes]) -> int:
 
 
 def min_keys(lists: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(paragraphs, BANDS) band keys, and the SKETCH of each paragraph."""
-    own = [shingles(words, hashes)[0] for words in lists]
-    starts = np.cumsum([0] + [len(s) for s in own[:-1]])
-    every = np.concatenate(own)
+    """(paragraphs, BANDS) band keys, and the SKETCH of each paragraph; all have SHINGLE words or more.
+    The shingles of all paragraphs are made at once: as in ``shingles``, but not yet distinct, which
+    neither a least key nor a bitmap needs."""
+    every, inside, owner = window_hashes(lists, hashes, SHINGLE)
+    every, owner = every[inside], owner[:len(inside)][inside]
+    starts = np.searchsorted(owner, np.arange(len(lists)))
     keys = np.stack([mix(np.minimum.reduceat(mix(every ^ salt(band, 31)), starts) + salt(band, 37))
                      for band in range(BANDS)], axis=1).astype(np.int64)
     spot = mix(every ^ salt(41))
     bit, upper = np.uint64(1) << (spot & np.uint64(63)), (spot >> np.uint64(6)) & np.uint64(1) == 1
     words = [np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64) for half in (~upper, upper)]
-    return keys, np.stack([*words, np.array([len(s) for s in own])], axis=1)
+    every = every[np.lexsort((every, owner))]
+    fresh = np.r_[True, every[1:] != every[:-1]]
+    fresh[starts] = True
+    return keys, np.stack([*words, np.add.reduceat(fresh.astype(np.int64), starts)], axis=1)
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ids, "doc", "left_semi")
     found = found.select("text").mapInArrow(scan, "fp long, words binary")
-    found = store(found.join(places.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("words").alias("words")), "passage-words")
+    found = store(found.join(if_few(places.select("fp")), "fp", "left_semi").groupBy("fp").agg(F.min("words").alias("words")), "passage-words")
     degree = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     targets = found.select(F.col("fp").alias("b"), F.col("words").alias("words_b")).join(degree, "b")
     both = join_counted(pairs.join(found.select(F.col("fp").alias("a"), "words"), "a"), targets, ["b"], "n", pairs.count())
@@ -184,7 +189,7 @@ def stars_of(members: DataFrame) -> DataFrame:
     return members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def alike(a: str, b: str, key: Column) -> Column:
+def alike(a: str, b: str, key: Column | None = None) -> Column:
     """Whether two bitmaps leave THRESHOLD possible: no pair differs in more bits than shingles, and at
     the threshold in at most (1 - t) / (1 + t) of the shingles of both."""
     apart = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[:2]]
@@ -192,19 +197,33 @@ def alike(a: str, b: str, key: Column) -> Column:
     return apart[0] + apart[1] <= most
 
 
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that may reach THRESHOLD by their sketches (id, SKETCH); words of the
+    others never move."""
+    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "passage-ids")
+    own = store(sketches.join(if_few(ids), "id", "left_semi"), "passage-sketches")
+    side = lambda end, name: own.select(F.col("id").alias(end), F.struct(*SKETCH).alias(name))
+    targets = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(side("b", "y"), "b")
+    both = join_counted(pairs.join(side("a", "x"), "a"), targets, ["b"], "n", pairs.count())
+    return store(both.where(alike("x", "y")).select("a", "b"), "passage-pairs")
+
+
 def near_classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, label) of the nodes that are near another."""
     total = BANDS * nodes.count()
     keys = lambda df: df.select("id", F.explode(F.array(*KEYS)).alias("key"))
     plain = nodes.select(F.col("fp").alias("id"), *KEYS)
     members = bucketed(keys(plain), total, "passage-bands")
-    links = store(verified(store(stars_of(members), "passage-pairs"), nodes, docs), "passage-links")
-    labels = components(links)
     sketched = set(SKETCH) <= set(nodes.columns)
     narrow = nodes.select(F.col("fp").alias("id"), *SKETCH) if sketched else plain.select("id")
+    stars = store(stars_of(members), "passage-pairs")
+    links = store(verified(possible(stars, narrow) if sketched else stars, nodes, docs), "passage-links")
+    labels = components(links)
     for pairs_of in (pivot_pairs, cross_pairs):
         mixed = store(mixed_rows(members, labels, total).join(narrow, "id"), "passage-mixed")
         pairs = store(pairs_of(mixed, total, [alike] if sketched else []), "passage-pairs")
+        if sketched and pairs_of is pivot_pairs:  # cross_pairs meets the sketches itself
+            pairs = possible(pairs, narrow)
         if pairs.limit(1).count():
             links = links.unionByName(store(verified(pairs, nodes, docs), "passage-links"))
             labels = components(links)
@@ -227,17 +246,17 @@ def shared_paragraphs(docs: DataFrame) -> DataFrame:
     return store(alone.select("fp", F.col("fp").alias("class_id"), "keeper", "n").unionByName(close), "passage-shared")
 
 
-def window_hashes(lists: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of word lists laid end to end: their hashes, whether they lie in one list, and the
-    list of each word."""
+def window_hashes(lists: list[list[bytes]], hashes: WordHashes, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of ``width`` words of word lists laid end to end: their hashes, whether they lie in
+    one list, and the list of each word."""
     counts = [len(words) for words in lists]
     h = np.fromiter((hashes[w] for words in lists for w in words), np.uint64, sum(counts))
-    size = max(len(h) - WINDOW + 1, 0)
+    size = max(len(h) - width + 1, 0)
     total = np.zeros(size, np.uint64)
-    for j in range(WINDOW):
+    for j in range(width):
         total = total * np.uint64(0x100000001B3) + mix(h[j:size + j] + np.uint64(j))
     owner = np.repeat(np.arange(len(lists)), counts)
-    return mix(total), owner[:size] == owner[WINDOW - 1:][:size], owner
+    return mix(total), owner[:size] == owner[width - 1:][:size], owner
 
 
 def anchors(names: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -268,8 +287,9 @@ def repeated(rows: DataFrame, name: str) -> DataFrame:
 
 
 def shared_windows(docs: DataFrame) -> DataFrame:
-    """(doc, keeper, first, last, start, end): the windows found in several documents, by words and
-    by code points."""
+    """(doc, keeper, place, span): the windows found in several documents. ``place`` holds the first of
+    their WINDOW words above its code point in 32 bits, ``span`` the number of code points: rows are
+    many, so they are narrow."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc_id IS NOT NULL")
 
     def pick(batches):
@@ -302,17 +322,17 @@ def shared_windows(docs: DataFrame) -> DataFrame:
                 held = np.frombuffer(b" " + text.translate(WORD_BYTES) + b" ", np.uint8) != 32
                 turns = np.flatnonzero(held[1:] != held[:-1])
                 points = code_points(text)
-                cells.append(np.stack([names[first].view(np.int64), first, first + WINDOW, points[turns[::2]][first],
-                                       points[turns[1::2]][first + WINDOW - 1]]))
+                start = points[turns[::2]][first]
+                cells.append(np.stack([names[first].view(np.int64), first << 32 | start, points[turns[1::2]][first + WINDOW - 1] - start]))
                 rows.append(np.full(len(first), at))
             table = np.concatenate(cells, axis=1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(table[0]), part.column("doc").take(pa.array(np.concatenate(rows))),
-                 *[pa.array(c.astype(np.int32)) for c in table[1:]]], names=["h", "doc", "first", "last", "start", "end"])
+                 pa.array(table[1]), pa.array(table[2].astype(np.int32))], names=["h", "doc", "place", "span"])
 
     found = texts.join(ids, "doc", "left_semi").join(places, "doc")
-    shape = "h long, doc long, first int, last int, start int, end int"
-    return repeated(store(found.mapInArrow(around, shape), "passage-windows"), "passage-repeats").drop("h")
+    windows = store(found.mapInArrow(around, "h long, doc long, place long, span int"), "passage-windows", "zstd")
+    return repeated(windows, "passage-repeats").drop("h")
 
 
 def spans_of(doc: int, first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray,
@@ -376,30 +396,36 @@ def passages(docs: DataFrame) -> DataFrame:
         place, "doc long, fp long, first int, last int, start int, end int")
     total = shared.agg(F.sum("n")).first()[0] or 0
     marked = join_counted(units, shared, ["fp"], "n", total).drop("fp")
-    marked = marked.unionByName(shared_windows(docs), allowMissingColumns=True)
-    cell = F.struct("first", "last", "start", "end", "keeper", "class_id")
-    per_doc = marked.groupBy("doc").agg(F.collect_set(cell).alias("cells"))
+    cell, window = F.struct("first", "last", "start", "end", "keeper", "class_id"), F.struct("place", "span", "keeper")
+    marked = marked.select("doc", cell.alias("cell")).unionByName(
+        shared_windows(docs).select("doc", window.alias("window")), allowMissingColumns=True)
+    per_doc = marked.groupBy("doc").agg(F.collect_set("cell").alias("cells"), F.collect_set("window").alias("windows"))
+
+    def columns(lists, count):
+        """The fields of lists of structs laid end to end, and where each list ends."""
+        cells = lists.flatten()
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return [cells.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(count)], np.cumsum(sizes).tolist()
 
     def runs(batches):
         for batch in batches:
             ids, spans, classes, keepers, total, gone = [], [], [], [], [], []
-            lists = batch.column("cells")
-            cells = lists.flatten()
-            column = lambda k: cells.field(k).to_numpy(zero_copy_only=False).astype(np.int64)
-            first, last, start, end, keeper = (column(k) for k in range(5))
-            class_id, named_ = cells.field(5).fill_null(0).to_numpy(zero_copy_only=False), cells.field(5).is_valid().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            for doc, low, high in zip(batch.column("doc").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                mine = slice(low, high)
-                found = spans_of(doc, first[mine], last[mine], start[mine], end[mine], keeper[mine])
+            units, ends = columns(batch.column("cells"), 6)
+            (place, span, near), stops = columns(batch.column("windows"), 3)
+            words, point = place >> 32, place & 0xFFFFFFFF
+            windows = [words, words + WINDOW, point, point + span, near]
+            for k, doc in enumerate(batch.column("doc").to_pylist()):
+                mine, other = (slice(x[k - 1] if k else 0, x[k]) for x in (ends, stops))
+                first, last, start, end, keeper = (np.concatenate([a[mine], b[other]]) for a, b in zip(units, windows))
+                found = spans_of(doc, first, last, start, end, keeper)
                 if found:
-                    inside = np.zeros(high - low, bool)
+                    inside = np.zeros(len(first), bool)
                     for _, _, kept, i, j, _ in found:
-                        inside |= (first[mine] >= i) & (last[mine] <= j) & ((keeper[mine] == doc) == kept)
+                        inside |= (first >= i) & (last <= j) & ((keeper == doc) == kept)
                     ids.append(doc)
                     spans.append([{"start": r[0], "end": r[1], "kept": r[2]} for r in found])
-                    classes.append(np.unique(class_id[mine][inside & named_[mine]]).tolist())
-                    keepers.append(np.unique(keeper[mine][inside]).tolist())
+                    classes.append(np.unique(units[5][mine][inside[:ends[k] - mine.start]]).tolist())
+                    keepers.append(np.unique(keeper[inside]).tolist())
                     total.append(sum(r[5] for r in found))
                     gone.append(sum(r[5] for r in found if not r[2]))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept", pa.bool_())]))
