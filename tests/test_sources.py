@@ -149,3 +149,43 @@ def test_files_are_hashed_in_ranges(spark, tmp_path):
     rows = spark.createDataFrame([(1, [1.0, None, -0.5]), (2, []), (3, None)], "k int, m array<float>")
     digests = {r["k"]: r["h"] for r in rows.select("k", A.matrix_digest(F.col("m")).alias("h")).collect()}
     assert digests == {1: hashlib.sha256(np.array([1.0, np.nan, -0.5], "<f8").tobytes()).hexdigest(), 2: hashlib.sha256(b"").hexdigest(), 3: None}
+
+
+def test_manifest_reads_files_as_streams(spark, tmp_path):
+    """Content hashes against hashlib, of files longer than Spark's binary source may read as one value."""
+    import hashlib
+    import shutil
+
+    from trackloom.plans.catalog import QUERIES
+
+    contents = {"a.parquet": b"x", "b b%20c#d.parquet": bytes(range(256)) * 1000 + b"end", "é.parquet": b"\xef\xbb\xbf\r\n" * 70_000, "deep/f.parquet": b"y" * (1 << 17)}
+    for name, data in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    shutil.copy(tmp_path / "a.parquet", tmp_path / "deep" / "a.parquet")
+    (tmp_path / "other.txt").write_bytes(b"z")
+    want = sorted((name.split("/")[-1], len(data), hashlib.sha256(data).hexdigest()) for name, data in [*contents.items(), ("deep/a.parquet", b"x")])
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        for _ in range(2):
+            assert sorted(map(tuple, QUERIES["file_manifest"](spark, str(tmp_path)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_manifest_leaves_out_what_the_session_ignores(spark, tmp_path):
+    """A file that fails its checksum while it is read: an error, or no row."""
+    from trackloom.plans.catalog import QUERIES
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.parquet").write_bytes(name.encode() * 1000)
+    (tmp_path / ".b.parquet.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + bytes(8))
+    with pytest.raises(Exception, match="(?i)checksum"):
+        QUERIES["file_manifest"](spark, str(tmp_path)).collect()
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+    try:
+        rows = QUERIES["file_manifest"](spark, str(tmp_path))
+        assert [r["name"] for r in rows.collect()] == ["a.parquet"]
+        assert rows._jdf.queryExecution().executedPlan().toString().count("UDF(") == 1
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreCorruptFiles")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.functions.scalars import HEIGHT_PIXEL_MM, HEIGHT_UNIT_MM, X_END_MM, X_START_MM, d, natural_key
+from trackloom.sources.digests import with_sha256
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -52,10 +53,9 @@ def find_track_files(files: DataFrame, suffixes: Sequence[str], tokens: str = r"
 
 
 def content_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """sha-256 per file; one file per task at most, as many tasks as files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", pattern).load(folder)
-    return files.select(file_name(F.col("path")).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    """sha-256 per file; one file per task at most, as many tasks as files. Files are read as streams, so
+    neither their length nor a task's memory bounds them."""
+    return with_sha256(list_files(spark, folder, pattern)).select("name", "length", "sha256")
 
 
 #: Bytes of a file that one task hashes at once.
